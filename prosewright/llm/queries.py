@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosewright.llm.common import table
+from prosewright.llm.fingerprint import compare_with_edits
+from prosewright.llm.langid import identify
 from prosewright.llm.packing import pack
 from prosewright.llm.tokens import count_tokens
 
@@ -15,16 +17,24 @@ TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
 
 
+def op1_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op6_language_bitmasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), TOKENIZER).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sum_of_squares_packing, op9_token_counts)}
+    return {f.__name__: f for f in (op1_improbable_features, op2_sum_of_squares_packing, op6_language_bitmasks, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
