@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prosewright.llm.ann import search
 from prosewright.llm.common import table
 from prosewright.llm.fingerprint import compare_with_edits
 from prosewright.llm.langid import identify
@@ -48,6 +49,10 @@ def op7_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op8_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), TOKENIZER).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
@@ -69,7 +74,7 @@ QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_improbable_features, op2_sum_of_squares_packing, op3_curriculum_mixing, op5_url_bloom_filter, op6_language_bitmasks,
-        op7_license_sentences, op9_token_counts,
+        op7_license_sentences, op8_additive_quantisation, op9_token_counts,
     )
     return {f.__name__: f for f in found}
 
