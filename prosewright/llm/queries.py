@@ -15,6 +15,7 @@ from prosewright.llm.license import scan_licenses, scan_sql
 from prosewright.llm.mixing import mix, mix_sql
 from prosewright.llm.neardup import near_duplicates
 from prosewright.llm.packing import pack
+from prosewright.llm.repeats import repeated_bytes
 from prosewright.llm.tokens import count_tokens
 from prosewright.llm.urlfilter import judge_urls, rules_table
 
@@ -34,6 +35,10 @@ def op3_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op4_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op10_fast_similarity_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -78,7 +83,7 @@ QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_improbable_features, op2_sum_of_squares_packing, op3_curriculum_mixing, op5_url_bloom_filter, op6_language_bitmasks,
+        op1_improbable_features, op2_sum_of_squares_packing, op3_curriculum_mixing, op4_run_length_index, op5_url_bloom_filter, op6_language_bitmasks,
         op7_license_sentences, op8_additive_quantisation, op9_token_counts, op10_fast_similarity_sketches,
     )
     return {f.__name__: f for f in found}
