@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MIN_SHARE = 2e-5
+MIN_SCORE = 0.2
 SLOTS = 1 << 20
 HASHES = 3
 CHUNK_BYTES = 4 << 20
@@ -158,7 +159,35 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
                         lang[i], score[i] = own.langs[best], row[best]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, docs["text"].cast("string").alias("text")).mapInArrow(judged, schema)
+    return docs.select(*keep, docs["text"].cast("string").alias("_text")).mapInArrow(judged, schema)
+
+
+def in_known_language(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows whose text has a letter and whose language's corrected share of grams is at least ``min_score``.
+
+    With no language learned there is no share to judge by, and every text with a letter stays.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def kept(batches):
+        import pyarrow as pa
+
+        own = shared.value
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            keep = np.array([bool(t) and _LETTER.search(t) is not None for t in texts], bool)
+            if own.langs:
+                for group in chunks(texts):
+                    keep[group] &= own.coverage([texts[i] for i in group]).max(axis=1) >= min_score
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep))], names=["doc"])
+
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), docs["text"].cast("string").alias("text"))
+    return rows.mapInArrow(kept, T.StructType([rows.schema["doc"]])).select("doc.*")
+
+
+def learn_from(docs: DataFrame) -> Model:
+    """The model of the documents with a language that are not held out."""
+    return learn(docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("lang", "text"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -168,5 +197,4 @@ def held_out(doc_id: Column) -> Column:
 
 def identify(docs: DataFrame) -> DataFrame:
     """Learn from the labelled rows that are not held out, then judge every row."""
-    model = learn(docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("lang", "text"))
-    return predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return predict(docs, learn_from(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

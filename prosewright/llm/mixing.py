@@ -131,18 +131,17 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
     The columns are those of ``docs``.  Empty documents are taken once.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mixing")
-    marked = docs.withColumn("_row", F.xxhash64(*[F.col(c).cast("string") for c in docs.columns]))
-    lines = demand(scratch.write(_sized(marked, "_row"), "sizes"), weights, most)
+    scratch = Scratch(docs.sparkSession, "mixing")
+    packed = docs.select(F.struct(*docs.columns).alias("_doc"), F.xxhash64(*[F.col(c).cast("string") for c in docs.columns]).alias("_row"))
+    lines = demand(scratch.write(_sized(packed.select("_row", "_doc.doc_id", "_doc.source", "_doc.text"), "_row"), "sizes"), weights, most)
     times = F.when(F.col("source_size") > 0, F.floor((F.col("words") - F.col("start") - F.col("size") / 2) / F.greatest("source_size", F.lit(1))) + 1).otherwise(F.lit(1))
     times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.least(F.greatest(times, F.lit(0)), F.lit(most)))
     first = F.min(F.struct("start", "kind", "size", "source_size", "words", "times", "h"))  # equal rows are taken equally often
-    copies = lines.withColumn("times", times.cast("int")).where("times > 0").groupBy("_row").agg(first.alias("line")).select("_row", "line.*")
-    occurrences = marked.join(copies, "_row").select(*docs.columns, "kind", "start", "size", "source_size", "words", "h", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("round"))
+    copies = lines.withColumn("times", times.cast("int")).where("times > 0").groupBy("_row").agg(first.alias("_line"))
+    occurrences = packed.join(copies, "_row").select("_doc", "_line.*", F.explode(F.sequence(F.lit(0), F.col("_line.times") - 1)).alias("round"))
     at = F.least((F.col("round") * F.col("source_size") + F.col("start") + F.col("size") / 2) / F.greatest("words", F.lit(1)), F.lit(1.0))
     placed = occurrences.withColumn("_at", F.coalesce(position(F.col("kind"), at, schedules), F.lit(1.0)))
-    return placed.repartitionByRange("_at", "h").sortWithinPartitions("_at", "h").select(*docs.columns)
+    return placed.repartitionByRange("_at", "h").sortWithinPartitions("_at", "h").select("_doc.*")
 
 
 def mix_sql(weights: tuple[int, ...] = WEIGHTS, most: int = MOST, schedules=SCHEDULES) -> str:

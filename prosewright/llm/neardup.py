@@ -259,3 +259,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     out = own.join(named, ["s1", "s2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The documents that are kept: of each component the one of smallest doc_id."""
+    gone = near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

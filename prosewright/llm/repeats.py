@@ -255,8 +255,8 @@ def _kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, raw[at:]])
 
 
-def _with_marks(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id (null as NO_ID), text and the list of marks of every document."""
+def _with_marks(docs: DataFrame, *more) -> DataFrame:
+    """doc_id (null as NO_ID), text, further columns and the list of marks of every document."""
     scratch = Scratch(docs.sparkSession, "repeats")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
     found = marks(rows, scratch).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "kind")).alias("found"))
@@ -265,39 +265,42 @@ def _with_marks(docs: DataFrame, *more: str) -> DataFrame:
 
 def repeated_bytes(docs: DataFrame) -> DataFrame:
     """n_bytes, n_removed, n_spans and kept_sha256 of every document."""
-    import pyarrow as pa
 
     def judged(batches):
+        import pyarrow as pa
+
         for batch in batches:
             rows = []
             for doc, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = (text or "").encode("utf-8", "replace")
                 spans = _spans(found, len(raw))
                 rows.append((None if doc == NO_ID else doc, len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(_kept(raw, spans)).hexdigest()))
-            kinds = [pa.int64()] * 4 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            if rows:
+                kinds = [pa.int64()] * 4 + [pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return _with_marks(docs).select("doc_id", "text", "found").mapInArrow(judged, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """The documents without their repeated passages; bytes of a character that is cut in part go as well."""
-    import pyarrow as pa
+    """The documents without their repeated passages; characters that are cut in part go as well, n_chars follows the text."""
+    from pyspark.sql import types as T
 
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    others = [c for c in docs.columns if c != "text"]
 
     def cleaned(batches):
+        import pyarrow as pa
+
         for batch in batches:
             out = []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text and found:
                     raw = text.encode("utf-8", "replace")
                     text = _kept(raw, _spans(found, len(raw))).decode("utf-8", "ignore")
                 out.append(text)
-            ids = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([None if d == NO_ID else d for d in ids], pa.int64()), pa.array(out, pa.string()), *batch.columns[3:]], names=["doc_id", "text", *others])
-
-    from pyspark.sql import types as T
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column(2)], names=["text", "others"])
 
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), *[docs.schema[c] for c in others]])
-    return _with_marks(docs, *others).select("doc_id", "text", "found", *others).mapInArrow(cleaned, schema).select(*docs.columns)
+    rows = _with_marks(docs, F.struct(*others).alias("others")).select("text", "found", "others")
+    done = rows.mapInArrow(cleaned, T.StructType([T.StructField("text", T.StringType()), rows.schema["others"]]))
+    renewed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return done.select(*[renewed.get(c, F.col("others").getField(c)).alias(c) for c in docs.columns])
