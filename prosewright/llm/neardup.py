@@ -129,9 +129,9 @@ def linked(n_a: int, n_b: int, common: int, percent: int = PERCENT) -> bool:
 
 
 def _with_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """Adds the text to rows that name a doc_id."""
+    """Adds the text to rows that name a doc_id; a merge join at every size."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return wanted.join(texts, "doc_id")
+    return wanted.hint("merge").join(texts, "doc_id")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
