@@ -3,11 +3,27 @@
 from __future__ import annotations
 
 import difflib
+import functools
 import re
 
 import pandas as pd
 from pyspark.sql import functions as F
 
+
+
+def pandas_function(returns: str):
+    """Decorator: a Column function over columns, made when it is called (a type as text needs a session)."""
+
+    def wrap(f):
+        @functools.wraps(f)
+        def call(*columns):
+            return F.pandas_udf(f, returns)(*columns)
+
+        return call
+
+    return wrap
+
+
 SPAN = "array<struct<start:int,end:int,text:string>>"
 
 
@@ -50,12 +66,12 @@ def similarity(a: str, b: str, least: float = 0.0) -> float:
     return 0.0 if m.quick_ratio() < least else m.ratio()
 
 
-@F.pandas_udf("double")
+@pandas_function("double")
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("array<struct<tag:string,a_from:int,a_to:int,b_from:int,b_to:int>>")
+@pandas_function("array<struct<tag:string,a_from:int,a_to:int,b_from:int,b_to:int>>")
 def token_edits(a: pd.Series, b: pd.Series) -> pd.Series:
     """Edits between the words and line ends of two texts."""
 
@@ -66,7 +82,7 @@ def token_edits(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([edits(x, y) for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("struct<start:int,end:int>")
+@pandas_function("struct<start:int,end:int>")
 def quote_range(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
     """Where a quote stands in a text, white space ignored if need be; nulls if nowhere."""
 
@@ -83,7 +99,7 @@ def quote_range(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([place(t, q) for t, q in zip(text, quote, strict=True)], columns=["start", "end"]).astype("Int32")
 
 
-@F.pandas_udf("string")
+@pandas_function("string")
 def apply_fixes(text: pd.Series, fixes: pd.Series) -> pd.Series:
     """Replaces [start, end) spans from right to left; a span that overlaps a later one is left out."""
 
@@ -97,7 +113,7 @@ def apply_fixes(text: pd.Series, fixes: pd.Series) -> pd.Series:
     return pd.Series([fixed(t or "", f) for t, f in zip(text, fixes, strict=True)])
 
 
-@F.pandas_udf("struct<start:int,end:int>")
+@pandas_function("struct<start:int,end:int>")
 def changed_span(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """From the first to the last place of ``b`` that differs from ``a``."""
 
@@ -132,7 +148,7 @@ def number_value(text: str) -> float | None:
     return round(total + part + (number or 0), 6)
 
 
-@F.pandas_udf("array<struct<shown:string,value:double,unit:string>>")
+@pandas_function("array<struct<shown:string,value:double,unit:string>>")
 def numbers(texts: pd.Series) -> pd.Series:
     """Numbers with their units as values, so that 3만 명 and 30,000명 are equal."""
     pattern = re.compile(rf"((?:\d[\d,]*(?:\.\d+)?\s?[십백천만억조]*\s?)+|[일이삼사오육칠팔구십백천만억조]+)\s?({UNITS})?")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosewright.functions.spans import ratio, similarity
+from prosewright.functions.spans import pandas_function, ratio, similarity
 from prosewright.functions.text import change_level, squeeze
 
 # What a revision must keep, and the marks that carry meaning (Java syntax).
@@ -82,7 +82,7 @@ def marker_drops(pairs: DataFrame) -> DataFrame:
     return pairs.select("pair_id", F.inline(each)).where("after < before")
 
 
-@F.pandas_udf("array<struct<original:string,revised:string,ratio:double>>")
+@pandas_function("array<struct<original:string,revised:string,ratio:double>>")
 def aligned_sentences(a: pd.Series, b: pd.Series) -> pd.Series:
     """Sentences that were changed, paired with their best like (at least SAME_SENTENCE) within the changed block."""
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prosewright.functions.spans import pandas_function
 from prosewright.functions.text import BLOCK_TAGS, is_narrative, strip, strip_tags
 
 LIST_ITEM = r"^(?:[-*]\s+|\d+[.)]\s+)"
@@ -52,7 +53,7 @@ def fenced(rows: list[str]) -> list[bool]:
     return out
 
 
-@F.pandas_udf("array<struct<line_no:int,text:string,fenced:boolean>>")
+@pandas_function("array<struct<line_no:int,text:string,fenced:boolean>>")
 def _parsed(raws: pd.Series) -> pd.Series:
     def parsed(raw):
         if raw is None:
