@@ -19,6 +19,7 @@ reaches.  Texts under 100 bytes stay as they are.  Empty tables give no rows.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -201,50 +202,61 @@ def _marked(batches):
         yield result()
 
 
+# What a mark says of the windows from its start on.
+COPY, FIRST_COPY, AGAIN, CUT, FIRST_WINDOW = range(5)
+
+
+def _packed(df: DataFrame, kind: int) -> DataFrame:
+    """Marks as one number each: start, windows (fewer than 4,096) and kind."""
+    return df.select("doc_id", (F.col("start") * 32768 + F.col("windows").cast("long") * 8 + kind).alias("mark"))
+
+
 def marks(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, start, windows, kind): kind 0 a segment whose anchor is repeated, 1 the first copy of one, 2 repeated windows.
+    """(doc_id, mark) rows.
 
-    What is to go are the windows of kind 2, and those of kind 0 at whose start there is no kind 1.
+    To go are the windows AGAIN, those of a COPY (a segment whose anchor is repeated) unless it is also a FIRST_COPY, and those
+    of a CUT segment but for its FIRST_WINDOWs.  Firsts are marked rather than joined with, so common contents multiply nothing.
     """
     n = shuffle_partitions(docs.sparkSession)
     cut = docs.select("doc_id", "text").mapInArrow(_cut, _SEGMENT)
     repeated = cut.select("anchor").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    shared = scratch.write(cut.join(repeated, "anchor"), "shared")
+    repeated = scratch.write(repeated, "repeated")  # so that the next join has plain exchanges and common anchors can be split
+    shared = scratch.write(cut.join(repeated.hint("merge"), "anchor"), "shared")
 
     copies = shared.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "start", "windows")).alias("first"))
     copies = scratch.write(copies.select("anchor", "first.*"), "firsts")
     several = copies.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    wanted = copies.join(several, "anchor").select("doc_id", F.struct("anchor", "start", "windows", (F.col("kinds") > MOST_SEGMENTS).alias("cut")).alias("w"))
-    wanted = wanted.groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
-    fetched = docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(_fetched, "anchor long, doc_id long, start long, bytes binary, cut boolean")
+    differing = scratch.write(copies.join(several, "anchor").withColumn("cut", F.col("kinds") > MOST_SEGMENTS).drop("kinds"), "differing")
+    wanted = differing.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "windows", "cut")).alias("wanted"))
+    fetched = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id").mapInArrow(_fetched, "anchor long, doc_id long, start long, bytes binary, cut boolean")
     fetched = scratch.write(fetched, "fetched")
 
     whole = fetched.where("NOT cut").select("anchor", "doc_id", "start", "bytes")
     indexed = whole.repartition(n, "anchor").sortWithinPartitions("anchor", "doc_id", "start").mapInArrow(_marked, "doc_id long, start long, windows int")
-    single = fetched.where("cut").select("bytes", "doc_id", "start")
-    # single windows of very common anchors: the first of each content stays, the others are repetitions
-    earliest = single.groupBy("bytes").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("bytes", "first")
-    again = single.join(earliest, "bytes").where(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", F.lit(1).alias("windows"))
-
-    kind = lambda df, k: df.select("doc_id", "start", "windows", F.lit(k).alias("kind"))
-    return kind(shared, 0).union(kind(copies, 1)).union(kind(indexed.union(again), 2))
+    windows = fetched.where("cut").groupBy("bytes").agg(F.min(F.struct("doc_id", "start")).alias("first")).select("first.*", F.lit(1).alias("windows"))
+    parts = [_packed(shared, COPY), _packed(copies, FIRST_COPY), _packed(indexed, AGAIN), _packed(differing.where("cut"), CUT), _packed(windows, FIRST_WINDOW)]
+    return reduce(DataFrame.union, parts)
 
 
-def _spans(found: list[dict], size: int) -> list[tuple[int, int]]:
+def _spans(found: np.ndarray, size: int) -> list[tuple[int, int]]:
     """Maximal runs of bytes to remove from a text of ``size`` bytes."""
-    if not found:
+    if not len(found):
         return []
-    firsts = {m["start"] for m in found if m["kind"] == 1}
-    parts = sorted((m["start"], min(size, m["start"] + m["windows"] + DEPTH - 1)) for m in found if m["kind"] == 2 or m["kind"] == 0 and m["start"] not in firsts)
-    out: list[tuple[int, int]] = []
-    for lo, hi in parts:
-        if hi <= lo:
-            continue
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(hi, out[-1][1]))
-        else:
-            out.append((lo, hi))
-    return out
+    start, n, kind = found >> 15, (found >> 3) & 4095, found & 7
+    go = (kind == AGAIN) | ((kind == COPY) & ~np.isin(start, start[kind == FIRST_COPY]))
+    lo, hi = start[go], start[go] + n[go]
+    if (kind == CUT).any():
+        single = np.concatenate([np.arange(a, a + b) for a, b in zip(start[kind == CUT], n[kind == CUT], strict=True)])
+        single = single[~np.isin(single, start[kind == FIRST_WINDOW])]
+        lo, hi = np.concatenate((lo, single)), np.concatenate((hi, single + 1))
+    hi = np.minimum(hi + DEPTH - 1, size)
+    lo, hi = lo[hi > lo], hi[hi > lo]
+    if not len(lo):
+        return []
+    order = np.argsort(lo, kind="stable")
+    lo, reach = lo[order], np.maximum.accumulate(hi[order])
+    new = np.concatenate(([True], lo[1:] > reach[:-1]))
+    return list(zip(lo[new].tolist(), reach[np.concatenate((new[1:], [True]))].tolist(), strict=True))
 
 
 def _kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -259,8 +271,17 @@ def _with_marks(docs: DataFrame, *more) -> DataFrame:
     """doc_id (null as NO_ID), text, further columns and the list of marks of every document."""
     scratch = Scratch(docs.sparkSession, "repeats")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
-    found = marks(rows, scratch).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "kind")).alias("found"))
-    return rows.join(found, "doc_id", "left")
+    found = marks(rows, scratch).groupBy("doc_id").agg(F.collect_list("mark").alias("found"))
+    return rows.join(found.hint("merge"), "doc_id", "left")
+
+
+def _lists(column) -> list[np.ndarray]:
+    """The marks of each row of an Arrow column of lists."""
+    import pyarrow.compute as pc
+
+    flat, sizes = column.flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    return [flat[e - n : e] for e, n in zip(ends, sizes, strict=True)]
 
 
 def repeated_bytes(docs: DataFrame) -> DataFrame:
@@ -271,7 +292,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             rows = []
-            for doc, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _lists(batch.column(2)), strict=True):
                 raw = (text or "").encode("utf-8", "replace")
                 spans = _spans(found, len(raw))
                 rows.append((None if doc == NO_ID else doc, len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(_kept(raw, spans)).hexdigest()))
@@ -293,8 +314,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             out = []
-            for text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if text and found:
+            for text, found in zip(batch.column(0).to_pylist(), _lists(batch.column(1)), strict=True):
+                if text and len(found):
                     raw = text.encode("utf-8", "replace")
                     text = _kept(raw, _spans(found, len(raw))).decode("utf-8", "ignore")
                 out.append(text)
