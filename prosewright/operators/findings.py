@@ -89,9 +89,12 @@ class Selection:
 
 
 def finalize(findings: DataFrame, documents: DataFrame, selection: Selection | None = None) -> DataFrame:
-    """The fixed chain: first of a kind, form, notice frame, form drops, instruction files, selection."""
-    found = first_of_kind(findings)
-    forms = guess_form(documents, found)
+    """The fixed chain: first of a kind, form, notice frame, form drops, instruction files, selection.
+
+    What several steps read is persisted; ``spark.catalog.clearCache()`` frees it.
+    """
+    found = first_of_kind(findings).persist()
+    forms = guess_form(documents, found).persist()
     found = drop_notice_frame(found, forms, structure.body_lines(documents)).union(undeclared(forms).select(*findings.columns))
     found = drop_by_form(found, forms)
     if "path" in documents.columns:

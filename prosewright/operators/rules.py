@@ -163,24 +163,26 @@ def _finding(df: DataFrame, kind: str, severity: Column | str, match: Column | s
     return df.select("doc_key", F.col("line_no").cast("int").alias("line_no"), F.lit(kind).alias("kind"), lit(severity).alias("severity"), (F.col(match) if isinstance(match, str) else match).alias("match"), lit(note).alias("note"))
 
 
-def apply_rules(lines: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
-    """Hits of every rule in every line, in one pass.
+def _hits(text: str, rule: Rule) -> Column:
+    """Matches of a rule in a line.
 
-    A veto sees the line from its start to the hit's end: the text is cut at the hits, so offsets need no function in Python.
+    A veto sees the line from its start to the hit's end: the text is cut behind each hit, so that needs no function in Python.
     """
-    found = []
-    for r in rules:
-        if r.unless:
-            cut = F.split(F.regexp_replace(text, f"({r.pattern})", "$1\u0001"), "\u0001")
-            upto = F.transform(F.sequence(F.lit(1), F.size(cut)), lambda i, c=cut: F.array_join(F.slice(c, 1, i), ""))
-            kept = F.filter(F.slice(upto, 1, F.size(cut) - 1), lambda t, u=r.unless: ~t.rlike(u))
-            hits = F.filter(F.transform(kept, lambda t, p=r.pattern: F.element_at(F.regexp_extract_all(t, F.lit(f"({p})"), F.lit(1)), -1)), lambda x: x.isNotNull())
-            hits = F.when(F.col(text).rlike(r.pattern), hits).otherwise(F.array().cast("array<string>"))
-        else:
-            hits = F.regexp_extract_all(text, F.lit(f"({r.pattern})"), F.lit(1))
-            if "\\1" in r.pattern:  # the outer group moves the back-reference
-                hits = F.when(F.col(text).rlike(r.pattern), F.array(strip(text))).otherwise(F.array().cast("array<string>"))
-        found.append(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.severity).alias("severity"), F.lit(r.note).alias("note"), (F.slice(hits, 1, 1) if r.first_only else hits).alias("hits")))
+    none = F.array().cast("array<string>")
+    every = F.regexp_extract_all(text, F.lit(f"({rule.pattern})"), F.lit(1))
+    if "\\1" in rule.pattern:  # the outer group would move the back-reference
+        every = F.when(F.col(text).rlike(rule.pattern), F.array(strip(text))).otherwise(none)
+    elif rule.unless:
+        cut = F.split(F.regexp_replace(text, f"({rule.pattern})", "$1\u0001"), "\u0001")
+        upto = F.transform(F.sequence(F.lit(1), F.size(cut) - 1), lambda i: F.array_join(F.slice(cut, F.lit(1), i), ""))
+        kept = F.filter(F.arrays_zip(upto.alias("upto"), every.alias("hit")), lambda h: ~h["upto"].rlike(rule.unless))
+        every = F.when(F.col(text).rlike(rule.pattern), F.transform(kept, lambda h: h["hit"])).otherwise(none)
+    return F.slice(every, 1, 1) if rule.first_only else every
+
+
+def apply_rules(lines: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
+    """Hits of every rule in every line, in one pass."""
+    found = [F.struct(F.lit(r.kind).alias("kind"), F.lit(r.severity).alias("severity"), F.lit(r.note).alias("note"), _hits(text, r).alias("hits")) for r in rules]
     each = lines.select("doc_key", "line_no", F.inline(F.array(*found)))
     return each.select("doc_key", "line_no", "kind", "severity", F.explode("hits").alias("match"), "note").select(*FINDING)
 
@@ -199,7 +201,7 @@ def scannable(body: DataFrame) -> DataFrame:
 def wording(body: DataFrame, personal: bool = False) -> DataFrame:
     """Findings of all line rules; a suspect seat gives way to a certain one on its line."""
     lines = scannable(body).where(F.col("text").rlike("[가-힣]"))
-    found = apply_rules(lines, LINE_RULES).union(apply_rules(lines, word_rules(personal)))
+    found = apply_rules(lines, LINE_RULES + word_rules(personal))
     sure = found.where("kind = 'empty_seat'").select("doc_key", "line_no", F.lit("empty_seat_suspect").alias("kind")).distinct()
     return found.join(sure, ["doc_key", "line_no", "kind"], "left_anti").select(*FINDING)
 
@@ -405,8 +407,11 @@ def register_findings(said: DataFrame, least: int = 12, share: float = 0.25, rat
 
 
 def markdown_findings(documents: DataFrame, dictionary: DataFrame | None = None, brands: DataFrame | None = None, ledger: DataFrame | None = None, personal: bool = False) -> DataFrame:
-    """All findings of Markdown documents (doc_key, raw) before the finding algebra."""
-    body = structure.merge_wrapped(structure.body_lines(documents))
+    """All findings of Markdown documents (doc_key, raw) before the finding algebra.
+
+    The body lines feed every family of rules and are persisted; ``spark.catalog.clearCache()`` frees them.
+    """
+    body = structure.merge_wrapped(structure.body_lines(documents)).persist()
     lines = scannable(body)
     parts = [
         value_findings(body), heading_findings(body), label_findings(body), quote_findings(body), section_findings(body), middot_findings(body, ledger), wording(body, personal), not_but_findings(body),
@@ -429,7 +434,7 @@ def html_findings(pages: DataFrame, dictionary: DataFrame | None = None, brands:
     slots = structure.html_slots(pages).select("doc_key", F.lit(None).cast("int").alias("line_no"), F.explode(sentences("text")).alias("s"))
     heads = pages.select("doc_key", F.lit(None).cast("int").alias("line_no"), F.explode(structure.html_headings("raw")).alias("h")).select("doc_key", "line_no", "h.title").withColumn("f", fragment("title"))
     parts = [
-        apply_rules(lines, LINE_RULES), apply_rules(lines, word_rules(personal)), _finding(slots.where(is_narrative("s")), "narrative_ending", "err", F.substring("s", 1, 60)),
+        apply_rules(lines, LINE_RULES + word_rules(personal)), _finding(slots.where(is_narrative("s")), "narrative_ending", "err", F.substring("s", 1, 60)),
         _finding(heads.where(is_narrative("title")), "heading_narrative", "err", "title"), _finding(heads.where("f.err IS NOT NULL"), "heading_not_nominal", "err", "title", F.col("f.err")),
     ]
     if dictionary is not None:
