@@ -88,7 +88,7 @@ def scan(units: DataFrame, rules: DataFrame, profile: str = "general") -> DataFr
     The literal's text or the pattern itself (Java syntax) filters the pairs of unit and rule before the function that finds offsets.
     """
     small = F.broadcast(rules.where(applies(profile)))
-    near = F.when(small["detector"] == "literal", F.contains(units["text"], small["original"])).otherwise(units["text"].rlike(small["pattern"]))
+    near = F.when(small["detector"] == "literal", F.contains(units["text"], small["original"])).otherwise(F.rlike(units["text"], small["pattern"]))
     pairs = units.join(small, near)
     hits = pairs.withColumn("hit", F.explode(rule_spans("text", "detector", "original", "pattern", "allow")))
     compared = F.contains("text", F.coalesce("revised", F.lit("\u0000"))) & F.contains("text", F.coalesce("original", F.lit("\u0000"))) & F.col("text").rlike("|".join(COMPARISON) + r"|^\s*\|")

@@ -37,6 +37,6 @@ def deny_terms(lines: DataFrame, terms: DataFrame) -> DataFrame:
     """Deny-listed terms (term, section) not preceded by Hangul; company terms count in data files, elsewhere they advise."""
     small = F.broadcast(terms)
     hit = lines.join(small, F.contains(lines["text"], small["term"]))
-    hit = hit.where(F.col("text").rlike(F.concat(F.lit("(?<![가-힣])\\Q"), F.col("term"), F.lit("\\E"))))
+    hit = hit.where(F.rlike("text", F.concat(F.lit("(?<![가-힣])\\Q"), F.col("term"), F.lit("\\E"))))
     label = F.when((F.col("section") == "company") & ~F.col("path").rlike(DATA_FILE), "advisory_term").otherwise("term")
     return hit.select("doc_key", "line_no", label.alias("label"), F.substring("term", 1, 44).alias("match"), F.substring("text", 1, 96).alias("line"))

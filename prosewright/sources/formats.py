@@ -195,7 +195,7 @@ def spelling_dictionary(spark: SparkSession, path: str) -> DataFrame:
     cell = lambda i: F.trim(F.coalesce(F.try_element_at("c", F.lit(i)), F.lit("")))
     scope = F.when(cell(3).isin("any", "어디나"), "any").when(cell(3).isin("word", "낱말"), "word").otherwise("head")
     level = F.when(cell(4).isin("warn", "주의"), "warn").otherwise("err")
-    excepts = F.filter(F.transform(F.split(cell(5), ","), F.trim), lambda e: e != "")
+    excepts = F.filter(F.transform(F.split(cell(5), ","), lambda e: F.trim(e)), lambda e: e != "")
     return rows.select(cell(1).alias("wrong"), cell(2).alias("right"), scope.alias("scope"), level.alias("level"), excepts.alias("excepts"), cell(6).alias("why")).where("wrong != '' AND right != ''")
 
 
