@@ -13,6 +13,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(c: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(c), lambda x: body(x)), 1)
+
+
 def squeeze(c: Column | str) -> Column:
     """White-space runs (Unicode) to one space, none at the ends."""
     return F.regexp_replace(F.regexp_replace(col(c), r"(?U)\s+", " "), r"^ | $", "")
@@ -72,9 +77,12 @@ POLITE_END = r"(?:니다|니까|세요|셔요|어요|아요|여요|에요|예요
 
 
 def is_polite(c: Column | str) -> Column:
-    end = F.regexp_extract(col(c), POLITE_END, 0)
-    before = F.substring(F.regexp_replace(col(c), POLITE_END, ""), -1, 1)
-    return (end != "") & (~end.rlike("^(?:니다|시다)") | (final_consonant(before) == 17))
+    def judged(text):
+        needs = text.rlike("(?:니다|시다)$") & ~text.rlike("(?:세요|셔요|어요|아요|여요|에요|예요|시오|니까)$")
+        before = F.substring(F.regexp_replace(text, r"(?:니다|시다)$", ""), -1, 1)
+        return text.rlike(POLITE_END) & (~needs | (final_consonant(before) == 17))
+
+    return let(col(c), judged)
 
 
 CODE_SPAN = r"`[^`]*`"
@@ -98,30 +106,38 @@ def plain_markup(c: Column | str) -> Column:
     return F.translate(col(c), marks, " " * len(marks))
 
 
-def drop_tail(c: Column | str, times: int = 4) -> Column:
+LINK = r"\s*\[([^\]]+)\]\([^)]*\)[.。]?\s*$"
+
+
+def drop_tail(c: Column | str) -> Column:
     """Without trailing link, parentheses and emphasis; a trailing link after a particle is kept as its text."""
-    text = strip(c)
-    link = r"\s*\[([^\]]+)\]\([^)]*\)[.。]?\s*$"
-    before = F.regexp_replace(text, link, "")
-    needs_noun = before.rlike(r"[가-힣](?:은|는|이|가|을|를|와|과|의|도)\s*$|(?:및|또는)\s*$")
-    text = F.when(text.rlike(link), F.concat(F.rtrim(before), F.when(needs_noun, F.concat(F.lit(" "), F.regexp_extract(text, link, 1))).otherwise(F.lit("")))).otherwise(text)
-    text = F.regexp_replace(text, r"\[([^\]]+)\]\([^)]*\)", "$1")
-    for _ in range(times):
-        text = strip(F.regexp_replace(text, r"\s*(?:\([^)]*\)|\[[^\]]*\]|（[^）]*）)[.。]?\s*$", ""))
+
+    def unlinked(text):
+        def cut(before):
+            needs_noun = before.rlike(r"[가-힣](?:은|는|이|가|을|를|와|과|의|도)\s*$|(?:및|또는)\s*$")
+            return F.concat(F.rtrim(before), F.when(needs_noun, F.concat(F.lit(" "), F.regexp_extract(text, LINK, 1))).otherwise(F.lit("")))
+
+        return F.when(text.rlike(LINK), let(F.regexp_replace(text, LINK, ""), cut)).otherwise(text)
+
+    text = F.regexp_replace(let(strip(c), unlinked), r"\[([^\]]+)\]\([^)]*\)", "$1")
+    text = F.regexp_replace(text, r"(?U)(?:\s*(?:\([^)]*\)|\[[^\]]*\]|（[^）]*）)[.。]?\s*)+$", "")
     return F.regexp_replace(text, "[\"'」』)*_`~”’]+$", "")
 
 
 def all_quoted(c: Column | str) -> Column:
     """The whole value is a quotation or a name in corner brackets."""
-    base = F.regexp_replace(F.replace(strip_tags(c), F.lit("**"), F.lit("")), r"^[ *_`~]+|[ *_`~]+$", "")
-    rest = F.regexp_replace(F.regexp_replace(base, QUOTE_SPAN, " "), r"[ \t\r\n≠=·\-—*_`~]", "")
-    return base.rlike(r"^[「『][^」』]+[」』]$") | (rest == "")
+
+    def judged(base):
+        rest = F.regexp_replace(F.regexp_replace(base, QUOTE_SPAN, " "), r"[ \t\r\n≠=·\-—*_`~]", "")
+        return base.rlike(r"^[「『][^」』]+[」』]$") | (rest == "")
+
+    return let(F.regexp_replace(F.replace(strip_tags(c), F.lit("**"), F.lit("")), r"^[ *_`~]+|[ *_`~]+$", ""), judged)
 
 
 def is_narrative(c: Column | str) -> Column:
     """The value ends like a sentence (…다), quotations apart."""
     probe = drop_tail(F.regexp_replace(col(c), QUOTE_SPAN, " "))
-    return probe.rlike(r"[가-힣]다\.?$") & ~probe.rlike(r"(?:보다|마다|최다|과다)\.?$")
+    return probe.rlike(r"(?<!보|마|최|과)(?<=[가-힣])다\.?$")
 
 
 def is_plain_speech(c: Column | str) -> Column:
@@ -141,7 +157,7 @@ def strip_tags(c: Column | str) -> Column:
 
 def sentences(c: Column | str) -> Column:
     """Sentences of a value, none if it is all quoted."""
-    parts = F.filter(F.transform(F.split(strip_tags(c), r"(?<=다\.)\s+"), strip), lambda s: ~s.rlike(r"^[-: ]*$"))
+    parts = F.filter(F.transform(F.split(strip_tags(c), r"(?<=다\.)\s+"), lambda s: strip(s)), lambda s: ~s.rlike(r"^[-: ]*$"))
     return F.when(all_quoted(c), F.array().cast("array<string>")).otherwise(parts)
 
 
@@ -156,15 +172,18 @@ STRONG_QUESTION_WORD = r"무엇|뭐|어디|언제|누가|누구|왜|어떻게"
 
 def fragment(c: Column | str) -> Column:
     """struct(err, warn): why a value is cut off or a question, else nulls."""
-    text = strip(c)
-    err = (
-        F.when(text.rlike(CUT_PARTICLE) & ~text.rlike(TIME_PHRASE), "cut after a particle")
-        .when(text.rlike(QUESTION_WORD) & text.rlike(r"(?<!하)나$"), "label as a question")
-        .when(text.rlike(STRONG_QUESTION_WORD) & text.rlike("하나$"), "label as a question")
-    )
-    warn = F.when(text.rlike(SOFT_PARTICLE) & ~text.rlike(LO_WORD), "ends in a particle").when(text.rlike(QUESTION_WORD) & text.rlike("(?:까|는가|은가|인가|을까)$"), "question label")
-    named = (text == "") | text.rlike(r"^[「『][^」』]+[」』]$")
-    return F.struct(F.when(~named, err).alias("err"), F.when(~named & err.isNull(), warn).alias("warn"))
+
+    def judged(text):
+        err = (
+            F.when(text.rlike(CUT_PARTICLE) & ~text.rlike(TIME_PHRASE), "cut after a particle")
+            .when(text.rlike(QUESTION_WORD) & text.rlike(r"(?<!하)나$"), "label as a question")
+            .when(text.rlike(STRONG_QUESTION_WORD) & text.rlike("하나$"), "label as a question")
+        )
+        warn = F.when(text.rlike(SOFT_PARTICLE) & ~text.rlike(LO_WORD), "ends in a particle").when(text.rlike(QUESTION_WORD) & text.rlike("(?:까|는가|은가|인가|을까)$"), "question label")
+        named = (text == "") | text.rlike(r"^[「『][^」』]+[」』]$")
+        return F.struct(F.when(~named, err).alias("err"), F.when(~named & err.isNull(), warn).alias("warn"))
+
+    return let(strip(c), judged)
 
 
 def excerpt(line: Column | str, found: Column | str, width: int = 60) -> Column:

@@ -26,10 +26,10 @@ def stratified_sample(rows: DataFrame, strata: list[str], order: list[str], n: i
 def quota_sample(rows: DataFrame, group: str, order: list[str], quota: int, whole: str | None = None) -> DataFrame:
     """At most ``quota`` rows of each group; the group named ``whole`` is taken whole."""
     turn = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    keep = F.col("turn") <= quota
+    keep = F.col("_nth") <= quota
     if whole is not None:
         keep = keep | (F.col(group) == whole)
-    return rows.withColumn("turn", turn).where(keep).drop("turn")
+    return rows.withColumn("_nth", turn).where(keep).drop("_nth")
 
 
 def mark_copies(rows: DataFrame, key: str, order: list[str], name: str) -> DataFrame:

@@ -417,3 +417,127 @@ def fresh_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_type, count(*) AS n, CAST(count_if(props IS NOT NULL AND props <> '') AS BIGINT) AS with_props, count(DISTINCT props) AS distinct_props FROM events GROUP BY event_type""")
 def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("props").isNotNull() & (F.col("props") != "")).alias("with_props"), F.countDistinct("props").alias("distinct_props"))
+
+
+# --- whole-document checks ----------------------------------------------------------------------------------------------
+
+
+@query()
+def document_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full wording check over all documents: errors, warnings, value slots and blind documents."""
+    from prosewright.operators import findings, rules
+
+    docs = documents(spark, sf_dir).select("doc_key", "raw")
+    final = findings.finalize(rules.markdown_findings(docs), docs)
+    return findings.summary(final, structure.slot_counts(docs)).select("doc_key", "errors", "warnings", "slots", "blind", "failed")
+
+
+@query()
+def document_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared or guessed form of every document."""
+    from prosewright.operators import findings
+
+    docs = documents(spark, sf_dir).select("doc_key", "raw")
+    none = docs.limit(0).select("doc_key", F.lit(1).alias("line_no"), F.lit("").alias("kind"), F.lit("").alias("severity"))
+    return findings.guess_form(docs, none)
+
+
+@query(f"""WITH {LINES}, w AS (SELECT doc_key, line_no, text, lead(text) OVER (PARTITION BY doc_key ORDER BY line_no) AS nxt FROM l)
+SELECT doc_key, CAST(count_if(regexp_replace(text, '\\s', '', 'g') <> '' AND regexp_replace(coalesce(nxt, ''), '\\s', '', 'g') <> '' AND NOT regexp_matches(nxt, '^\\s*([-*+>|#]|\\d+[.)]|```|~~~|<|!\\[)')) AS BIGINT) AS wrapped_lines, count(*) AS n_lines FROM w GROUP BY doc_key""")
+def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = structure.wrapped(structure.lines(documents(spark, sf_dir)))
+    return found.groupBy("doc_key").agg(F.count_if("wrapped").alias("wrapped_lines"), F.count("*").alias("n_lines"))
+
+
+@query()
+def review_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of at most 180 lines for a judge, as line ranges."""
+    from prosewright.operators import context
+
+    return context.chunks(structure.lines(documents(spark, sf_dir))).select("doc_key", "first", "last", F.length("text").alias("chars"))
+
+
+@query()
+def licence_support_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For lines that speak of a licence: the likest other lines of their documents."""
+    from prosewright.operators import context
+
+    lines = structure.lines(documents(spark, sf_dir))
+    shown = lines.where(F.lower("text").rlike("licen[sc]ed?|rights reserved")).select("doc_key", "line_no")
+    return context.support_lines(lines.join(shown.select("doc_key").distinct(), "doc_key", "left_semi"), shown)
+
+
+@query()
+def licence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prosewright.operators import context
+
+    lines = structure.lines(documents(spark, sf_dir))
+    return context.windows(lines.where(F.lower("text").rlike("licen[sc]ed?|rights reserved")), lines)
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, length(text) AS chars FROM conversations) SELECT conv_id, turn, role, chars FROM t QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY chars DESC NULLS LAST, turn) <= 3""")
+def longest_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A top-k report: the three longest turns of each conversation."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").alias("chars"))
+    return corpus.quota_sample(turns, "conv_id", [F.col("chars").desc_nulls_last(), F.col("turn")], 3)
+
+
+@query(f"""WITH {LINES}, s AS (SELECT doc_key, sha256(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^ | $', '', 'g')) AS h FROM l WHERE regexp_replace(text, '\\s', '', 'g') <> ''), o AS (SELECT h, count(*) AS uses, count(DISTINCT doc_key) AS docs FROM s GROUP BY h) SELECT h AS line_hash, uses, docs FROM o WHERE docs > 1""")
+def shared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that several documents have."""
+    from prosewright.functions.text import squeeze, strip
+
+    lines = structure.lines(documents(spark, sf_dir)).where(strip("text") != "")
+    return lines.groupBy(F.sha2(squeeze("text").cast("binary"), 256).alias("line_hash")).agg(F.count("*").alias("uses"), F.countDistinct("doc_key").alias("docs")).where("docs > 1")
+
+
+@query("""WITH s AS (SELECT d.source, l.quality, l.toxic = 0 AS hit FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+c AS (SELECT source, CAST(count_if(quality = 1 AND hit) AS BIGINT) AS tp, CAST(count_if(quality = 0 AND hit) AS BIGINT) AS fp, CAST(count_if(quality = 1 AND NOT hit) AS BIGINT) AS fn, CAST(count_if(quality = 0 AND NOT hit) AS BIGINT) AS tn, CAST(count_if(quality IS NULL AND hit) AS BIGINT) AS unlabelled_hits FROM s GROUP BY source)
+SELECT *, round(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 6) AS recall, round(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 6) AS precision FROM c""")
+def clean_as_quality_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = documents(spark, sf_dir).join(table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "doc_key"), "doc_key")
+    return evaluation.confusion(scored, "quality", F.col("toxic") == 0, by=["source"])
+
+
+@query()
+def quality_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of good documents with its bootstrap interval over sources."""
+    labels = table(spark, sf_dir, "labels").where("quality IS NOT NULL").withColumnRenamed("doc_id", "doc_key")
+    per = documents(spark, sf_dir).join(labels, "doc_key").groupBy("source").agg(F.sum("quality").alias("good"), F.count("*").alias("all"))
+    point, low, high = evaluation.cluster_bootstrap(per, "good", "all")
+    return spark.range(1).select(F.lit(point).alias("share"), F.lit(low).alias("low"), F.lit(high).alias("high"), F.lit(evaluation.interval_verdict(low - 0.5, high - 0.5)).alias("against_half"))
+
+
+@query("""WITH d AS (SELECT sum(CASE WHEN event_type IS NOT NULL THEN 1 ELSE 0 END) AS n FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS round FROM events)
+SELECT event_type, CAST(max(round) AS BIGINT) AS most_rounds, CAST(count_if(round > 3) AS BIGINT) AS asks FROM r GROUP BY event_type""")
+def judgement_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir).withColumn("key", F.concat_ws("|", "user_id", "event_type"))
+    counted = usage.round_numbers(rows, "key", ["ts", "event_id"])
+    return counted.groupBy("event_type").agg(F.max("round").cast("long").alias("most_rounds"), F.count_if("ask").alias("asks"))
+
+
+@query("""WITH s AS (SELECT user_id, event_type, value, ts, event_id FROM events) SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_stage, count(DISTINCT event_type) AS stages FROM s GROUP BY user_id""")
+def stage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_stage"), F.countDistinct("event_type").alias("stages"))
+
+
+@query()
+def turn_new_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revision.new_information(turn_pairs(spark, sf_dir))
+
+
+@query("""SELECT label, count(*) AS n FROM embeddings GROUP BY label""")
+def embedding_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT vec_id, label, unnest(range(1, len(embedding) + 1)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), m AS (SELECT label, i, avg(x) AS c FROM e GROUP BY label, i),
+n AS (SELECT label, sqrt(sum(c * c)) AS cn FROM m GROUP BY label), v AS (SELECT vec_id, sqrt(sum(x * x)) AS vn FROM e GROUP BY vec_id), d AS (SELECT e.vec_id, e.label, sum(x * c) AS dot FROM e JOIN m ON e.label = m.label AND e.i = m.i GROUP BY ALL)
+SELECT vec_id, label, round(dot / (vn * cn), 4) AS similarity FROM d JOIN n USING (label) JOIN v USING (vec_id)""")
+def similarity_to_label_centre(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine of every vector with the mean vector of its label: one aggregation and an equi join."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    centre = vectors.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("c")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda p: p["c"]).alias("centre"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    both = vectors.join(centre, "label")
+    return both.select("vec_id", "label", F.round(dot("v", "centre") / (F.sqrt(dot("v", "v")) * F.sqrt(dot("centre", "centre"))), 4).alias("similarity"))
