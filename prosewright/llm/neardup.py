@@ -237,7 +237,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     members = classes.select(F.col("class_id").alias("doc_id"), F.explode("keys").alias("key"))
     buckets = members.groupBy("key").agg(F.count("*").alias("cnt"), F.min("doc_id").alias("leader")).where("cnt > 1")
-    members = scratch.write(members.join(buckets, "key"), "members")
+    buckets = scratch.write(buckets, "buckets")  # so that the next join has plain exchanges and common keys can be split
+    members = scratch.write(members.join(buckets.hint("merge"), "key"), "members")
     few = members.where(F.col("cnt") <= SMALL).select("key", "doc_id")
     inside = few.withColumnRenamed("doc_id", "a").join(few.withColumnRenamed("doc_id", "b"), "key").where("a < b").select("a", "b")
     stars = members.where((F.col("cnt") > SMALL) & (F.col("doc_id") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
@@ -252,7 +253,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     if not unsettled.isEmpty():
         more = scratch.write(compare_buckets(unsettled, docs, percent), "more")
         found = scratch.write(components(links.union(more), scratch, "second"), "all-found")
-    scratch.drop("members", "pairs", "unsettled")
+    scratch.drop("members", "buckets", "pairs", "unsettled")
 
     named = classes.select("s1", "s2", "class_id").join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select("s1", "s2", F.coalesce("component", "class_id").alias("component_id"))
     own = made.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("s1")).otherwise(F.xxhash64("doc_id")).alias("s1"), "s2")
