@@ -26,8 +26,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each group of near duplicates."""
-    return without_near_duplicates(docs)
+    """Keeps the document of smallest doc_id of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    return without_near_duplicates(docs, percent=80)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,8 +4,8 @@ A document's set of distinct 5-word shingles is sketched into COORDINATES coordi
 falls into a hashed bin with value i plus a hashed fraction, in round i >= t all fall into bin i - t; a bin keeps its
 least value, and no round is needed after all are filled, which is certain after 2 t rounds.  Coordinates of two sketches
 agree with the probability of the sets' Jaccard similarity, and their sum is concentrated as that of independent
-draws.  BANDS bands of ROWS coordinates are hashed: two documents at 0.85 share no band with probability
-(1 - 0.85^6)^36 < 4e-8.
+draws.  The coordinates are hashed in bands, as wide as keeps the probability that two documents at the threshold share
+no band under MISS: 36 bands of 6 at 0.85 (4e-8), 43 bands of 5 at 0.80 (4e-8).
 
 Documents with equal sets form a class, and only its smallest doc_id goes on.  Documents that share a band are compared
 on their full sets: all pairs of buckets of up to SMALL documents, and each document of a larger bucket with the bucket's
@@ -26,9 +26,9 @@ from prosewright.llm.common import Scratch, shuffle_partitions
 from prosewright.llm.graph import components
 from prosewright.llm.shingles import mixed, shingle_sets
 
-ROWS, BANDS = 6, 36
-COORDINATES = ROWS * BANDS
+COORDINATES = 216
 PERCENT = 85
+MISS = 1e-7  # most probable miss of a pair at the threshold
 SMALL = 16
 BLOCK = 192
 PAIRS_A_GROUP = 64
@@ -71,11 +71,18 @@ def sketches(sets: list[np.ndarray], t: int = COORDINATES) -> np.ndarray:
     return table
 
 
-def band_keys(table: np.ndarray) -> np.ndarray:
+def band_width(percent: int) -> int:
+    """Most coordinates in a band at which a pair of this similarity is missed with a probability under MISS."""
+    fits = [r for r in range(1, 17) if (1 - (percent / 100) ** r) ** (COORDINATES // r) < MISS]
+    return max(fits, default=1)
+
+
+def band_keys(table: np.ndarray, rows: int) -> np.ndarray:
     """One 64-bit key for each band of each sketch, bands told apart."""
-    parts = table.reshape(len(table), BANDS, ROWS)
-    h = np.arange(1, BANDS + 1, dtype="u8")[None, :] * np.uint64(0x9E3779B97F4A7C15) + np.zeros((len(table), 1), "u8")
-    for j in range(ROWS):
+    bands = table.shape[1] // rows
+    parts = table[:, : bands * rows].reshape(len(table), bands, rows)
+    h = np.arange(1, bands + 1, dtype="u8")[None, :] * np.uint64(0x9E3779B97F4A7C15) + np.zeros((len(table), 1), "u8")
+    for j in range(rows):
         h = mixed(h ^ parts[:, :, j])
     return h
 
@@ -91,26 +98,23 @@ def _groups(texts: list[bytes]):
         yield lo, len(texts)
 
 
-def _sketched(batches):
+def _sketched(rows: int):
     """doc_id, n_shingles, two hashes of the set, and the band keys of each document."""
-    import pyarrow as pa
-
-    for batch in batches:
-        texts = [(t or "").encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
-        for lo, hi in _groups(texts):
-            sets = shingle_sets(texts[lo:hi])
-            keys = band_keys(sketches(sets)).view("i8")
-            sums = np.array([(s.sum(), mixed(s ^ np.uint64(0x5555555555555555)).sum()) for s in sets], "u8").view("i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0)[lo:hi],
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(sums[:, 0]),
-                    pa.array(sums[:, 1]),
-                    pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype="i4"), keys.ravel()),
-                ],
-                names=["doc_id", "n_shingles", "s1", "s2", "keys"],
-            )
+
+    def made(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = [(t or "").encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
+            for lo, hi in _groups(texts):
+                sets = shingle_sets(texts[lo:hi])
+                keys = band_keys(sketches(sets), rows).view("i8")
+                sums = np.array([(s.sum(), mixed(s ^ np.uint64(0x5555555555555555)).sum()) for s in sets], "u8").view("i8").reshape(-1, 2)
+                lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype="i4"), keys.ravel())
+                columns = [batch.column(0)[lo:hi], pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "s1", "s2", "keys"])
+
+    return made
 
 
 def shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -229,7 +233,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     scratch = Scratch(spark, "neardup")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     made = scratch.write(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(_sketched, "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>"), "sketches"
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(_sketched(band_width(percent)), "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>"), "sketches"
     )
     linkable = made.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = linkable.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "keys")).alias("first")).select("s1", "s2", F.col("first.doc_id").alias("class_id"), "first.keys")
@@ -259,7 +263,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     own = made.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("s1")).otherwise(F.xxhash64("doc_id")).alias("s1"), "s2")
     out = own.join(named, ["s1", "s2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = scratch.write(out, "result")
+    scratch.drop("sketches", "classes", "links", "found", "all-found", "more")
+    return out
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from prosewright.llm.common import Scratch
 from prosewright.llm.graph import components
-from prosewright.llm.neardup import BANDS, COORDINATES, _block_links, band_keys, compare_buckets, near_duplicates, sketches, without_near_duplicates
+from prosewright.llm.neardup import COORDINATES, _block_links, band_keys, band_width, compare_buckets, near_duplicates, sketches, without_near_duplicates
 from prosewright.llm.repeats import repeated_bytes, segments, without_repeats
 from prosewright.llm.rlindex import earlier_matches
 from prosewright.llm.shingles import shingle_sets
@@ -27,11 +27,11 @@ def shingles_of(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def expected_components(own):
+def expected_components(own, percent=85):
     sets = {i: shingles_of(t) for i, t in own}
     comp = {i: i for i in sets}
     changed = True
-    linked = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    linked = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     while changed:
         changed = False
         for a, b in linked:
@@ -61,7 +61,8 @@ def test_every_coordinate_fills_and_agrees_as_often_as_the_sets():
     table = sketches([base[:1], base[:3], base[:800], base[100:], base[:0]])
     assert (table[:4] >> np.uint64(53) < 2 * COORDINATES).all() and (table[4] == np.iinfo("u8").max).all()
     assert abs((table[2] == table[3]).mean() - 700 / 900) < 0.12
-    assert band_keys(table).shape == (5, BANDS)
+    assert band_keys(table, 6).shape == (5, 36) and band_keys(table, 5).shape == (5, 43)
+    assert (band_width(85), band_width(80)) == (6, 5)
     assert (sketches([base[:3]])[0] == table[1]).all()
 
 

@@ -18,7 +18,7 @@ def test_stages_take_effect(spark, tmp_path):
         kept[name] = {r["doc_id"]: r["text"] for r in docs.collect()}
     texts = {r[0]: r[1] for r in own}
     assert {130, 131, 132, 133}.isdisjoint(kept["language_id"]) and len(kept["language_id"]) >= len(own) - 9
-    _, comp = expected_components(kept["language_id"].items())
+    _, comp = expected_components(kept["language_id"].items(), 80)
     assert kept["near_dedup"] == {d: texts[d] for d in comp if comp[d] == d}
     for doc, (raw, mark) in removed(kept["near_dedup"].items()).items():
         assert kept["passage_dedup"][doc] == bytes(b for b, m in zip(raw, mark, strict=True) if not m).decode("utf-8", "ignore")
