@@ -250,3 +250,25 @@ def bigrams(c: Column | str) -> Column:
         return F.when(w.rlike(r"^\d"), F.array(F.concat(F.lit("#"), w))).when(F.length(w) < 2, F.array().cast("array<string>")).otherwise(pairs)
 
     return F.flatten(F.transform(words, pieces))
+
+
+# Particles that go with a final consonant, and without one.
+PARTICLE_PAIRS = [("은", "는"), ("이", "가"), ("을", "를"), ("과", "와")]
+
+
+def fit_particle(word: Column | str, rest: Column | str) -> Column:
+    """What follows a word, its first particle made to fit the word's final consonant (으로 also goes to 로 after ㄹ)."""
+    final = final_consonant(F.substring(col(word), -1, 1))
+    out = F.when(col(rest).rlike("^(?:으로|로)(?![가-힣])") & (final >= 0), F.concat(F.when((final == 0) | (final == 8), "로").otherwise("으로"), F.regexp_replace(col(rest), "^(?:으로|로)", "")))
+    for closed, opened in PARTICLE_PAIRS:
+        fits = col(rest).rlike(f"^[{closed}{opened}](?![가-힣])") & (final >= 0)
+        out = out.when(fits, F.concat(F.when(final == 0, opened).otherwise(closed), F.substring(col(rest), F.lit(2), F.length(col(rest)))))
+    return out.otherwise(col(rest))
+
+
+def front_matter(raw: Column | str) -> Column:
+    """Flat ``key: value`` lines of the front matter as a map."""
+    head = F.regexp_extract(col(raw), r"(?s)^---\n(.*?)\n---", 1)
+    rows = F.filter(F.split(head, "\n"), lambda r: r.rlike(r"^\w[\w-]*:"))
+    pairs = F.transform(rows, lambda r: F.struct(F.regexp_extract(r, r"^(\w[\w-]*):", 1).alias("k"), F.trim(F.regexp_replace(r, r"^\w[\w-]*:", "")).alias("v")))
+    return F.map_from_entries(F.filter(pairs, lambda p: p["k"] != ""))

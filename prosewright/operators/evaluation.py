@@ -207,3 +207,42 @@ def edit_class(before: Column | str, after: Column | str) -> Column:
     n = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
     a, b = n(before), n(after)
     return F.when(bare(before) == bare(after), F.lit(None)).when(a == 0, "inserted").when(b == 0, "deleted").when(a == b, "replaced").otherwise("rewritten")
+
+
+def probe_patterns(lines: DataFrame, patterns: list[tuple[str, str, str]], group: str) -> DataFrame:
+    """(group, name, narrow, wide, lines): matches of candidate rules, each as a narrow and a wide pattern, in each corpus."""
+    n = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
+    each = F.array(*[F.struct(F.lit(name).alias("name"), n(a).alias("narrow"), n(b).alias("wide")) for name, a, b in patterns])
+    return lines.select(group, F.inline(each)).groupBy(group, "name").agg(F.sum("narrow").alias("narrow"), F.sum("wide").alias("wide"), F.count_if(F.col("wide") > 0).alias("lines"))
+
+
+def samples_of(lines: DataFrame, pattern: str, n: int = 5) -> DataFrame:
+    """The first ``n`` lines of each document that match: samples to read."""
+    turn = F.row_number().over(Window.partitionBy("doc_key").orderBy("line_no"))
+    return lines.where(F.col("text").rlike(pattern)).withColumn("nth", turn).where(F.col("nth") <= n).drop("nth")
+
+
+def correction_score(cases: DataFrame, found: DataFrame) -> DataFrame:
+    """(family, cases, recall, exact) of wrong sentences (case, family, text, start, end, correct) against findings (case, start, end, fix):
+    spans hit, and sentences that are right once the fixes are applied."""
+    from prosewright.functions.spans import apply_fixes
+
+    hit = cases.join(found.select("case", F.col("start").alias("f_start"), F.col("end").alias("f_end")), "case", "left")
+    hit = hit.groupBy("case", "family", "text", "correct", "start", "end").agg(F.max(F.coalesce((F.col("f_start") < F.col("end") + 2) & (F.col("start") - 2 < F.col("f_end")), F.lit(False))).alias("hit"))
+    fixes = found.where("fix IS NOT NULL").groupBy("case").agg(F.collect_list(F.struct("start", "end", "fix")).alias("fixes"))
+    none = F.array().cast("array<struct<start:int,end:int,fix:string>>")
+    fixed = cases.select("case", "text", "correct").distinct().join(fixes, "case", "left").withColumn("right", apply_fixes("text", F.coalesce(F.col("fixes").cast("array<struct<start:int,end:int,fix:string>>"), none)) == F.col("correct"))
+    both = hit.join(fixed.select("case", "right"), "case")
+    return both.groupBy("family").agg(F.countDistinct("case").alias("cases"), F.round(F.avg(F.col("hit").cast("double")), 6).alias("recall"), F.round(F.avg(F.col("right").cast("double")), 6).alias("exact"))
+
+
+def inject_defects(lines: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """One defect of each family in each document: (family, pattern, replacement) on the family's first matching line.
+
+    Returns (doc_key, line_no, family, clean, broken); the first match of the line is replaced.
+    """
+    each = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(p).alias("pattern"), F.lit(r).alias("replacement")) for f, p, r in rules])
+    hits = lines.select("doc_key", "line_no", "text", F.inline(each)).where(F.rlike("text", F.col("pattern")))
+    first = hits.groupBy("doc_key", "family").agg(F.min(F.struct("line_no", "text", "pattern", "replacement")).alias("h")).select("doc_key", "family", "h.*")
+    broken = F.regexp_replace("text", F.concat(F.lit("(?s)^(.*?)(?:"), F.col("pattern"), F.lit(")(.*)$")), F.concat(F.lit("$1"), F.col("replacement"), F.lit("$2")))
+    return first.select("doc_key", "line_no", "family", F.col("text").alias("clean"), broken.alias("broken")).where("clean != broken")

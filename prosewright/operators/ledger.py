@@ -155,3 +155,36 @@ def over_budget(ledger: DataFrame, limit: float, gap: int = 3 * 3600) -> DataFra
     apart = F.coalesce((F.lag("when").over(w) - F.col("when") > gap).cast("int"), F.lit(0))
     now = ledger.withColumn("apart", apart).withColumn("back", F.sum("apart").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("back = 0")
     return now.groupBy("doc_key").agg(F.sum("cost_usd").alias("spent")).where(F.col("spent") >= limit)
+
+
+def version_components(edges: DataFrame) -> DataFrame:
+    """(doc_key, text, root): versions of one line joined by (doc_key, before, after) edges, named by the first seen (seq).
+
+    One group is one document's ledger.
+    """
+
+    def joined(frame: pd.DataFrame) -> pd.DataFrame:
+        parent: dict = {}
+
+        def find(x):
+            parent.setdefault(x, x)
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for r in frame.sort_values("seq").itertuples(index=False):
+            a, b = find(r.before), find(r.after)
+            if a != b:
+                parent[b] = a
+        return pd.DataFrame([(frame["doc_key"].iloc[0], x, find(x)) for x in parent], columns=["doc_key", "text", "root"])
+
+    return edges.select("doc_key", "seq", "before", "after").groupBy("doc_key").applyInPandas(joined, "doc_key string, text string, root string")
+
+
+def flip_flops(versions: DataFrame) -> DataFrame:
+    """(doc_key, root, versions, reverts) of lines whose text went A, B, A: versions are (doc_key, root, seq, text)."""
+    w = Window.partitionBy("doc_key", "root").orderBy("seq")
+    changed = versions.withColumn("last", F.lag("text").over(w)).where(F.col("last").isNull() | (F.col("text") != F.col("last")))
+    back = changed.withColumn("second_last", F.lag("text", 2).over(w))
+    return back.groupBy("doc_key", "root").agg(F.count("*").alias("versions"), F.count_if(F.col("second_last") == F.col("text")).alias("reverts"))

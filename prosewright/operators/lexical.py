@@ -77,3 +77,15 @@ def noun_pileups(tokens: DataFrame, thresholds: list[int]) -> DataFrame:
 def context_counts(lines: DataFrame, word: str) -> DataFrame:
     """How often each context has a word right behind a Hangul letter."""
     return lines.select(F.explode(F.regexp_extract_all("text", F.lit(rf"([가-힣]+{word})"), F.lit(1))).alias("context")).groupBy("context").count()
+
+
+def text_features(documents: DataFrame) -> DataFrame:
+    """(doc_key, sentences, mean_words, cv_words, commas_a_sentence, diversity): features that tell styles apart."""
+    said = documents.select("doc_key", F.explode(F.split("raw", r"[.!?]+")).alias("s"))
+    said = said.withColumn("n", F.regexp_count("s", F.lit(r"[^ \t\n\r\f\x0B]+"))).where("n > 0").withColumn("commas", F.regexp_count("s", F.lit(",")))
+    by = said.groupBy("doc_key").agg(F.count("*").alias("sentences"), F.avg("n").alias("mean"), F.stddev_pop("n").alias("sd"), F.sum("commas").alias("commas"))
+    kinds = term_counts(documents, words("raw")).groupBy("doc_key").agg(F.count("*").alias("kinds"), F.sum("n").alias("tokens"))
+    return by.join(kinds, "doc_key").select(
+        "doc_key", "sentences", F.round("mean", 4).alias("mean_words"), F.round(F.try_divide("sd", "mean"), 4).alias("cv_words"),
+        F.round(F.col("commas") / F.col("sentences"), 4).alias("commas_a_sentence"), F.round(F.col("kinds") / F.col("tokens"), 4).alias("diversity"),
+    )

@@ -433,7 +433,9 @@ def html_findings(pages: DataFrame, dictionary: DataFrame | None = None, brands:
     lines = visible.where(~is_example("text")).withColumn("text", mask("text"))
     slots = structure.html_slots(pages).select("doc_key", F.lit(None).cast("int").alias("line_no"), F.explode(sentences("text")).alias("s"))
     heads = pages.select("doc_key", F.lit(None).cast("int").alias("line_no"), F.explode(structure.html_headings("raw")).alias("h")).select("doc_key", "line_no", "h.title").withColumn("f", fragment("title"))
+    paras = structure.html_paragraphs(pages).select("doc_key", F.lit(None).cast("int").alias("line_no"), F.explode(sentences("text")).alias("s"))
     parts = [
+        _finding(paras.where(is_narrative("s")), "narrative_paragraph", "err", F.substring("s", 1, 60)),
         apply_rules(lines, LINE_RULES + word_rules(personal)), _finding(slots.where(is_narrative("s")), "narrative_ending", "err", F.substring("s", 1, 60)),
         _finding(heads.where(is_narrative("title")), "heading_narrative", "err", "title"), _finding(heads.where("f.err IS NOT NULL"), "heading_not_nominal", "err", "title", F.col("f.err")),
     ]

@@ -541,3 +541,26 @@ def similarity_to_label_centre(spark: SparkSession, sf_dir: str) -> DataFrame:
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     both = vectors.join(centre, "label")
     return both.select("vec_id", "label", F.round(dot("v", "centre") / (F.sqrt(dot("v", "v")) * F.sqrt(dot("centre", "centre"))), 4).alias("similarity"))
+
+
+@query("""WITH s AS (SELECT doc_id AS doc_key, unnest(regexp_split_to_array(coalesce(text, ''), '[.!?]+')) AS s FROM documents), n AS (SELECT doc_key, len(regexp_extract_all(s, '[^ \\t\\n\\r\\f\\v]+')) AS n, len(regexp_extract_all(s, ',')) AS commas FROM s),
+b AS (SELECT doc_key, count(*) AS sentences, avg(n) AS mean, stddev_pop(n) AS sd, sum(commas) AS commas FROM n WHERE n > 0 GROUP BY doc_key),
+t AS (SELECT doc_id AS doc_key, unnest(regexp_extract_all(lower(text), '\\pL+')) AS w FROM documents), k AS (SELECT doc_key, count(DISTINCT w) AS kinds, count(*) AS tokens FROM t WHERE length(w) >= 2 GROUP BY doc_key)
+SELECT doc_key, sentences, round(mean, 4) AS mean_words, round(sd / mean, 4) AS cv_words, round(CAST(commas AS DOUBLE) / sentences, 4) AS commas_a_sentence, round(CAST(kinds AS DOUBLE) / tokens, 4) AS diversity FROM b JOIN k USING (doc_key)""")
+def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.text_features(documents(spark, sf_dir))
+
+
+_PROBES = [("shout", "[A-Z]{4,}", "[A-Z]{2,}"), ("marks", "[!?]{2,}", "[!?]"), ("figures", "[0-9]{4,}", "[0-9]+"), ("licence", "licen[sc]ed under", "licen[sc]e")]
+
+
+@query(
+    f"WITH {LINES}, g AS (SELECT l.*, lang FROM l JOIN documents d ON d.doc_id = l.doc_key), p AS ("
+    + " UNION ALL ".join(f"SELECT lang, '{n}' AS name, len(regexp_extract_all(text, '{a}')) AS narrow, len(regexp_extract_all(text, '{b}')) AS wide FROM g" for n, a, b in _PROBES)
+    + ") SELECT lang, name, CAST(sum(narrow) AS BIGINT) AS narrow, CAST(sum(wide) AS BIGINT) AS wide, CAST(count_if(wide > 0) AS BIGINT) AS lines FROM p GROUP BY lang, name"
+)
+def pattern_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate rules, narrow and wide, by language."""
+    docs = documents(spark, sf_dir)
+    rows = docs.select("lang", F.explode(F.split("raw", "\n")).alias("text"))
+    return evaluation.probe_patterns(rows, _PROBES, "lang")

@@ -327,3 +327,29 @@ def test_sections_feed_passages(spark):
     docs = frame(spark, [("d", "# A\nthe licence text\n## B\nother\n## C\nlicence licence rights reserved")], "doc_key string, raw string")
     found = corpus.keyword_passages(S.sections(S.body_lines(docs)), {"licence": "licen[sc]e", "rights": "rights reserved"})
     assert rows(found.select("first_line", "score"), "first_line") == [(1, 3), (5, 6)]
+
+
+def test_corrections_and_defects(spark):
+    cases = frame(spark, [(1, "f", "abc def", 0, 3, "xbc def"), (2, "f", "same", 0, 2, "sane")], "case int, family string, text string, start int, end int, correct string")
+    found = frame(spark, [(1, 0, 1, "x")], "case int, start int, end int, fix string")
+    assert rows(evaluation.correction_score(cases, found)) == [("f", 2, 0.5, 0.5)]
+    lines = frame(spark, [("d", 1, "no"), ("d", 2, "할 수 있다"), ("d", 3, "갈 수 있다")], LINES)
+    assert rows(evaluation.inject_defects(lines, [("spacing", "수 있", "수있")])) == [("d", 2, "spacing", "할 수 있다", "할 수있다")]
+    probe = evaluation.probe_patterns(lines.withColumn("g", F.lit("x")), [("p", "할", "[가-힣]")], "g")
+    assert rows(probe) == [("x", "p", 1, 8, 2)]
+    assert evaluation.samples_of(lines, "있다", 1).count() == 1
+
+
+def test_flip_flops(spark):
+    edges = frame(spark, [("d", 1, "A", "B"), ("d", 2, "B", "C"), ("d", 3, "X", "Y")], "doc_key string, seq int, before string, after string")
+    assert {r["text"]: r["root"] for r in ledger.version_components(edges).collect()} == {"A": "A", "B": "A", "C": "A", "X": "X", "Y": "X"}
+    seen = frame(spark, [("d", "A", i, t) for i, t in enumerate("AABAC")], "doc_key string, root string, seq int, text string")
+    assert rows(ledger.flip_flops(seen)) == [("d", "A", 4, 1)]
+
+
+def test_particles_and_front_matter(spark):
+    from prosewright.functions.text import fit_particle, front_matter
+
+    own = frame(spark, [("사과", "은 좋다"), ("책", "는 좋다"), ("서울", "으로 간다"), ("집", "로 간다"), ("책", "없음")], "w string, r string")
+    assert [r[0] for r in own.select(fit_particle("w", "r")).collect()] == ["는 좋다", "은 좋다", "로 간다", "으로 간다", "없음"]
+    assert frame(spark, [("---\nform: prose\ntitle: a: b\n---\nx",)], "raw string").select(front_matter("raw")).first()[0] == {"form": "prose", "title": "a: b"}
