@@ -49,6 +49,14 @@ SECTION_REF = r"§\s?\d+(?:[.\-]\d+)*"
 STANDARD_BEFORE = r"(?:\b[A-Z]{2,}[A-Z/]*[\s\-:]?\d[\d\-:./]*|(?<![.\w])[A-Za-z]*[a-z][A-Za-z]*[」\"”]?)\s*"
 BARE_SECTION = r"(?<![A-Za-z0-9_.\-/:§])(?:\((\d{1,2}(?:[-.]\d{1,2})+)\)|\(?(\d{1,2}(?:[-.]\d{1,2})*)\s*절(?![가-힣])\)?)"
 NOT_BUT = r"[가-힣]+(?:가|이)\s?아니라(?=\s)|것은\s?(?:아니다|아닙니다)|[가-힣]+인가,\s?[가-힣]+인가"
+ATTACH = r"붙(?!여\s?넣|잡|들|박|임성|임새)(?!임\s*[\d\-:.])(?!\S{0,2}\s?(?:서술격\s?)?(?:조사|어미|접두사|접미사))"
+ATTACH_OK = (
+    r"(?:(?:덧|따라|달라|들러|맞|불|눌어|엉겨|복)|(?:갖다|이어)\s?"
+    r"|(?:이름|별명|제목|태그|라벨|레이블|번호|꼬리표|딱지|스티커|포스트잇|주석|어노테이션|괄호|문구|명사|낱말|단어|글자|머리말|꼬리말|접두어|접두사|접미사|조사|어미|토씨"
+    r"|옵션|플래그|기호|표시|표|파일|자료|문서|사본|서류|양식|종이|쪽지|메모|사진|그림|테이프|속도|탄력|가속|자신감|습관)\s?[을를이가은는도만]?\s?(?:[가-힣]{1,4}\s)?"
+    r"|시험에\s?|(?:앞|뒤|끝|옆|벽|위|마지막)에\s?(?:\S{1,6}\s){0,2}|\s[을를이가]\s?|[a-z][을를이가은는도]?\s?|[\\/_)\]'\"`\-+#@%$&=][을를이가은는도]\s?)붙$"
+)
+ONLY_DEICTIC = rf"^\*{{0,2}}(?:아래|위쪽)\*{{0,2}}{PARTICLES}?\*{{0,2}}$"
 BAD_LABELS = ["내용", "기타", "참고", "비고", "설명", "메모"]
 META_HEADING = r"^(?:\d+(?:[.-]\d+)*[.)]?\s+)?(?:이\s?(?:문서|자료)(?:의|를)?\s*)?(?:읽는\s?(?:법|방법|순서)|읽기\s?전에|(?:문서|자료)\s?구성)$"
 
@@ -68,6 +76,7 @@ LINE_RULES = [
     Rule("misread_word", "warn", rf"(?<![가-힣]){NUMERAL}\s+종이(?:다|며|고)?(?![가-힣])"),
     Rule("unfamiliar_term", "warn", r"(?<![가-힣])정본(?!화)"),
     Rule("non_business_word", "warn", r"잰\s+[가-힣]{1,3}|(?<![가-힣])쟀|재는\s*방법"),
+    Rule("non_business_word", "err", ATTACH, unless=ATTACH_OK),
     Rule("head_echo", "warn", HEAD_ECHO),
     Rule("double_passive", "err", DOUBLE_PASSIVE, first_only=True),
     Rule("double_particle", "warn", DOUBLE_PARTICLE, unless=r"(?:경로|도로|회로|진로|통로|대로|선로|항로|수로|미로|플로|별로|서로|따로|새로|바로|주로|실로|종로)의$", first_only=True),
@@ -275,7 +284,8 @@ def value_findings(body: DataFrame, relaxed: bool = False) -> DataFrame:
     said = slots.select("doc_key", "line_no", F.explode(sentences("text")).alias("s")).where(is_narrative("s"))
     narrative = _finding(said, "unlabeled_statement" if relaxed else "narrative_ending", "warn" if relaxed else "err", F.substring("s", 1, 60))
     plain = _finding(said.where(is_plain_speech("s")), "plain_speech", "err", F.substring("s", 1, 60))
-    return cut.union(narrative).union(plain)
+    only = _finding(slots.where(F.trim("text").rlike(ONLY_DEICTIC)), "deictic_check", "warn", "text")
+    return cut.union(narrative).union(plain).union(only)
 
 
 def heading_findings(body: DataFrame) -> DataFrame:
@@ -427,17 +437,27 @@ def markdown_findings(documents: DataFrame, dictionary: DataFrame | None = None,
     return out
 
 
-def html_findings(pages: DataFrame, dictionary: DataFrame | None = None, brands: DataFrame | None = None, personal: bool = False) -> DataFrame:
-    """Findings of HTML documents (doc_key, raw): the same rules over visible lines, values and headings."""
-    visible = structure.visible_html_lines(pages)
+def html_findings(pages: DataFrame, dictionary: DataFrame | None = None, brands: DataFrame | None = None, ledger: DataFrame | None = None, personal: bool = False) -> DataFrame:
+    """Findings of HTML documents (doc_key, raw): the same rules over visible lines, values, paragraphs and headings.
+
+    Visible lines, which all families read, are persisted; ``spark.catalog.clearCache()`` frees them.
+    """
+    visible = structure.visible_html_lines(pages).persist()
     lines = visible.where(~is_example("text")).withColumn("text", mask("text"))
-    slots = structure.html_slots(pages).select("doc_key", F.lit(None).cast("int").alias("line_no"), F.explode(sentences("text")).alias("s"))
-    heads = pages.select("doc_key", F.lit(None).cast("int").alias("line_no"), F.explode(structure.html_headings("raw")).alias("h")).select("doc_key", "line_no", "h.title").withColumn("f", fragment("title"))
-    paras = structure.html_paragraphs(pages).select("doc_key", F.lit(None).cast("int").alias("line_no"), F.explode(sentences("text")).alias("s"))
+    nowhere = F.lit(None).cast("int").alias("line_no")
+    slots = structure.html_slots(pages).select("doc_key", nowhere, "text", fragment("text").alias("f"))
+    said = slots.select("doc_key", "line_no", F.explode(sentences("text")).alias("s"))
+    told = structure.html_paragraphs(pages).select("doc_key", nowhere, F.explode(sentences("text")).alias("s"))
+    heads = pages.select("doc_key", nowhere, F.explode(structure.html_headings("raw")).alias("h")).select("doc_key", "line_no", "h.title").withColumn("f", fragment("title"))
+    labels = pages.select("doc_key", nowhere, F.explode(F.regexp_extract_all(structure.clean_html("raw"), F.lit(r'(?is)(?:<(?:dt|th)\b[^>]*>|class="k"[^>]*>)(.*?)</'), F.lit(1))).alias("label")).withColumn("label", structure.strip_tags("label"))
+    both = said.union(told).where(is_narrative("s")).withColumn("plain", is_plain_speech("s"))
     parts = [
-        _finding(paras.where(is_narrative("s")), "narrative_paragraph", "err", F.substring("s", 1, 60)),
-        apply_rules(lines, LINE_RULES + word_rules(personal)), _finding(slots.where(is_narrative("s")), "narrative_ending", "err", F.substring("s", 1, 60)),
+        apply_rules(lines, LINE_RULES + word_rules(personal)), _finding(said.where(is_narrative("s")), "narrative_ending", "err", F.substring("s", 1, 60)),
+        _finding(told.where(is_narrative("s")), "narrative_paragraph", "err", F.substring("s", 1, 60)), _finding(both.where("plain"), "plain_speech", "err", F.substring("s", 1, 60)),
+        _finding(slots.where("f.err IS NOT NULL"), "cut_ending", "err", "text", F.col("f.err")), _finding(slots.where("f.err IS NULL AND f.warn IS NOT NULL"), "cut_ending_suspect", "warn", "text", F.col("f.warn")),
         _finding(heads.where(is_narrative("title")), "heading_narrative", "err", "title"), _finding(heads.where("f.err IS NOT NULL"), "heading_not_nominal", "err", "title", F.col("f.err")),
+        _finding(heads.where(F.col("title").rlike(META_HEADING)), "unscannable_label", "warn", "title"), _finding(labels.where(F.col("label").isin(BAD_LABELS)), "unscannable_label", "warn", "label"),
+        not_but_findings(visible), repetition(visible.select("doc_key", F.col("line_no").alias("first_line"), "text")), middot_findings(visible, ledger), register_findings(both, personal=personal),
     ]
     if dictionary is not None:
         parts.append(spelling_findings(lines, dictionary))

@@ -101,6 +101,7 @@ PAIRS = [
     ("wrong_term_session", "지난 회기 실적", "국회 회기 중"),
     ("trailing_paren_name", "그렇게 말했다 (Acme)", "그렇게 말했다 (1)"),
     ("invented_noun_phrase", "손이 닿는 값", "받는 값"),
+    ("non_business_word", "새 기능을 붙이는 일", "사진을 붙이는 일"),
     ("head_echo", "- 완료 — 모든 작업 완료함", "- 완료 — 모든 작업 종료"),
 ]
 
@@ -207,7 +208,7 @@ def test_selection_order(spark):
 def test_formats_agree(spark):
     md = R.markdown_findings(docs(spark, "# 강력한 도구\n\n- 값이 올랐다"))
     html = R.html_findings(docs(spark, "<h1>강력한 도구</h1><ul><li>값이 올랐다</li></ul>"))
-    both = {"evaluative_modifier", "narrative_ending"}
+    both = {"evaluative_modifier", "narrative_ending", "plain_speech"}
     assert both <= {r["kind"] for r in md.collect()} and both <= {r["kind"] for r in html.collect()}
 
 
@@ -223,3 +224,14 @@ def test_gate(spark):
     opened = spark.createDataFrame([("d1", 3)], "doc_key string, line_no int")
     got = {(r["doc_key"], r["reason"]) for r in A.gate_status(found, passes, opened, d, ["words"]).collect()}
     assert got == {("d0", "errors"), ("d0", "no pass: words"), ("d1", "lines not judged")}
+
+
+def test_html_kinds(spark):
+    raw = "<h1>읽는 순서</h1><table><tr><th>비고</th><td>담당자에게</td></tr></table><p>값이 올랐다</p><p><b>결론</b> 값이 내렸다</p><p>가 · 나</p>"
+    kinds = {r["kind"]: r["match"] for r in R.html_findings(docs(spark, raw)).collect()}
+    assert kinds["narrative_paragraph"] == "값이 올랐다" and kinds["cut_ending"] == "담당자에게" and "spaced_middot" in kinds and "unscannable_label" in kinds
+
+
+def test_a_value_that_only_points(spark):
+    found = R.value_findings(S.body_lines(docs(spark, "- 아래에\n- 아래 표")))
+    assert [r["line_no"] for r in found.where("kind = 'deictic_check'").collect()] == [1]
