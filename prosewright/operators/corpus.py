@@ -20,7 +20,8 @@ def catalog(documents: DataFrame) -> DataFrame:
 def stratified_sample(rows: DataFrame, strata: list[str], order: list[str], n: int) -> DataFrame:
     """Round robin over the strata, in the order of ``order`` within each, until ``n`` are taken."""
     turn = F.row_number().over(Window.partitionBy(*strata).orderBy(*order))
-    return rows.withColumn("turn", turn).orderBy("turn", *strata).limit(n)
+    first = rows.withColumn("turn", turn).where(F.col("turn") <= n)  # Spark keeps so many of a stratum before the shuffle
+    return first.orderBy("turn", *strata).limit(n)
 
 
 def quota_sample(rows: DataFrame, group: str, order: list[str], quota: int, whole: str | None = None) -> DataFrame:

@@ -179,6 +179,16 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_key"), F.coalesce("html", F.lit("")).alias("raw"), "url")
 
 
+_PAGE = r"""r AS (SELECT page_id AS doc_key, array_to_string(list_filter(string_split(coalesce(html, ''), chr(10)), lambda r: length(r) < 800), chr(10)) AS raw FROM pages),
+c AS (SELECT doc_key, regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '(?is)<style\b.*?</style\s*>', '', 'g'), '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<pre[^>]*>\s*<code.*?</code>\s*</pre>', '□', 'g'), '(?i)<code[^>]*>\s*</code>', '', 'g') AS raw FROM r)"""
+
+
+def _stripped(value: str) -> str:
+    """SQL of ``strip_tags``."""
+    blocks = structure.BLOCK_TAGS
+    return rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({value}, '(?i)<br\b[^>]*>', ' ', 'g'), '(?i)</?(?:{blocks})\b[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g'), '^\s+|\s+$', '', 'g')"
+
+
 @query("""SELECT page_id AS doc_key, regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '(?i)<a\\b')) AS BIGINT) AS links, CAST(len(regexp_extract_all(html, '(?i)<h[1-6]\\b')) AS BIGINT) AS headings,
   CAST(len(regexp_extract_all(html, '(?i)<p\\b')) AS BIGINT) AS paragraphs, CAST(len(regexp_extract_all(html, '(?i)<(?:script|style)\\b')) AS BIGINT) AS scripts FROM pages""")
 def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,17 +196,27 @@ def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("doc_key", F.regexp_extract("raw", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), n(r"(?i)<a\b").alias("links"), n(r"(?i)<h[1-6]\b").alias("headings"), n(r"(?i)<p\b").alias("paragraphs"), n(r"(?i)<(?:script|style)\b").alias("scripts"))
 
 
-@query()
+@query(
+    rf"""WITH {_PAGE}, a AS (SELECT doc_key, regexp_extract_all(raw, '(?is)(<a\b[^>]*\bhref\s*=\s*["''][^"'']*["''][^>]*>.*?</a>)', 1) AS found FROM c), e AS (SELECT doc_key, unnest(found) AS a, CAST(generate_subscripts(found, 1) - 1 AS INT) AS link_no FROM a)
+SELECT doc_key, link_no, {_stripped("a")} AS text, regexp_extract(a, '(?is)\bhref\s*=\s*["'']([^"'']*)["'']', 1) AS href FROM e"""
+)
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("doc_key", F.posexplode(structure.html_links("raw")).alias("link_no", "link")).select("doc_key", "link_no", "link.text", "link.href")
 
 
-@query()
+@query(
+    rf"""WITH {_PAGE}, h AS (SELECT doc_key, regexp_extract_all(raw, '(?is)(<h[1-6]\b[^>]*>.*?</h[1-6]>)', 1) AS found FROM c), e AS (SELECT doc_key, unnest(found) AS h, CAST(generate_subscripts(found, 1) - 1 AS INT) AS heading_no FROM h)
+SELECT doc_key, heading_no, CAST(regexp_extract(h, '(?i)^<h([1-6])', 1) AS INT) AS level, {_stripped("h")} AS title FROM e"""
+)
 def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("doc_key", F.posexplode(structure.html_headings("raw")).alias("heading_no", "h")).select("doc_key", "heading_no", "h.level", "h.title")
 
 
-@query()
+@query(
+    rf"""WITH {_PAGE}, t AS (SELECT doc_key, regexp_replace(regexp_replace(regexp_replace(raw, '(?is)<head\b.*?</head\s*>|<title\b.*?</title\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?i)</?(?:{structure.BLOCK_TAGS}|body|html)\b[^>]*>|<br\b[^>]*>', chr(10), 'g') AS t FROM c),
+l AS (SELECT doc_key, list_filter(list_transform(string_split(regexp_replace(t, '<[^>]+>', '', 'g'), chr(10)), lambda r: regexp_replace(r, '^\s+|\s+$', '', 'g')), lambda r: r <> '') AS found FROM t)
+SELECT doc_key, CAST(generate_subscripts(found, 1) AS INT) AS line_no, unnest(found) AS text FROM l"""
+)
 def page_visible_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.visible_html_lines(pages(spark, sf_dir))
 
@@ -475,7 +495,7 @@ def licence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.windows(lines.where(F.lower("text").rlike("licen[sc]ed?|rights reserved")), lines)
 
 
-@query("""WITH t AS (SELECT conv_id, turn, role, length(text) AS chars FROM conversations) SELECT conv_id, turn, role, chars FROM t QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY chars DESC NULLS LAST, turn) <= 3""")
+@query("""WITH t AS (SELECT conv_id, turn, role, CAST(length(text) AS INT) AS chars FROM conversations) SELECT conv_id, turn, role, chars FROM t QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY chars DESC NULLS LAST, turn) <= 3""")
 def longest_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A top-k report: the three longest turns of each conversation."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").alias("chars"))
