@@ -30,7 +30,7 @@ COORDINATES = 216
 PERCENT = 85
 MISS = 1e-7  # most probable miss of a pair at the threshold
 SMALL = 16
-BLOCK = 192
+BLOCK, BLOCK_SHINGLES = 512, 400_000
 PAIRS_A_GROUP = 64
 BATCH_BYTES = 2 << 20
 
@@ -181,11 +181,14 @@ def _find(parent: dict, x):
 
 def _block_links(ids: list[int], comps: list[int], sets: list[np.ndarray], side: list[int], percent: int) -> list[tuple[int, int]]:
     """A forest of the links among a block's documents (side 0 with side 1, or all if there is one side)."""
-    if len(ids) < 2:
+    if len(ids) < 2 or len(set(comps)) < 2:
         return []
     size = np.array([len(s) for s in sets])
-    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    values, column, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(sets)), size)
+    several = uses > 1  # shingles of one document add to no intersection
+    keep = several[column]
+    column, row, values = (np.cumsum(several) - 1)[column[keep]], row[keep], values[several]
     common = np.zeros((len(sets), len(sets)), "f4")
     order = np.argsort(column, kind="stable")
     column, row = column[order], row[order]
@@ -206,12 +209,13 @@ def _block_links(ids: list[int], comps: list[int], sets: list[np.ndarray], side:
 
 
 def compare_buckets(members: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links between documents of different components in each bucket: (key, cnt, doc_id, component) rows to (u, v).
+    """Links between documents of different components in each bucket: (key, doc_id, n_shingles, component) rows to (u, v).
 
-    A bucket is cut by hash into blocks of about BLOCK documents, and every pair of its blocks is a group of its own.
+    A bucket is cut by hash into blocks of about BLOCK documents or BLOCK_SHINGLES shingles, whichever is less, and every pair of its
+    blocks is a group of its own.
     """
-    side = F.greatest(F.lit(1), F.ceil(F.col("cnt") / BLOCK)).cast("int")
-    cut = members.withColumn("blocks", side).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    sizes = members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    cut = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     pairs = cut.select(
         "key", "doc_id", "component", "block",
         F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi")))).alias("at"),
@@ -236,7 +240,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(_sketched(band_width(percent)), "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>"), "sketches"
     )
     linkable = made.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = linkable.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "keys")).alias("first")).select("s1", "s2", F.col("first.doc_id").alias("class_id"), "first.keys")
+    classes = linkable.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n_shingles", "keys")).alias("first")).select("s1", "s2", F.col("first.doc_id").alias("class_id"), "first.n_shingles", "first.keys")
     classes = scratch.write(classes, "classes")
 
     members = classes.select(F.col("class_id").alias("doc_id"), F.explode("keys").alias("key"))
@@ -253,7 +257,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     large = members.where(F.col("cnt") > SMALL).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     large = large.select("key", "cnt", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed_keys = large.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    unsettled = scratch.write(large.join(mixed_keys, "key"), "unsettled")
+    sizes = classes.select(F.col("class_id").alias("doc_id"), "n_shingles")
+    unsettled = scratch.write(large.join(mixed_keys, "key").join(sizes, "doc_id").select("key", "doc_id", "n_shingles", "component"), "unsettled")
     if not unsettled.isEmpty():
         more = scratch.write(compare_buckets(unsettled, docs, percent), "more")
         found = scratch.write(components(links.union(more), scratch, "second"), "all-found")

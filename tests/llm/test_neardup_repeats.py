@@ -76,7 +76,7 @@ def test_large_buckets_are_compared_in_full(spark):
             w[j] = f"x{i}.{j}"
         texts.append((i, " ".join(w)))
     docs = spark.createDataFrame(texts, "doc_id long, text string")
-    members = spark.createDataFrame([(1, 400, i, i) for i, _ in texts], "key long, cnt long, doc_id long, component long")
+    members = spark.createDataFrame([(1, i, 20_000, i) for i, _ in texts], "key long, doc_id long, n_shingles long, component long")  # so two blocks
     links = compare_buckets(members, docs)
     found = {r["node"]: r["component"] for r in components(links, Scratch(spark, "t"), "c").collect()}
     _, comp = expected_components(texts)
