@@ -3,12 +3,15 @@
 A vector is coded as the sum of one full-dimensional codeword from each of 16 codebooks; the books are trained one
 after the other on what the earlier ones leave over, on a bounded sample, and a beam search over the books picks
 the codewords.  The squared norm of the sum is stored.  A query's distance to a coded vector is then, but for a constant,
-that norm less twice the sum of 16 entries of the query's lookup tables.  Query blocks meet data blocks; each pair
-keeps the best of its scores, the best ``candidates`` of a query are reranked by exact distance on original vectors.
+that norm less twice the sum of 16 entries of the query's lookup tables.  What the code leaves over of a vector (its
+residual norm) is stored too: the distance to the vector differs from that to its code by this much at most.  Query
+blocks meet data blocks; the exact distances of the best scores bound the block's ``k`` nearest, and every row that
+this bound and its own residual norm do not rule out is reranked by exact distance on original vectors.  Nothing else is
+cut, so the neighbours are the true ones, also in large groups of near copies, whose codes hardly differ.
 
 Vectors that are null, empty, zero, hold a null or non-finite component, or are not of the commonest dimension take no
 part.  Repeated vec_ids count once, with the nearest of their vectors; a query never finds its own vec_id.  Ties go
-to the smaller vec_id.  Fewer candidates than asked for: all of them.  An empty table gives no rows.
+to the smaller vec_id.  Fewer neighbours than asked for: all of them.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,8 +26,9 @@ BOOKS, WORDS = 16, 256
 BEAM = 4
 SAMPLE = 16_384
 ROUNDS = 8
-CANDIDATES = 400
-QUERY_BLOCK, DATA_BLOCK = 1024, 65_536
+QUERY_BLOCK = 1024
+DATA_BYTES = 1 << 25  # of vectors in a data block
+SLACK = 1e-5  # of the squared norms: what single precision may add to a score
 
 
 def usable(vector: Column) -> Column:
@@ -81,27 +85,62 @@ def tables(queries: np.ndarray, books: np.ndarray) -> np.ndarray:
     return np.einsum("qd,mwd->qmw", -2 * queries.astype("f4"), books, optimize=True)
 
 
-def best_of_block(ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, books: np.ndarray, keep: int):
-    """For each query (query_ids, ids, scores) of the block's best rows, ties by id; ids are sorted."""
+def left_over(x: np.ndarray, codes: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Norms of what the codes leave over of the vectors."""
+    rest = x.astype("f8")
+    for m in range(len(books)):
+        rest -= books[m][codes[:, m]]
+    return np.sqrt((rest**2).sum(axis=1))
+
+
+def _distances(x: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances, squares added one after the other, so equal vectors are equally far in every block."""
+    return np.sqrt(np.cumsum((x - query) ** 2, axis=1)[:, -1])
+
+
+def best_of_block(ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, rests: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, books: np.ndarray, k: int):
+    """For each query row (query_ids, ids, distances) of the block's ``k`` nearest ids, ties by id; ids are sorted."""
     out = []
+    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ids))))
+    largest = float(norms.max(initial=0))
     for lo in range(0, len(queries), 128):
-        for query, lut in zip(query_ids[lo : lo + 128], tables(queries[lo : lo + 128], books), strict=True):
+        for query, y, lut in zip(query_ids[lo : lo + 128], queries[lo : lo + 128], tables(queries[lo : lo + 128], books), strict=True):
             score = norms.copy()
             for m in range(len(lut)):
                 score += lut[m][codes[:, m]]
-            score[ids == query] = np.inf
-            if len(score) > keep:
-                at = np.flatnonzero(score <= np.partition(score, keep - 1)[keep - 1])
-                at = at[np.argsort(score[at], kind="stable")][:keep]
-            else:
-                at = np.arange(len(score))
-            at = at[np.isfinite(score[at])]
-            out.append((np.full(len(at), query), ids[at], score[at]))
+            own = ids == query
+            score[own] = np.inf
+            # an upper bound of the k-th nearest id's distance: exact distances of the best-scored row of some ids
+            best = np.minimum.reduceat(score, first)
+            bound = np.inf
+            if len(best) > 4 * k:
+                some = np.argpartition(best, 4 * k - 1)[: 4 * k]
+                row = first[some] if len(first) == len(ids) else np.array([first[g] + np.argmin(score[group == g]) for g in some])
+                row = row[~own[row]]
+                if len(row) >= k:
+                    bound = np.partition(_distances(x[row], y), k - 1)[k - 1]
+            square = float((y**2).sum())
+            reach = (bound + rests) ** 2 + SLACK * (square + largest)
+            at = np.flatnonzero(~(score + square > reach) & ~own)
+            if not len(at):
+                continue
+            rest = x[at] - y
+            rough = np.einsum("ij,ij->i", rest, rest)
+            near = np.minimum.reduceat(rough, np.flatnonzero(np.concatenate(([True], group[at][1:] != group[at][:-1]))))
+            if len(near) > k:
+                at = at[~(rough > np.partition(near, k - 1)[k - 1] * (1 + 1e-9))]
+            distance = _distances(x[at], y)
+            order = np.lexsort((ids[at], distance))
+            at, distance = at[order], distance[order]
+            _, nearest = np.unique(ids[at], return_index=True)
+            nearest = np.sort(nearest)[:k]
+            out.append((np.full(len(nearest), query), ids[at[nearest]], distance[nearest]))
     return [np.concatenate(x) for x in zip(*out, strict=True)] if out else None
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, candidates: int = CANDIDATES) -> DataFrame:
-    """query_id, rank, vec_id and score (Euclidean distance) of the ``k`` nearest found for each query row."""
+def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
+    """query_id, rank, vec_id and score (Euclidean distance) of the ``k`` nearest for each query row."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), is_query.alias("asks"))
@@ -120,27 +159,22 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, candidates: int =
         for batch in batches:
             x = batch.column(1).flatten().to_numpy().reshape(-1, dim)
             for lo in range(0, len(x), 1024):
-                codes, norms = encode(x[lo : lo + 1024], shared.value)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo : lo + 1024], pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=["vec_id", "code", "norm"])
-
-    def packed(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            x = batch.column(1).flatten().to_numpy().reshape(-1, dim).astype("f4")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary())], names=["query_id", "q"])
-
-    codes = scratch.write(rows.select("vec_id", "v").mapInArrow(coded, "vec_id long, code binary, norm float"), "codes")
-    asked = rows.where("asks").select(F.col("vec_id").alias("query_id"), "v")
+                part = x[lo : lo + 1024]
+                codes, norms = encode(part, shared.value)
+                rests = left_over(part, codes, shared.value)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[lo : lo + 1024], batch.column(2)[lo : lo + 1024], pa.array([v.tobytes() for v in part], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(rests)],
+                    names=["vec_id", "asks", "x", "code", "norm", "rest"],
+                )
+
+    codes = scratch.write(rows.select("vec_id", "v", "asks").mapInArrow(coded, "vec_id long, asks boolean, x binary, code binary, norm float, rest double"), "codes")
+    asked = codes.where("asks").select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"))
     query_blocks = -(-max(1, asked.count()) // QUERY_BLOCK)
-    data_blocks = max(1, -(-n // DATA_BLOCK), min(-(-n // 256), 2 * shuffle_partitions(spark)))
-    # blocks are cut by hash, so a query's best rows are spread evenly: their mean number in a block and six deviations more
-    share = candidates / data_blocks
-    keep = int(share + 6 * share**0.5 + 10)
-    left = asked.mapInArrow(packed, "query_id long, q binary").select(
+    data_blocks = max(1, -(-n * dim * 8 // DATA_BYTES), min(-(-n // 256), 2 * shuffle_partitions(spark)))
+    left = asked.select(
         "*", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(data_blocks - 1).cast("long"))).alias("db")
     )
-    right = codes.select("*", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(data_blocks)).alias("db"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("qb"))
+    right = codes.drop("asks").select("*", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(data_blocks)).alias("db"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("qb"))
 
     def scored(q, d):
         import pandas as pd
@@ -148,22 +182,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, candidates: int =
         got = None
         if len(q) and len(d):
             d = d.sort_values("vec_id", kind="stable")
-            books = shared.value
             got = best_of_block(
-                d["vec_id"].to_numpy(), np.frombuffer(b"".join(d["code"]), "u1").reshape(len(d), -1), d["norm"].to_numpy("f4"),
-                q["query_id"].to_numpy(), np.frombuffer(b"".join(q["q"]), "f4").reshape(len(q), -1), books, keep,
+                d["vec_id"].to_numpy(), np.frombuffer(b"".join(d["code"]), "u1").reshape(len(d), -1), d["norm"].to_numpy("f4"), d["rest"].to_numpy("f8"), np.frombuffer(b"".join(d["x"]), "f8").reshape(len(d), -1),
+                q["query_id"].to_numpy(), np.frombuffer(b"".join(q["q"]), "f8").reshape(len(q), -1), shared.value, k,
             )
         if got is None:
-            return pd.DataFrame({"query_id": pd.Series(dtype="i8"), "vec_id": pd.Series(dtype="i8"), "near": pd.Series(dtype="f4")})
-        return pd.DataFrame({"query_id": got[0], "vec_id": got[1], "near": got[2]})
+            return pd.DataFrame({"query_id": pd.Series(dtype="i8"), "vec_id": pd.Series(dtype="i8"), "score": pd.Series(dtype="f8")})
+        return pd.DataFrame({"query_id": got[0], "vec_id": got[1], "score": got[2]})
 
     from pyspark.sql import Window
 
-    found = left.groupBy("db", "qb").cogroup(right.groupBy("db", "qb")).applyInPandas(scored, "query_id long, vec_id long, near float")
-    nearest = Window.partitionBy("query_id").orderBy("near", "vec_id")
-    found = found.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= candidates).select("query_id", "vec_id")
-    pairs = found.join(rows.select("vec_id", F.col("v").alias("x")), "vec_id").join(asked.select("query_id", F.col("v").alias("y")), "query_id")
-    square = F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
-    exact = pairs.select("query_id", "vec_id", F.sqrt(square).alias("score")).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    found = left.groupBy("db", "qb").cogroup(right.groupBy("db", "qb")).applyInPandas(scored, "query_id long, vec_id long, score double")
+    exact = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

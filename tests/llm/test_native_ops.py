@@ -114,6 +114,21 @@ def test_nearest_neighbours(spark):
     assert few.count() == 2
 
 
+def test_neighbours_in_a_large_group_of_near_copies_are_the_true_ones(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[500:3500] = x[500] + 1e-5 * rng.normal(size=(3000, 32))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in search(table, F.col("vec_id") % 200 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    for query in range(0, 4000, 200):
+        d = np.sqrt(((x - x[query]) ** 2).sum(axis=1))
+        d[query] = np.inf
+        assert got[query] == np.argsort(d, kind="stable")[:10].tolist()
+
+
 def test_beam_search_is_no_worse_than_greedy():
     x = np.random.default_rng(2).normal(size=(300, 12))
     books = train(x, books=4, words=16)
