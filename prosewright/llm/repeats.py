@@ -12,8 +12,9 @@
 5. Marks meet their documents, which lose the bytes that marked windows cover.
 
 The order of documents is that of doc_id.  Null text: no bytes.  A null doc_id comes before all others.  Rows that share a
-doc_id count as the same document: none is earlier, and what is marked in one is removed from each as far as its text
-reaches.  Texts under 100 bytes stay as they are.  Empty tables give no rows.
+doc_id, or have none, but differ in text are documents of their own, in the order of ``row``, a hash of doc_id and text by
+which marks meet their rows.  Rows equal in doc_id and text count as the same document: none is earlier.  Texts under 100
+bytes stay as they are.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -122,45 +123,46 @@ def _chunked(ids: list[int], texts: list[bytes]):
 
 
 def _cut(batches):
-    """(doc_id, text) to anchor, content, doc_id, start and windows of every segment."""
+    """(row, doc_id, text) to anchor, content, doc_id, row, start and windows of every segment."""
     import pyarrow as pa
 
     for batch in batches:
-        texts = [(t or "").encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
-        for group in _chunked(batch.column(0).to_pylist(), texts):
+        texts = [(t or "").encode("utf-8", "replace") for t in batch.column(2).to_pylist()]
+        keys, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        for group in _chunked(range(len(texts)), texts):
             ends = np.cumsum([len(p) for *_, p in group])
             anchor, content, first, windows = segments(np.frombuffer(b"".join(p for *_, p in group), "u1"), ends)
             own = np.searchsorted(ends, first, side="right")
-            doc = np.array([d for d, *_ in group], "i8")[own]
+            at = np.array([i for i, *_ in group], "i8")[own]
             start = first - (ends - np.array([len(p) for *_, p in group]))[own] + np.array([a for _, a, _ in group], "i8")[own]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view("i8")), pa.array(content.view("i8")), pa.array(doc), pa.array(start), pa.array(windows.astype("i4"))],
-                names=["anchor", "content", "doc_id", "start", "windows"],
+                [pa.array(anchor.view("i8")), pa.array(content.view("i8")), pa.array(ids[at]), pa.array(keys[at]), pa.array(start), pa.array(windows.astype("i4"))],
+                names=["anchor", "content", "doc_id", "row", "start", "windows"],
             )
 
 
-_SEGMENT = "anchor long, content long, doc_id long, start long, windows int"
+_SEGMENT = "anchor long, content long, doc_id long, row long, start long, windows int"
 
 
 def _fetched(batches):
-    """(text, array of (anchor, start, windows, cut)) to the bytes of the segments, or of their single windows if ``cut``."""
+    """(row, doc_id, text, array of (anchor, start, windows, cut)) to the bytes of the segments, or of their single windows if ``cut``."""
     import pyarrow as pa
 
     for batch in batches:
         rows = []
-        for doc, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for key, doc, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             raw = (text or "").encode("utf-8", "replace")
             for w in wanted:
                 lo, n = w["start"], w["windows"]
                 if not w["cut"]:
-                    rows.append((w["anchor"], doc, lo, raw[lo : lo + n + DEPTH - 1], False))
+                    rows.append((w["anchor"], doc, key, lo, raw[lo : lo + n + DEPTH - 1], False))
                 else:
-                    rows.extend((w["anchor"], doc, i, raw[i : i + DEPTH], True) for i in range(lo, lo + n))
+                    rows.extend((w["anchor"], doc, key, i, raw[i : i + DEPTH], True) for i in range(lo, lo + n))
         if rows:
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.binary()), pa.array(columns[4], pa.bool_())],
-                names=["anchor", "doc_id", "start", "bytes", "cut"],
+                [*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary()), pa.array(columns[5], pa.bool_())],
+                names=["anchor", "doc_id", "row", "start", "bytes", "cut"],
             )
 
 
@@ -170,26 +172,28 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _marked(batches):
-    """Segments sorted by shard and anchor to the windows (doc_id, start, windows) that start earlier too."""
+    """Segments sorted by shard and anchor to the windows (row, start, windows) that start earlier too."""
     import pyarrow as pa
 
     held: list[tuple] = []
     size = 0
 
     def result():
-        docs, starts = np.array([r[1] for r in held], "i8"), np.array([r[2] for r in held], "i8")
+        docs, keys, starts = (np.array([r[i] for r in held], "i8") for i in (1, 2, 3))
         # places: documents in order, each as wide as its last segment needs
-        order = np.lexsort((starts, docs))
-        width = starts + np.array([len(r[3]) for r in held])
-        ids, at = np.unique(docs, return_inverse=True)
-        reach = np.zeros(len(ids), "i8")
+        order = np.lexsort((starts, keys, docs))
+        width = starts + np.array([len(r[4]) for r in held])
+        new = (np.diff(docs[order]) != 0) | (np.diff(keys[order]) != 0)
+        at = np.empty(len(held), "i8")
+        at[order] = np.cumsum(np.concatenate(([0], new)))
+        reach = np.zeros(int(at.max()) + 1, "i8")
         np.maximum.at(reach, at, width)
         where = (np.cumsum(reach) - reach)[at] + starts
-        flags = earlier_matches([held[i][3] for i in order], where[order], DEPTH)
-        rows = [(held[i][1], held[i][2] + a, b - a) for i, f in zip(order, flags, strict=True) for a, b in _runs(f)]
+        flags = earlier_matches([held[i][4] for i in order], where[order], DEPTH)
+        rows = [(held[i][2], held[i][3] + a, b - a) for i, f in zip(order, flags, strict=True) for a, b in _runs(f)]
         held.clear()
         columns = list(zip(*rows, strict=True)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32())], names=["doc_id", "start", "windows"])
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32())], names=["row", "start", "windows"])
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -197,7 +201,7 @@ def _marked(batches):
                 yield result()
                 size = 0
             held.append(row)
-            size += len(row[3])
+            size += len(row[4])
     if held:
         yield result()
 
@@ -208,32 +212,32 @@ COPY, FIRST_COPY, AGAIN, CUT, FIRST_WINDOW = range(5)
 
 def _packed(df: DataFrame, kind: int) -> DataFrame:
     """Marks as one number each: start, windows (fewer than 4,096) and kind."""
-    return df.select("doc_id", (F.col("start") * 32768 + F.col("windows").cast("long") * 8 + kind).alias("mark"))
+    return df.select("row", (F.col("start") * 32768 + F.col("windows").cast("long") * 8 + kind).alias("mark"))
 
 
 def marks(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, mark) rows.
+    """(row, mark) rows.
 
     To go are the windows AGAIN, those of a COPY (a segment whose anchor is repeated) unless it is also a FIRST_COPY, and those
     of a CUT segment but for its FIRST_WINDOWs.  Firsts are marked rather than joined with, so common contents multiply nothing.
     """
     n = shuffle_partitions(docs.sparkSession)
-    cut = docs.select("doc_id", "text").mapInArrow(_cut, _SEGMENT)
+    cut = docs.select("row", "doc_id", "text").mapInArrow(_cut, _SEGMENT)
     repeated = cut.select("anchor").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     repeated = scratch.write(repeated, "repeated")  # so that the next join has plain exchanges and common anchors can be split
     shared = scratch.write(cut.join(repeated.hint("merge"), "anchor"), "shared")
 
-    copies = shared.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "start", "windows")).alias("first"))
+    copies = shared.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "row", "start", "windows")).alias("first"))
     copies = scratch.write(copies.select("anchor", "first.*"), "firsts")
     several = copies.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     differing = scratch.write(copies.join(several, "anchor").withColumn("cut", F.col("kinds") > MOST_SEGMENTS).drop("kinds"), "differing")
-    wanted = differing.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "windows", "cut")).alias("wanted"))
-    fetched = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id").mapInArrow(_fetched, "anchor long, doc_id long, start long, bytes binary, cut boolean")
+    wanted = differing.groupBy("row").agg(F.collect_list(F.struct("anchor", "start", "windows", "cut")).alias("wanted"))
+    fetched = docs.select("row", "doc_id", "text").join(wanted.hint("merge"), "row").mapInArrow(_fetched, "anchor long, doc_id long, row long, start long, bytes binary, cut boolean")
     fetched = scratch.write(fetched, "fetched")
 
-    whole = fetched.where("NOT cut").select("anchor", "doc_id", "start", "bytes")
-    indexed = whole.repartition(n, "anchor").sortWithinPartitions("anchor", "doc_id", "start").mapInArrow(_marked, "doc_id long, start long, windows int")
-    windows = fetched.where("cut").groupBy("bytes").agg(F.min(F.struct("doc_id", "start")).alias("first")).select("first.*", F.lit(1).alias("windows"))
+    whole = fetched.where("NOT cut").select("anchor", "doc_id", "row", "start", "bytes")
+    indexed = whole.repartition(n, "anchor").sortWithinPartitions("anchor", "doc_id", "row", "start").mapInArrow(_marked, "row long, start long, windows int")
+    windows = fetched.where("cut").groupBy("bytes").agg(F.min(F.struct("doc_id", "row", "start")).alias("first")).select("first.*", F.lit(1).alias("windows"))
     parts = [_packed(shared, COPY), _packed(copies, FIRST_COPY), _packed(indexed, AGAIN), _packed(differing.where("cut"), CUT), _packed(windows, FIRST_WINDOW)]
     return reduce(DataFrame.union, parts)
 
@@ -268,11 +272,12 @@ def _kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _with_marks(docs: DataFrame, *more) -> DataFrame:
-    """doc_id (null as NO_ID), text, further columns and the list of marks of every document."""
+    """doc_id, text, further columns and the list of marks of every row."""
     scratch = Scratch(docs.sparkSession, "repeats")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
-    found = marks(rows, scratch).groupBy("doc_id").agg(F.collect_list("mark").alias("found"))
-    return rows.join(found.hint("merge"), "doc_id", "left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    rows = rows.withColumn("row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    found = marks(rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), scratch).groupBy("row").agg(F.collect_list("mark").alias("found"))
+    return rows.join(found.hint("merge"), "row", "left")
 
 
 def _lists(column) -> list[np.ndarray]:
@@ -295,7 +300,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
             for doc, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _lists(batch.column(2)), strict=True):
                 raw = (text or "").encode("utf-8", "replace")
                 spans = _spans(found, len(raw))
-                rows.append((None if doc == NO_ID else doc, len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(_kept(raw, spans)).hexdigest()))
+                rows.append((doc, len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(_kept(raw, spans)).hexdigest()))
             if rows:
                 kinds = [pa.int64()] * 4 + [pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])

@@ -122,6 +122,20 @@ def test_repeats_are_those_of_all_windows(docs):
         assert (cleaned[doc]["text"] or "") == kept.decode("utf-8", "ignore")
 
 
+def test_rows_that_share_an_id_or_have_none_are_cut_each_by_their_own_marks(spark):
+    rng = random.Random(12)
+    text = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    passage = text(150, "abcdef ")
+    for shared in (None, 5):
+        own = [(1, passage), (shared, text(300, "ghijkl ")), (shared, text(300, "mnopqr ")), (9, passage + text(50, "stuvwx ")), (shared, text(100, "yz01 ") + passage)]
+        docs = spark.createDataFrame(own, "doc_id long, text string")
+        kept = sorted(r["text"] for r in without_repeats(docs).collect())
+        # a null id comes before all others, 5 after 1
+        want = {1: "" if shared is None else passage, 9: own[3][1][150:], 0: own[4][1] if shared is None else own[4][1][:100]}
+        assert kept == sorted([want[1], own[1][1], own[2][1], want[9], want[0]])
+        assert sorted(r["n_removed"] for r in repeated_bytes(docs).collect()) == [0, 0, 0, 150, 150]
+
+
 def test_common_borders_are_cut_into_windows(spark, monkeypatch):
     import prosewright.llm.repeats as repeats
 
