@@ -10,7 +10,7 @@ this bound and its own residual norm do not rule out is reranked by exact distan
 cut, so the neighbours are the true ones, also in large groups of near copies, whose codes hardly differ.
 
 Vectors that are null, empty, zero, hold a null or non-finite component, or are not of the commonest dimension take no
-part.  Repeated vec_ids count once, with the nearest of their vectors; a query never finds its own vec_id.  Ties go
+part.  Equal rows are merged before they are coded.  Repeated vec_ids count once, with the nearest of their vectors; a query never finds its own vec_id.  Ties go
 to the smaller vec_id.  Fewer neighbours than asked for: all of them.  An empty table gives no rows.
 """
 
@@ -148,8 +148,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     dim = sizes["dim"] if sizes else 1
     n = sizes["count"] if sizes else 0
-    rows = rows.where(F.size("v") == dim)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "v").limit(SAMPLE).select("v").toPandas()["v"]
+    rows = rows.where(F.size("v") == dim).groupBy("vec_id", "v").agg(F.max("asks").alias("asks"))
+    rows = scratch.write(rows, "rows")
+    sample = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id", "v").limit(SAMPLE).select("v").toPandas()["v"]
     books = train(np.stack(sample.to_numpy())) if len(sample) else np.zeros((1, 1, dim), "f4")
     shared = spark.sparkContext.broadcast(books)
 
@@ -168,13 +169,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
                 )
 
     codes = scratch.write(rows.select("vec_id", "v", "asks").mapInArrow(coded, "vec_id long, asks boolean, x binary, code binary, norm float, rest double"), "codes")
+    scratch.drop("rows")
     asked = codes.where("asks").select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"))
     query_blocks = -(-max(1, asked.count()) // QUERY_BLOCK)
     data_blocks = max(1, -(-n * dim * 8 // DATA_BYTES), min(-(-n // 256), 2 * shuffle_partitions(spark)))
     left = asked.select(
-        "*", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(data_blocks - 1).cast("long"))).alias("db")
+        "*", F.pmod(F.xxhash64("query_id", "q"), F.lit(query_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(data_blocks - 1).cast("long"))).alias("db")
     )
-    right = codes.drop("asks").select("*", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(data_blocks)).alias("db"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("qb"))
+    right = codes.drop("asks").select("*", F.pmod(F.xxhash64("vec_id", "x", F.lit(1)), F.lit(data_blocks)).alias("db"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("qb"))
 
     def scored(q, d):
         import pandas as pd

@@ -129,6 +129,16 @@ def test_neighbours_in_a_large_group_of_near_copies_are_the_true_ones(spark):
         assert got[query] == np.argsort(d, kind="stable")[:10].tolist()
 
 
+def test_a_repeated_id_takes_one_place(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 8))
+    near = x[0] + 0.01 * rng.normal(size=(3000, 8))
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, v.tolist()) for v in near] + [(1001, near[0].tolist())] * 2000
+    got = [r["vec_id"] for r in search(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()]
+    d = np.append(np.sqrt(((x - x[0]) ** 2).sum(axis=1))[1:], [np.sqrt(((near - x[0]) ** 2).sum(axis=1)).min(), np.sqrt(((near[0] - x[0]) ** 2).sum())])
+    assert got == [int(i) for i in np.append(np.arange(1, 300), [1000, 1001])[np.argsort(d)[:10]]]
+
+
 def test_beam_search_is_no_worse_than_greedy():
     x = np.random.default_rng(2).normal(size=(300, 12))
     books = train(x, books=4, words=16)
