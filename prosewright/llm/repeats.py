@@ -1,14 +1,15 @@
 """Suffix-array dedup with a run-length index: removes what starts earlier in the corpus as a 100-byte string.
 
-1. Anchors.  Every 100-byte window of a text has an anchor, its 24-byte string of least hash (leftmost of equals); equal
-   windows have equal anchors.  A run of windows with the same anchor is a segment, about 40 windows long.
+1. Anchors.  Every 100-byte window of a text has an anchor, its 40-byte string of least hash (leftmost of equals); equal
+   windows have equal anchors.  A run of windows with the same anchor is a segment, about 28 windows long.
 2. Only segments whose anchor occurs again anywhere in the corpus can hold a repetition; the others end here.
-3. Segments of the same bytes are copies: all windows of each but the first are repetitions.
+3. Segments of the same bytes are copies: all windows of each but the first are repetitions.  Equal means an equal
+   128-bit BLAKE2b digest of the bytes and an equal 64-bit anchor hash.
 4. The first copies of segments that differ but share an anchor go to shards of about SHARD_BYTES that hold whole
-   anchors.  A shard builds a run-length index (run-compressed Burrows-Wheeler transform, sampled run ends) and streams
-   its segments through it; windows whose match starts earlier are marked.  An anchor with more than MOST_SEGMENTS
-   different segments, such as the border of a passage in very many documents, is cut into its single windows, copies
-   of which are merged by Spark's aggregation before the rest takes the same way.
+   anchors.  A shard builds a run-length index (run-compressed Burrows-Wheeler transform, sampled run ends), streams its
+   segments through it for matching statistics of 100 bytes and more, and marks the windows that match an earlier one,
+   all from the samples.  An anchor with more than MOST_SEGMENTS different segments, such as the border of a passage in
+   very many documents, is cut into its single windows, copies of which are merged by Spark's aggregation on their bytes.
 5. Marks meet their documents, which lose the bytes that marked windows cover.
 
 The order of documents is that of doc_id.  Null text: no bytes.  A null doc_id comes before all others.  Rows that share a
@@ -31,7 +32,7 @@ from prosewright.llm.rlindex import earlier_matches
 from prosewright.llm.shingles import mixed
 
 DEPTH = 100
-ANCHOR = 24
+ANCHOR = 40
 CHUNK = 1 << 19
 SHARD_BYTES = 1 << 20
 MOST_SEGMENTS = 512
@@ -41,20 +42,12 @@ _SPAN = DEPTH - ANCHOR + 1  # anchors a window chooses from
 _RNG = np.random.default_rng(100)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype="u8") | np.uint64(1)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
-_LIMIT = CHUNK + 4 * DEPTH
 
 
 def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(_BASE), n, 1 << 64))
 
 
-def _powers(n: int) -> np.ndarray:
-    return np.concatenate([np.ones(1, "u8"), np.multiply.accumulate(np.full(n, _BASE, "u8"))])
-
-
-_POWERS = _powers(_LIMIT)
-
-
 def _window_hash(flat: np.ndarray, width: int) -> np.ndarray:
     """Polynomial hash of the ``width`` bytes from each place on, by doubling."""
     part, known = _BYTE[flat], 1
@@ -75,14 +68,14 @@ def _window_hash(flat: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of texts that lie one after another in ``flat``: (anchor, content, first window, windows) of each segment.
+    """Of texts that lie one after another in ``flat``: (anchor, first window, windows) of each segment.
 
-    ``flat`` has at most _LIMIT bytes; windows do not cross texts.
+    ``flat`` has at most 2 ** 20 bytes; windows do not cross texts.
     """
     n = len(flat)
     none = np.empty(0, "i8")
     if n < DEPTH:
-        return none.view("u8"), none.view("u8"), none, none
+        return none.view("u8"), none, none
     h = mixed(_window_hash(flat, ANCHOR))
     least = (h & ~np.uint64(0xFFFFF)) | np.arange(len(h), dtype="u8")
     known = 1
@@ -100,9 +93,14 @@ def segments(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new)
     stop = np.concatenate((anchor[1:] != anchor[:-1], [True])) | np.concatenate((~inside[1:], [True]))
     last = np.flatnonzero(stop & inside)
-    run = np.concatenate((np.zeros(1, "u8"), np.cumsum(_BYTE[flat] * _POWERS[:n])))
-    content = mixed((run[last + DEPTH] - run[first]) * _POWERS[_LIMIT - first] + (last - first).astype("u8"))
-    return h[anchor[first]], content, first, last - first + 1
+    return h[anchor[first]], first, last - first + 1
+
+
+def contents(blob: bytes, first: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """A 128-bit digest of the bytes of each segment, as two numbers."""
+    view, digest = memoryview(blob), hashlib.blake2b
+    made = [digest(view[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), (first + windows + DEPTH - 1).tolist(), strict=True)]
+    return np.frombuffer(b"".join(made), "i8").reshape(-1, 2)
 
 
 def _chunked(ids: list[int], texts: list[bytes]):
@@ -122,26 +120,35 @@ def _chunked(ids: list[int], texts: list[bytes]):
         yield group
 
 
-def _cut(batches):
-    """(row, doc_id, text) to anchor, content, doc_id, row, start and windows of every segment."""
-    import pyarrow as pa
-
-    for batch in batches:
-        texts = [(t or "").encode("utf-8", "replace") for t in batch.column(2).to_pylist()]
-        keys, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        for group in _chunked(range(len(texts)), texts):
-            ends = np.cumsum([len(p) for *_, p in group])
-            anchor, content, first, windows = segments(np.frombuffer(b"".join(p for *_, p in group), "u1"), ends)
-            own = np.searchsorted(ends, first, side="right")
-            at = np.array([i for i, *_ in group], "i8")[own]
-            start = first - (ends - np.array([len(p) for *_, p in group]))[own] + np.array([a for _, a, _ in group], "i8")[own]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view("i8")), pa.array(content.view("i8")), pa.array(ids[at]), pa.array(keys[at]), pa.array(start), pa.array(windows.astype("i4"))],
-                names=["anchor", "content", "doc_id", "row", "start", "windows"],
-            )
+def _cut(with_contents: bool):
+    """(row, doc_id, text) to anchor, content, doc_id, row, start and windows of every segment, or to the anchors alone."""
 
+    def cut(batches):
+        import pyarrow as pa
 
-_SEGMENT = "anchor long, content long, doc_id long, row long, start long, windows int"
+        for batch in batches:
+            texts = [(t or "").encode("utf-8", "replace") for t in batch.column(2).to_pylist()]
+            keys, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for group in _chunked(range(len(texts)), texts):
+                blob = b"".join(p for *_, p in group)
+                ends = np.cumsum([len(p) for *_, p in group])
+                anchor, first, windows = segments(np.frombuffer(blob, "u1"), ends)
+                if not with_contents:
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view("i8"))], names=["anchor"])
+                    continue
+                own = np.searchsorted(ends, first, side="right")
+                at = np.array([i for i, *_ in group], "i8")[own]
+                start = first - (ends - np.array([len(p) for *_, p in group]))[own] + np.array([a for _, a, _ in group], "i8")[own]
+                content = contents(blob, first, windows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor.view("i8")), pa.array(content[:, 0]), pa.array(content[:, 1]), pa.array(ids[at]), pa.array(keys[at]), pa.array(start), pa.array(windows.astype("i4"))],
+                    names=["anchor", "content", "content2", "doc_id", "row", "start", "windows"],
+                )
+
+    return cut
+
+
+_SEGMENT = "anchor long, content long, content2 long, doc_id long, row long, start long, windows int"
 
 
 def _fetched(batches):
@@ -166,9 +173,10 @@ def _fetched(batches):
             )
 
 
-def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    edge = np.diff(flags.astype("i1"), prepend=0, append=0)
-    return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
+def _runs(offsets: np.ndarray) -> list[tuple[int, int]]:
+    """[from, to) of each run of consecutive numbers among ascending ones."""
+    new = np.flatnonzero(np.diff(offsets, prepend=-2) != 1)
+    return list(zip(offsets[new].tolist(), (offsets[np.append(new[1:], len(offsets)) - 1] + 1).tolist(), strict=True)) if len(offsets) else []
 
 
 def _marked(batches):
@@ -189,8 +197,8 @@ def _marked(batches):
         reach = np.zeros(int(at.max()) + 1, "i8")
         np.maximum.at(reach, at, width)
         where = (np.cumsum(reach) - reach)[at] + starts
-        flags = earlier_matches([held[i][4] for i in order], where[order], DEPTH)
-        rows = [(held[i][2], held[i][3] + a, b - a) for i, f in zip(order, flags, strict=True) for a, b in _runs(f)]
+        again = earlier_matches([held[i][4] for i in order], where[order], DEPTH)
+        rows = [(held[i][2], held[i][3] + a, b - a) for i, x in zip(order, again, strict=True) for a, b in _runs(x)]
         held.clear()
         columns = list(zip(*rows, strict=True)) or [(), (), ()]
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32())], names=["row", "start", "windows"])
@@ -222,12 +230,13 @@ def marks(docs: DataFrame, scratch: Scratch) -> DataFrame:
     of a CUT segment but for its FIRST_WINDOWs.  Firsts are marked rather than joined with, so common contents multiply nothing.
     """
     n = shuffle_partitions(docs.sparkSession)
-    cut = docs.select("row", "doc_id", "text").mapInArrow(_cut, _SEGMENT)
-    repeated = cut.select("anchor").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    texts = docs.select("row", "doc_id", "text")
+    repeated = texts.mapInArrow(_cut(False), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     repeated = scratch.write(repeated, "repeated")  # so that the next join has plain exchanges and common anchors can be split
-    shared = scratch.write(cut.join(repeated.hint("merge"), "anchor"), "shared")
+    shared = scratch.write(texts.mapInArrow(_cut(True), _SEGMENT).join(repeated.hint("merge"), "anchor"), "shared")
+    scratch.drop("repeated")
 
-    copies = shared.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "row", "start", "windows")).alias("first"))
+    copies = shared.groupBy("anchor", "content", "content2").agg(F.min(F.struct("doc_id", "row", "start", "windows")).alias("first"))
     copies = scratch.write(copies.select("anchor", "first.*"), "firsts")
     several = copies.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     differing = scratch.write(copies.join(several, "anchor").withColumn("cut", F.col("kinds") > MOST_SEGMENTS).drop("kinds"), "differing")
@@ -276,7 +285,9 @@ def _with_marks(docs: DataFrame, *more) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "repeats")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
     rows = rows.withColumn("row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
-    found = marks(rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), scratch).groupBy("row").agg(F.collect_list("mark").alias("found"))
+    found = marks(rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), scratch).groupBy("row").agg(F.collect_set("mark").alias("found"))
+    found = scratch.write(found, "found")
+    scratch.drop("shared", "firsts", "differing", "fetched")
     return rows.join(found.hint("merge"), "row", "left")
 
 

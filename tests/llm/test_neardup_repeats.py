@@ -9,8 +9,8 @@ from hypothesis import strategies as st
 from prosewright.llm.common import Scratch
 from prosewright.llm.graph import components
 from prosewright.llm.neardup import COORDINATES, _block_links, band_keys, band_width, compare_buckets, near_duplicates, sketches, without_near_duplicates
-from prosewright.llm.repeats import repeated_bytes, segments, without_repeats
-from prosewright.llm.rlindex import earlier_matches
+from prosewright.llm.repeats import CHUNK, repeated_bytes, segments, without_repeats
+from prosewright.llm.rlindex import RunLengthIndex, earlier_matches
 from prosewright.llm.shingles import shingle_sets
 
 from .conftest import rows
@@ -156,17 +156,46 @@ def test_index_finds_earlier_matches(strings, depth):
         for o in range(len(s) - depth + 1):
             seen.setdefault(s[o : o + depth], p + o)
     for s, p in zip(strings, where, strict=True):
-        want.append([bool(seen[s[o : o + depth]] < p + o) for o in range(max(0, len(s) - depth + 1))])
+        want.append([o for o in range(max(0, len(s) - depth + 1)) if seen[s[o : o + depth]] < p + o])
     assert [f.tolist() for f in earlier_matches(strings, where, depth)] == want
 
 
+def test_index_keeps_three_numbers_a_run_and_repetition_shortens_it():
+    rng = random.Random(2)
+    text = bytes(rng.choice(b"abcdefgh ") for _ in range(2000))
+    once, often = RunLengthIndex([text]), RunLengthIndex([text] * 20)
+    assert len(once.at) == len(once.to) == len(once.shared) <= 2001
+    assert len(often.at) < 2 * len(once.at)  # 20 times the text
+    position, before = often.linked(100)
+    own = often.text.tobytes()
+    assert len(position) == 19 * 1901 and all(own[a : a + 100] == own[b : b + 100] for a, b in zip(position[::97], before[::97], strict=True))
+
+
+def test_texts_over_a_chunk_are_read_whole(spark):
+    rng = random.Random(21)
+    long_text = "".join(rng.choice("abcdefghij klmno") for _ in range(CHUNK + 3000))
+    at = CHUNK - 60  # across the border of two chunks
+    own = [(1, long_text), (2, "x" * 30 + long_text[at : at + 130] + "y" * 30), (3, long_text[-140:]), (4, "é" * 300)]
+    got = {r["doc_id"]: r for r in repeated_bytes(spark.createDataFrame(own, "doc_id long, text string")).collect()}
+    want = {doc: int(m.sum()) for doc, (_, m) in removed(own[1:]).items()}
+    assert got[1]["n_removed"] == 0 and got[1]["n_bytes"] == CHUNK + 3000
+    assert (got[2]["n_removed"], got[3]["n_removed"], got[4]["n_removed"]) == (130, 140, want[4])
+
+
+def test_many_rows_of_one_id_and_text_make_one_list_of_marks(spark):
+    passage = " ".join(f"word{i}" for i in range(40))
+    own = [(None, "before " + passage)] * 300 + [(1, passage)]
+    got = repeated_bytes(spark.createDataFrame(own, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == 301 and {(r["doc_id"], r["n_removed"]) for r in got} == {(None, 0), (1, len(passage))}
+
+
 def test_equal_windows_have_equal_anchors():
     rng = random.Random(4)
     passage = bytes(rng.choice(b"abcdefgh ") for _ in range(300))
     texts = [bytes(rng.choice(b"xyz ") for _ in range(n)) + passage for n in (0, 37, 180)]
     seen = []
     for t in texts:
-        anchor, _, first, windows = segments(np.frombuffer(t, "u1"), np.array([len(t)]))
+        anchor, first, windows = segments(np.frombuffer(t, "u1"), np.array([len(t)]))
         of = {}
         for a, f, n in zip(anchor, first, windows, strict=True):
             of |= {t[i : i + 100]: a for i in range(f, f + n)}
