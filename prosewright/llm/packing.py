@@ -2,77 +2,92 @@
 
 A document of n tokens first fills floor(n / capacity) windows of its own; the rest, if any, is placed online: a level
 array counts the open windows at each fill, and the piece goes to the fill level (or a new window) that leaves the
-sum of squared counts smallest, ties to the fullest window.  Every input partition packs by itself and holds
-only its open windows.  At its end the open windows are joined and cut again into full windows, and what
-remains into windows whose lengths are powers of two, so that no padding is left.
+sum of squared counts smallest, ties to the fullest window.  Every input partition packs by itself and holds only its
+open windows.  Those go on to packers of about TOKENS_A_PACKER tokens, where they are pieces in turn: they are placed by
+the same rule, again and again while that closes windows.  Only what is open then is cut: the emptiest windows fill
+up the fullest, and the last one of a packer goes into windows whose lengths are powers of two, so no padding is left.
+``by_cut`` marks the pieces that this last step moved or split.
 
 Null text is the empty text: it has only the end id.  Repeated rows are packed each.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from prosewright.llm.tokens import load_tokenizer, safe_pieces, tokenizer_path
+from prosewright.llm.common import Scratch
+from prosewright.llm.tokens import load_tokenizer, safe_pieces
 
 CAPACITY = 1024
 PARTITION_BITS = 40
+MERGED = 1 << 62  # sequence ids of windows that packers of open windows close
+TOKENS_A_PACKER = 1 << 24  # 64 MB of ids
+PART_CHARS = 1 << 20
+MEMO_CHARS = 1 << 25
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+FIELDS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+SCHEMA = ", ".join(f"{f} long" for f in FIELDS) + ", by_cut boolean"
 
-_FAST: dict[str, object] = {}
+_SURE = r"[\w!-/:-@\[-`{-~]"  # surely not white space
+#: words with the white space before them: a space or line feed that follows a sure character begins the next
+_WORDS = re.compile(rf"[ \n]?{_SURE}+(?=[ \n]|\Z)|.+?(?<={_SURE})(?=[ \n])|.+", re.S)
 
 
-def _fast_encoder(name: str):
-    """The same vocabulary as ranks for the faster library, where such a file lies beside the .json; else None."""
-    if name not in _FAST:
-        import base64
-        import os
+class Encoder:
+    """Ids of whole texts as the tokenizer's library gives them.
 
-        path = tokenizer_path(name)[: -len(".json")] + ".tiktoken"
-        if os.path.exists(path):
-            import public_tokenizers
-            import tiktoken
+    No token of a byte-level BPE crosses from a sure character to white space, so a text's ids are those of its words in
+    a row, and the library is asked once for each distinct word that is remembered.
+    """
 
-            with open(path, "rb") as lines:
-                ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines)}
-            _FAST[name] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        else:
-            _FAST[name] = None
-    return _FAST[name]
+    def __init__(self, name: str):
+        self.tok, self.whole = load_tokenizer(name), name.endswith(".model")
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.held = 0
 
+    def _learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.known]
+        if not new:
+            return
+        if self.held > MEMO_CHARS:
+            self.known.clear()
+            new, self.held = list(words), 0
+        self.known.update(zip(new, (tuple(e.ids) for e in self.tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        self.held += sum(map(len, new)) + 64 * len(new)
 
-def _plain(text: str, special: list[str]) -> bool:
-    """Both libraries surely split this text alike: Basic Latin to Latin Extended-B, no special string."""
-    return (text.isascii() or max(text) < "ɐ") and not any(s in text for s in special)
+    def ids(self, text: str) -> np.ndarray:
+        if self.whole:
+            return np.array(self.tok.encode(text), "<u4")
+        parts = []
+        for part in safe_pieces(text, PART_CHARS):
+            words = _WORDS.findall(part)
+            self._learn(set(words))
+            parts.append(np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), "<u4"))
+        return np.concatenate(parts) if parts else np.empty(0, "<u4")
 
 
-def encoded(name: str, texts: list[str | None], end_id: int | None) -> Iterator[np.ndarray]:
-    """The ids of each text as ``tokenizers`` gives them, then ``end_id``.
+_ENCODERS: dict[str, Encoder] = {}  # one for each worker, as its tasks see the same words
 
-    A library with the same vocabulary encodes texts of common Latin characters several times faster; all others, and
-    texts that hold a special token's string, go through ``tokenizers`` itself.
-    """
-    tok, fast = load_tokenizer(name), _fast_encoder(name)
-    special = [t.content for t in tok.get_added_tokens_decoder().values()]
-    tail = [] if end_id is None else [end_id]
+
+def encoded(name: str, texts: list[str | None], end_id: int | None) -> Iterator[np.ndarray]:
+    """The ids of each text, then ``end_id``."""
+    if name not in _ENCODERS:
+        _ENCODERS[name] = Encoder(name)
+    encoder = _ENCODERS[name]
+    tail = np.array([] if end_id is None else [end_id], "<u4")
     for text in texts:
-        ids: list[int] = []
-        if text:
-            if fast is not None and _plain(text, special):
-                ids = fast.encode_ordinary(text) if len(text) <= 65_536 else [i for p in safe_pieces(text) for i in fast.encode_ordinary(p)]
-            else:
-                for part in safe_pieces(text):
-                    ids += tok.encode(part, add_special_tokens=False).ids
-        yield np.array(ids + tail, "<u4")
+        yield np.concatenate((encoder.ids(text), tail)) if text else tail
 
 
 class SumOfSquares:
-    """Open windows of one packer.  ``place`` returns the windows it fills; ``finish`` closes the open ones."""
+    """Open windows of one packer, each a list of pieces (doc_id, start, ids, doc_tokens)."""
 
     def __init__(self, capacity: int = CAPACITY):
         self.capacity = capacity
@@ -90,73 +105,160 @@ class SumOfSquares:
         change = np.where(usable, change, np.iinfo("i8").max)
         return last - int(np.argmin(change[::-1]))
 
-    def place(self, piece: tuple, size: int) -> list | None:
+    def place(self, pieces: list, size: int) -> list | None:
+        """Puts pieces of ``size`` tokens, which stay together, into a window; returns it if that fills it."""
         at = self.best_level(size)
         if at:
             window = self.open[at].pop()
             self.level[at] -= 1
         else:
             window = []
-        window.append(piece)
+        window += pieces
         if at + size == self.capacity:
             return window
         self.level[at + size] += 1
         self.open[at + size].append(window)
         return None
 
-    def finish(self) -> Iterator[list]:
-        """Windows still open, fullest first, joined and cut into full ones, then into powers of two."""
-        pieces = [p for fill in range(self.capacity - 1, 0, -1) for window in self.open[fill] for p in window]
-        left = sum(len(p[2]) for p in pieces)
-        window, room = [], 0
-        for doc, start, ids, total in pieces:
-            while len(ids):
-                if not room:
-                    room = self.capacity if left >= self.capacity else 1 << (left.bit_length() - 1)
-                cut = ids[:room]
-                window.append((doc, start, cut, total))
-                start, ids, room, left = start + len(cut), ids[len(cut) :], room - len(cut), left - len(cut)
-                if not room:
-                    yield window
-                    window = []
-
-
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int | None = 0) -> DataFrame:
-    """A row for each piece of each document, with its window (``sequence_id``) and place there; one scan."""
-
-    def packed(batches):
+    def left(self) -> list[tuple[int, list]]:
+        """(fill, window) of the open windows, fullest first."""
+        return [(fill, window) for fill in range(self.capacity - 1, 0, -1) for window in self.open[fill]]
+
+
+def merged(windows: list[tuple[int, list]], capacity: int) -> tuple[list[list], list[tuple[int, list]]]:
+    """Places open windows as pieces, fullest first, as often as that closes some: full windows, and those still open."""
+    full: list[list] = []
+    while True:
+        packer = SumOfSquares(capacity)
+        made = [w for fill, pieces in sorted(windows, key=lambda w: -w[0]) if (w := packer.place(list(pieces), fill)) is not None]
+        full += made
+        left = packer.left()
+        if len(left) == len(windows):
+            return full, left
+        windows = left
+
+
+def cut_to_fit(windows: list[tuple[int, list]], capacity: int) -> Iterator[list]:
+    """Fills the fullest of the open windows with cuts of the emptiest; the last one goes into powers of two.
+
+    Pieces come out as (doc_id, start, ids, doc_tokens, by_cut).
+    """
+    windows = sorted(windows, key=lambda w: -w[0])
+    whole = [[(*p, False) for p in pieces] for _, pieces in windows]
+    fills = [fill for fill, _ in windows]
+    at, end = 0, len(whole)
+    donor: list[tuple] = []
+
+    def taken(room: int) -> list[tuple]:
+        nonlocal donor, end
+        out = []
+        while room and (donor or end > at + 1):
+            if not donor:
+                end -= 1
+                donor = whole[end]
+            doc, start, ids, total, _ = donor.pop(0)
+            out.append((doc, start, ids[:room], total, True))
+            if len(ids) > room:
+                donor.insert(0, (doc, start + room, ids[room:], total, True))
+            room -= len(out[-1][2])
+        return out
+
+    while at < end:
+        more = taken(capacity - fills[at])
+        size = fills[at] + sum(len(p[2]) for p in more)
+        if size == capacity:
+            yield whole[at] + more
+        else:  # the last one
+            donor, end = whole[at] + more, at + 1
+            while size:
+                room = 1 << (size.bit_length() - 1)
+                yield taken(room)
+                size -= room
+        at += 1
+        if at == end and donor:  # what the last donor has left
+            size = sum(len(p[2]) for p in donor)
+            while size:
+                room = 1 << (size.bit_length() - 1)
+                yield taken(room)
+                size -= room
+
+
+class _Rows:
+    """Output rows of windows, as Arrow batches; ``ids`` is kept only for pieces of open windows."""
+
+    def __init__(self, base: int):
+        self.base, self.made, self.rows = base, 0, []
+
+    def add(self, window: list[tuple], still_open: bool = False) -> None:
+        at = 0
+        for doc, start, ids, total, by_cut in window:
+            self.rows.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, self.base + self.made, at, by_cut, ids.tobytes() if still_open else None))
+            at += len(ids)
+        self.made += 1
+
+    def batch(self):
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        base = TaskContext.get().partitionId() << PARTITION_BITS
-        packer, made = SumOfSquares(capacity), 0
-        rows: list[tuple] = []
+        columns = list(zip(*self.rows, strict=True))
+        self.rows = []
+        kinds = [pa.int64()] * 7 + [pa.bool_(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[*FIELDS, "by_cut", "ids"])
+
 
-        def emit(window):
-            nonlocal made
-            at = 0
-            for doc, start, ids, total in window:
-                rows.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, base + made, at))
-                at += len(ids)
-            made += 1
+def place_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int | None = 0) -> DataFrame:
+    """Pieces of each document in the windows of its partition; those of windows still open carry their ids."""
 
-        def flush():
-            columns = list(zip(*rows, strict=True))
-            rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[f.split()[0] for f in SCHEMA.split(", ")])
+    def placed(batches):
+        from pyspark import TaskContext
 
+        out, packer = _Rows(TaskContext.get().partitionId() << PARTITION_BITS), SumOfSquares(capacity)
         for batch in batches:
             for doc, ids in zip(batch.column(0).to_pylist(), encoded(tokenizer, batch.column(1).to_pylist(), end_id), strict=True):
                 total, full = len(ids), len(ids) - len(ids) % capacity
                 for start in range(0, full, capacity):
-                    emit([(doc, start, ids[start : start + capacity], total)])
-                if full < total and (window := packer.place((doc, full, ids[full:], total), total - full)):
-                    emit(window)
-            if rows:
-                yield flush()
-        for window in packer.finish():
-            emit(window)
-        if rows:
-            yield flush()
-
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(packed, SCHEMA)
+                    out.add([(doc, start, ids[start : start + capacity], total, False)])
+                if full < total and (window := packer.place([(doc, full, ids[full:], total)], total - full)):
+                    out.add([(*p, False) for p in window])
+            if out.rows:
+                yield out.batch()
+        for i, (_, window) in enumerate(packer.left(), 1):
+            out.add([(*p, False) for p in window], still_open=True)
+            if i % 256 == 0:
+                yield out.batch()
+        if out.rows:
+            yield out.batch()
+
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(placed, SCHEMA + ", ids binary")
+
+
+def close_windows(left: DataFrame, packers: int, capacity: int = CAPACITY) -> DataFrame:
+    """Pieces of open windows in full ones: windows are dealt to the packers by hash, and each packer is one task."""
+
+    def closed(batches):
+        held: dict[int, dict[int, list]] = {}
+        for batch in batches:
+            packer, doc, start, total, sequence, ids = (batch.column(i).to_pylist() for i in range(6))
+            for p, s, *piece, raw in zip(packer, sequence, doc, start, total, ids, strict=True):
+                held.setdefault(p, {}).setdefault(s, []).append((piece[0], piece[1], np.frombuffer(raw, "<u4"), piece[2]))
+        for p in sorted(held):
+            out = _Rows(MERGED | p << PARTITION_BITS)
+            full, still = merged([(sum(len(x[2]) for x in w), w) for _, w in sorted(held[p].items())], capacity)
+            for i, window in enumerate(chain(([(*x, False) for x in w] for w in full), cut_to_fit(still, capacity)), 1):
+                out.add(window)
+                if i % 4096 == 0:
+                    yield out.batch()
+            if out.rows:
+                yield out.batch()
+
+    dealt = left.withColumn("packer", F.pmod(F.xxhash64("sequence_id"), F.lit(packers)).cast("int"))
+    rows = dealt.repartitionById(packers, F.col("packer")).sortWithinPartitions("packer", "sequence_id", "offset")
+    return rows.select("packer", "doc_id", "start", "doc_tokens", "sequence_id", "ids").mapInArrow(closed, SCHEMA + ", ids binary")
+
+
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int | None = 0, tokens_a_packer: int = TOKENS_A_PACKER) -> DataFrame:
+    """A row for each piece of each document, with its window (``sequence_id``) and place there; texts are read once and not shuffled."""
+    placed = Scratch(docs.sparkSession, "packing").write(place_documents(docs, tokenizer, capacity, end_id), "placed")
+    left = placed.where("ids IS NOT NULL")
+    tokens = left.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
+    packers = max(1, -(-tokens // tokens_a_packer))
+    return placed.where("ids IS NULL").union(close_windows(left, packers, capacity)).drop("ids")

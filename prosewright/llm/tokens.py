@@ -75,11 +75,11 @@ def safe_pieces(text: str, size: int = PIECE_CHARS) -> Iterable[str]:
 
 
 def byte_balanced(pieces: list[str], limit: int = CALL_BYTES) -> Iterator[list[int]]:
-    """Positions of pieces, grouped so that each group has about ``limit`` characters."""
+    """Positions of pieces, grouped so that each group has about ``limit`` UTF-8 bytes."""
     group, held = [], 0
     for i, piece in enumerate(pieces):
         group.append(i)
-        held += len(piece)
+        held += len(piece) if piece.isascii() else len(piece.encode("utf-8", "surrogatepass"))
         if held >= limit:
             yield group
             group, held = [], 0
