@@ -8,12 +8,15 @@ decides; ties go to the language with more learning text.
 
 Null text and text without a letter: ``und``, score 0.  Text with letters but no 4-gram, and text of which no gram is
 known, goes to the language with most learning text, score 0.  Nothing learned (empty table, no labels): all ``und``.
-Repeated rows are learned and judged each.
+A letter is a character of the Unicode categories L*; digits, fractions and numerals are none.  Repeated rows are learned and
+judged each.  N-grams of a text of any length are made and looked up BLOCK at a time, so besides the text itself a few of its
+byte copies are held.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -25,27 +28,35 @@ MIN_SCORE = 0.2
 SLOTS = 1 << 20
 HASHES = 3
 CHUNK_BYTES = 4 << 20
+BLOCK = 1 << 20
+MIN_GRAMS = 16  # a text with fewer is not rejected for its language
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], "u8")
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD_CHARACTER = re.compile(r"[^\W\d_]")  # letters, and numerals such as fractions
 _TO_SPACE = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The 4-grams of all texts as 32-bit numbers, and the text each comes from; none crosses texts."""
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in _WORD_CHARACTER.finditer(text))
+
+
+def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of 4-grams of the texts as 32-bit numbers, and the text each comes from; none crosses texts."""
     parts = [b" " + t.lower().encode("utf-8", "replace").translate(_TO_SPACE) + b" " for t in texts]
     flat = np.frombuffer(b"\0".join(parts) + b"\0", "u1")
-    owner = np.repeat(np.arange(len(parts), dtype="i4"), [len(p) + 1 for p in parts])
+    owner = np.repeat(np.arange(len(parts), dtype="i4"), [len(p) + 1 for p in parts]) if len(parts) > 1 else None
     keep = np.ones(len(flat), bool)
     keep[1:] = (flat[1:] != 32) | (flat[:-1] != 32)
-    flat, owner = flat[keep], owner[keep]
-    if len(flat) < 4:
-        return np.empty(0, "u4"), np.empty(0, "i4")
-    wide = flat.astype("u4")
-    gram = wide[:-3] | (wide[1:-2] << 8) | (wide[2:-1] << 16) | (wide[3:] << 24)
-    end = flat == 0
-    whole = ~(end[:-3] | end[1:-2] | end[2:-1] | end[3:])
-    return gram[whole], owner[:-3][whole]
+    flat = flat[keep]
+    if owner is not None:
+        owner = owner[keep]
+    for lo in range(0, len(flat) - 3, BLOCK):
+        part = flat[lo : lo + BLOCK + 3]
+        wide = part.astype("u4")
+        gram = wide[:-3] | (wide[1:-2] << 8) | (wide[2:-1] << 16) | (wide[3:] << 24)
+        end = part == 0
+        whole = ~(end[:-3] | end[1:-2] | end[2:-1] | end[3:])
+        yield gram[whole], np.zeros(int(whole.sum()), "i4") if owner is None else owner[lo : lo + len(gram)][whole]
 
 
 def chunks(texts: list[str | None], limit: int = CHUNK_BYTES):
@@ -75,7 +86,9 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
                 if lang is not None and text:
                     by_lang.setdefault(lang, []).append(text)
             for lang, own in by_lang.items():
-                found = [np.unique(grams([own[i] for i in group])[0], return_counts=True) for group in chunks(own)]
+                found = [np.unique(gram, return_counts=True) for group in chunks(own) for gram, _ in grams([own[i] for i in group])]
+                if not found:
+                    continue
                 gram, n = (np.concatenate(x) for x in zip(*found, strict=True))
                 gram, at = np.unique(gram, return_inverse=True)
                 n = np.bincount(at, weights=n).astype("i8")
@@ -105,23 +118,21 @@ class Model:
         for j in range(self.hashes):
             yield (wide * _MULTIPLIERS[j]) >> self.shift
 
-    def coverage(self, texts: list[str]) -> np.ndarray:
-        """Share of each text's grams that each language has, corrected for false positives: one row per text."""
-        gram, owner = grams(texts)
-        total = np.bincount(owner, minlength=len(texts)).astype("f8")
-        out = np.zeros((len(texts), len(self.langs)))
-        if not len(gram):
-            return out
-        slots = list(self._slots(gram))
-        for w in range(len(self.masks)):
-            hit = self.masks[w][slots[0]]
-            for slot in slots[1:]:
-                hit &= self.masks[w][slot]
-            for i in range(w * self.width, min(len(self.langs), (w + 1) * self.width)):
-                bit = (hit >> np.array(i % self.width, hit.dtype)) & np.array(1, hit.dtype)
-                out[:, i] = np.bincount(owner, weights=bit, minlength=len(texts))
+    def coverage(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Share of each text's grams that each language has, corrected for false positives (a row for each text), and the number of grams."""
+        total, out = np.zeros(len(texts)), np.zeros((len(texts), len(self.langs)))
+        for gram, owner in grams(texts):
+            total += np.bincount(owner, minlength=len(texts))
+            slots = list(self._slots(gram))
+            for w in range(len(self.masks)):
+                hit = self.masks[w][slots[0]]
+                for slot in slots[1:]:
+                    hit &= self.masks[w][slot]
+                for i in range(w * self.width, min(len(self.langs), (w + 1) * self.width)):
+                    bit = (hit >> np.array(i % self.width, hit.dtype)) & np.array(1, hit.dtype)
+                    out[:, i] += np.bincount(owner, weights=bit, minlength=len(texts))
         share = out / np.maximum(total, 1)[:, None]
-        return np.clip((share - self.false_rate) / np.maximum(1 - self.false_rate, 1e-9), 0, 1)
+        return np.where(total[:, None] > 0, np.clip((share - self.false_rate) / np.maximum(1 - self.false_rate, 1e-9), 0, 1), 0), total
 
 
 def learn(labelled: DataFrame, min_share: float = MIN_SHARE) -> Model:
@@ -152,9 +163,9 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
             texts = batch.column(len(keep)).to_pylist()
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
             for group in chunks(texts):
-                cover = own.coverage([texts[i] for i in group])
+                cover, _ = own.coverage([texts[i] for i in group])
                 for i, row in zip(group, cover, strict=True):
-                    if len(row) and _LETTER.search(texts[i]):
+                    if len(row) and has_letter(texts[i]):
                         best = int(np.argmax(row))
                         lang[i], score[i] = own.langs[best], row[best]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
@@ -165,7 +176,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
 def in_known_language(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> DataFrame:
     """The rows whose text has a letter and whose language's corrected share of grams is at least ``min_score``.
 
-    With no language learned there is no share to judge by, and every text with a letter stays.
+    With no language learned, or fewer than MIN_GRAMS grams, there is no share to judge by, and a text with a letter stays.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -175,10 +186,11 @@ def in_known_language(docs: DataFrame, model: Model, min_score: float = MIN_SCOR
         own = shared.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            keep = np.array([bool(t) and _LETTER.search(t) is not None for t in texts], bool)
+            keep = np.array([bool(t) and has_letter(t) for t in texts], bool)
             if own.langs:
                 for group in chunks(texts):
-                    keep[group] &= own.coverage([texts[i] for i in group]).max(axis=1) >= min_score
+                    cover, total = own.coverage([texts[i] for i in group])
+                    keep[group] &= (cover.max(axis=1) >= min_score) | (total < MIN_GRAMS)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep))], names=["doc"])
 
     rows = docs.select(F.struct(*docs.columns).alias("doc"), docs["text"].cast("string").alias("text"))

@@ -1,8 +1,11 @@
 import hashlib
+import unicodedata
+import zlib
 
 import numpy as np
 from prosewright.llm import fingerprint as fp
-from prosewright.llm.langid import identify, in_known_language, learn_from
+from prosewright.llm import langid
+from prosewright.llm.langid import MIN_SHARE, Model, has_letter, identify, in_known_language, learn, learn_from
 
 from .conftest import rows
 
@@ -69,3 +72,80 @@ def test_known_language_filter(docs, odd):
     kept = {r["doc_id"] for r in in_known_language(docs, learn_from(docs)).collect()}
     assert {130, 131, 132, 133}.isdisjoint(kept) and {0, 7, 100}.issubset(kept)
     assert in_known_language(odd, learn_from(odd)).columns == odd.columns
+
+
+def slow_grams(text):
+    raw = b" " + text.lower().encode() + b" "
+    out = bytearray()
+    for c in raw:
+        c = c if c >= 128 or 97 <= c <= 122 else 32
+        if c != 32 or not out or out[-1] != 32:
+            out.append(c)
+    return [bytes(out[i : i + 4]) for i in range(len(out) - 3)]
+
+
+def learning_rows():
+    return [(r[0], r[1], r[2]) for r in rows() if r[2] is not None and r[1] and zlib.crc32(str(r[0]).encode()) % 5]
+
+
+def slow_model():
+    """Per language: the 4-grams of enough share, and the number of all."""
+    counts = {}
+    for _, text, lang in learning_rows():
+        for g in slow_grams(text):
+            counts.setdefault(lang, {}).setdefault(g, 0)
+            counts[lang][g] += 1
+    total = {x: sum(c.values()) for x, c in counts.items()}
+    return {x: {g for g, n in c.items() if n >= total[x] * MIN_SHARE} for x, c in counts.items()}, total
+
+
+def test_scores_are_those_of_exact_gram_sets(docs):
+    own, total = slow_model()
+    got = {r["doc_id"]: r for r in identify(docs).collect()}
+    judged = 0
+    for doc, text, *_ in rows():
+        assert got[doc]["held_out"] == (zlib.crc32(str(doc).encode()) % 5 == 0)
+        if text is None or not any(unicodedata.category(c).startswith("L") for c in text):
+            assert (got[doc]["lang_pred"], got[doc]["score"]) == ("und", 0)
+            continue
+        g = slow_grams(text)
+        share = {x: sum(y in own[x] for y in g) / max(1, len(g)) for x in own}
+        best = max(share.values())
+        assert abs(got[doc]["score"] - best) < 0.02 and share[got[doc]["lang_pred"]] >= best - 0.02
+        judged += 1
+    assert judged > 60
+
+
+def test_only_rows_that_are_not_held_out_are_learned(spark, docs):
+    model = learn_from(docs)
+    _, total = slow_model()
+    assert model.langs == sorted(total, key=lambda x: (-total[x], x))
+    changed = docs.selectExpr("doc_id", "if(crc32(cast(cast(doc_id as string) as binary)) % 5 = 0, 'zq zqz qzqz', text) text", "if(crc32(cast(cast(doc_id as string) as binary)) % 5 = 0, 'xx', lang) lang")
+    assert np.array_equal(learn_from(changed).masks, model.masks)
+
+
+def test_rare_grams_are_not_kept(spark):
+    common = "abcd " * 12_000  # 5 grams a word: 60,000
+    model = learn(spark.createDataFrame([("a", common + "wxyz")], "lang string, text string"))
+    cover, n = model.coverage(["abcd abcd", "wxyz", ""])
+    assert cover[0, 0] == 1 and cover[1, 0] < 0.01 and n[2] == 0 and MIN_SHARE * 60_000 > 1
+
+
+def test_letters_are_of_the_letter_categories():
+    assert not any(map(has_letter, ["½ ² ① Ⅷ", "12 34", "", "__", "!?", "٣"])) and all(map(has_letter, ["½a", "日", "ﬁ", "ñ", "ʰ", "1 2 é"]))
+
+
+def test_long_texts_are_cut_inside_and_give_what_the_whole_gives(monkeypatch):
+    texts = ["some words of a text, " * 200, "ein wörterbuch " * 90, "x"]
+    model = Model(["a", "b"], [np.concatenate([g for g, _ in langid.grams([t])]) for t in texts[:2]])
+    whole = model.coverage(texts)
+    monkeypatch.setattr(langid, "BLOCK", 37)
+    for a, b in zip(whole, model.coverage(texts), strict=True):
+        assert np.array_equal(a, b)
+    assert np.array_equal(model.coverage(texts[:1])[0][0], whole[0][0])
+
+
+def test_few_grams_are_no_evidence_against_a_text(spark, docs):
+    model = learn_from(docs)
+    own = spark.createDataFrame([(1, "A."), (2, "qqq"), (3, "qxzj kqxv wqzx " * 9), (4, "12 ½")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in in_known_language(own, model).collect()) == [1, 2]
