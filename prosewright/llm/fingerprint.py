@@ -6,8 +6,12 @@ run of 64 neighbouring features the leftmost of lowest rank gains a point, and f
 selected.  Each sets five bits of a 2,048-bit Bloom filter; after 160 features the next filter of the chain begins.
 Two digests are compared filter by filter: shared bits less those expected by chance, over the most possible.
 
-Null text is the empty text.  Empty text: fingerprint '' (like another empty one 1, any other 0).  A text under 64
-bytes has too few windows to rank: its 8-byte windows (or itself, if shorter) are its features, all selected.  A text of which no window gains 16 points keeps its first lowest-ranked feature.
+Few 64-byte windows of a short text can be selected, so texts under SHORT bytes are told by their 8-byte windows (or
+themselves, if shorter), all selected.  Texts from SHORT to BOTH bytes carry both kinds, the 8-byte ones in filters of their own,
+so that they meet shorter and longer texts.  A text of which no window gains 16 points keeps its first lowest-ranked one.
+
+Null text is the empty text.  Empty text: fingerprint '' (like another empty one 1, any other 0).  A text of any length is
+worked on in blocks of BLOCK bytes; besides it only its selected features' hashes and its filters are held.
 """
 
 from __future__ import annotations
@@ -47,6 +51,8 @@ _STEP = np.diff(_C_LOG_C)  # what the (c + 1)-th copy of a byte adds
 _MOST = int(_C_LOG_C[WINDOW])
 _RANK = rarity_table()
 _CHUNK = 1 << 16
+SHORT, BOTH = 256, 512
+BLOCK = 1 << 20
 
 
 def _neighbours(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,8 +94,8 @@ def _mixed(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return h
 
 
-def _selected(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the selected features of texts of 64 bytes or more that lie in ``flat``, and their texts."""
+def _points(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all features of texts of 64 bytes or more that lie in ``flat``: rank, points, and the number of features of each text."""
     before, after = _neighbours(flat)
     change = np.zeros(len(flat) + 1, "i8")
     change[1 : len(flat) - WINDOW + 1] = _STEP[before[WINDOW:]] - _STEP[after[: len(flat) - WINDOW]]
@@ -97,23 +103,29 @@ def _selected(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[
     features = sizes - WINDOW + 1
     owner = np.repeat(np.arange(len(starts)), features)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(features) - features, features)
-    at = starts[owner] + offset
-    total = (_first_sums(flat, starts) - run[starts])[owner] + run[at]
+    total = (_first_sums(flat, starts) - run[starts])[owner] + run[starts[owner] + offset]
     rank = _RANK[LEVELS - (LEVELS * total) // _MOST]
     # leftmost lowest rank in each run of features, by doubling
     points = np.zeros(len(rank), "i4")
     ends = np.cumsum(features)
-    for lo in range(0, len(rank), 1 << 20):
-        part = (rank[lo : lo + (1 << 20) + RUN - 1].astype("i8") << 22) | np.arange(min(len(rank) - lo, (1 << 20) + RUN - 1))
-        width = 1
-        while width < RUN and len(part) > width:
-            part = np.minimum(part[:-width], part[width:])
-            width *= 2
-        if width == RUN:
-            part = part[: 1 << 20]
-            inside = np.arange(lo, lo + len(part)) + RUN <= ends[owner[lo : lo + len(part)]]
-            won = np.bincount(part[inside] & ((1 << 22) - 1)).astype("i4")
-            points[lo : lo + len(won)] += won
+    part = (rank.astype("i8") << 22) | np.arange(len(rank))
+    width = 1
+    while width < RUN and len(part) > width:
+        part = np.minimum(part[:-width], part[width:])
+        width *= 2
+    if width == RUN:
+        inside = np.arange(len(part)) + RUN <= ends[owner[: len(part)]]
+        won = np.bincount(part[inside] & ((1 << 22) - 1))
+        points[: len(won)] = won
+    return rank, points, features
+
+
+def _selected(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the selected features of texts of 64 bytes or more that lie in ``flat`` (under 2 ** 22 bytes), and their texts."""
+    rank, points, features = _points(flat, starts, sizes)
+    ends = np.cumsum(features)
+    owner = np.repeat(np.arange(len(starts)), features)
+    at = starts[owner] + np.arange(len(owner)) - (ends - features)[owner]
     take = points >= POINTS
     none = np.bincount(owner[take], minlength=len(starts)) == 0
     if none.any():
@@ -123,32 +135,33 @@ def _selected(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[
     return at[take], owner[take]
 
 
-def digests(texts: list[bytes]) -> list[np.ndarray]:
-    """The chain of filters of each text, 256 bytes a row."""
-    long_ones = [i for i, t in enumerate(texts) if len(t) >= WINDOW]
-    owners, hashes = [], []
-    if long_ones:
-        flat = np.frombuffer(b"".join(texts[i] for i in long_ones), "u1")
-        sizes = np.array([len(texts[i]) for i in long_ones], "i8")
-        at, own = _selected(flat, np.cumsum(sizes) - sizes, sizes)
-        owners.append(np.array(long_ones)[own])
-        hashes.append(_mixed(flat, at))
-    short = [i for i, t in enumerate(texts) if 0 < len(t) < WINDOW]
-    if short:
-        small = [[texts[i][j : j + SMALL] for j in range(max(1, len(texts[i]) - SMALL + 1))] for i in short]
-        owners.append(np.repeat(np.array(short), [len(x) for x in small]))
-        hashes.append(np.array([int.from_bytes(hashlib.sha1(x).digest()[:8], "little") for own in small for x in own], "u8"))
-    if not owners:
-        return [np.empty((0, BITS // 8), "u1")] * len(texts)
-    owner, h = np.concatenate(owners), np.concatenate(hashes)
-    place = np.arange(len(owner))
-    order = np.lexsort((place, h, owner))
+def _hashes_of_long(text: bytes) -> np.ndarray:
+    """Hashes of the selected features of one text, block by block: a feature's points come from the runs within 63 features of it."""
+    features, found, lowest = len(text) - WINDOW + 1, [], None
+    for lo in range(0, features, BLOCK):
+        hi = min(features, lo + BLOCK)
+        first = max(0, lo - RUN + 1)
+        flat = np.frombuffer(text, "u1")[first : min(features, hi + RUN - 1) + WINDOW - 1]
+        rank, points, _ = _points(flat, np.zeros(1, "i8"), np.array([len(flat)]))
+        own = slice(lo - first, hi - first)
+        at = np.flatnonzero(points[own] >= POINTS) + lo - first
+        found.append(_mixed(flat, at))
+        best = int(np.argmin(rank[own])) + lo - first
+        if lowest is None or rank[best] < lowest[0]:
+            lowest = (rank[best], _mixed(flat, np.array([best])))
+    chosen = np.concatenate(found)
+    return chosen if len(chosen) else lowest[1]
+
+
+def _filters(owner: np.ndarray, h: np.ndarray, n: int) -> list[np.ndarray]:
+    """The chain of filters of each of ``n`` texts from the hashes of its features in order; a feature counts once."""
+    order = np.lexsort((np.arange(len(owner)), h, owner))
     first = np.ones(len(order), bool)
     first[1:] = (owner[order][1:] != owner[order][:-1]) | (h[order][1:] != h[order][:-1])
     kept = np.sort(order[first])
     kept = kept[np.argsort(owner[kept], kind="stable")]
     owner, h = owner[kept], h[kept]
-    count = np.bincount(owner, minlength=len(texts))
+    count = np.bincount(owner, minlength=n)
     filters = -(-count // PER_FILTER)
     base = np.cumsum(filters) - filters
     nth = np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
@@ -157,7 +170,30 @@ def digests(texts: list[bytes]) -> list[np.ndarray]:
     for j in range(5):
         bits[row, ((h >> np.uint64(11 * j)) & np.uint64(BITS - 1)).astype("i8")] = 1
     packed = np.packbits(bits, axis=1)
-    return [packed[b : b + n] for b, n in zip(base, filters, strict=True)]
+    return [packed[b : b + m] for b, m in zip(base, filters, strict=True)]
+
+
+def digests(texts: list[bytes]) -> list[np.ndarray]:
+    """The chain of filters of each text, 256 bytes a row: those of 8-byte features, then those of 64-byte ones."""
+    owners, hashes = [np.empty(0, "i8")], [np.empty(0, "u8")]
+    middle = [i for i, t in enumerate(texts) if SHORT <= len(t) <= BLOCK]
+    for lo, hi in _spans([len(texts[i]) for i in middle], BLOCK):
+        ranked = middle[lo:hi]
+        flat = np.frombuffer(b"".join(texts[i] for i in ranked), "u1")
+        sizes = np.array([len(texts[i]) for i in ranked], "i8")
+        at, own = _selected(flat, np.cumsum(sizes) - sizes, sizes)
+        owners.append(np.array(ranked)[own])
+        hashes.append(_mixed(flat, at))
+    for i in (i for i, t in enumerate(texts) if len(t) > BLOCK):
+        hashes.append(_hashes_of_long(texts[i]))
+        owners.append(np.full(len(hashes[-1]), i))
+    large = _filters(np.concatenate(owners), np.concatenate(hashes), len(texts))
+    short = [i for i, t in enumerate(texts) if 0 < len(t) < BOTH]
+    small = [[texts[i][j : j + SMALL] for j in range(max(1, len(texts[i]) - SMALL + 1))] for i in short]
+    owner = np.repeat(np.array(short, "i8"), [len(x) for x in small])
+    h = np.array([int.from_bytes(hashlib.sha1(x).digest()[:8], "little") for own in small for x in own], "u8")
+    tiny = _filters(owner, h, len(texts))
+    return [np.concatenate((a, b)) for a, b in zip(tiny, large, strict=True)]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -197,29 +233,40 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     return docs.select(*keep, docs[text].cast("string").alias("text")).mapInArrow(printed, schema)
 
 
-def _spans(sizes: list[int]):
+def _spans(sizes: list[int], limit: int = BATCH_BYTES):
     lo, held = 0, 0
     for i, n in enumerate(sizes):
         held += n
-        if held >= BATCH_BYTES:
+        if held >= limit:
             yield lo, i + 1
             lo, held = i + 1, 0
     if lo < len(sizes):
         yield lo, len(sizes)
 
 
-def _bucket(key, bounds: list[int]):
-    """How many bounds are at most ``key``, in about 2 sqrt(n) comparisons."""
-    if not bounds:
-        return F.lit(0)
+def _below(key, bounds: list[int]):
+    """How many of the sorted bounds are less than ``key``, in about 2 sqrt(n) comparisons."""
     step = max(1, int(len(bounds) ** 0.5))
     groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    coarse = F.size(F.filter(F.lit([g[0] for g in groups]).cast("array<bigint>"), lambda b: b <= key))
+    coarse = F.size(F.filter(F.lit([g[0] for g in groups]).cast("array<bigint>"), lambda b: b < key))
     fine = F.element_at(F.array(*[F.lit(g).cast("array<bigint>") for g in groups]), F.greatest(coarse, F.lit(1)))
-    inside = F.size(F.filter(fine, lambda b: b <= key))
+    inside = F.size(F.filter(fine, lambda b: b < key))
     return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + inside)
 
 
+def _bucket(key, h, bounds: list[int]):
+    """The bucket of a row in the order of ``key`` and then ``h``: the number of bounds at or below it.
+
+    A bound that occurs m times is a key so common that it fills m buckets; its rows are dealt to them by ranges of ``h``.
+    """
+    if not bounds:
+        return F.lit(0)
+    times = {b: bounds.count(b) for b in set(bounds)}
+    equal = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for b, m in sorted(times.items()) for x in (b, m)]), key), F.lit(0))
+    share = h.cast("double") / 2.0**64 + 0.5
+    return (_below(key, bounds) + F.when(equal == 0, 0).otherwise(F.least(equal, F.floor(share * equal).cast("int") + 1))).cast("int")
+
+
 def edited(text: str, following: str) -> str:
     """The last half of the text's code points replaced by the first as many (or all) of the following text."""
     half = len(text) // 2
@@ -232,27 +279,27 @@ SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 def compare_with_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness; and likeness to the next document's.
 
-    Documents are ordered by doc_id (null first, equal ids by text).  Buckets between quantiles of doc_id go to the
-    partitions, each with a copy of the next bucket's first row, so texts are shuffled once and no task holds more than
-    its bucket's stream.
+    Documents are ordered by doc_id (null first, equal ids by a hash of the text).  Buckets between quantiles of doc_id go
+    to the partitions, an id that fills several quantiles to several, each with a copy of the next bucket's first
+    row, so texts are shuffled once and no task holds more than its bucket's stream.
     """
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     rows = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     shares = [i / n for i in range(1, n)]
-    found = rows.select(F.percentile_approx("key", shares, max(10_000, 20 * n)).alias("q")).first()["q"] if shares else None
-    bounds = sorted(set(found or []))
-    placed = rows.withColumn("bucket", _bucket(F.col("key"), bounds))
-    firsts = sorted((r["bucket"], r["key"]) for r in placed.groupBy("bucket").agg(F.min("key").alias("key")).collect())
+    bounds = sorted(rows.select(F.percentile_approx("key", shares, max(10_000, 20 * n)).alias("q")).first()["q"] or []) if shares else []
+    placed = rows.withColumn("h", F.xxhash64("text")).withColumn("bucket", _bucket(F.col("key"), F.col("h"), bounds))
+    firsts = sorted((r["bucket"], r["first"]["key"], r["first"]["h"]) for r in placed.groupBy("bucket").agg(F.min(F.struct("key", "h")).alias("first")).collect())
     before = [firsts[i - 1][0] for i in range(len(firsts))]
-    ahead = spark.createDataFrame([(k, b) for (_, k), b in zip(firsts, before, strict=True)], "key long, before int")  # a row for each partition
+    ahead = spark.createDataFrame([(k, h, b) for (_, k, h), b in zip(firsts, before, strict=True)], "key long, h long, before int")  # a row for each partition
+    ahead = ahead.groupBy("key", "h").agg(F.collect_list("before").alias("before"))
     dealt = (
-        placed.join(F.broadcast(ahead), "key", "left")
-        .select("key", "doc_id", "text", F.posexplode(F.array_compact(F.array("bucket", "before"))).alias("copy", "bucket"))
-        .repartitionByRange(n, "bucket")
-        .sortWithinPartitions("bucket", "copy", "key", "text")
-        .select("bucket", "copy", "doc_id", "text")
+        placed.join(F.broadcast(ahead), ["key", "h"], "left")
+        .select("key", "h", "doc_id", "text", F.posexplode(F.concat(F.array("bucket"), F.coalesce("before", F.array().cast("array<int>")))).alias("copy", "bucket"))
+        .repartitionById(n, F.col("bucket"))
+        .sortWithinPartitions("bucket", F.col("copy") > 0, "key", "h", "text")
+        .select("bucket", F.least("copy", F.lit(1)).alias("copy"), "doc_id", "text")
     )
 
     def compared(batches):

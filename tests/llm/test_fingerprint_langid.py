@@ -1,4 +1,5 @@
 import hashlib
+import random
 import unicodedata
 import zlib
 
@@ -7,6 +8,8 @@ from prosewright.llm import fingerprint as fp
 from prosewright.llm import langid
 from prosewright.llm.langid import MIN_SHARE, Model, has_letter, identify, in_known_language, learn, learn_from
 
+from pyspark.sql import functions as F
+
 from .conftest import rows
 
 
@@ -42,6 +45,72 @@ def test_likeness_bounds():
     assert 0 <= fp.likeness(a, b) < 0.2 and fp.likeness(a, b) == fp.likeness(b, a)
 
 
+def test_long_texts_are_cut_inside_and_select_what_the_whole_selects(monkeypatch):
+    text = " ".join(r[1] for r in rows() if r[1]).encode() + b"q" * 900
+    at, _ = fp._selected(np.frombuffer(text, "u1"), np.zeros(1, "i8"), np.array([len(text)]))
+    whole = fp._mixed(np.frombuffer(text, "u1"), at)
+    for block in (70, 1000, 4096):
+        monkeypatch.setattr(fp, "BLOCK", block)
+        assert np.array_equal(fp._hashes_of_long(text), whole)
+        flat = b"z" * 300  # no feature gains enough points
+        at, _ = fp._selected(np.frombuffer(flat, "u1"), np.zeros(1, "i8"), np.array([300]))
+        assert np.array_equal(fp._hashes_of_long(flat), fp._mixed(np.frombuffer(flat, "u1"), at))
+
+
+def test_filters_are_those_of_single_features():
+    """The chain of one text, feature by feature: five bits each, a new filter after 160 distinct ones."""
+    for text in ((" ".join(r[1] for r in rows()[:20] if r[1]) * 3).encode(), b"a text of some three hundred bytes, " * 9, b"short one"):
+        chain, seen = [], set()
+        features = ([[text[i : i + 8] for i in range(len(text) - 7)]] if len(text) < 512 else []) + ([slow_selected(text)] if len(text) >= 256 else [])
+        for kind in features:
+            inside = 160
+            for f in kind:
+                if f in seen:
+                    continue
+                seen.add(f)
+                if inside == 160:
+                    chain.append(set())
+                    inside = 0
+                h = int(fp._mixed(np.frombuffer(f, "u1"), np.zeros(1, "i8"))[0]) if len(f) == 64 else int.from_bytes(hashlib.sha1(f).digest()[:8], "little")
+                chain[-1] |= {h >> 11 * j & 2047 for j in range(5)}
+                inside += 1
+        assert [set(np.flatnonzero(np.unpackbits(x)).tolist()) for x in fp.digests([text])[0]] == chain
+
+
+def slow_likeness(a, b):
+    a, b = (([set(np.flatnonzero(np.unpackbits(f)).tolist()) for f in x]) for x in (a, b))
+    if not a or not b:
+        return float(len(a) == len(b))
+    if len(a) > len(b):
+        a, b = b, a
+    score = lambda x, y: min(1, max(0, (len(x & y) - len(x) * len(y) / 2048) / max(min(len(x), len(y)) - len(x) * len(y) / 2048, 1e-9)))
+    return sum(len(x) * max(score(x, y) for y in b) for x in a) / sum(map(len, a))
+
+
+def test_short_texts_are_told_apart_by_share():
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefgh ijklmnop") for _ in range(n))
+    for n in (20, 70, 100, 140, 250, 300, 600):
+        own, other = text(n), text(n)
+        changed = own[: n // 2] + other[: n - n // 2]
+        a, b, c, d = fp.digests([own.encode(), changed.encode(), other.encode(), own[: n // 2].encode()])
+        assert fp.likeness(a, b) > 0.2 and fp.likeness(a, c) < 0.2 and fp.likeness(a, d) > 0.5
+
+
+def test_common_ids_are_dealt_to_several_buckets(spark):
+    own = [(None, f"text number {i} without an id") for i in range(300)] + [(i, f"text {i}") for i in range(40)]
+    docs = spark.createDataFrame(own, "doc_id long, text string")
+    got = fp.compare_with_edits(docs).collect()
+    assert sorted((r["doc_id"] is None, r["n_chars"]) for r in got) == sorted((i is None, len(t)) for i, t in own)
+    follows = {r["edited_sha256"] for r in got}
+    for i in range(39):
+        t = f"text {i}"
+        assert hashlib.sha256((t[: len(t) - len(t) // 2] + f"text {i + 1}"[: len(t) // 2]).encode()).hexdigest() in follows
+    placed = docs.selectExpr("coalesce(doc_id, -9223372036854775808) key", "xxhash64(text) h").withColumn("b", fp._bucket(F.col("key"), F.col("h"), [-(2**63)] * 3 + [10]))
+    ends = {r["b"]: (r["lo"], r["hi"]) for r in placed.groupBy("b").agg(F.min(F.struct("key", "h")).alias("lo"), F.max(F.struct("key", "h")).alias("hi")).collect()}
+    assert set(ends) == {1, 2, 3, 4} and all(ends[b][1] < ends[b + 1][0] for b in (1, 2, 3))
+
+
 def test_edits_and_order(docs, empty, odd):
     got = {r["doc_id"]: r for r in fp.compare_with_edits(docs).collect()}
     own = sorted({(r[0], r[1] or "") for r in rows()})
@@ -51,7 +120,9 @@ def test_edits_and_order(docs, empty, odd):
         if doc != 150:  # a repeated row is its own neighbour
             assert got[doc]["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
             assert got[doc]["n_chars"] == len(text)
-            assert got[doc]["edited_fingerprint"] == fp.as_text(fp.digests([changed.encode()])[0])
+            prints = [fp.digests([t.encode()])[0] for t in (text, changed, after)]
+            assert (got[doc]["fingerprint"], got[doc]["edited_fingerprint"]) == (fp.as_text(prints[0]), fp.as_text(prints[1]))
+            assert abs(got[doc]["near_edited"] - slow_likeness(prints[0], prints[1])) < 1e-9 and abs(got[doc]["near_next"] - slow_likeness(prints[0], prints[2])) < 1e-9
     assert fp.compare_with_edits(docs).count() == len(rows())
     assert fp.compare_with_edits(empty).count() == 0 and fp.compare_with_edits(odd).count() == 3
 
