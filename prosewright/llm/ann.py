@@ -4,10 +4,12 @@ A vector is coded as the sum of one full-dimensional codeword from each of 16 co
 after the other on what the earlier ones leave over, on a bounded sample, and a beam search over the books picks
 the codewords.  The squared norm of the sum is stored.  A query's distance to a coded vector is then, but for a constant,
 that norm less twice the sum of 16 entries of the query's lookup tables.  What the code leaves over of a vector (its
-residual norm) is stored too: the distance to the vector differs from that to its code by this much at most.  Query
-blocks meet data blocks; the exact distances of the best scores bound the block's ``k`` nearest, and every row that
-this bound and its own residual norm do not rule out is reranked by exact distance on original vectors.  Nothing else is
-cut, so the neighbours are the true ones, also in large groups of near copies, whose codes hardly differ.
+residual norm) is stored too: the distance to the vector differs from that to its code by this much at most.  Queries are
+broadcast in super-blocks of at most about QUERY_BYTES, and each passes once over the codes where they lie.  A task scores
+block after block; the exact distances of the best scores, and what it found before, bound a query's ``k`` nearest, and
+every row that this bound and its own residual norm do not rule out is reranked by exact distance on original vectors.
+Nothing else is cut, so the neighbours are the true ones, also in large groups of near copies, whose codes hardly differ.
+Only the ``k`` nearest of each query and task are shuffled.
 
 Vectors that are null, empty, zero, hold a null or non-finite component, or are not of the commonest dimension take no
 part.  Equal rows are merged before they are coded.  Repeated vec_ids count once, with the nearest of their vectors; a query never finds its own vec_id.  Ties go
@@ -16,8 +18,10 @@ to the smaller vec_id.  Fewer neighbours than asked for: all of them.  An empty
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosewright.llm.common import Scratch, shuffle_partitions
@@ -26,8 +30,8 @@ BOOKS, WORDS = 16, 256
 BEAM = 4
 SAMPLE = 16_384
 ROUNDS = 8
-QUERY_BLOCK = 1024
-DATA_BYTES = 1 << 25  # of vectors in a data block
+QUERY_BYTES = 1 << 24  # of query vectors in a super-block
+DATA_BYTES = 1 << 25  # of vectors scored at once
 SLACK = 1e-5  # of the squared norms: what single precision may add to a score
 
 
@@ -98,57 +102,86 @@ def _distances(x: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.sqrt(np.cumsum((x - query) ** 2, axis=1)[:, -1])
 
 
-def best_of_block(ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, rests: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, books: np.ndarray, k: int):
-    """For each query row (query_ids, ids, distances) of the block's ``k`` nearest ids, ties by id; ids are sorted."""
-    out = []
-    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ids))))
-    largest = float(norms.max(initial=0))
-    for lo in range(0, len(queries), 128):
-        for query, y, lut in zip(query_ids[lo : lo + 128], queries[lo : lo + 128], tables(queries[lo : lo + 128], books), strict=True):
-            score = norms.copy()
-            for m in range(len(lut)):
-                score += lut[m][codes[:, m]]
-            own = ids == query
-            score[own] = np.inf
-            # an upper bound of the k-th nearest id's distance: exact distances of the best-scored row of some ids
-            best = np.minimum.reduceat(score, first)
-            bound = np.inf
-            if len(best) > 4 * k:
-                some = np.argpartition(best, 4 * k - 1)[: 4 * k]
-                row = first[some] if len(first) == len(ids) else np.array([first[g] + np.argmin(score[group == g]) for g in some])
-                row = row[~own[row]]
-                if len(row) >= k:
-                    bound = np.partition(_distances(x[row], y), k - 1)[k - 1]
-            square = float((y**2).sum())
-            reach = (bound + rests) ** 2 + SLACK * (square + largest)
-            at = np.flatnonzero(~(score + square > reach) & ~own)
-            if not len(at):
-                continue
-            rest = x[at] - y
-            rough = np.einsum("ij,ij->i", rest, rest)
-            near = np.minimum.reduceat(rough, np.flatnonzero(np.concatenate(([True], group[at][1:] != group[at][:-1]))))
-            if len(near) > k:
-                at = at[~(rough > np.partition(near, k - 1)[k - 1] * (1 + 1e-9))]
-            distance = _distances(x[at], y)
-            order = np.lexsort((ids[at], distance))
-            at, distance = at[order], distance[order]
-            _, nearest = np.unique(ids[at], return_index=True)
-            nearest = np.sort(nearest)[:k]
-            out.append((np.full(len(nearest), query), ids[at[nearest]], distance[nearest]))
-    return [np.concatenate(x) for x in zip(*out, strict=True)] if out else None
-
-
-def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
+class Nearest:
+    """The ``k`` nearest ids found so far for each of some queries, and their distances."""
+
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, books: np.ndarray, k: int):
+        self.query_ids, self.queries, self.books, self.k = query_ids, queries, books, k
+        self.found = [(np.empty(0, "i8"), np.empty(0))] * len(queries)
+
+    def add(self, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, rests: np.ndarray, x: np.ndarray) -> None:
+        """Looks through one block of coded rows; ids are sorted."""
+        first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ids))))
+        largest = float(norms.max(initial=0))
+        for lo in range(0, len(self.queries), 128):
+            for i, lut in enumerate(tables(self.queries[lo : lo + 128], self.books), lo):
+                score = norms.copy()
+                for m in range(len(lut)):
+                    score += lut[m][codes[:, m]]
+                self._rerank(i, score, ids, first, group, largest, rests, x)
+
+    def _rerank(self, i: int, score: np.ndarray, ids: np.ndarray, first: np.ndarray, group: np.ndarray, largest: float, rests: np.ndarray, x: np.ndarray) -> None:
+        k, y, (known, known_far) = self.k, self.queries[i], self.found[i]
+        own = ids == self.query_ids[i]
+        score[own] = np.inf
+        # an upper bound of the k-th nearest id's distance: what is known, or exact distances of the best-scored row of some ids
+        bound = known_far[k - 1] if len(known) == k else np.inf
+        best = np.minimum.reduceat(score, first)
+        if len(best) > 4 * k:
+            some = np.argpartition(best, 4 * k - 1)[: 4 * k]
+            row = first[some] if len(first) == len(ids) else np.array([first[g] + np.argmin(score[group == g]) for g in some])
+            row = row[~own[row]]
+            if len(row) >= k:
+                bound = min(bound, np.partition(_distances(x[row], y), k - 1)[k - 1])
+        square = float((y**2).sum())
+        at = np.flatnonzero(~(score + square > (bound + rests) ** 2 + SLACK * (square + largest)) & ~own)
+        if not len(at):
+            return
+        rest = x[at] - y
+        rough = np.einsum("ij,ij->i", rest, rest)
+        near = np.minimum.reduceat(rough, np.flatnonzero(np.concatenate(([True], group[at][1:] != group[at][:-1]))))
+        if len(near) > k:
+            at = at[~(rough > np.partition(near, k - 1)[k - 1] * (1 + 1e-9))]
+        every, distance = np.concatenate((known, ids[at])), np.concatenate((known_far, _distances(x[at], y)))
+        order = np.lexsort((every, distance))
+        every, distance = every[order], distance[order]
+        nearest = np.sort(np.unique(every, return_index=True)[1])[:k]
+        self.found[i] = (every[nearest], distance[nearest])
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query_ids, ids, distances) of all that was found."""
+        return (
+            np.repeat(self.query_ids, [len(ids) for ids, _ in self.found]), np.concatenate([ids for ids, _ in self.found] or [np.empty(0, "i8")]),
+            np.concatenate([far for _, far in self.found] or [np.empty(0)]),
+        )
+
+
+def _blocks(batches, row_bytes: int):
+    """Arrow batches joined to tables of about DATA_BYTES of vectors."""
+    import pyarrow as pa
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n * row_bytes >= DATA_BYTES:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 10, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) of the ``k`` nearest for each query row."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), is_query.alias("asks"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("v")))
     sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim = sizes["dim"] if sizes else 1
-    n = sizes["count"] if sizes else 0
-    rows = rows.where(F.size("v") == dim).groupBy("vec_id", "v").agg(F.max("asks").alias("asks"))
+    dim, n = (sizes["dim"], sizes["count"]) if sizes else (1, 0)
+    parts = max(shuffle_partitions(spark), -(-n * dim * 8 // DATA_BYTES))
+    rows = rows.where(F.size("v") == dim).repartition(parts, "vec_id", "v").groupBy("vec_id", "v").agg(F.max("asks").alias("asks"))
     rows = scratch.write(rows, "rows")
     sample = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id", "v").limit(SAMPLE).select("v").toPandas()["v"]
     books = train(np.stack(sample.to_numpy())) if len(sample) else np.zeros((1, 1, dim), "f4")
@@ -170,31 +203,30 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
 
     codes = scratch.write(rows.select("vec_id", "v", "asks").mapInArrow(coded, "vec_id long, asks boolean, x binary, code binary, norm float, rest double"), "codes")
     scratch.drop("rows")
-    asked = codes.where("asks").select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"))
-    query_blocks = -(-max(1, asked.count()) // QUERY_BLOCK)
-    data_blocks = max(1, -(-n * dim * 8 // DATA_BYTES), min(-(-n // 256), 2 * shuffle_partitions(spark)))
-    left = asked.select(
-        "*", F.pmod(F.xxhash64("query_id", "q"), F.lit(query_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(data_blocks - 1).cast("long"))).alias("db")
-    )
-    right = codes.drop("asks").select("*", F.pmod(F.xxhash64("vec_id", "x", F.lit(1)), F.lit(data_blocks)).alias("db"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("qb"))
-
-    def scored(q, d):
-        import pandas as pd
-
-        got = None
-        if len(q) and len(d):
-            d = d.sort_values("vec_id", kind="stable")
-            got = best_of_block(
-                d["vec_id"].to_numpy(), np.frombuffer(b"".join(d["code"]), "u1").reshape(len(d), -1), d["norm"].to_numpy("f4"), d["rest"].to_numpy("f8"), np.frombuffer(b"".join(d["x"]), "f8").reshape(len(d), -1),
-                q["query_id"].to_numpy(), np.frombuffer(b"".join(q["q"]), "f8").reshape(len(q), -1), shared.value, k,
-            )
-        if got is None:
-            return pd.DataFrame({"query_id": pd.Series(dtype="i8"), "vec_id": pd.Series(dtype="i8"), "score": pd.Series(dtype="f8")})
-        return pd.DataFrame({"query_id": got[0], "vec_id": got[1], "score": got[2]})
-
-    from pyspark.sql import Window
-
-    found = left.groupBy("db", "qb").cogroup(right.groupBy("db", "qb")).applyInPandas(scored, "query_id long, vec_id long, score double")
+    asked = codes.where("asks").select("vec_id", "x")
+    blocks = max(1, -(-asked.count() * dim * 8 // query_bytes))
+
+    def nearest_of(block: int) -> DataFrame:
+        """The nearest of the queries of one super-block, by task; what is collected and broadcast is about ``query_bytes``."""
+        frame = asked.where(F.pmod(F.xxhash64("vec_id", "x"), F.lit(blocks)) == block).toPandas()
+        queries = spark.sparkContext.broadcast((frame["vec_id"].to_numpy("i8"), np.frombuffer(b"".join(frame["x"]), "f8").reshape(len(frame), dim)))
+
+        def scored(batches):
+            import pyarrow as pa
+
+            best = Nearest(*queries.value, shared.value, k)
+            for part in _blocks(batches, dim * 8):
+                part = part.sort_by("vec_id")
+                raw = lambda name, kind, part=part: np.frombuffer(b"".join(part.column(name).to_pylist()), kind).reshape(part.num_rows, -1)
+                best.add(part.column("vec_id").to_numpy(), raw("code", "u1"), part.column("norm").to_numpy(), part.column("rest").to_numpy(), raw("x", "f8"))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in best.rows()], names=["query_id", "vec_id", "score"])
+
+        return codes.select("vec_id", "x", "code", "norm", "rest").mapInArrow(scored, "query_id long, vec_id long, score double")
+
+    found = reduce(DataFrame.union, [nearest_of(b) for b in range(blocks)])
     exact = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    out = exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    out = scratch.write(out, "result")
+    scratch.drop("codes")
+    return out

@@ -139,6 +139,24 @@ def test_a_repeated_id_takes_one_place(spark):
     assert got == [int(i) for i in np.append(np.arange(1, 300), [1000, 1001])[np.argsort(d)[:10]]]
 
 
+def test_super_blocks_of_queries_find_the_same(spark, monkeypatch):
+    import prosewright.llm.ann as ann
+
+    rng = np.random.default_rng(5)
+    data = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(900, 8)))]
+    table = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    found = [sorted(map(tuple, search(table, F.col("vec_id") % 30 == 0, query_bytes=n).collect())) for n in (1 << 24, 8 * 8 * 7)]
+    assert found[0] == found[1] and len(found[0]) == 300
+
+    best = [ann.Nearest(np.array([0, 30]), np.array([data[0][1], data[30][1]]), np.zeros((1, 1, 8), "f4"), 10) for _ in range(2)]
+    x = np.array([v for _, v in data])
+    for b, step in zip(best, (900, 70), strict=True):  # block after block, with the bound of those before
+        for lo in range(0, 900, step):
+            part = x[lo : lo + step]
+            b.add(np.arange(lo, lo + len(part)), np.zeros((len(part), 1), "u1"), np.zeros(len(part), "f4"), np.linalg.norm(part, axis=1), part)
+    assert all(np.array_equal(a, b) for a, b in zip(best[0].rows(), best[1].rows(), strict=True))
+
+
 def test_beam_search_is_no_worse_than_greedy():
     x = np.random.default_rng(2).normal(size=(300, 12))
     books = train(x, books=4, words=16)
