@@ -13,6 +13,7 @@ Null text is the empty text: it has only the end id.  Repeated rows are packed e
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -36,40 +37,66 @@ FIELDS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 SCHEMA = ", ".join(f"{f} long" for f in FIELDS) + ", by_cut boolean"
 
 _SURE = r"[\w!-/:-@\[-`{-~]"  # surely not white space
-#: words with the white space before them: a space or line feed that follows a sure character begins the next
-_WORDS = re.compile(rf"[ \n]?{_SURE}+(?=[ \n]|\Z)|.+?(?<={_SURE})(?=[ \n])|.+", re.S)
+_LETTER, _MARK = r"A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"
+#: pieces that a byte-level BPE with the usual pattern keeps apart: letters, digits or marks with a space before them, if what
+#: follows surely ends them; else all up to a space or line feed behind a sure character
+_UNITS = re.compile(
+    rf" ?[{_LETTER}]++(?=[ \n0-9'{_MARK}]|\Z)| ?[0-9]++(?=[ \n{_LETTER}'{_MARK}]|\Z)| ?[{_MARK}]++(?=[ \n{_LETTER}0-9]|\Z)|.+?(?<={_SURE})(?=[ \n])|.+",
+    re.S,
+)
+_SINGLE = re.compile(rf" ?(?:[{_LETTER}]+|[0-9]+|[{_MARK}]+)")
+#: bytes as the characters that byte-level vocabularies are spelled in: printable ones as they are, the others from 256 on
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_SPELLED = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 class Encoder:
     """Ids of whole texts as the tokenizer's library gives them.
 
-    No token of a byte-level BPE crosses from a sure character to white space, so a text's ids are those of its words in
-    a row, and the library is asked once for each distinct word that is remembered.
+    A byte-level BPE's ids of a text are those of its pieces in a row, so the library is asked once for each distinct piece
+    that is remembered: its model for single pieces, its encoder for others.  Texts that hold a special token's string,
+    and tokenizers of other kinds, are encoded part by part.
     """
 
     def __init__(self, name: str):
-        self.tok, self.whole = load_tokenizer(name), name.endswith(".model")
+        self.tok, self.model_file = load_tokenizer(name), name.endswith(".model")
         self.known: dict[str, tuple[int, ...]] = {}
         self.held = 0
-
-    def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
+        if not self.model_file:
+            made = json.loads(self.tok.to_str())
+            kind = made["pre_tokenizer"] or {}
+            self.by_piece = made["normalizer"] is None and kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind["add_prefix_space"]
+            self.special = [t["content"] for t in made["added_tokens"]]
+            self.model = self.tok.model
+
+    def _learn(self, pieces: set[str]) -> None:
+        new = [p for p in pieces if p not in self.known]
         if not new:
             return
         if self.held > MEMO_CHARS:
             self.known.clear()
-            new, self.held = list(words), 0
-        self.known.update(zip(new, (tuple(e.ids) for e in self.tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+            new, self.held = list(pieces), 0
+        other = []
+        for p in new:
+            if _SINGLE.fullmatch(p):
+                self.known[p] = tuple([t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(_SPELLED))])
+            else:
+                other.append(p)
+        self.known.update(zip(other, (tuple(e.ids) for e in self.tok.encode_batch_fast(other, add_special_tokens=False)), strict=True))
         self.held += sum(map(len, new)) + 64 * len(new)
 
     def ids(self, text: str) -> np.ndarray:
-        if self.whole:
+        if self.model_file:
             return np.array(self.tok.encode(text), "<u4")
         parts = []
-        for part in safe_pieces(text, PART_CHARS):
-            words = _WORDS.findall(part)
-            self._learn(set(words))
-            parts.append(np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), "<u4"))
+        by_piece = self.by_piece and not any(s in text for s in self.special)
+        for part in safe_pieces(text, PART_CHARS if by_piece else 16_384):
+            if by_piece:
+                pieces = _UNITS.findall(part)
+                self._learn(set(pieces))
+                parts.append(np.fromiter(chain.from_iterable(map(self.known.__getitem__, pieces)), "<u4"))
+            else:
+                parts.append(np.array(self.tok.encode(part, add_special_tokens=False).ids, "<u4"))
         return np.concatenate(parts) if parts else np.empty(0, "<u4")
 
 
