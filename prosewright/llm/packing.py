@@ -29,7 +29,7 @@ from prosewright.llm.tokens import load_tokenizer, safe_pieces
 CAPACITY = 1024
 PARTITION_BITS = 40
 MERGED = 1 << 62  # sequence ids of windows that packers of open windows close
-TOKENS_A_PACKER = 1 << 24  # 64 MB of ids
+TOKENS_A_PACKER = 1 << 22  # 16 MB of ids
 PART_CHARS = 1 << 20
 MEMO_CHARS = 1 << 25
 
@@ -50,40 +50,41 @@ _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _SPELLED = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
+class Known(dict):
+    """Ids of pieces, asked of the library when first looked up: its model for single pieces, its encoder for others."""
+
+    def __init__(self, tok):
+        super().__init__()
+        self.tok, self.model, self.held = tok, tok.model, 0
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        if self.held > MEMO_CHARS:
+            self.clear()
+            self.held = 0
+        if _SINGLE.fullmatch(piece):
+            ids = tuple([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_SPELLED))])
+        else:
+            ids = tuple(self.tok.encode(piece, add_special_tokens=False).ids)
+        self.held += len(piece) + 64
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Ids of whole texts as the tokenizer's library gives them.
 
     A byte-level BPE's ids of a text are those of its pieces in a row, so the library is asked once for each distinct piece
-    that is remembered: its model for single pieces, its encoder for others.  Texts that hold a special token's string,
-    and tokenizers of other kinds, are encoded part by part.
+    that is remembered.  Texts that hold a special token's string, and tokenizers of other kinds, are encoded part by part.
     """
 
     def __init__(self, name: str):
         self.tok, self.model_file = load_tokenizer(name), name.endswith(".model")
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.held = 0
         if not self.model_file:
             made = json.loads(self.tok.to_str())
             kind = made["pre_tokenizer"] or {}
             self.by_piece = made["normalizer"] is None and kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind["add_prefix_space"]
             self.special = [t["content"] for t in made["added_tokens"]]
-            self.model = self.tok.model
-
-    def _learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.known]
-        if not new:
-            return
-        if self.held > MEMO_CHARS:
-            self.known.clear()
-            new, self.held = list(pieces), 0
-        other = []
-        for p in new:
-            if _SINGLE.fullmatch(p):
-                self.known[p] = tuple([t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(_SPELLED))])
-            else:
-                other.append(p)
-        self.known.update(zip(other, (tuple(e.ids) for e in self.tok.encode_batch_fast(other, add_special_tokens=False)), strict=True))
-        self.held += sum(map(len, new)) + 64 * len(new)
+            self.known = Known(self.tok)
 
     def ids(self, text: str) -> np.ndarray:
         if self.model_file:
@@ -92,9 +93,7 @@ class Encoder:
         by_piece = self.by_piece and not any(s in text for s in self.special)
         for part in safe_pieces(text, PART_CHARS if by_piece else 16_384):
             if by_piece:
-                pieces = _UNITS.findall(part)
-                self._learn(set(pieces))
-                parts.append(np.fromiter(chain.from_iterable(map(self.known.__getitem__, pieces)), "<u4"))
+                parts.append(np.fromiter(chain.from_iterable(map(self.known.__getitem__, _UNITS.findall(part))), "<u4"))
             else:
                 parts.append(np.array(self.tok.encode(part, add_special_tokens=False).ids, "<u4"))
         return np.concatenate(parts) if parts else np.empty(0, "<u4")
