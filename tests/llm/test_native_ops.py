@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 from prosewright.llm import queries as q
 from prosewright.llm.ann import encode, search, train
-from prosewright.llm.license import RULES, SENTENCES, scan_licenses
+from prosewright.llm.license import RULES, SENTENCES, known_sentences, scan_licenses
 from prosewright.llm.mixing import SCHEDULES, mix, mixed_documents, segments
 from prosewright.llm.urlfilter import judge_urls, rules_table
 from pyspark.sql import functions as F
@@ -76,16 +76,100 @@ def test_bloom_filter_has_no_false_negatives(spark):
     assert got == {i: "block" if i < 300 else "allow" for i in range(400)}
 
 
+# The published layout of licence notices, with names of holders made up.
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Some Holder
+Copyright (c) 2021 Another Holder
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+APACHE_HEADER = """/*
+ * Copyright 2020 Some Holder
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+ */
+int main() {}"""
+GPL_HEADER = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+#
+# You should have received a copy of the GNU General Public License
+# along with this program.  If not, see <https://www.gnu.org/licenses/>.
+import os"""
+BSD_HEADER = """// Copyright (c) 2009 Some Holder. All rights reserved.
+//
+// Redistribution and use in source and binary forms, with or without
+// modification, are permitted provided that the following conditions are
+// met:
+//
+//   1. Redistributions of source code must retain the above copyright
+//      notice, this list of conditions and the following disclaimer.
+//   2. Redistributions in binary form must reproduce the above copyright
+//      notice, this list of conditions and the following disclaimer in the
+//      documentation and/or other materials provided with the distribution.
+//   3. Neither the name of the copyright holder nor the names of its
+//      contributors may be used to endorse or promote products derived from
+//      this software without specific prior written permission."""
+
+
 def test_licences(spark, docs, empty, odd):
     mit = ". ".join(SENTENCES[i][0] for i in ("mit-grant", "mit-keep", "mit-asis")) + "."
-    texts = ["Released under the MIT License.", mit, mit + " All rights reserved!", "licensed under the Apache License, Version 2.0.\nYou may not use this file except in compliance with the License.", "MIT License", None, ""]
-    own = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    cases = [
+        ("Released under the MIT License.", "MIT", 1, 0), (mit, "MIT", 3, 0), (mit + " All rights reserved!", "MIT;all-rights-reserved", 4, 0),
+        ("licensed under the Apache License, Version 2.0.\nYou may not use this file except in compliance with the License.", "Apache-2.0", 2, 0),
+        ("a paragraph of text\nReleased under the MIT License\nwithout a full stop", "MIT", 1, 0), ("<!-- SPDX-License-Identifier: GPL-2.0-only -->\n<p>", "GPL-2.0-only", 1, 0),
+        ("This work is licensed under\na CC BY-NC 4.0.", "CC-BY-NC-4.0", 1, 0), ("The MIT License was named.", "", 0, 0), ("MIT License", "", 0, 0), (None, "", 0, 0), ("", "", 0, 0),
+        (MIT_TEXT, "MIT", 4, 0), (APACHE_HEADER, "Apache-2.0", None, 0), (GPL_HEADER, "GPL-3.0-or-later", None, 0), (BSD_HEADER, "BSD-3-Clause;all-rights-reserved", 5, 0),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.", "MPL-2.0", 2, 0),
+        ("words, words. " * 400 + "\r\n" + MIT_TEXT.replace("\n", "\r\n") + "\r\nLicensed under CC0.", "MIT;CC0-1.0", 5, 0),
+    ]
+    own = spark.createDataFrame([(i, t[0]) for i, t in enumerate(cases)], "doc_id long, text string")
     got = {r["doc_id"]: (r["licences"], r["n_sentences"], r["n_left"]) for r in scan_licenses(own).collect()}
-    assert got == {0: ("MIT", 1, 0), 1: ("MIT", 3, 0), 2: ("MIT;all-rights-reserved", 4, 0), 3: ("Apache-2.0", 2, 0), 4: ("", 0, 0), 5: ("", 0, 0), 6: ("", 0, 0)}
+    for i, (_, licences, n, left) in enumerate(cases):
+        assert got[i] == (licences, got[i][1] if n is None else n, left), (i, got[i])
     for table in (own, docs):
         assert spark_rows(scan_licenses(table), ["doc_id", "licences", "n_sentences", "n_left"]) == oracle(q.oracle_sql()["op7_license_sentences"], documents=table.select("doc_id", "text"))
     assert scan_licenses(empty).count() == 0 and scan_licenses(odd).count() == 3
-    assert all(i in SENTENCES for _, ids in RULES for i in ids)
+    known = set(known_sentences().values())
+    assert all(i == "~" or i.removesuffix("?") in known for _, ids in RULES for i in ids) and len(known_sentences()) > 500
+
+
+def test_own_licence_sentences_and_rules(spark):
+    own = spark.createDataFrame([(1, "Free to read. Something else. Not to be sold."), (2, "Not to be sold. Free to read."), (3, "Free to read.")], "doc_id long, text string")
+    got = scan_licenses(own, known={"free to read": "r", "not to be sold": "s"}, rules=[("both", ["r", "~", "s"]), ("sold", ["s", "x?"])])
+    assert {r["doc_id"]: (r["licences"], r["n_sentences"], r["n_left"]) for r in got.collect()} == {1: ("both", 2, 0), 2: ("sold", 2, 1), 3: ("", 1, 1)}
 
 
 def test_nearest_neighbours(spark):
