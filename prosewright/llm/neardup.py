@@ -12,8 +12,11 @@ on their full sets: all pairs of buckets of up to SMALL documents, and each docu
 smallest.  Larger buckets that then still hold more than one component are compared in full, block by block.  Nothing is
 capped or sampled, and no link between documents of different components is left out.
 
+No join or group takes a common key whole: pairs and members of large buckets are dealt in parts by the bucket's size.
+
 Null text, text without words: empty set, a component of its own.  A null doc_id is never linked: component_id null, kept.
-Rows that share a doc_id share their links.  Empty tables give no rows.  Ties cannot arise: the smallest doc_id is kept.
+Rows that share a doc_id share their links; the filter keeps one of rows that repeat doc_id and text.  Empty tables give no
+rows.  Ties cannot arise: the smallest doc_id is kept.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ PERCENT = 85
 MISS = 1e-7  # most probable miss of a pair at the threshold
 SMALL = 16
 BLOCK, BLOCK_SHINGLES = 512, 400_000
-PAIRS_A_GROUP = 64
+PAIRS_A_GROUP, MEMBERS_A_PART = 64, 256
 BATCH_BYTES = 2 << 20
 
 _ROUND = np.random.default_rng(85).integers(1, 1 << 63, (2 * COORDINATES, 2), dtype="u8") | np.uint64(1)
@@ -138,16 +141,24 @@ def _with_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     return wanted.hint("merge").join(texts, "doc_id")
 
 
+def _parts(rows, limit: int):
+    """Number of parts, a power of two, into which so many rows are dealt."""
+    return F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(rows / limit)))).cast("int")
+
+
+def _part(key: str, parts):
+    return F.pmod(F.xxhash64(key), parts).cast("int")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of the distinct (a, b) pairs that are linked on full sets.
+    """Those of the distinct (a, b, near) pairs that are linked on full sets.
 
-    The pairs of an ``a`` are dealt in groups of about PAIRS_A_GROUP, so each group needs the text of ``a`` once and none is
-    large; a group streams through its task in the order: a, then the b's.
+    ``near`` bounds the pairs of ``a`` that one bucket gave; by it they are dealt in groups of about PAIRS_A_GROUP, so each
+    group needs the text of ``a`` once and none is large; a group streams through its task in the order: a, then the b's.
     """
     n = shuffle_partitions(docs.sparkSession)
-    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_GROUP).cast("int").alias("groups"))
-    dealt = pairs.join(groups, "a").select("a", F.col("b").alias("doc_id"), F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("part"), F.lit(1).alias("turn"))
-    heads = groups.select("a", F.col("a").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(0).alias("turn"))
+    dealt = pairs.select("a", F.col("b").alias("doc_id"), _part("b", _parts(F.col("near"), PAIRS_A_GROUP)).alias("part"), F.lit(1).alias("turn"))
+    heads = dealt.select("a", "part").distinct().select("a", F.col("a").alias("doc_id"), "part", F.lit(0).alias("turn"))
     rows = _with_texts(dealt.union(heads), docs).repartition(n, "a", "part").sortWithinPartitions("a", "part", "turn")
 
     def compared(batches):
@@ -209,13 +220,14 @@ def _block_links(ids: list[int], comps: list[int], sets: list[np.ndarray], side:
 
 
 def compare_buckets(members: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links between documents of different components in each bucket: (key, doc_id, n_shingles, component) rows to (u, v).
+    """Links between documents of different components in each bucket: (key, cnt, part, doc_id, n_shingles, component) rows to (u, v).
 
     A bucket is cut by hash into blocks of about BLOCK documents or BLOCK_SHINGLES shingles, whichever is less, and every pair of its
     blocks is a group of its own.
     """
-    sizes = members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    cut = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    sizes = members.groupBy("key", "cnt").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    sizes = sizes.select("key", "blocks", F.explode(F.sequence(F.lit(0), _parts(F.col("cnt"), MEMBERS_A_PART) - 1)).alias("part"))
+    cut = members.join(sizes, ["key", "part"]).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks")).cast("int"))
     pairs = cut.select(
         "key", "doc_id", "component", "block",
         F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi")))).alias("at"),
@@ -248,17 +260,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     buckets = scratch.write(buckets, "buckets")  # so that the next join has plain exchanges and common keys can be split
     members = scratch.write(members.join(buckets.hint("merge"), "key"), "members")
     few = members.where(F.col("cnt") <= SMALL).select("key", "doc_id")
-    inside = few.withColumnRenamed("doc_id", "a").join(few.withColumnRenamed("doc_id", "b"), "key").where("a < b").select("a", "b")
-    stars = members.where((F.col("cnt") > SMALL) & (F.col("doc_id") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
-    pairs = scratch.write(inside.union(stars).distinct(), "pairs")
+    inside = few.withColumnRenamed("doc_id", "a").join(few.withColumnRenamed("doc_id", "b"), "key").where("a < b").select("a", "b", F.lit(SMALL).cast("long").alias("near"))
+    stars = members.where((F.col("cnt") > SMALL) & (F.col("doc_id") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("doc_id").alias("b"), F.col("cnt").alias("near"))
+    pairs = scratch.write(inside.union(stars).groupBy("a", "b").agg(F.max("near").alias("near")), "pairs")
     links = scratch.write(confirm(pairs, docs, percent), "links")
     found = scratch.write(components(links, scratch, "first"), "found")
 
     large = members.where(F.col("cnt") > SMALL).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    large = large.select("key", "cnt", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed_keys = large.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
+    parts = _parts(F.col("cnt"), MEMBERS_A_PART)
+    large = large.select("key", "cnt", "doc_id", F.coalesce("component", "doc_id").alias("component"), _part("doc_id", parts).alias("part"))
+    mixed_keys = large.groupBy("key", "cnt").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+    mixed_keys = mixed_keys.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     sizes = classes.select(F.col("class_id").alias("doc_id"), "n_shingles")
-    unsettled = scratch.write(large.join(mixed_keys, "key").join(sizes, "doc_id").select("key", "doc_id", "n_shingles", "component"), "unsettled")
+    unsettled = scratch.write(large.join(mixed_keys, ["key", "part"]).join(sizes, "doc_id").select("key", "cnt", "part", "doc_id", "n_shingles", "component"), "unsettled")
     if not unsettled.isEmpty():
         more = scratch.write(compare_buckets(unsettled, docs, percent), "more")
         found = scratch.write(components(links.union(more), scratch, "second"), "all-found")
@@ -275,6 +289,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents that are kept: of each component the one of smallest doc_id."""
-    gone = near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """The documents that are kept: of each component the one of smallest doc_id, of rows that repeat doc_id and text one."""
+    judged = near_duplicates(docs, percent).where("doc_id IS NOT NULL")
+    flags = judged.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or(~F.col("kept")).alias("_gone"), (F.count("*") > 1).alias("_again")).where("_gone OR _again")
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").cast("long").alias("_id")).join(flags, "_id", "left").where("coalesce(NOT _gone, true)")
+    once = rows.where("coalesce(NOT _again, true)").select("_doc.*")
+    again = rows.where("_again").select("_id", F.col("_doc.text").alias("_text"), "_doc").groupBy("_id", "_text").agg(F.first("_doc").alias("_doc")).select("_doc.*")
+    return once.union(again)

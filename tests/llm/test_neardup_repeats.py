@@ -8,10 +8,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from prosewright.llm.common import Scratch
 from prosewright.llm.graph import components
-from prosewright.llm.neardup import COORDINATES, _block_links, band_keys, band_width, compare_buckets, near_duplicates, sketches, without_near_duplicates
+from prosewright.llm.neardup import COORDINATES, _block_links, _part, _parts, band_keys, band_width, compare_buckets, confirm, near_duplicates, sketches, without_near_duplicates
 from prosewright.llm.repeats import CHUNK, repeated_bytes, segments, without_repeats
 from prosewright.llm.rlindex import RunLengthIndex, earlier_matches
 from prosewright.llm.shingles import shingle_sets
+from pyspark.sql import functions as F
 
 from .conftest import rows
 
@@ -76,13 +77,45 @@ def test_large_buckets_are_compared_in_full(spark):
             w[j] = f"x{i}.{j}"
         texts.append((i, " ".join(w)))
     docs = spark.createDataFrame(texts, "doc_id long, text string")
-    members = spark.createDataFrame([(1, i, 20_000, i) for i, _ in texts], "key long, doc_id long, n_shingles long, component long")  # so two blocks
+    members = spark.createDataFrame([(1, 40, 0, i, 20_000, i) for i, _ in texts], "key long, cnt long, part int, doc_id long, n_shingles long, component long")  # so two blocks
     links = compare_buckets(members, docs)
     found = {r["node"]: r["component"] for r in components(links, Scratch(spark, "t"), "c").collect()}
     _, comp = expected_components(texts)
     assert {i: found.get(i, i) for i in comp} == comp
 
 
+def test_common_keys_are_dealt_in_parts(spark):
+    rng = random.Random(14)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(700):  # one bucket of near copies that are each linked with the smallest
+        w = list(base)
+        w[rng.randrange(60)] = f"x{i}"
+        texts.append((i, " ".join(w)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    pairs = spark.createDataFrame([(0, i, 699) for i in range(1, 700)], "a long, b long, near long")
+    parts = pairs.select(_part("b", _parts(F.col("near"), 64)).alias("p")).groupBy("p").count().collect()
+    assert len(parts) == 16 and max(r["count"] for r in parts) < 100
+    assert {(r["u"], r["v"]) for r in confirm(pairs, docs, 60).collect()} == {(0, i) for i in range(1, 700)}
+    assert {r["component_id"] for r in near_duplicates(docs, 70).collect()} == {0}
+
+
+def test_of_repeated_rows_one_stays(spark):
+    own = [(1, "one two three four five six", "a"), (1, "one two three four five six", "a"), (2, "seven eight nine ten eleven twelve", None), (2, "other words of the same id", "b"), (None, "x y z", "c"), (None, "x y z", "c"), (3, None, "d"), (3, None, "d")]
+    docs = spark.createDataFrame(own, "doc_id long, text string, _id string")
+    kept = sorted(map(repr, without_near_duplicates(docs).collect()))
+    assert kept == sorted(map(repr, docs.limit(8).collect()[:1] + docs.collect()[2:7]))
+
+
+def test_texts_over_a_chunk_are_compared_whole(spark):
+    rng = random.Random(31)
+    words = [f"word{rng.randrange(10**6)}" for _ in range(110_000)]  # over a mebibyte
+    other = words[:100_000] + [f"other{i}" for i in range(5_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:60_000]))], "doc_id long, text string")
+    assert len(" ".join(words)) > 1 << 20
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(docs).collect()} == {1: (109_996, 1), 2: (104_996, 1), 3: (59_996, 3)}
+
+
 def test_block_links_span_components():
     sets = shingle_sets([b"a b c d e f g h", b"a b c d e f g h", b"q r s t u v"])
     assert _block_links([5, 6, 7], [5, 6, 7], sets, [0, 0, 0], 85) == [(5, 6)]
