@@ -4,13 +4,14 @@ Targets: every source has a weight and shares the total size by it, but no more
 is over goes to the others by weight, until none is above (with sources in the order of limit over weight this is one
 running sum).  Each source's documents, in the order of a hash of doc_id, form one line of words that is taken from its
 start, again from the start when used up, until the target is met; the document at the end is taken in part.
+The hash is that of doc_id and text, so a common or missing doc_id is no common key.
 
 Curriculum: a source's weight changes over training time t from 0 to 1 by a piecewise linear schedule.  Its integral,
 scaled to the target, is the source's cumulative demand of words; inverting it at the middle of a document's words gives
 the document's training position, and the result is range-sorted by it.
 
 The running sum within a source goes over hash ranges first, so a source of any size is spread over tasks.
-Null text has size 0; null source is a source of its own, after the others; null doc_id hashes as the empty text;
+Null text has size 0; null source is a source of its own, after the others; null doc_id and null text hash as empty ones;
 repeated rows are documents of their own; an empty table gives no rows.  Documents of which nothing is taken have
 a null position and come last, spread over the partitions by hash.
 """
@@ -111,7 +112,7 @@ def taken(size: Column, start: Column, source_size: Column, words: Column) -> Co
 
 
 def _sized(docs: DataFrame, *more: str) -> DataFrame:
-    hashed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    hashed = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary"))
     return docs.select("doc_id", "source", word_count(F.col("text").cast("string")).alias("size"), hashed.alias("h"), *more)
 
 
@@ -132,7 +133,8 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     The columns are those of ``docs``.  Empty documents are taken once.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    packed = docs.select(F.struct(*docs.columns).alias("_doc"), F.xxhash64(*[F.col(c).cast("string") for c in docs.columns]).alias("_row"))
+    marked = [x for c in docs.columns for x in (F.col(c).isNull(), F.col(c).cast("string"))]  # the hash itself skips nulls
+    packed = docs.select(F.struct(*docs.columns).alias("_doc"), F.xxhash64(*marked).alias("_row"))
     lines = demand(scratch.write(_sized(packed.select("_row", "_doc.doc_id", "_doc.source", "_doc.text"), "_row"), "sizes"), weights, most)
     times = F.when(F.col("source_size") > 0, F.floor((F.col("words") - F.col("start") - F.col("size") / 2) / F.greatest("source_size", F.lit(1))) + 1).otherwise(F.lit(1))
     times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.least(F.greatest(times, F.lit(0)), F.lit(most)))
@@ -153,7 +155,7 @@ def mix_sql(weights: tuple[int, ...] = WEIGHTS, most: int = MOST, schedules=SCHE
         kinds.append(f"WHEN kind = {k} THEN " + (f"CASE {' '.join(cases)} END" if len(cases) > 1 else cases[0].removeprefix("ELSE ")))
     return f"""
 WITH d AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 k AS (SELECT *, CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % {len(weights)} AS INT) AS kind FROM s),
 w AS (SELECT *, {list(weights)}[kind + 1] AS w, source_size * {most} AS cap FROM k),
