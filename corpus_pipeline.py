@@ -21,12 +21,15 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter and texts that hardly any learned language's n-grams cover."""
+    """Drops texts without a letter (null ones too) and texts long enough to judge that hardly any learned language's n-grams cover."""
     return in_known_language(docs, learn_from(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    """Keeps the document of smallest doc_id of each group of near duplicates: five-word shingles, similarity 0.8 or more.
+
+    Rows without a doc_id stay; of rows that repeat doc_id and text one stays.
+    """
     return without_near_duplicates(docs, percent=80)
 
 
@@ -36,12 +39,15 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that sources come to their targets, in training order."""
+    """Repeats or leaves out documents so that sources come to their targets, in training order.
+
+    Null sources are one source; null and empty texts are taken once; an empty table gives no rows.
+    """
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token windows of 1,024."""
+    """Token windows of 1,024.  Null text is the empty text, which has only the end id; an empty table gives no rows."""
     return pack(docs, TOKENIZER)
 
 
@@ -58,8 +64,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; a stage's table is deleted when the next one is written."""
     scratch = Scratch(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = scratch.write(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
