@@ -155,6 +155,35 @@ def strip_tags(c: Column | str) -> Column:
     return strip(F.regexp_replace(text, r"<[^>]+>", ""))
 
 
+# Named character references and what they stand for; & comes last.
+ENTITIES = [
+    ("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&apos;", "'"), ("&nbsp;?", "\u00a0"), ("&copy;?", "©"), ("&reg;?", "®"), ("&middot;?", "·"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"),
+    ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&times;?", "×"), ("&amp;?", "&"),
+]
+
+
+def unescape_html(c: Column | str) -> Column:
+    """Character references to characters: decimal and hexadecimal ones, and the named ones of ENTITIES."""
+
+    def numbered(text):
+        refs = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});)"), F.lit(1)))
+
+        def replaced(t, ref):
+            digits = F.regexp_extract(ref, "&#[xX]?([0-9A-Fa-f]+);", 1)
+            code = F.when(F.lower(ref).startswith("&#x"), F.lpad(digits, 8, "0")).otherwise(F.lpad(F.hex(digits.cast("long")), 8, "0"))
+            shown = F.when((code > "0010FFFF") | code.between("0000D800", "0000DFFF"), "\ufffd").otherwise(F.decode(F.unhex(F.upper(code)), "UTF-32"))
+            return F.replace(t, ref, shown)
+
+        return F.when(text.contains("&#"), F.aggregate(refs, text, replaced)).otherwise(text)
+
+    def named(text):
+        for pattern, by in ENTITIES:
+            text = F.regexp_replace(text, pattern, by)
+        return text
+
+    return let(col(c), lambda t: F.when(t.contains("&"), named(numbered(t))).otherwise(t))
+
+
 def sentences(c: Column | str) -> Column:
     """Sentences of a value, none if it is all quoted."""
     parts = F.filter(F.transform(F.split(strip_tags(c), r"(?<=다\.)\s+"), lambda s: strip(s)), lambda s: ~s.rlike(r"^[-: ]*$"))

@@ -59,7 +59,7 @@ def windows(targets: DataFrame, lines: DataFrame, reach: int = WINDOW_LINES, sna
     """
     ends = blocks(lines).groupBy("doc_key", "block").agg(F.max("line_no").alias("end"))
     t = targets.select("doc_key", "line_no").withColumn("a", F.col("line_no") - reach).withColumn("b", F.col("line_no") + reach)
-    near = t.join(ends, "doc_key", "left").where(F.col("block").isNull() | ((F.col("end") >= F.col("a") - snap) & (F.col("block") <= F.col("b") + snap)))
+    near = t.join(ends.withColumnRenamed("doc_key", "_doc"), (F.col("doc_key") == F.col("_doc")) & (F.col("end") >= F.col("a") - snap) & (F.col("block") <= F.col("b") + snap), "left")  # a target far from any block stays
     first = F.min(F.when((F.col("block") <= F.col("a")) & (F.col("end") >= F.col("a")) & (F.col("a") - F.col("block") <= snap), F.col("block")))
     last = F.max(F.when((F.col("block") <= F.col("b")) & (F.col("end") >= F.col("b")) & (F.col("end") - F.col("b") <= snap), F.col("end")))
     size = lines.groupBy("doc_key").agg(F.max("line_no").alias("n_lines"))
@@ -114,6 +114,32 @@ def link_notes(chunk_rows: DataFrame, links: DataFrame, most: int = LINKS) -> Da
     return near.withColumn("turn", F.row_number().over(Window.partitionBy("doc_key", "first").orderBy("text", "href"))).where(F.col("turn") <= most).drop("turn")
 
 
+def consistency_findings(answers: DataFrame, lines: DataFrame, wanted: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
+    """(doc_key, line_no, phrase, fix, why, check, decide): contradictions within a document that a judge answered with.
+
+    answers: (doc_key, line, phrase, other, other_phrase, why, fix).  Kept are those whose phrase stands in the line; of a
+    second pass those that touch a ``wanted`` line (doc_key, line_no); not those that were ``found`` (doc_key, line_no,
+    phrase) before.  Which of the two places is right is the author's to check; without a fix the finding is a question.
+    """
+    own = answers.withColumn("phrase", F.trim(F.coalesce("phrase", F.lit("")))).where("phrase != ''").withColumnRenamed("line", "line_no")
+    kept = own.join(lines.select("doc_key", "line_no", "text"), ["doc_key", "line_no"]).where(F.contains("text", F.col("phrase")))
+    if wanted is not None:
+        mark = wanted.select("doc_key", "line_no").distinct()
+        one, two = mark.withColumn("here", F.lit(True)), mark.withColumnRenamed("line_no", "other").withColumn("there", F.lit(True))
+        kept = kept.join(one, ["doc_key", "line_no"], "left").join(two, ["doc_key", "other"], "left").where("here OR there").drop("here", "there")
+    if found is not None:
+        kept = kept.join(found.select("doc_key", "line_no", "phrase").distinct(), ["doc_key", "line_no", "phrase"], "left_anti")
+    place = F.when(F.col("other").isNotNull(), F.concat(F.lit("line "), F.col("other").cast("string"), F.lit(": "), F.substring(F.coalesce("other_phrase", F.lit("")), 1, 40))).otherwise("elsewhere")
+    fix = F.trim(F.coalesce("fix", F.lit("")))
+    out = kept.select(
+        "doc_key", "line_no", "phrase", fix.alias("fix"), F.concat(F.trim(F.coalesce("why", F.lit(""))), F.lit(" / "), place).alias("why"), F.concat(F.lit("which is right: "), place).alias("check"),
+        F.when(fix == "", "ask").otherwise("fix").alias("decide"),
+    )
+    keys = ["doc_key", "line_no", "phrase"]  # of several answers on one phrase, one with a fix
+    best = out.groupBy(*keys).agg(F.max_by(F.struct("fix", "why", "check", "decide"), F.struct((F.col("fix") != "").alias("has"), F.col("fix"), F.col("why"))).alias("b"))
+    return best.select(*keys, "b.*")
+
+
 def relocate(hints: DataFrame, lines: DataFrame) -> DataFrame:
     """(doc_key, phrase, hint) to the nearest line that has the phrase."""
     near = hints.join(lines, "doc_key").where(F.contains("text", F.col("phrase")))

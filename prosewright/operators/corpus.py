@@ -61,9 +61,14 @@ def keyword_passages(sections: DataFrame, categories: dict[str, str], text: str
 
 
 def best_passages(passages: DataFrame, name: str) -> DataFrame:
-    """One row for each passage hash: that of highest score (ties: smallest name); all names as aliases."""
-    best = passages.groupBy("passage_hash").agg(F.max("score").alias("score"), F.min(F.struct((-F.col("score")).alias("s"), F.col(name).alias("n"))).alias("b"), F.array_sort(F.collect_set(name)).alias("aliases"))
-    return best.select("passage_hash", "score", F.col("b.n").alias(name), "aliases")
+    """One row for each passage hash: that of highest score (ties: smallest name), and the number of names that have it."""
+    best = passages.groupBy("passage_hash").agg(F.max("score").alias("score"), F.min(F.struct((-F.col("score")).alias("s"), F.col(name).alias("n"))).alias("b"), F.count("*").alias("uses"))
+    return best.select("passage_hash", "score", F.col("b.n").alias(name), "uses")
+
+
+def passage_aliases(passages: DataFrame, name: str) -> DataFrame:
+    """(passage_hash, name): every name of each passage, as rows, as a common passage has names without bound."""
+    return passages.select("passage_hash", name).distinct()
 
 
 def verify_manifest(found: DataFrame, manifest: DataFrame, key: str = "path", digest: str = "sha256") -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import itertools
+import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prosewright.functions.text import shares_run
 
@@ -28,6 +29,45 @@ def concerns(label: Column | str, finding: Column | str, n: int = 12) -> Column:
     return F.when(quoted != "", F.contains(label, quoted)).when(F.length(label) < n, F.lit(None)).otherwise(shares_run(finding, label, n))
 
 
+def covers(label: Column | str, reported: Column | str, n: int = 6) -> Column:
+    """A reported phrase means the labelled one: they share ``n`` characters in a row, or the whole label if that is shorter."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (label, reported))
+    size = F.least(F.lit(n), F.length(a))
+    run = F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(a) - size + 1)), lambda i: F.contains(b, F.substring(a, i, size)))
+    return F.coalesce((F.length(a) > 0) & (F.length(b) > 0) & run, F.lit(False))
+
+
+def sheet_recall(findings: DataFrame, missed: DataFrame, verdicts: DataFrame, layers: dict[str, str]) -> DataFrame:
+    """(layer, caught, problems, recall, rejected, held) of review sheets.
+
+    findings: (document_id, line_number, phrase, sources array, note, allowed); missed: lines where a reader noted what nobody
+    found (document_id, line_number, note); verdicts: (document_id, line_number, slot, phrase, verdict).  A finding without a
+    note is agreed to; one with a note goes by its verdict, and is held without one.  Layers name the sources' detectors;
+    ``any`` counts problems that some layer caught.
+    """
+    own = verdicts.where("slot = 'finding'").select("document_id", "line_number", "phrase", "verdict")
+    judged = findings.where("NOT allowed").join(own, ["document_id", "line_number", "phrase"], "left")
+    judged = judged.withColumn("verdict", F.coalesce("verdict", F.when(F.coalesce("note", F.lit("")) == "", "agreed").otherwise("open")))
+    totals = judged.agg(F.count_if(F.col("verdict") == "agreed").alias("agreed"), F.count_if(F.col("verdict") == "rejected").alias("rejected"), F.count_if(~F.col("verdict").isin("agreed", "rejected")).alias("held"))
+    unseen = missed.where("coalesce(note, '') != ''").agg(F.count("*").alias("unseen"))
+    named = F.create_map(*[F.lit(x) for kv in layers.items() for x in kv])
+    own_layers = F.array_distinct(F.array_compact(F.transform("sources", lambda s: F.try_element_at(named, s))))
+    hits = judged.where("verdict = 'agreed'").select(F.explode(F.when(F.size(own_layers) > 0, F.array_append(own_layers, "any")).otherwise(own_layers)).alias("layer")).groupBy("layer").agg(F.count("*").alias("caught"))
+    every = judged.sparkSession.range(1).select(F.explode(F.lit([*dict.fromkeys(layers.values()), "any"])).alias("layer"))
+    out = every.join(hits, "layer", "left").join(F.broadcast(totals)).join(F.broadcast(unseen)).withColumn("problems", F.col("agreed") + F.col("unseen")).withColumn("caught", F.coalesce("caught", F.lit(0)))
+    return out.select("layer", "caught", "problems", F.round(F.try_divide("caught", "problems"), 3).alias("recall"), "rejected", "held")
+
+
+def tool_summary(runs: DataFrame) -> DataFrame:
+    """(tool, documents, scanned, unsupported, with_errors, with_warnings, errors, warnings, blind) of tool runs (tool, doc_key, status, errors, warnings, blind)."""
+    done = F.col("status") == "scanned"
+    total = lambda c: F.coalesce(F.sum(F.when(done, F.col(c))), F.lit(0)).alias(c)
+    return runs.groupBy("tool").agg(
+        F.count("*").alias("documents"), F.count_if(done).alias("scanned"), F.count_if(~done).alias("unsupported"), F.count_if(done & (F.col("errors") > 0)).alias("with_errors"),
+        F.count_if(done & (F.col("warnings") > 0)).alias("with_warnings"), total("errors"), total("warnings"), total("blind"),
+    )
+
+
 def evaluate_labels(labels: DataFrame, findings: DataFrame) -> DataFrame:
     """Labels (doc_key, line_no, label) against findings: yes, no or unknown, and the recall's floor and ceiling over all."""
     joined = labels.join(findings.select("doc_key", "line_no", "message"), ["doc_key", "line_no"], "left")
@@ -69,19 +109,39 @@ def planted_score(planted: DataFrame, findings: DataFrame) -> DataFrame:
     return joined.groupBy("doc_key", "line_no", "phrase").agg(best.alias("b")).select("doc_key", "line_no", "phrase", F.element_at(F.array(F.lit("missed"), F.lit("loose"), F.lit("tight")), F.col("b") + 1).alias("match"))
 
 
-def noise_density(findings: DataFrame, hangul: Column) -> Column:
-    """Findings for each 1,000 Hangul characters."""
-    return F.try_divide(F.lit(1000) * findings, hangul) if isinstance(findings, Column) else F.try_divide(F.lit(1000.0), hangul)
+def noise_density(findings: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc_key, findings, hangul, density): findings for each 1,000 Hangul characters of every document of ``lines``."""
+    from prosewright.functions.text import hangul_count
+
+    size = lines.groupBy("doc_key").agg(F.sum(hangul_count("text")).alias("hangul"))
+    out = size.join(findings.groupBy("doc_key").agg(F.count("*").alias("findings")), "doc_key", "left").withColumn("findings", F.coalesce("findings", F.lit(0)))
+    return out.select("doc_key", "findings", "hangul", F.round(F.try_divide(1000 * F.col("findings"), F.col("hangul")), 6).alias("density"))
+
+
+def running_count(by: DataFrame, value: str, count: str, name: str) -> DataFrame:
+    """Adds the sum of ``count`` over all rows of smaller ``value``; ranges between quantiles go to tasks, so none sees all values.
+
+    ``by`` has one row for each value.  Sums of the ranges, one row each, are added up first.
+    """
+    ranges = max(1, int(by.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    shares = [i / ranges for i in range(1, ranges)]
+    bounds = sorted(set(by.agg(F.percentile_approx(value, shares, max(10_000, 20 * ranges)).alias("q")).first()["q"] or [])) if shares else []
+    kind = by.schema[value].dataType
+    at = F.size(F.filter(F.lit(bounds).cast(T.ArrayType(kind)), lambda b: b <= F.col(value))) if bounds else F.lit(0)
+    placed = by.withColumn("_range", at)
+    sums = placed.groupBy("_range").agg(F.sum(count).alias("_sum"))
+    ahead = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    inside = F.coalesce(F.sum(count).over(Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.join(F.broadcast(ahead), "_range").withColumn(name, F.col("_ahead") + inside).drop("_range", "_ahead")
 
 
 def auc(scored: DataFrame, score: str, label: str) -> DataFrame:
     """P(score of a positive > of a negative) + half of ties, by rank sums over distinct scores.
 
-    Rows are first summed by score, so the one window runs over distinct scores only.
+    Rows are first summed by score; the running sum goes over ranges of scores.
     """
     by = scored.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    below = F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
-    won = by.withColumn("below", F.coalesce(below, F.lit(0)))
+    won = running_count(by, "s", "n", "below")
     return won.agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.round(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)), F.sum("p") * F.sum("n")), 6).alias("auc"))
 
 
@@ -114,6 +174,13 @@ def win_rate(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("system").agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("win_rate"))
 
 
+def win_rate_interval(pairs: DataFrame, system: str, times: int = 1000, seed: int = 7) -> DataFrame:
+    """(point, low, high) of one system's win rate over resampled documents."""
+    value = F.when(F.col("verdict") == "win", 1.0).when(F.col("verdict") == "tie", 0.5).otherwise(0.0)
+    per = pairs.where(F.col("system") == system).groupBy("doc_key").agg(F.sum(value).alias("won"), F.count("*").alias("n"))
+    return cluster_bootstrap(per, "won", "n", times, seed)
+
+
 def merge_overlapping(findings: DataFrame) -> DataFrame:
     """Of findings on one line and category whose phrases contain one another the longest stays, with all sources."""
     keys = ["doc_key", "line_no", "category"]
@@ -129,29 +196,38 @@ def twins_score(pairs: DataFrame) -> DataFrame:
     return per.agg(F.count("*").alias("pairs"), F.count_if("caught").alias("caught"), F.count_if("alarm").alias("false_alarms"), F.count_if(F.col("caught") & ~F.col("alarm")).alias("told_apart"))
 
 
-def cluster_bootstrap(per_doc: DataFrame, part: str, whole: str, times: int = 10_000, seed: int = 7) -> tuple[float, float, float]:
-    """Ratio of sums and its 95% percentile interval over resampled documents.
+def poisson_weights(row: Column, times: int, seed: int) -> Column:
+    """``times`` Poisson(1) numbers of a row, from hashes of its key, so that a retried task draws the same."""
+    u = lambda i: (F.shiftrightunsigned(F.xxhash64(row, F.lit(seed), i), 11)).cast("double") / 2.0**53
+    steps, mass, term = [], 0.0, math.exp(-1.0)
+    for k in range(1, 16):
+        mass += term
+        steps.append(mass)
+        term /= k
+    return F.transform(F.sequence(F.lit(1), F.lit(times)), lambda i: F.aggregate(F.lit(steps).cast("array<double>"), F.lit(0), lambda n, m: n + F.when(u(i) >= m, 1).otherwise(0)))
+
+
+def cluster_bootstrap(per_doc: DataFrame, part: str, whole: str, times: int = 1000, seed: int = 7, key: str = "doc_key") -> DataFrame:
+    """(point, low, high): ratio of sums and its 95% percentile interval over resampled clusters, one row of ``key`` each.
 
-    Documents with equal (part, whole) are counted by Spark first; the resampling is one multinomial over those counts.
+    Every cluster draws its Poisson weights for all repeats in its own row; the sums of the repeats are one aggregation with
+    ``times`` groups, whatever the number of clusters.
     """
-    rows = per_doc.groupBy(part, whole).count().toPandas()
-    if not len(rows):
-        return (float("nan"),) * 3
-    n = rows["count"].to_numpy()
-    draws = np.random.default_rng(seed).multinomial(int(n.sum()), n / n.sum(), size=times)
-    a, b = draws @ rows[part].to_numpy("f8"), draws @ rows[whole].to_numpy("f8")
-    ratio = np.divide(a, b, out=np.zeros_like(a), where=b > 0)
-    point = float((rows[part] * n).sum() / max(1e-300, (rows[whole] * n).sum()))
-    return point, *(float(x) for x in np.percentile(ratio, [2.5, 97.5]))
+    rows = per_doc.select(F.col(part).cast("double").alias("a"), F.col(whole).cast("double").alias("b"), poisson_weights(F.col(key).cast("string"), times, seed).alias("w"))
+    each = rows.select("a", "b", F.posexplode("w").alias("repeat", "w")).where("w > 0")
+    ratios = each.groupBy("repeat").agg(F.try_divide(F.sum(F.col("a") * F.col("w")), F.sum(F.col("b") * F.col("w"))).alias("ratio"))
+    ends = ratios.agg(F.percentile("ratio", 0.025).alias("low"), F.percentile("ratio", 0.975).alias("high"))
+    point = per_doc.agg(F.try_divide(F.sum(F.col(part).cast("double")), F.sum(whole)).alias("point"))
+    return point.join(F.broadcast(ends)).select("point", "low", "high")
 
 
-def paired_bootstrap(per_doc: DataFrame, a: str, b: str, whole: str, times: int = 10_000, seed: int = 7) -> tuple[float, float, float]:
-    """Difference of two systems' ratios over the same resampled documents."""
-    return cluster_bootstrap(per_doc.select((F.col(a) - F.col(b)).alias("d"), whole), "d", whole, times, seed)
+def paired_bootstrap(per_doc: DataFrame, a: str, b: str, whole: str, times: int = 1000, seed: int = 7, key: str = "doc_key") -> DataFrame:
+    """Difference of two systems' ratios over the same resampled clusters."""
+    return cluster_bootstrap(per_doc.select((F.col(a) - F.col(b)).alias("d"), whole, key), "d", whole, times, seed, key)
 
 
-def interval_verdict(low: float, high: float) -> str:
-    return "high" if low > 0 else "low" if high < 0 else "undecided"
+def interval_verdict(low: Column, high: Column) -> Column:
+    return F.when(low > 0, "high").when(high < 0, "low").otherwise("undecided")
 
 
 def permutation_test(a: list[float], b: list[float], most: int = 16) -> float | None:

@@ -5,10 +5,10 @@ from __future__ import annotations
 import tomllib
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosewright.functions.text import line_key, squeeze
+from prosewright.functions.text import line_key, squeeze, strip
 from prosewright.operators import structure
 
 BY_MESSAGE = ["register_mix", "plain_speech", "narrative_ending"]
@@ -27,16 +27,38 @@ def first_of_kind(findings: DataFrame) -> DataFrame:
     return keyed.select("doc_key", "line_no", "kind", "f.*").select(*findings.columns)
 
 
-def guess_form(documents: DataFrame, findings: DataFrame) -> DataFrame:
+GREETING = r"^(?:안녕하세요|안녕하십니까)|감사합니다\.?$|드림$"
+
+
+def _facts(documents: DataFrame, body: DataFrame) -> DataFrame:
+    """(doc_key, declared, share, polite_lines, first, last) of every document: what its form and a notice's frame are told by."""
+    some = strip("text") != ""
+    matter = F.when(structure.of_matter(), F.col("line_no"))
+    by = body.groupBy("doc_key").agg(
+        F.avg(F.when(some, structure.flowing().cast("double"))).alias("share"), F.count_if(F.trim("text").rlike(GREETING)).alias("polite_lines"), F.min(matter).alias("first"), F.max(matter).alias("last")
+    )
+    return documents.select("doc_key", structure.declared_form("raw").alias("declared")).join(by, "doc_key", "left").fillna(0, ["share", "polite_lines"])
+
+
+def _form(errs: Column, told: Column, share: Column, polite_lines: Column) -> Column:
+    prose = (share >= 0.30) | ((told >= 10) & (2 * told >= errs)) | ((share >= 0.20) & (told >= 3) & (2 * told >= errs))
+    return F.when(polite_lines >= 2, "notice").when(prose, "prose").otherwise("structured")
+
+
+def _errs() -> Column:
+    return F.count_if(F.col("severity") == "err")
+
+
+def _told() -> Column:
+    return F.count_if((F.col("severity") == "err") & F.col("kind").isin("narrative_ending", "narrative_paragraph"))
+
+
+def guess_form(documents: DataFrame, findings: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
     """(doc_key, declared, form): the declared form, or prose by share of flowing lines or narrative errors, or notice by greeting and closing."""
-    body = structure.body_lines(documents)
-    share = structure.prose_share(body).select("doc_key", "share")
-    errs = findings.groupBy("doc_key").agg(F.count_if(F.col("severity") == "err").alias("errs"), F.count_if((F.col("severity") == "err") & F.col("kind").isin("narrative_ending", "narrative_paragraph")).alias("told"))
-    greeting = body.where(F.trim("text").rlike(r"^(?:안녕하세요|안녕하십니까)|감사합니다\.?$|드림$")).groupBy("doc_key").agg(F.countDistinct("line_no").alias("polite_lines"))
-    out = documents.select("doc_key", structure.declared_form("raw").alias("declared")).join(share, "doc_key", "left").join(errs, "doc_key", "left").join(greeting, "doc_key", "left").fillna(0, ["share", "errs", "told", "polite_lines"])
-    prose = (F.col("share") >= 0.30) | ((F.col("told") >= 10) & (2 * F.col("told") >= F.col("errs"))) | ((F.col("share") >= 0.20) & (F.col("told") >= 3) & (2 * F.col("told") >= F.col("errs")))
-    guessed = F.when(F.col("polite_lines") >= 2, "notice").when(prose, "prose").otherwise("structured")
-    return out.select("doc_key", "declared", F.coalesce("declared", guessed).alias("form"))
+    body = structure.body_lines(documents) if parsed is None else parsed.where("NOT fenced").drop("fenced")
+    errs = findings.groupBy("doc_key").agg(_errs().alias("errs"), _told().alias("told"))
+    out = _facts(documents, body).join(errs, "doc_key", "left").fillna(0, ["errs", "told"])
+    return out.select("doc_key", "declared", F.coalesce("declared", _form(F.col("errs"), F.col("told"), F.col("share"), F.col("polite_lines"))).alias("form"))
 
 
 def undeclared(forms: DataFrame) -> DataFrame:
@@ -44,20 +66,31 @@ def undeclared(forms: DataFrame) -> DataFrame:
     return own.select("doc_key", F.lit(None).cast("int").alias("line_no"), F.lit("form_undeclared").alias("kind"), F.lit("warn").alias("severity"), F.col("form").alias("match"), F.lit("").alias("note"))
 
 
+def _not_asked(form: Column) -> Column:
+    """A finding of a kind that this form of document does not ask for."""
+    off = F.lit(False)
+    for name, kinds in (("prose", FORM_ONLY), ("app", APP_DROPS), ("notice", NOTICE_DROPS)):
+        off |= (form == name) & F.col("kind").isin(kinds)
+    return F.coalesce(off, F.lit(False))
+
+
 def drop_by_form(findings: DataFrame, forms: DataFrame) -> DataFrame:
     """Without the kinds that a document's form does not ask for."""
-    drops = [("prose", k) for k in FORM_ONLY] + [("app", k) for k in APP_DROPS] + [("notice", k) for k in NOTICE_DROPS]
-    off = F.array(*[F.struct(F.lit(f).alias("form"), F.lit(k).alias("kind")) for f, k in drops])
-    dropped = forms.select("doc_key", F.explode(F.filter(off, lambda d: d["form"] == F.col("form"))).alias("d")).select("doc_key", "d.kind")
-    return findings.join(dropped, ["doc_key", "kind"], "left_anti").select(*findings.columns)
+    joined = findings.join(forms.select("doc_key", F.col("form").alias("_form")), "doc_key", "left")
+    return joined.where(~_not_asked(F.col("_form"))).select(*findings.columns)
+
+
+def _outside(form: Column, first: Column, last: Column) -> Column:
+    """A finding on speech level in a notice's greeting or closing."""
+    out = (form == "notice") & ((F.col("line_no") < first) | (F.col("line_no") > last)) & F.col("kind").isin("plain_speech", "register_mix")
+    return F.coalesce(out, F.lit(False))
 
 
 def drop_notice_frame(findings: DataFrame, forms: DataFrame, body: DataFrame) -> DataFrame:
     """In notices, findings on speech level in the greeting and the closing are dropped."""
-    frame = structure.notice_frame(body).join(forms.where("form = 'notice'").select("doc_key"), "doc_key", "left_semi").withColumnsRenamed({"first": "f_first", "last": "f_last"})
+    frame = structure.notice_frame(body).withColumnsRenamed({"first": "f_first", "last": "f_last"}).join(forms.select("doc_key", "form"), "doc_key")
     joined = findings.join(frame, "doc_key", "left")
-    outside = F.col("f_first").isNotNull() & ((F.col("line_no") < F.col("f_first")) | (F.col("line_no") > F.col("f_last"))) & F.col("kind").isin("plain_speech", "register_mix")
-    return joined.where(~F.coalesce(outside, F.lit(False))).select(*findings.columns)
+    return joined.where(~_outside(F.col("form"), F.col("f_first"), F.col("f_last"))).select(*findings.columns)
 
 
 def drop_instruction_files(findings: DataFrame, documents: DataFrame) -> DataFrame:
@@ -88,28 +121,39 @@ class Selection:
         return kept.withColumn("severity", level)
 
 
-def finalize(findings: DataFrame, documents: DataFrame, selection: Selection | None = None) -> DataFrame:
+def finalize(findings: DataFrame, documents: DataFrame, selection: Selection | None = None, parsed: DataFrame | None = None) -> DataFrame:
     """The fixed chain: first of a kind, form, notice frame, form drops, instruction files, selection.
 
-    What several steps read is persisted; ``spark.catalog.clearCache()`` frees it.
+    Findings are dealt by document once, each document with one more row of its facts; windows over a document tell its
+    form, so nothing is joined with itself.  ``parsed`` are the documents' dealt lines, if at hand.
     """
-    found = first_of_kind(findings).persist()
-    forms = guess_form(documents, found).persist()
-    found = drop_notice_frame(found, forms, structure.body_lines(documents)).union(undeclared(forms).select(*findings.columns))
-    found = drop_by_form(found, forms)
+    if parsed is None:
+        parsed = structure.dealt_lines(documents)
+    n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    found = first_of_kind(findings.repartition(n, "doc_key"))
+    facts = _facts(documents, parsed.where("NOT fenced").drop("fenced"))
+    told = facts.select("doc_key", F.struct(*[c for c in facts.columns if c != "doc_key"]).alias("_facts"))
+    every = found.unionByName(told, allowMissingColumns=True)
+    own = Window.partitionBy("doc_key")
+    every = every.withColumn("_own", F.max("_facts").over(own)).withColumn("_errs", _errs().over(own)).withColumn("_told", _told().over(own))
+    every = every.withColumn("_form", F.coalesce("_own.declared", _form(F.col("_errs"), F.col("_told"), F.col("_own.share"), F.col("_own.polite_lines"))))
+    is_facts = F.col("_facts").isNotNull()
+    every = every.where((is_facts & F.col("_own.declared").isNull() & F.col("_form").isin("prose", "notice")) | (~is_facts & ~_outside(F.col("_form"), F.col("_own.first"), F.col("_own.last")) & ~_not_asked(F.col("_form"))))
+    said = {"kind": "form_undeclared", "severity": "warn", "note": ""}
+    columns = [F.when(is_facts, F.lit(said[c]) if c in said else F.col("_form")).otherwise(F.col(c)).alias(c) if c in (*said, "match") else F.col(c) for c in findings.columns]
+    out = every.select(*columns)
     if "path" in documents.columns:
-        found = drop_instruction_files(found, documents)
-    return (selection or Selection()).apply(found)
+        out = drop_instruction_files(out, documents)
+    return (selection or Selection()).apply(out)
 
 
 def summary(findings: DataFrame, slots: DataFrame, shown: int = 8) -> DataFrame:
     """(doc_key, errors, warnings, slots, blind, first_warnings, failed) of every document."""
-    n = findings.groupBy("doc_key").agg(F.count_if(F.col("severity") == "err").alias("errors"), F.count_if(F.col("severity") == "warn").alias("warnings"))
-    turn = F.row_number().over(Window.partitionBy("doc_key").orderBy("line_no", "kind", "match"))
-    warned = findings.where("severity = 'warn'").withColumn("i", turn).where(F.col("i") <= shown)
-    warned = warned.groupBy("doc_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "kind"))), lambda x: x["kind"]).alias("first_warnings"))
-    out = slots.join(n, "doc_key", "left").join(warned, "doc_key", "left").fillna(0, ["errors", "warnings"])
-    return out.withColumn("failed", F.col("errors") > 0)
+    warned = F.array_sort(F.collect_list(F.when(F.col("severity") == "warn", F.struct("line_no", "kind", "match"))))
+    n = findings.groupBy("doc_key").agg(
+        F.count_if(F.col("severity") == "err").alias("errors"), F.count_if(F.col("severity") == "warn").alias("warnings"), F.transform(F.slice(warned, 1, shown), lambda w: w["kind"]).alias("first_warnings")
+    )
+    return slots.join(n, "doc_key", "left").fillna(0, ["errors", "warnings"]).withColumn("failed", F.col("errors") > 0)
 
 
 def drop_origin_lines(findings: DataFrame, lines: DataFrame, origin: DataFrame) -> DataFrame:

@@ -16,6 +16,56 @@ from prosewright.functions.text import form_key, line_key
 
 FRESH_SECONDS = 14 * 86_400
 MOST_ROUNDS = 3
+SPLIT_FRESH = 0.4
+
+
+def key_matches(row_key: Column | str, key: Column | str, sep: str = "::") -> Column:
+    """A row's key names the document: the same key, or an old one of the path alone (keys are path, ``sep``, repository)."""
+    row, own = (F.col(c) if isinstance(c, str) else c for c in (row_key, key))
+    legacy = ~F.contains(row, F.lit(sep)) & F.contains(own, F.lit(sep)) & (F.substring_index(own, sep, 1) == row)
+    return F.coalesce((row == own) | legacy, F.lit(False))
+
+
+def rows_of(ledger: DataFrame, documents: DataFrame, sep: str = "::") -> DataFrame:
+    """Ledger rows of the documents (doc_key) under their present keys, old keys read as well: two equi joins."""
+    own = documents.select(F.col("doc_key").alias("_key"), F.substring_index("doc_key", sep, 1).alias("_path")).distinct()
+    same = ledger.join(own.select("_key"), F.col("doc_key") == F.col("_key"))
+    old = ledger.where(~F.contains("doc_key", F.lit(sep))).join(own.where("_key != _path"), F.col("doc_key") == F.col("_path")).drop("_path")
+    return same.union(old).withColumn("doc_key", F.col("_key")).drop("_key")
+
+
+@pandas_function("array<boolean>")
+def heirs(parent: pd.Series, rivals: pd.Series, held: pd.Series) -> pd.Series:
+    """Which of the lines that claim one parent, likest first, go on with it.
+
+    The first does.  A later one only if the line was split: at least SPLIT_FRESH of the parent's letters and digits it
+    shares were not taken yet.  None does if the parent itself still stands (``held``).
+    """
+
+    def shared(p: str, line: str) -> set[int]:
+        blocks = difflib.SequenceMatcher(None, p, line, autojunk=False).get_matching_blocks()
+        return {i for b in blocks if b.size >= 2 for i in range(b.a, b.a + b.size) if p[i].isalnum()}
+
+    def chosen(p, lines, stands):
+        taken: set[int] = set()
+        out = []
+        for line in lines:
+            mine = set() if stands else shared(p, line)
+            goes_on = bool(mine) and (not taken or len(mine - taken) >= SPLIT_FRESH * len(mine))
+            taken |= mine if goes_on else set()
+            out.append(goes_on)
+        return out
+
+    return pd.Series([chosen(p or "", list(r), bool(h)) for p, r, h in zip(parent, rivals, held, strict=True)])
+
+
+def split_inheritance(claims: DataFrame, standing: DataFrame) -> DataFrame:
+    """(doc_key, parent, line, goes_on) of claims (doc_key, parent, line, ratio): each parent's heirs; ``standing`` are lines (doc_key, line)."""
+    still = standing.select("doc_key", F.col("line").alias("parent")).distinct().withColumn("held", F.lit(True))
+    likest = F.array_sort(F.collect_list(F.struct((-F.col("ratio")).alias("r"), "line")))
+    grouped = claims.groupBy("doc_key", "parent").agg(likest.alias("c")).join(still, ["doc_key", "parent"], "left").withColumn("lines", F.transform("c", lambda c: c["line"]))
+    judged_lines = grouped.withColumn("ok", heirs("parent", "lines", F.coalesce("held", F.lit(False))))
+    return judged_lines.select("doc_key", "parent", F.inline(F.arrays_zip(F.col("lines").alias("line"), F.col("ok").alias("goes_on"))))
 
 
 def fresh_rows(ledger: DataFrame, now: Column | float) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RARE_MOST = 40
+RARE_MOST, GATE_MOST = 40, 60
 OVER_BASE, OVER_COUNT, OVER_RATIO = (40, 300), 3, 350.0
 
 
@@ -30,6 +30,17 @@ def rare_terms(mine: DataFrame, base: DataFrame, most: int = RARE_MOST, least_mi
     return joined.where((F.col("others") <= most) & (F.col("n") >= least_mine)).select("doc_key", "lexeme", "n", "others")
 
 
+def gate(mine: DataFrame, base: DataFrame, approved: DataFrame, most: int = GATE_MOST) -> DataFrame:
+    """(doc_key, blocked, passes, terms): documents with terms that the corpus has at most ``most`` times and nobody approved (lexeme).
+
+    The limit of the gate is higher than that of the list of rare terms, as it also stops terms a reader would wonder at.
+    """
+    joined = mine.join(base, "lexeme", "left").where(F.coalesce("base", F.lit(0)) <= most).join(approved.select("lexeme").distinct(), "lexeme", "left_anti")
+    found = joined.groupBy("doc_key").agg(F.count("*").alias("blocked"), F.array_sort(F.collect_list(F.struct(F.coalesce("base", F.lit(0)).alias("base"), (-F.col("n")).alias("less"), "lexeme"))).alias("t"))
+    out = mine.select("doc_key").distinct().join(found, "doc_key", "left").withColumn("blocked", F.coalesce("blocked", F.lit(0)))
+    return out.select("doc_key", "blocked", (F.col("blocked") == 0).alias("passes"), F.coalesce(F.transform("t", lambda x: x["lexeme"]), F.array().cast("array<string>")).alias("terms"))
+
+
 def overused_terms(mine: DataFrame, base: DataFrame, sizes: DataFrame, base_span=OVER_BASE, least=OVER_COUNT, ratio=OVER_RATIO) -> DataFrame:
     """Terms of middling baseline frequency that a document has far more densely than the corpus."""
     total = sizes.agg(F.sum("chars").alias("all_chars"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosewright.functions.spans import pandas_function, ratio, similarity
+from prosewright.functions.spans import numbers, pandas_function, ratio, similarity
 from prosewright.functions.text import change_level, squeeze
 
 # What a revision must keep, and the marks that carry meaning (Java syntax).
@@ -118,12 +118,23 @@ def fix_cascade(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def new_information(fixes: DataFrame) -> DataFrame:
-    """(pair_id, kind, token): numbers, quoted names and Latin words of a fix that its document does not have."""
-    kinds = {"name": r"[「『“\"]([^」』”\"]+)[」』”\"]", "word": r"([A-Za-z][A-Za-z0-9+.-]{1,})", "number": r"(\d[\d,.]*)"}
+    """(pair_id, kind, token): numbers, quoted names and Latin words of a fix that its document does not have.
+
+    Numbers are compared by value and unit, so another spelling of a number is nothing new; a number of the document without
+    a unit, or a fix's without one, is known by its value.  Numbers of list items and of lines do not count.
+    """
+    listless = F.regexp_replace("original", r"(?m)^\s*(?:[-*+]|\d+[.)])\s+", " ")
+    valued = fixes.select("pair_id", "original", "revised", numbers(listless).alias("known"), numbers(F.regexp_replace("revised", r"\]\(#[^)]*\)", "]")).alias("told"))
+    unit = lambda n: F.replace(n["unit"], F.lit("퍼센트"), F.lit("%"))
+    is_known = lambda n: lambda d: (d["value"] == n["value"]) & (d["unit"].isNull() | n["unit"].isNull() | (unit(d) == unit(n)))
+    fresh = F.filter("told", lambda n: ~F.exists("known", is_known(n)) & ~F.coalesce(n["unit"].isin("줄", "행"), F.lit(False)))
+    figures = valued.select("pair_id", F.lit("number").alias("kind"), F.explode(F.transform(fresh, lambda n: n["shown"])).alias("token")).distinct()
+    kinds = {"name": r"[「『“\"]([^」』”\"]+)[」』”\"]", "word": r"([A-Za-z][A-Za-z0-9+.-]{1,})"}
     each = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract_all("revised", F.lit(p), F.lit(1)).alias("found")) for k, p in kinds.items()])
     found = fixes.select("pair_id", "original", F.inline(each)).select("pair_id", "original", "kind", F.explode("found").alias("token")).distinct()
-    bare = lambda c: F.regexp_replace(c, r"[\s,*_`]", "")
-    return found.where(~F.contains(bare(F.col("original")), bare(F.col("token")))).select("pair_id", "kind", "token")
+    bare = lambda c: F.lower(F.regexp_replace(c, r"[\s*_`]", ""))
+    words = found.where((bare(F.col("token")) != "") & ~F.contains(bare(F.col("original")), bare(F.col("token")))).select("pair_id", "kind", "token")
+    return figures.union(words)
 
 
 def fix_guard(fixes: DataFrame) -> DataFrame:

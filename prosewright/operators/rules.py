@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosewright.functions.text import final_consonant, fragment, hangul_count, is_example, is_narrative, is_plain_speech, mask, sentences, strip
+from prosewright.functions.text import all_quoted, drop_tail, final_consonant, fragment, hangul_count, is_example, is_narrative, is_plain_speech, mask, sentences, squeeze, strip, strip_tags
 from prosewright.operators import structure
 
 
@@ -111,34 +111,34 @@ NON_BUSINESS = [
 ]
 PERSONAL = [("warn", r"매일\s*밤"), ("warn", r"(?<![가-힣])늘(?=\s)(?!\s*(?:수|것|지|때|만큼|뿐|리|듯|거|까))")]
 
-# Stock phrases.
+# Stock phrases, each with a name of its own.
 STOCK = [
-    r"단순(?:한|히)\s?[가-힣]+(?:\s[가-힣]+){0,2}?(?:을|를)\s?넘어",
-    r"(?:것은|점은|사실은)\s?(?:명확|분명|자명)(?:하다|합니다|해졌다|해졌습니다)(?=[.\s]|$)",
-    r"(?:발판|토대|초석)(?:을|를)\s?(?:마련|다지|다진|다졌|놓)|지평을\s?(?:열|여|연|넓)",
-    r"(?:야\s?할|나아갈|나설)\s(?:때|시점|순간)(?:입니다|이다)(?=[.!\s]|$)",
-    r"(?:필요한|중요한)\s?것은\s[^.\n]{1,40}?[가-힣](?:이다|입니다)(?=[.\s]|$)",
-    r"[가-힣]+(?:는|은|던)\s이유(?:다|입니다)(?=[.!\s]|$)",
-    r"(?m)(?:^|[.!?]\s+)(?:그러나\s|다만\s|하지만\s)?(?:과제|한계|숙제|아쉬운\s?점)(?:도|는)\s?(?:남아\s?있|분명하)(?:다|습니다)\.",
-    r"[가-힣]+(?:다|라)는\s?(?:분석|평가|관측|전망)(?:이다|입니다)(?=[.\s]|$)",
-    r"[가-힣]에\s?있어서\s",
-    r"[가-힣](?:와|과)\s?관련(?:하여|해서)\s",
-    r"(?:을|를)\s?가지고\s?있(?:다|습니다|는|으며|어)",
-    r"(?:라고|이라고)\s?(?:알려진|일컬어지는)\s",
-    r"시사하는\s?바가|주목할\s?만하|간과할\s?수\s?없|무시할\s?수\s?없|방점을\s?찍|의미가\s?적지\s?않|의미심장",
-    r"크게\s(?:두|세|네|다섯)\s가지로\s나눌|다음과\s같은\s특징을\s가|다음과\s같이\s요약할\s수",
-    r"중요하고\s핵심적인|새롭고\s혁신적인|지속적이고\s꾸준한|효과적이고\s효율적인",
-    r"역할과\s기능|의미와\s가치",
-    r"가능성이\s?있을\s?수\s?있|보여질\s?수\s?있|(?:ㄹ|을|할)\s?수도\s?있을\s?것",
-    r"(?:다|라)는\s?점에\s?있(?:다|습니다)|주목할\s?점은",
-    r"\((?:이는|즉|이것은)\s[^)]{3,}\)",
-    r"(?:라고|다고)\s?(?:할|볼)\s수\s있(?:다|습니다)|에\s다름\s아니|라\s하겠다",
-    r"전례\s?없는|가능성을\s?열어\s?(?:준|줍|주)",
-    r"(?:핵심|관건|문제)은\s[^.\n]{2,40}?(?:데|점)에\s있(?:다|습니다)",
-    r"청사진|적신호|경고등|신호탄|움켜쥐|움켜쥔|뿌리내리|뿌리내린|짓누르|짓눌",
-    r"(?:진단|경고|분석|통계|현실|숫자|결과|지적|전망)(?:은|는|이|가)\s(?:서늘|아프|아픕|차갑|뜨겁|뜨거|묵직|섬뜩)",
-    r"(?:이\s?글|본\s?글|이번\s?글|이\s?문서|본\s?문서)에서는\s[^.\n]{0,40}(?:알아보겠습니다|살펴보겠습니다|다루겠습니다|소개하겠습니다)",
-    r"(?:한|어느)\s(?:전문가|관계자|연구원|업계\s관계자|담당자)(?:(?:는|은)\s[^.\n]{0,60}?(?:말했|밝혔|전했|설명했|지적했|강조했|라고)|에\s따르면)",
+    ("beyond_mere", r"단순(?:한|히)\s?[가-힣]+(?:\s[가-힣]+){0,2}?(?:을|를)\s?넘어"),
+    ("clear_verdict", r"(?:것은|점은|사실은)\s?(?:명확|분명|자명)(?:하다|합니다|해졌다|해졌습니다)(?=[.\s]|$)"),
+    ("groundwork_metaphor", r"(?:발판|토대|초석)(?:을|를)\s?(?:마련|다지|다진|다졌|놓)|지평을\s?(?:열|여|연|넓)"),
+    ("time_to_act", r"(?:야\s?할|나아갈|나설)\s(?:때|시점|순간)(?:입니다|이다)(?=[.!\s]|$)"),
+    ("what_is_needed_is", r"(?:필요한|중요한)\s?것은\s[^.\n]{1,40}?[가-힣](?:이다|입니다)(?=[.\s]|$)"),
+    ("the_reason_that", r"[가-힣]+(?:는|은|던)\s이유(?:다|입니다)(?=[.!\s]|$)"),
+    ("empty_caveat", r"(?m)(?:^|[.!?]\s+)(?:그러나\s|다만\s|하지만\s)?(?:과제|한계|숙제|아쉬운\s?점)(?:도|는)\s?(?:남아\s?있|분명하)(?:다|습니다)\."),
+    ("nobodys_analysis", r"[가-힣]+(?:다|라)는\s?(?:분석|평가|관측|전망)(?:이다|입니다)(?=[.\s]|$)"),
+    ("in_regard_to", r"[가-힣]에\s?있어서\s"),
+    ("in_relation_to", r"[가-힣](?:와|과)\s?관련(?:하여|해서)\s"),
+    ("have_and_hold", r"(?:을|를)\s?가지고\s?있(?:다|습니다|는|으며|어)"),
+    ("known_as", r"(?:라고|이라고)\s?(?:알려진|일컬어지는)\s"),
+    ("inflated_meaning", r"시사하는\s?바가|주목할\s?만하|간과할\s?수\s?없|무시할\s?수\s?없|방점을\s?찍|의미가\s?적지\s?않|의미심장"),
+    ("list_opener", r"크게\s(?:두|세|네|다섯)\s가지로\s나눌|다음과\s같은\s특징을\s가|다음과\s같이\s요약할\s수"),
+    ("doubled_synonyms", r"중요하고\s핵심적인|새롭고\s혁신적인|지속적이고\s꾸준한|효과적이고\s효율적인"),
+    ("paired_nouns", r"역할과\s기능|의미와\s가치"),
+    ("double_hedge", r"가능성이\s?있을\s?수\s?있|보여질\s?수\s?있|(?:ㄹ|을|할)\s?수도\s?있을\s?것"),
+    ("formal_noun", r"(?:다|라)는\s?점에\s?있(?:다|습니다)|주목할\s?점은"),
+    ("aside_in_brackets", r"\((?:이는|즉|이것은)\s[^)]{3,}\)"),
+    ("closing_formula", r"(?:라고|다고)\s?(?:할|볼)\s수\s있(?:다|습니다)|에\s다름\s아니|라\s하겠다"),
+    ("inflated_words", r"전례\s?없는|가능성을\s?열어\s?(?:준|줍|주)"),
+    ("the_point_lies_in", r"(?:핵심|관건|문제)은\s[^.\n]{2,40}?(?:데|점)에\s있(?:다|습니다)"),
+    ("made_up_metaphor", r"청사진|적신호|경고등|신호탄|움켜쥐|움켜쥔|뿌리내리|뿌리내린|짓누르|짓눌"),
+    ("felt_verdict", r"(?:진단|경고|분석|통계|현실|숫자|결과|지적|전망)(?:은|는|이|가)\s(?:서늘|아프|아픕|차갑|뜨겁|뜨거|묵직|섬뜩)"),
+    ("talk_about_talk", r"(?:이\s?글|본\s?글|이번\s?글|이\s?문서|본\s?문서)에서는\s[^.\n]{0,40}(?:알아보겠습니다|살펴보겠습니다|다루겠습니다|소개하겠습니다)"),
+    ("unnamed_source", r"(?:한|어느)\s(?:전문가|관계자|연구원|업계\s관계자|담당자)(?:(?:는|은)\s[^.\n]{0,60}?(?:말했|밝혔|전했|설명했|지적했|강조했|라고)|에\s따르면)"),
 ]
 
 # Patterns that pile up: name, scope, least number, pattern.
@@ -197,13 +197,12 @@ def apply_rules(lines: DataFrame, rules: list[Rule], text: str = "text") -> Data
 
 
 def word_rules(personal: bool = False) -> list[Rule]:
-    return [Rule("non_business_word", s, p) for s, p in [*NON_BUSINESS, *(PERSONAL if personal else [])]] + [Rule("stock_phrase", "warn", p) for p in STOCK]
+    return [Rule("non_business_word", s, p) for s, p in [*NON_BUSINESS, *(PERSONAL if personal else [])]] + [Rule("stock_phrase", "warn", p, name) for name, p in STOCK]
 
 
 def scannable(body: DataFrame) -> DataFrame:
     """Masked lines that rules of wording see: no quotes, examples or rows of contrast tables."""
-    contrast = structure.table_cells(body).where("contrast").select("doc_key", "line_no").distinct()
-    kept = body.where(~F.col("text").rlike(r"^\s*>") & ~is_example("text")).join(contrast, ["doc_key", "line_no"], "left_anti")
+    kept = structure.without_contrast(body).where(~F.col("text").rlike(r"^\s*>") & ~is_example("text"))
     return kept.withColumn("text", mask("text"))
 
 
@@ -211,8 +210,8 @@ def wording(body: DataFrame, personal: bool = False) -> DataFrame:
     """Findings of all line rules; a suspect seat gives way to a certain one on its line."""
     lines = scannable(body).where(F.col("text").rlike("[가-힣]"))
     found = apply_rules(lines, LINE_RULES + word_rules(personal))
-    sure = found.where("kind = 'empty_seat'").select("doc_key", "line_no", F.lit("empty_seat_suspect").alias("kind")).distinct()
-    return found.join(sure, ["doc_key", "line_no", "kind"], "left_anti").select(*FINDING)
+    sure = F.max(F.col("kind") == "empty_seat").over(Window.partitionBy("doc_key", "line_no"))
+    return found.withColumn("sure", sure).where("NOT (sure AND kind = 'empty_seat_suspect')").select(*FINDING)
 
 
 def brand_findings(lines: DataFrame, brands: DataFrame) -> DataFrame:
@@ -275,10 +274,9 @@ def skipped_capabilities(documents: DataFrame) -> DataFrame:
 
 def value_findings(body: DataFrame, relaxed: bool = False) -> DataFrame:
     """Sentence endings and cut-offs in value slots, plain speech among them."""
-    slots = structure.value_slots(body).where("NOT text rlike '^[-: ]*$'")
-    wraps = structure.wrapped(body).where("wrapped").select("doc_key", "line_no", F.lit(True).alias("wrapped"))
-    cut = slots.withColumn("f", fragment("text")).join(wraps, ["doc_key", "line_no"], "left")
-    certain = F.col("f.err").isNotNull() & F.col("wrapped").isNull()
+    slots = structure.value_slots(structure.wrapped(body), ("wrapped",)).where("NOT text rlike '^[-: ]*$'")
+    cut = slots.withColumn("f", fragment("text"))
+    certain = F.col("f.err").isNotNull() & ~F.col("wrapped")
     cut = cut.withColumn("kind", F.when(certain, "cut_ending").when(F.col("f.err").isNotNull() | F.col("f.warn").isNotNull(), "cut_ending_suspect")).where("kind IS NOT NULL")
     cut = cut.select("doc_key", F.col("line_no").cast("int").alias("line_no"), "kind", F.when(certain, "err").otherwise("warn").alias("severity"), F.substring("text", 1, 60).alias("match"), F.coalesce("f.err", "f.warn").alias("note"))
     said = slots.select("doc_key", "line_no", F.explode(sentences("text")).alias("s")).where(is_narrative("s"))
@@ -292,15 +290,27 @@ def heading_findings(body: DataFrame) -> DataFrame:
     """Headings that are sentences, cut off, or only about reading the document; H1 without a lede, and the lede's form."""
     heads = structure.headings(body).withColumn("f", fragment("title"))
     narrative = _finding(heads.where(is_narrative("title")), "heading_narrative", "err", "title")
-    cut = _finding(heads.where("f.err IS NOT NULL"), "heading_not_nominal", "err", "title", F.col("f.err"))
-    form = _finding(heads.where("f.err IS NULL AND f.warn IS NOT NULL"), "heading_form_check", "warn", "title", F.col("f.warn"))
+    form = _form_findings(heads, "title", "heading")
     meta = _finding(heads.where(F.col("title").rlike(META_HEADING)), "unscannable_label", "warn", "title")
-    ledes = structure.ledes(body).withColumn("f", fragment("lede"))
+    ledes = structure.ledes(body)
     missing = _finding(ledes.where("lede IS NULL").withColumn("line_no", F.col("h1_line")), "lede_missing", "err", F.lit(""))
     at = ledes.where("lede IS NOT NULL").withColumn("line_no", F.col("lede_line"))
-    lede = _finding(at.where(is_narrative("lede")), "lede_narrative", "err", "lede").union(_finding(at.where("f.err IS NOT NULL"), "lede_not_nominal", "err", "lede", F.col("f.err")))
-    lede = lede.union(_finding(at.where("f.err IS NULL AND f.warn IS NOT NULL"), "lede_form_check", "warn", "lede", F.col("f.warn")))
-    return narrative.union(cut).union(form).union(meta).union(missing).union(lede)
+    return narrative.union(form).union(meta).union(missing).union(_lede_findings(at))
+
+
+def _form_findings(rows: DataFrame, shown: str, what: str) -> DataFrame:
+    """Rows (…, f) whose text is cut off or a question as errors, those that may be as warnings."""
+    certain = F.col("f.err").isNotNull() | F.coalesce(F.col("f.warn") == "question label", F.lit(False))
+    found = _finding(rows.where(certain), f"{what}_not_nominal", "err", shown, F.coalesce("f.err", "f.warn"))
+    return found.union(_finding(rows.where(~certain & F.col("f.warn").isNotNull()), f"{what}_form_check", "warn", shown, F.col("f.warn")))
+
+
+def _lede_findings(ledes: DataFrame) -> DataFrame:
+    """The form of ledes (doc_key, line_no, lede): each value of it, and its sentences."""
+    told = ledes.select("doc_key", "line_no", F.explode(F.split(strip_tags("lede"), r"(?<=\.)\s+")).alias("s")).withColumn("s", strip("s")).where(is_narrative("s"))
+    bare = F.replace(drop_tail(strip_tags("lede")), F.lit("**"), F.lit(""))
+    values = ledes.select("doc_key", "line_no", F.explode(structure.label_values(bare)).alias("v")).where(~all_quoted("v")).withColumn("f", fragment(drop_tail("v")))
+    return _finding(told, "lede_narrative", "err", F.substring("s", 1, 60)).union(_form_findings(values, "v", "lede"))
 
 
 def label_findings(body: DataFrame) -> DataFrame:
@@ -311,27 +321,40 @@ def label_findings(body: DataFrame) -> DataFrame:
     heads = structure.table_cells(body).where("header").where(F.col("text").isin(BAD_LABELS))
     empty = empty.union(_finding(heads, "unscannable_label", "warn", "text"))
     blocks = structure.list_blocks(body).where(F.col("text").rlike(label)).withColumn("label", F.regexp_extract("text", label, 1))
-    sets = blocks.groupBy("doc_key", "block").agg(F.collect_set("label").alias("labels")).where(F.size("labels") >= 2)
+    return empty.union(_uneven(blocks, 2))
+
+
+def _uneven(blocks: DataFrame, least: int) -> DataFrame:
+    """Documents with three or more labelled blocks (doc_key, block, label) and more labels used once than half the blocks."""
+    sets = blocks.groupBy("doc_key", "block").agg(F.collect_list("label").alias("labels")).where(F.size("labels") >= least)
     n_sets = sets.groupBy("doc_key").agg(F.count("*").alias("n_sets"), F.min("block").alias("line_no")).where("n_sets >= 3")
     single = sets.select("doc_key", F.explode("labels").alias("label")).groupBy("doc_key", "label").count().where("count = 1").groupBy("doc_key").agg(F.count("*").alias("n_single"), F.min("label").alias("label"))
-    uneven = n_sets.join(single, "doc_key").where("n_single > n_sets / 2")
-    return empty.union(_finding(uneven, "block_label_mismatch", "warn", "label"))
+    return _finding(n_sets.join(single, "doc_key").where("n_single > n_sets / 2"), "block_label_mismatch", "warn", "label")
+
+
+# What names a quotation's source: a bracketed date, or a bracketed word for evidence.
+SOURCED = r"`\[[^`]*\]`|[\[(][^\])]{0,20}\d{1,2}/\d{1,2}[^\])]{0,20}[\])]|[\[(](?:사내|근거|출처)[^\])]*[\])]"
 
 
 def quote_findings(body: DataFrame) -> DataFrame:
     """Commentary set as a quotation: a sentence in a block quote without a source."""
-    source = r"`\[[^`]*\]`|[\[(][^\])]{0,20}\d{1,2}/\d{1,2}[^\])]{0,20}[\])]|[\[(](?:사내|근거|출처)[^\])]*[\])]"
     rows = structure.quote_blocks(body).withColumn("said", F.regexp_replace("text", r"^\s*>+\s*", ""))
-    sourced = rows.where(F.col("text").rlike(source)).select("doc_key", "block").distinct()
-    return _finding(rows.join(sourced, ["doc_key", "block"], "left_anti").where(is_narrative("said")), "commentary_as_quote", "warn", F.substring("said", 1, 60))
+    rows = rows.withColumn("sourced", F.max(F.col("text").rlike(SOURCED)).over(Window.partitionBy("doc_key", "block")))
+    return _finding(rows.where(~F.col("sourced") & is_narrative("said")), "commentary_as_quote", "warn", F.substring("said", 1, 60))
 
 
 def section_findings(body: DataFrame) -> DataFrame:
     """Sections named by number: § references to this document, and bare numbers that a heading has."""
+    return _section_hits(body, ~F.col("text").rlike("^#"), structure.heading_numbers(body))
+
+
+def _section_hits(body: DataFrame, is_body: Column, numbers: DataFrame) -> DataFrame:
     shown = body.withColumn("text", F.regexp_replace(F.regexp_replace("text", r"`[^`]*`", " "), r"[「『][^」』]*[」』]\s*\(?(?=\d|§)", "」"))
     marked = shown.withColumn("hit", F.explode(F.regexp_extract_all("text", F.lit(rf"({STANDARD_BEFORE}{SECTION_REF}|{SECTION_REF})"), F.lit(1)))).where(F.col("hit").startswith("§"))
-    bare = shown.where(~F.col("text").rlike("^#")).select("doc_key", "line_no", F.explode(F.regexp_extract_all("text", F.lit(f"({BARE_SECTION})"), F.lit(1))).alias("hit"))
-    bare = bare.withColumn("number", F.regexp_extract("hit", r"\d{1,2}(?:[-.]\d{1,2})*", 0)).join(structure.heading_numbers(body), ["doc_key", "number"])
+    by_document = numbers.groupBy("doc_key").agg(F.map_from_entries(F.collect_list(F.struct("number", "title"))).alias("titles"))
+    bare = shown.where(is_body).select("doc_key", "line_no", F.explode(F.regexp_extract_all("text", F.lit(f"({BARE_SECTION})"), F.lit(1))).alias("hit"))
+    bare = bare.withColumn("number", F.regexp_extract("hit", r"\d{1,2}(?:[-.]\d{1,2})*", 0)).join(by_document, "doc_key")
+    bare = bare.withColumn("title", F.try_element_at("titles", F.col("number"))).where("title IS NOT NULL")
     return _finding(marked, "section_by_number", "err", "hit").union(_finding(bare, "section_by_number", "err", "hit", F.col("title")))
 
 
@@ -346,9 +369,8 @@ def middot_findings(body: DataFrame, ledger: DataFrame | None = None) -> DataFra
     return _finding(hits, "spaced_middot", "err", F.substring("text", 1, 60))
 
 
-def prose_in_code(documents: DataFrame) -> DataFrame:
-    """Fences tagged as text with three sentences or more that are not introduced as an example."""
-    lines = structure.parsed_lines(documents)
+def prose_in_code(lines: DataFrame) -> DataFrame:
+    """Fences tagged as text with three sentences or more that are not introduced as an example; lines are parsed ones."""
     w = structure.by_line()
     edge = lines.withColumn("start", F.col("fenced") & ~F.coalesce(F.lag("fenced").over(w), F.lit(False))).withColumn("before", F.lag("text").over(w))
     marked = edge.withColumn("fence", F.last(F.when(F.col("start"), F.struct("line_no", "text", "before")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("fenced AND NOT start")
@@ -416,16 +438,22 @@ def register_findings(said: DataFrame, least: int = 12, share: float = 0.25, rat
     return _finding(strays, "register_mix", "err", F.substring("s", 1, 60)).union(_finding(open_, "register_mix", "warn", F.lit("")))
 
 
-def markdown_findings(documents: DataFrame, dictionary: DataFrame | None = None, brands: DataFrame | None = None, ledger: DataFrame | None = None, personal: bool = False) -> DataFrame:
+def markdown_findings(
+    documents: DataFrame, dictionary: DataFrame | None = None, brands: DataFrame | None = None, ledger: DataFrame | None = None, personal: bool = False, parsed: DataFrame | None = None
+) -> DataFrame:
     """All findings of Markdown documents (doc_key, raw) before the finding algebra.
 
-    The body lines feed every family of rules and are persisted; ``spark.catalog.clearCache()`` frees them.
+    ``parsed`` are the documents' lines dealt by document (``structure.dealt_lines``), if at hand and persisted by the caller.
+    Every family works within a document, so the lines are shuffled once and the families are narrow.
     """
-    body = structure.merge_wrapped(structure.body_lines(documents)).persist()
+    if parsed is None:
+        parsed = structure.dealt_lines(documents)
+    flat = parsed.where("NOT fenced").drop("fenced")
+    body = structure.merge_wrapped(flat)
     lines = scannable(body)
     parts = [
         value_findings(body), heading_findings(body), label_findings(body), quote_findings(body), section_findings(body), middot_findings(body, ledger), wording(body, personal), not_but_findings(body),
-        repetition(structure.paragraphs(structure.body_lines(documents))), register_findings(register_of(body), personal=personal), prose_in_code(documents),
+        repetition(structure.paragraphs(flat)), register_findings(register_of(body), personal=personal), prose_in_code(parsed),
     ]
     if dictionary is not None:
         parts.append(spelling_findings(lines, dictionary))
@@ -437,12 +465,30 @@ def markdown_findings(documents: DataFrame, dictionary: DataFrame | None = None,
     return out
 
 
-def html_findings(pages: DataFrame, dictionary: DataFrame | None = None, brands: DataFrame | None = None, ledger: DataFrame | None = None, personal: bool = False) -> DataFrame:
-    """Findings of HTML documents (doc_key, raw): the same rules over visible lines, values, paragraphs and headings.
+def html_structure_findings(pages: DataFrame) -> list[DataFrame]:
+    """What Markdown's structure rules say, over elements: ledes, labelled blocks, block quotes, sections named by number."""
+    raw = structure.clean_html("raw")
+    nowhere = F.lit(None).cast("int").alias("line_no")
+    every = lambda p: F.regexp_extract_all(raw, F.lit(p), F.lit(1))
+    named = every(r'(?is)<p\b[^>]*class="lede"[^>]*>(.*?)</p>')
+    first = F.regexp_extract(F.regexp_extract(raw, r"(?is)</h1>(.*)$", 1), r"(?is)<p\b[^>]*>(.*?)</p>", 1)
+    ledes = pages.select("doc_key", nowhere, F.when(F.size(named) > 0, named).when(raw.rlike("(?i)<h1"), F.array(first)).alias("ledes")).where("ledes IS NOT NULL")
+    ledes = ledes.select("doc_key", "line_no", F.explode("ledes").alias("lede"))
+    missing = _finding(ledes.where(strip_tags("lede") == ""), "lede_missing", "err", F.lit(""))
+    blocks = pages.select("doc_key", F.posexplode(every(r"(?is)<(?:article|section)\b[^>]*>(.*?)</(?:article|section)>")).alias("block", "inner"))
+    labels = blocks.select("doc_key", "block", F.explode(F.regexp_extract_all("inner", F.lit(r"(?is)<dt\b[^>]*>(.*?)</dt>"), F.lit(1))).alias("label")).withColumn("label", strip_tags("label"))
+    quotes = pages.select("doc_key", nowhere, F.explode(every(r"(?is)<blockquote\b[^>]*>(.*?)</blockquote>")).alias("q")).withColumn("q", squeeze(strip_tags("q"))).where(~F.col("q").rlike(SOURCED))
+    said = quotes.select("doc_key", "line_no", F.explode(F.split("q", r"(?<=다\.)\s+")).alias("s")).withColumn("s", strip(F.replace("s", F.lit("**"), F.lit("")))).where(is_narrative("s"))
+    heads = pages.select("doc_key", F.posexplode(structure.html_headings("raw")).alias("line_no", "h")).select("doc_key", "line_no", "h.title")
+    whole = pages.select("doc_key", nowhere, strip_tags(F.regexp_replace(raw, r"(?is)<h([1-6])\b[^>]*>.*?</h\1>", "\n")).alias("text"), F.lit(True).alias("is_body"))
+    titles = heads.select("doc_key", F.lit(None).cast("int").alias("line_no"), F.col("title").alias("text"), F.lit(False).alias("is_body"))
+    sections = _section_hits(whole.union(titles), F.col("is_body"), structure.numbered_titles(heads))
+    return [missing, _lede_findings(ledes.where(strip_tags("lede") != "")), _uneven(labels, 1), _finding(said, "commentary_as_quote", "warn", F.substring("s", 1, 60)), sections]
 
-    Visible lines, which all families read, are persisted; ``spark.catalog.clearCache()`` frees them.
-    """
-    visible = structure.visible_html_lines(pages).persist()
+
+def html_findings(pages: DataFrame, dictionary: DataFrame | None = None, brands: DataFrame | None = None, ledger: DataFrame | None = None, personal: bool = False) -> DataFrame:
+    """Findings of HTML documents (doc_key, raw): the same rules over visible lines, values, paragraphs and headings."""
+    visible = structure.visible_html_lines(pages)
     lines = visible.where(~is_example("text")).withColumn("text", mask("text"))
     nowhere = F.lit(None).cast("int").alias("line_no")
     slots = structure.html_slots(pages).select("doc_key", nowhere, "text", fragment("text").alias("f"))
@@ -455,7 +501,8 @@ def html_findings(pages: DataFrame, dictionary: DataFrame | None = None, brands:
         apply_rules(lines, LINE_RULES + word_rules(personal)), _finding(said.where(is_narrative("s")), "narrative_ending", "err", F.substring("s", 1, 60)),
         _finding(told.where(is_narrative("s")), "narrative_paragraph", "err", F.substring("s", 1, 60)), _finding(both.where("plain"), "plain_speech", "err", F.substring("s", 1, 60)),
         _finding(slots.where("f.err IS NOT NULL"), "cut_ending", "err", "text", F.col("f.err")), _finding(slots.where("f.err IS NULL AND f.warn IS NOT NULL"), "cut_ending_suspect", "warn", "text", F.col("f.warn")),
-        _finding(heads.where(is_narrative("title")), "heading_narrative", "err", "title"), _finding(heads.where("f.err IS NOT NULL"), "heading_not_nominal", "err", "title", F.col("f.err")),
+        _finding(heads.where(is_narrative("title")), "heading_narrative", "err", "title"), _form_findings(heads.where(~all_quoted("title")), "title", "heading"),
+        *html_structure_findings(pages),
         _finding(heads.where(F.col("title").rlike(META_HEADING)), "unscannable_label", "warn", "title"), _finding(labels.where(F.col("label").isin(BAD_LABELS)), "unscannable_label", "warn", "label"),
         not_but_findings(visible), repetition(visible.select("doc_key", F.col("line_no").alias("first_line"), "text")), middot_findings(visible, ledger), register_findings(both, personal=personal),
     ]

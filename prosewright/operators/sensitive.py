@@ -16,8 +16,14 @@ BLOCKING = [
 ]
 ADVICE = {
     "account_path": "use a home-directory variable", "email": "remove it or name the role", "key": "revoke it and clean the history",
-    "internal_host": "not reachable from outside", "chat_id": "names people and rooms", "issue_key": "internal issue number", "term": "on the deny list", "advisory_term": "on the deny list for data files",
+    "internal_host": "not reachable from outside", "chat_id": "names people and rooms", "issue_key": "internal issue number", "term": "on the deny list", "author_path": "a path of the author's machine", "company": "name the role instead", "advisory_term": "on the deny list for data files",
 }
+def advisory_patterns(folders: list[str], companies: list[str]) -> list[tuple[str, str]]:
+    """Patterns that advise only: folders at a drive's root of the author's machine, and names of companies."""
+    out = [("author_path", rf"[A-Za-z]:[/\\](?:{'|'.join(folders)})")] if folders else []
+    return out + ([("company", rf"(?i)(?:{'|'.join(companies)})")] if companies else [])
+
+
 DATA_FILE = r"(?i)\.(?:json|jsonl|csv|tsv|parquet|txt)$"
 
 
@@ -27,7 +33,8 @@ def scan_lines(lines: DataFrame, issue_projects: list[str] | None = None, patter
     if issue_projects:
         own.append(("issue_key", rf"\b(?:{'|'.join(issue_projects)})-\d+\b"))
     hits = F.array(*[F.struct(F.lit(label).alias("label"), F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1)).alias("matches")) for label, pattern in own])
-    prefilter = lines.where(F.col("text").rlike("|".join(f"(?:{p.replace('(?i)', '')})" for _, p in own if "(?i)" not in p) + "|(?i:https?://[a-z0-9.-]*\\.(?:local|internal|corp|lan))"))
+    scoped = [f"(?i:{p[4:]})" if p.startswith("(?i)") else f"(?:{p})" for _, p in own]  # a flag at a pattern's start holds for that pattern only
+    prefilter = lines.where(F.col("text").rlike("|".join(scoped)))
     found = prefilter.select("doc_key", "line_no", "text", F.inline(hits)).select("doc_key", "line_no", "text", "label", F.explode("matches").alias("match"))
     advice = F.create_map(*[F.lit(x) for kv in ADVICE.items() for x in kv])
     return found.select("doc_key", "line_no", "label", F.substring("match", 1, 44).alias("match"), F.substring("text", 1, 96).alias("line"), advice[F.col("label")].alias("advice"))

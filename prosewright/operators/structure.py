@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosewright.functions.spans import pandas_function
-from prosewright.functions.text import BLOCK_TAGS, is_narrative, strip, strip_tags
+from prosewright.functions.text import BLOCK_TAGS, is_narrative, squeeze, strip, strip_tags, unescape_html
 
 LIST_ITEM = r"^(?:[-*]\s+|\d+[.)]\s+)"
 HEADING = r"^(#{1,6})\s+(.+?)\s*#*$"
@@ -70,6 +70,12 @@ def parsed_lines(documents: DataFrame) -> DataFrame:
     return documents.select("doc_key", F.inline(_parsed("raw"))).select("doc_key", "line_no", "text", "fenced")
 
 
+def dealt_lines(documents: DataFrame) -> DataFrame:
+    """``parsed_lines`` dealt by document, so that whatever groups or joins by document or within it needs no further shuffle."""
+    n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return parsed_lines(documents).repartition(n, "doc_key")
+
+
 def body_lines(documents: DataFrame) -> DataFrame:
     return parsed_lines(documents).where("NOT fenced").drop("fenced")
 
@@ -97,7 +103,7 @@ def merge_wrapped(body: DataFrame) -> DataFrame:
     head = F.last(F.when(~F.col("more"), F.struct("line_no", "item")), ignorenulls=True).over(by_line().rowsBetween(Window.unboundedPreceding, 0))
     marked = marked.withColumn("head", head).withColumn("head_no", F.when(F.col("more") & F.col("head.item"), F.col("head.line_no")).otherwise(F.col("line_no")))
     return marked.groupBy("doc_key", "head_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("rows")).select(
-        "doc_key", F.col("head_no").alias("line_no"), F.concat(F.element_at("rows.text", 1), F.array_join(F.transform(F.slice("rows.text", 2, 100_000), lambda t: F.concat(F.lit(" "), F.trim(t))), "")).alias("text")
+        "doc_key", F.col("head_no").alias("line_no"), F.concat(F.element_at("rows.text", 1), F.array_join(F.transform(F.slice("rows.text", F.lit(2), F.size("rows")), lambda t: F.concat(F.lit(" "), F.trim(t))), "")).alias("text")
     )
 
 
@@ -126,16 +132,26 @@ def quote_blocks(body: DataFrame) -> DataFrame:
     return _runs(body, F.col("text").rlike(r"^\s*>"), "block").where("block > 6")
 
 
-def table_cells(body: DataFrame) -> DataFrame:
+def table_cells(body: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Cells of pipe tables with their row's part: header or value; separator rows left out; ``contrast`` tables marked."""
     runs = _runs(body, F.trim("text").rlike(r"^\|.*\|"), "block")
     rows = runs.withColumn("header", F.col("line_no") == F.col("block")).where(~F.col("text").rlike(r"^[-:|\s]*$"))
     contrast = F.max(F.col("header") & F.col("text").contains("❌") & F.col("text").contains("✅")).over(Window.partitionBy("doc_key", "block"))
     inner = F.regexp_replace(F.regexp_replace(F.trim("text"), r"^\|+|\|+$", ""), r"\\\|", "\u0000")
-    cells = rows.withColumn("contrast", contrast).select("doc_key", "line_no", "block", "header", "contrast", F.posexplode(F.split(inner, r"\|")).alias("cell_no", "text"))
+    cells = rows.withColumn("contrast", contrast).select("doc_key", "line_no", "block", "header", "contrast", *keep, F.posexplode(F.split(inner, r"\|")).alias("cell_no", "text"))
     return cells.withColumn("text", F.trim(F.replace("text", F.lit("\u0000"), F.lit("|"))))
 
 
+def without_contrast(body: DataFrame) -> DataFrame:
+    """The lines that are not rows of contrast tables, by windows within a document."""
+    row = F.trim("text").rlike(r"^\|.*\|")
+    marked = body.withColumn("_row", row).withColumn("_run", F.col("line_no") - F.row_number().over(Window.partitionBy("doc_key", "_row").orderBy("line_no")))
+    block = Window.partitionBy("doc_key", "_row", "_run")
+    head = F.col("line_no") == F.min("line_no").over(block)
+    marked = marked.withColumn("_head", head & F.col("text").contains("❌") & F.col("text").contains("✅"))
+    return marked.withColumn("_contrast", F.max("_head").over(block)).where("NOT (_row AND _contrast)").select(*body.columns)
+
+
 def headings(body: DataFrame) -> DataFrame:
     marked = body.where(F.col("text").rlike(HEADING))
     return marked.select("doc_key", "line_no", F.length(F.regexp_extract("text", HEADING, 1)).alias("level"), F.regexp_extract("text", HEADING, 2).alias("title"))
@@ -166,8 +182,13 @@ def sections(body: DataFrame) -> DataFrame:
 
 def heading_numbers(body: DataFrame) -> DataFrame:
     """(doc_key, number, title): the first heading with each number."""
+    return numbered_titles(headings(body))
+
+
+def numbered_titles(heads: DataFrame) -> DataFrame:
+    """(doc_key, line_no, title) to (doc_key, number, title).  Numbers have up to two digits a level, after an optional word for appendix."""
     numbered = r"^\s*(?:부록\s+)?(\d{1,2}(?:[-.]\d{1,2})*)[.)]?\s+(.+)$"
-    found = headings(body).withColumn("title", F.replace("title", F.lit("**"), F.lit(""))).where(F.col("title").rlike(numbered))
+    found = heads.withColumn("title", F.replace("title", F.lit("**"), F.lit(""))).where(F.col("title").rlike(numbered))
     return found.groupBy("doc_key", F.regexp_extract("title", numbered, 1).alias("number")).agg(F.min_by(F.trim(F.regexp_extract("title", numbered, 2)), "line_no").alias("title"))
 
 
@@ -192,45 +213,54 @@ def label_values(text: Column) -> Column:
     return F.when(t.rlike(label), both(label)).when(~t.rlike(bold), F.array(bare(t))).when(evidence, F.array(bare(head))).otherwise(both(bold))
 
 
-def value_slots(body: DataFrame) -> DataFrame:
-    """(doc_key, line_no, slot_kind, slot_no, text): table cells, list items and conclusion lines."""
-    cells = table_cells(body).where("NOT header AND NOT contrast AND text != ''").select("doc_key", "line_no", F.lit("cell").alias("slot_kind"), F.col("cell_no").alias("slot_no"), "text")
+def value_slots(body: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_key, line_no, slot_kind, slot_no, text, and columns of the line to keep): table cells, list items and conclusion lines."""
+    cells = table_cells(body, keep).where("NOT header AND NOT contrast AND text != ''").select("doc_key", "line_no", F.lit("cell").alias("slot_kind"), F.col("cell_no").alias("slot_no"), "text", *keep)
     trimmed = F.trim("text")
     kind = F.when(trimmed.rlike(LIST_ITEM), "item").when(trimmed.rlike(r"^[→⇒]\s*"), "conclusion")
     items = body.withColumn("slot_kind", kind).where("slot_kind IS NOT NULL").withColumn("text", F.regexp_replace(trimmed, LIST_ITEM + r"|^[→⇒]\s*", ""))
-    items = items.select("doc_key", "line_no", "slot_kind", F.posexplode(label_values(F.col("text"))).alias("slot_no", "text"))
-    return cells.union(items)
+    items = items.select("doc_key", "line_no", "slot_kind", *keep, F.posexplode(label_values(F.col("text"))).alias("slot_no", "text"))
+    return cells.union(items.select(*cells.columns))
 
 
-def slot_counts(documents: DataFrame) -> DataFrame:
-    """Slots of every document; ``blind`` where there is nothing to inspect, which is not a pass."""
-    counted = value_slots(body_lines(documents)).groupBy("doc_key").agg(F.count("*").alias("slots"))
+def slot_counts(documents: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """Slots of every document; ``blind`` where there is nothing to inspect, which is not a pass.  ``lines`` are parsed ones, if at hand."""
+    body = body_lines(documents) if lines is None else lines.where("NOT fenced").drop("fenced")
+    counted = value_slots(body).groupBy("doc_key").agg(F.count("*").alias("slots"))
     return documents.select("doc_key").join(counted, "doc_key", "left").select("doc_key", F.coalesce("slots", F.lit(0)).alias("slots")).withColumn("blind", F.col("slots") == 0)
 
 
+def flowing() -> Column:
+    """A line of running text: no list item, quotation, table row, heading, fence or element."""
+    return ~F.trim("text").rlike(r"^(?:[-*+>|#]|\d+[.)]\s|```|~~~|<|!\[|[→⇒])")
+
+
 def prose_share(lines_: DataFrame) -> DataFrame:
     """(doc_key, share): flowing lines among the non-blank ones."""
-    flowing = ~F.trim("text").rlike(r"^(?:[-*+>|#]|\d+[.)]\s|```|~~~|<|!\[|[→⇒])")
-    return lines_.where(strip("text") != "").groupBy("doc_key").agg(F.avg(flowing.cast("double")).alias("share"), F.count("*").alias("n_lines"))
+    return lines_.where(strip("text") != "").groupBy("doc_key").agg(F.avg(flowing().cast("double")).alias("share"), F.count("*").alias("n_lines"))
+
+
+def of_matter() -> Column:
+    return F.trim("text").rlike(LIST_ITEM) | F.col("text").rlike(r"^\s*[|#]") | is_narrative(F.col("text"))
 
 
 def notice_frame(body: DataFrame) -> DataFrame:
     """(doc_key, first, last): first and last line that belong to the matter of a notice, not to its greeting or closing."""
-    matter = F.trim("text").rlike(LIST_ITEM) | F.col("text").rlike(r"^\s*[|#]") | is_narrative(F.col("text"))
-    return body.where(matter).groupBy("doc_key").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last"))
+    return body.where(of_matter()).groupBy("doc_key").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last"))
 
 
-def clean_html(raw: Column | str) -> Column:
-    """Without very long lines, styles and scripts; code blocks as one mark."""
-    text = F.array_join(F.filter(F.split(raw, "\n"), lambda r: F.length(r) < 800), "\n")
-    text = F.regexp_replace(text, r"(?is)<(style|script)\b.*?</\1\s*>", "")
+def clean_html(raw: Column | str, longest: int | None = None) -> Column:
+    """Without styles and scripts; code blocks as one mark.  With ``longest``, lines that still are as long or longer go as data."""
+    text = F.regexp_replace(raw, r"(?is)<(style|script)\b.*?</\1\s*>", "")
+    if longest is not None:
+        text = F.array_join(F.filter(F.split(text, "\n"), lambda r: F.length(r) < longest), "\n")
     return F.regexp_replace(F.regexp_replace(text, r"(?is)<pre[^>]*>\s*<code.*?</code>\s*</pre>", "□"), r"(?i)<code[^>]*>\s*</code>", "")
 
 
-def html_slots(pages: DataFrame) -> DataFrame:
+def html_slots(pages: DataFrame, longest: int | None = None) -> DataFrame:
     """(doc_key, slot_kind, slot_no, text) of dd, li and td elements and class v values; an item ends at a nested list."""
     kinds = [("dd", r"(?is)<dd\b[^>]*>(.*?)</dd>"), ("li", r"(?is)<li\b[^>]*>((?:(?!<ul|<ol|</li>).)*)"), ("td", r"(?is)<td\b[^>]*>(.*?)</td>"), ("v", r'(?is)<[^>]*class="v"[^>]*>(.*?)</')]
-    clean = pages.select("doc_key", clean_html("raw").alias("raw"))
+    clean = pages.select("doc_key", clean_html("raw", longest).alias("raw"))
     found = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract_all("raw", F.lit(p), F.lit(1)).alias("values")) for k, p in kinds])
     each = clean.select("doc_key", F.inline(found)).select("doc_key", F.col("kind").alias("slot_kind"), F.posexplode("values").alias("slot_no", "text"))
     return each.withColumn("text", strip_tags("text")).where("text != ''")
@@ -245,19 +275,20 @@ def html_paragraphs(pages: DataFrame) -> DataFrame:
 def html_headings(raw: Column | str) -> Column:
     """Array of (level, title)."""
     found = F.regexp_extract_all(clean_html(raw), F.lit(r"(?is)(<h[1-6]\b[^>]*>.*?</h[1-6]>)"), F.lit(1))
-    return F.transform(found, lambda h: F.struct(F.regexp_extract(h, "(?i)^<h([1-6])", 1).cast("int").alias("level"), strip_tags(h).alias("title")))
+    return F.transform(found, lambda h: F.struct(F.regexp_extract(h, "(?i)^<h([1-6])", 1).cast("int").alias("level"), unescape_html(strip_tags(h)).alias("title")))
 
 
 def html_links(raw: Column | str) -> Column:
-    """Array of (text, href)."""
+    """Array of (text, href); links that show no text are left out."""
     pattern = r"""(?is)(<a\b[^>]*\bhref\s*=\s*["'][^"']*["'][^>]*>.*?</a>)"""
     found = F.regexp_extract_all(clean_html(raw), F.lit(pattern), F.lit(1))
-    return F.transform(found, lambda a: F.struct(strip_tags(a).alias("text"), F.regexp_extract(a, r"""(?is)\bhref\s*=\s*["']([^"']*)["']""", 1).alias("href")))
+    named = lambda a: F.struct(squeeze(unescape_html(F.regexp_replace(a, r"<[^>]+>", ""))).alias("text"), unescape_html(F.regexp_extract(a, r"""(?is)\bhref\s*=\s*["']([^"']*)["']""", 1)).alias("href"))
+    return F.filter(F.transform(found, named), lambda a: (a["text"] != "") & (a["href"] != ""))
 
 
 def visible_html_lines(pages: DataFrame) -> DataFrame:
     """(doc_key, line_no, text) of what a page shows, block by block."""
     text = F.regexp_replace(F.regexp_replace(clean_html("raw"), r"(?is)<(?:head|title)\b.*?</(?:head|title)\s*>", ""), r"(?s)<!--.*?-->", "")
     text = F.regexp_replace(text, rf"(?i)</?(?:{BLOCK_TAGS}|body|html)\b[^>]*>|<br\b[^>]*>", "\n")
-    rows = F.filter(F.transform(F.split(F.regexp_replace(text, r"<[^>]+>", ""), "\n"), strip), lambda r: r != "")
+    rows = F.filter(F.transform(F.split(F.regexp_replace(text, r"<[^>]+>", ""), "\n"), lambda r: strip(unescape_html(r))), lambda r: r != "")
     return pages.select("doc_key", F.posexplode(rows).alias("at", "text")).select("doc_key", (F.col("at") + 1).alias("line_no"), "text")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosewright.functions.text import share
+from prosewright.functions.text import ENTITIES, share
 from prosewright.operators import corpus, evaluation, lexical, revision, sensitive, structure, usage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,10 +137,18 @@ def exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH p AS (SELECT doc_id AS doc_key, [x FOR x IN [CASE WHEN regexp_matches(text, 'licen[sc]ed?') THEN 'licence' END, CASE WHEN regexp_matches(text, 'rights reserved') THEN 'rights' END] IF x IS NOT NULL] AS categories,
     list_distinct(list_concat(regexp_extract_all(text, 'licen[sc]ed?'), regexp_extract_all(text, 'rights reserved'))) AS phrases, sha256(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^ | $', '', 'g')) AS h FROM (SELECT doc_id, lower(text) AS low, text FROM documents)),
   s AS (SELECT doc_key, h AS passage_hash, CAST(len(phrases) + 2 * len(categories) AS BIGINT) AS score FROM p WHERE len(categories) > 0)
-SELECT passage_hash, max(score) AS score, arg_min(doc_key, (-score, doc_key)) AS doc_key, array_to_string(list_sort(list(DISTINCT doc_key)), ',') AS aliases FROM s GROUP BY passage_hash""")
+SELECT passage_hash, max(score) AS score, arg_min(doc_key, (-score, doc_key)) AS doc_key, count(*) AS uses FROM s GROUP BY passage_hash""")
 def keyword_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = corpus.keyword_passages(documents(spark, sf_dir).select("doc_key", F.col("raw").alias("text")), {"licence": "licen[sc]ed?", "rights": "rights reserved"})
-    return corpus.best_passages(found, "doc_key").withColumn("aliases", F.array_join(F.col("aliases").cast("array<string>"), ","))
+    return corpus.best_passages(_licence_passages(spark, sf_dir), "doc_key")
+
+
+def _licence_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.keyword_passages(documents(spark, sf_dir).select("doc_key", F.col("raw").alias("text")), {"licence": "licen[sc]ed?", "rights": "rights reserved"})
+
+
+@query("""SELECT DISTINCT sha256(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^ | $', '', 'g')) AS passage_hash, doc_id AS doc_key FROM documents WHERE regexp_matches(text, 'licen[sc]ed?|rights reserved')""")
+def keyword_passage_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.passage_aliases(_licence_passages(spark, sf_dir), "doc_key")
 
 
 @query("""WITH t AS (SELECT *, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn) = text, false) AS again FROM conversations)
@@ -179,10 +187,21 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_key"), F.coalesce("html", F.lit("")).alias("raw"), "url")
 
 
-_PAGE = r"""r AS (SELECT page_id AS doc_key, array_to_string(list_filter(string_split(coalesce(html, ''), chr(10)), lambda r: length(r) < 800), chr(10)) AS raw FROM pages),
+_PAGE = r"""r AS (SELECT page_id AS doc_key, coalesce(html, '') AS raw FROM pages),
 c AS (SELECT doc_key, regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '(?is)<style\b.*?</style\s*>', '', 'g'), '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<pre[^>]*>\s*<code.*?</code>\s*</pre>', '□', 'g'), '(?i)<code[^>]*>\s*</code>', '', 'g') AS raw FROM r)"""
 
 
+def _unescaped(value: str) -> str:
+    """SQL of ``unescape_html`` without numbered references, which no page has."""
+    for pattern, by in ENTITIES:
+        value = f"regexp_replace({value}, '{pattern}', '{by.replace(chr(39), chr(39) * 2)}', 'g')"
+    return value
+
+
+_HREF = _unescaped(r"""regexp_extract(a, '(?is)\bhref\s*=\s*["'']([^"'']*)["'']', 1)""")
+_SHOWN = rf"""regexp_replace(regexp_replace({_unescaped("regexp_replace(a, '<[^>]+>', '', 'g')")}, '\s+', ' ', 'g'), '^ | $', '', 'g')"""
+
+
 def _stripped(value: str) -> str:
     """SQL of ``strip_tags``."""
     blocks = structure.BLOCK_TAGS
@@ -198,7 +217,7 @@ def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     rf"""WITH {_PAGE}, a AS (SELECT doc_key, regexp_extract_all(raw, '(?is)(<a\b[^>]*\bhref\s*=\s*["''][^"'']*["''][^>]*>.*?</a>)', 1) AS found FROM c), e AS (SELECT doc_key, unnest(found) AS a, CAST(generate_subscripts(found, 1) - 1 AS INT) AS link_no FROM a)
-SELECT doc_key, link_no, {_stripped("a")} AS text, regexp_extract(a, '(?is)\bhref\s*=\s*["'']([^"'']*)["'']', 1) AS href FROM e"""
+SELECT doc_key, CAST(row_number() OVER (PARTITION BY doc_key ORDER BY link_no) - 1 AS INT) AS link_no, {_SHOWN} AS text, {_HREF} AS href FROM e WHERE {_SHOWN} <> '' AND {_HREF} <> ''"""
 )
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("doc_key", F.posexplode(structure.html_links("raw")).alias("link_no", "link")).select("doc_key", "link_no", "link.text", "link.href")
@@ -206,7 +225,7 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     rf"""WITH {_PAGE}, h AS (SELECT doc_key, regexp_extract_all(raw, '(?is)(<h[1-6]\b[^>]*>.*?</h[1-6]>)', 1) AS found FROM c), e AS (SELECT doc_key, unnest(found) AS h, CAST(generate_subscripts(found, 1) - 1 AS INT) AS heading_no FROM h)
-SELECT doc_key, heading_no, CAST(regexp_extract(h, '(?i)^<h([1-6])', 1) AS INT) AS level, {_stripped("h")} AS title FROM e"""
+SELECT doc_key, heading_no, CAST(regexp_extract(h, '(?i)^<h([1-6])', 1) AS INT) AS level, {_unescaped(_stripped("h"))} AS title FROM e"""
 )
 def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("doc_key", F.posexplode(structure.html_headings("raw")).alias("heading_no", "h")).select("doc_key", "heading_no", "h.level", "h.title")
@@ -214,14 +233,23 @@ def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     rf"""WITH {_PAGE}, t AS (SELECT doc_key, regexp_replace(regexp_replace(regexp_replace(raw, '(?is)<head\b.*?</head\s*>|<title\b.*?</title\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?i)</?(?:{structure.BLOCK_TAGS}|body|html)\b[^>]*>|<br\b[^>]*>', chr(10), 'g') AS t FROM c),
-l AS (SELECT doc_key, list_filter(list_transform(string_split(regexp_replace(t, '<[^>]+>', '', 'g'), chr(10)), lambda r: regexp_replace(r, '^\s+|\s+$', '', 'g')), lambda r: r <> '') AS found FROM t)
+l AS (SELECT doc_key, list_filter(list_transform(string_split(regexp_replace(t, '<[^>]+>', '', 'g'), chr(10)), lambda r: regexp_replace({_unescaped("r")}, '^\s+|\s+$', '', 'g')), lambda r: r <> '') AS found FROM t)
 SELECT doc_key, CAST(generate_subscripts(found, 1) AS INT) AS line_no, unnest(found) AS text FROM l"""
 )
 def page_visible_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.visible_html_lines(pages(spark, sf_dir))
 
 
-@query()
+_SLOTS = " UNION ALL ".join(
+    [f"SELECT doc_key, '{k}' AS slot_kind, regexp_extract_all(raw, '{p}', 1) AS found FROM c" for k, p in (("dd", r"(?is)<dd\b[^>]*>(.*?)</dd>"), ("td", r"(?is)<td\b[^>]*>(.*?)</td>"), ("v", r'(?is)<[^>]*class="v"[^>]*>(.*?)</'))]
+    + [r"SELECT doc_key, 'li', list_transform(string_split_regex(raw, '(?i)<li\b[^>]*>')[2:], lambda x: regexp_replace(x, '(?is)(?:<ul|<ol|</li>).*$', '')) FROM c"]
+)
+
+
+@query(
+    f"""WITH {_PAGE}, s AS ({_SLOTS}), e AS (SELECT doc_key, slot_kind, CAST(generate_subscripts(found, 1) - 1 AS INT) AS slot_no, unnest(found) AS text FROM s)
+SELECT doc_key, slot_kind, slot_no, {_stripped("text")} AS text FROM e WHERE {_stripped("text")} <> ''"""
+)
 def page_value_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.html_slots(pages(spark, sf_dir))
 
@@ -448,8 +476,9 @@ def document_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prosewright.operators import findings, rules
 
     docs = documents(spark, sf_dir).select("doc_key", "raw")
-    final = findings.finalize(rules.markdown_findings(docs), docs)
-    return findings.summary(final, structure.slot_counts(docs)).select("doc_key", "errors", "warnings", "slots", "blind", "failed")
+    parsed = structure.dealt_lines(docs).persist()  # read by every family of rules
+    final = findings.finalize(rules.markdown_findings(docs, parsed=parsed).persist(), docs, parsed=parsed)
+    return findings.summary(final, structure.slot_counts(docs, parsed)).select("doc_key", "errors", "warnings", "slots", "blind", "failed")
 
 
 @query()
@@ -524,8 +553,8 @@ def quality_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of good documents with its bootstrap interval over sources."""
     labels = table(spark, sf_dir, "labels").where("quality IS NOT NULL").withColumnRenamed("doc_id", "doc_key")
     per = documents(spark, sf_dir).join(labels, "doc_key").groupBy("source").agg(F.sum("quality").alias("good"), F.count("*").alias("all"))
-    point, low, high = evaluation.cluster_bootstrap(per, "good", "all")
-    return spark.range(1).select(F.lit(point).alias("share"), F.lit(low).alias("low"), F.lit(high).alias("high"), F.lit(evaluation.interval_verdict(low - 0.5, high - 0.5)).alias("against_half"))
+    found = evaluation.cluster_bootstrap(per, "good", "all", key="source").withColumnRenamed("point", "share")
+    return found.withColumn("against_half", evaluation.interval_verdict(F.col("low") - 0.5, F.col("high") - 0.5))
 
 
 @query("""WITH d AS (SELECT sum(CASE WHEN event_type IS NOT NULL THEN 1 ELSE 0 END) AS n FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS round FROM events)

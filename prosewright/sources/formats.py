@@ -20,10 +20,17 @@ BLOCKS = set("p div section article main header footer nav aside li dt dd td th
 SKIPPED = {"script", "style", "pre", "code", "noscript", "template", "svg"}
 
 
-def read_documents(spark: SparkSession, path: str, suffixes: list[str] | None = None) -> DataFrame:
-    """(path, format, raw) of all files below a path; none is an error."""
+def configured(spark: SparkSession, name: str, default: str | None = None) -> str | None:
+    """A setting that overrides a default, such as the place of a word list: the session's ``prosewright.<name>``."""
+    return spark.conf.get(f"prosewright.{name}", default)
+
+
+def read_documents(spark: SparkSession, path: str, suffixes: list[str] | None = None, without: list[str] | None = None) -> DataFrame:
+    """(path, format, raw) of all files below a path, folders named in ``without`` left out before they are read; none is an error."""
     globs = "{" + ",".join(f"*.{s}" for s in suffixes or SUFFIXES) + "}"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", globs).load(path)
+    if without:
+        files = files.where(~F.col("_metadata.file_path").rlike("/(?:" + "|".join(re.escape(w) for w in without) + ")/"))
     out = files.select("path", F.lower(F.regexp_extract("path", r"\.(\w+)$", 1)).alias("format"), F.decode("content", "UTF-8").alias("raw"))
     if out.select("path").isEmpty():
         raise ValueError(f"no document under {path}")
@@ -111,8 +118,11 @@ def yaml_units(raw: str) -> list[tuple]:
             for i, v in enumerate(node.value):
                 walk(v, f"{path}/{i}")
 
-    for document in yaml.compose_all(raw, yaml.SafeLoader):
-        walk(document, "")
+    try:
+        for document in yaml.compose_all(raw, yaml.SafeLoader):
+            walk(document, "")
+    except yaml.YAMLError as error:
+        raise ValueError(str(error)) from error
     return out
 
 
@@ -143,8 +153,16 @@ def properties_units(raw: str) -> list[tuple]:
 
 
 def units_of(kind: str, raw: str | None) -> list[tuple]:
+    """The units of one document; one that cannot be parsed, or is of no known format, is a single unit that says so."""
     if raw is None:
         return []
+    try:
+        return _parsed(kind, raw)
+    except (ValueError, RecursionError) as error:
+        return [("/", None, "invalid", f"{type(error).__name__}: {error}"[:200])]
+
+
+def _parsed(kind: str, raw: str) -> list[tuple]:
     if kind == "md":
         return markdown_units(raw)
     if kind == "html":

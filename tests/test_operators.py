@@ -232,6 +232,8 @@ def test_sensitive(spark):
     lines = frame(spark, [("d", i, t) for i, t in enumerate(text)], LINES)
     got = {(r["line_no"], r["label"], r["match"]) for r in sensitive.scan_lines(lines, ["ABC"]).collect()}
     assert got == {(0, "account_path", "/home/alice1"), (2, "email", "jane.doe@firm.io"), (3, "key", "sk-abcdefghijklmnop"), (4, "internal_host", "https://wiki.corp"), (5, "chat_id", "C0ABCDEFGH1"), (7, "issue_key", "ABC-12")}
+    own = [("shout", "(?i)secret"), ("z", "zzz")]
+    assert rows(sensitive.scan_lines(frame(spark, [("d", 1, "a SECRET"), ("d", 2, "Zzz")], LINES), patterns=own).select("line_no", "label", "match")) == [(1, "shout", "SECRET")]
     terms = frame(spark, [("홍길동", "people"), ("acme", "company")], "term string, section string")
     own = frame(spark, [("d", 1, "담당 홍길동", "x.md"), ("d", 2, "김홍길동", "x.md"), ("d", 3, "acme", "x.md"), ("d", 4, "acme", "x.csv")], LINES + ", path string")
     assert rows(sensitive.deny_terms(own, terms).select("line_no", "label"), "line_no") == [(1, "term"), (3, "advisory_term"), (4, "term")]
@@ -252,6 +254,12 @@ def test_evaluation(spark):
     assert rows(evaluation.span_recall(truth, hits, clean)) == [("f", 2, 1.0, 0.0, 0.5)]
     scored = frame(spark, [(1.0, 1), (2.0, 1), (2.0, 0), (0.5, 0), (3.0, None)], "s double, y int")
     assert rows(evaluation.auc(scored, "s", "y")) == [(2, 2, 0.625)]
+    many = frame(spark, [(float(i * 37 % 101), int(i % 3 == 0)) for i in range(300)], "s double, y int")
+    won = [(a > b) + (a == b) / 2 for a, x in many.collect() for b, y in many.collect() if x == 1 and y == 0]
+    assert rows(evaluation.auc(many, "s", "y")) == [(100, 200, round(sum(won) / len(won), 6))]
+    lines = frame(spark, [("d", "가나다라마"), ("d", "바사아자차"), ("e", "abc")], "doc_key string, text string")
+    hits = frame(spark, [("d",), ("d",), ("e",)], "doc_key string")
+    assert rows(evaluation.noise_density(hits, lines), "doc_key") == [("d", 2, 10, 200.0), ("e", 1, 0, None)]
     runs = frame(spark, [(1, "a"), (1, "b"), (2, "a"), (2, "c")], "run int, item string")
     assert rows(evaluation.jaccard_stability(runs)) == [(1, 2, 1, 3, 0.333333)]
     assert rows(evaluation.always_and_ever(runs), "item") == [("a", 2, True), ("b", 1, False), ("c", 1, False)]
@@ -267,10 +275,18 @@ def test_evaluation(spark):
 
 
 def test_intervals(spark):
-    per = frame(spark, [(1.0, 2.0)] * 30 + [(0.0, 2.0)] * 30, "p double, w double")
-    point, low, high = evaluation.cluster_bootstrap(per, "p", "w", 2000)
-    assert point == 0.25 and 0.15 < low < 0.25 < high < 0.35
-    assert evaluation.interval_verdict(low, high) == "high" and evaluation.interval_verdict(-1, 1) == "undecided"
+    per = frame(spark, [(str(i), float(i < 30), 2.0) for i in range(60)], "doc_key string, p double, w double")
+    ((point, low, high),) = rows(evaluation.cluster_bootstrap(per, "p", "w", 500))
+    assert point == 0.25 and 0.15 < low < 0.22 and 0.28 < high < 0.35
+    assert rows(evaluation.cluster_bootstrap(per.repartition(7), "p", "w", 500)) == [(point, low, high)]  # draws hang on the key alone
+    weights = rows(per.select(evaluation.poisson_weights(F.col("doc_key"), 400, 1)))
+    drawn = [w for (r,) in weights for w in r]
+    assert abs(sum(drawn) / len(drawn) - 1) < 0.03 and abs(sum(w == 0 for w in drawn) / len(drawn) - 0.3679) < 0.02
+    wins = frame(spark, [("x", i, "win" if i % 4 else "loss") for i in range(80)], "system string, doc_key int, verdict string")
+    ((point, low, high),) = rows(evaluation.win_rate_interval(wins, "x", 300))
+    assert point == 0.75 and 0.6 < low < 0.75 < high < 0.9
+    ends = frame(spark, [(0.1, 0.2), (-1.0, 1.0), (-2.0, -1.0)], "low double, high double")
+    assert [r[0] for r in rows(ends.select(evaluation.interval_verdict(F.col("low"), F.col("high"))))] == ["high", "undecided", "low"]
     assert evaluation.permutation_test([3, 4], [1, 2]) == pytest.approx(1 / 6) and evaluation.permutation_test([1] * 9, [2] * 9) is None
     assert evaluation.ranges_verdict([3, 4], [1, 2]) == "a" and evaluation.ranges_verdict([1, 3], [2]) == "undecided"
 
@@ -327,6 +343,10 @@ def test_sections_feed_passages(spark):
     docs = frame(spark, [("d", "# A\nthe licence text\n## B\nother\n## C\nlicence licence rights reserved")], "doc_key string, raw string")
     found = corpus.keyword_passages(S.sections(S.body_lines(docs)), {"licence": "licen[sc]e", "rights": "rights reserved"})
     assert rows(found.select("first_line", "score"), "first_line") == [(1, 3), (5, 6)]
+    same = frame(spark, [("b", "licence one"), ("a", "licence  one"), ("c", "rights reserved, licence")], "doc_key string, text string")
+    found = corpus.keyword_passages(same, {"licence": "licen[sc]e", "rights": "rights reserved"})
+    assert rows(corpus.best_passages(found, "doc_key").select("doc_key", "score", "uses"), "doc_key") == [("a", 3, 2), ("c", 6, 1)]
+    assert sorted(r[1] for r in rows(corpus.passage_aliases(found, "doc_key"))) == ["a", "b", "c"]
 
 
 def test_corrections_and_defects(spark):
@@ -353,3 +373,60 @@ def test_particles_and_front_matter(spark):
     own = frame(spark, [("사과", "은 좋다"), ("책", "는 좋다"), ("서울", "으로 간다"), ("집", "로 간다"), ("책", "없음")], "w string, r string")
     assert [r[0] for r in own.select(fit_particle("w", "r")).collect()] == ["는 좋다", "은 좋다", "로 간다", "으로 간다", "없음"]
     assert frame(spark, [("---\nform: prose\ntitle: a: b\n---\nx",)], "raw string").select(front_matter("raw")).first()[0] == {"form": "prose", "title": "a: b"}
+
+
+def test_gate_blocks_what_nobody_approved(spark):
+    mine = frame(spark, [("a", "common", 3), ("a", "odd", 2), ("a", "known", 1), ("b", "common", 1)], "doc_key string, lexeme string, n long")
+    base = frame(spark, [("common", 900, 5), ("known", 4, 1), ("odd", 50, 2)], "lexeme string, base long, docs long")
+    got = lexical.gate(mine, base, frame(spark, [("known",)], "lexeme string"))
+    assert rows(got, "doc_key") == [("a", 1, False, ["odd"]), ("b", 0, True, [])]
+
+
+def test_old_keys_and_heirs(spark):
+    keys = frame(spark, [("p::r", "p::r"), ("p", "p::r"), ("p::q", "p::r"), ("x", "p::r"), ("p", "p")], "a string, b string")
+    assert [r[0] for r in rows(keys.select(ledger.key_matches("a", "b")))] == [True, True, False, False, True]
+    book = frame(spark, [("p", 1), ("p::r", 2), ("p::q", 3)], "doc_key string, seq int")
+    assert rows(ledger.rows_of(book, frame(spark, [("p::r",)], "doc_key string")), "seq") == [("p::r", 1), ("p::r", 2)]
+    parent = "the first half of it, and then the second half"
+    claims = [("d", parent, "the first half of it", 0.6), ("d", parent, "and then the second half", 0.55), ("d", parent, "the first half again", 0.5), ("d", "kept line", "kept line or so", 0.8)]
+    got = ledger.split_inheritance(frame(spark, claims, "doc_key string, parent string, line string, ratio double"), frame(spark, [("d", "kept line")], "doc_key string, line string"))
+    assert {r["line"]: r["goes_on"] for r in got.collect()} == {"the first half of it": True, "and then the second half": True, "the first half again": False, "kept line or so": False}
+
+
+def test_recall_of_sheets_and_tools(spark):
+    found = frame(spark, [("d", 1, "a", ["x"], "", False), ("d", 2, "b", ["y", "x"], "", False), ("d", 3, "c", ["z"], "", False), ("d", 4, "e", ["x"], "no", False), ("d", 5, "f", ["x"], "hm", False), ("d", 6, "g", ["x"], "", True)],
+                  "document_id string, line_number int, phrase string, sources array<string>, note string, allowed boolean")
+    missed = frame(spark, [("d", 7, "this too"), ("d", 8, "")], "document_id string, line_number int, note string")
+    verdicts = frame(spark, [("d", 4, "finding", "e", "rejected"), ("d", 7, "missed", "", "agreed")], "document_id string, line_number int, slot string, phrase string, verdict string")
+    got = evaluation.sheet_recall(found, missed, verdicts, {"x": "one", "y": "two"})
+    assert rows(got, "layer") == [("any", 2, 4, 0.5, 1, 1), ("one", 2, 4, 0.5, 1, 1), ("two", 1, 4, 0.25, 1, 1)]
+    pairs = frame(spark, [("a long label here", "long label"), ("ab", "an ab there"), ("ab", "axb"), ("", "x"), ("a long label", "another thing")], "a string, b string")
+    assert [r[0] for r in rows(pairs.select(evaluation.covers("a", "b")))] == [True, True, False, False, False]
+    runs = frame(spark, [("t", "1", "scanned", 2, 0, 0), ("t", "2", "scanned", 0, 3, 1), ("t", "3", "unsupported", None, None, None)], "tool string, doc_key string, status string, errors long, warnings long, blind long")
+    assert rows(evaluation.tool_summary(runs)) == [("t", 3, 2, 1, 1, 1, 2, 3, 1)]
+
+
+def test_contradictions_of_a_document(spark):
+    lines = frame(spark, [("d", 1, "three parts"), ("d", 2, "four parts follow"), ("d", 9, "else")], LINES)
+    answers = frame(spark, [("d", 1, "three parts", 2, "four parts", "numbers differ", "four parts"), ("d", 1, "three parts", 2, "four", "again", ""), ("d", 2, "not there", 1, "x", "w", ""), ("d", 9, "else", None, None, "w", "")],
+                    "doc_key string, line int, phrase string, other int, other_phrase string, why string, fix string")
+    assert rows(context.consistency_findings(answers, lines).select("line_no", "decide"), "line_no") == [(1, "fix"), (9, "ask")]
+    touched = frame(spark, [("d", 2)], "doc_key string, line_no int")
+    assert rows(context.consistency_findings(answers, lines, wanted=touched).select("line_no")) == [(1,)]
+    assert context.consistency_findings(answers, lines, touched, frame(spark, [("d", 1, "three parts")], "doc_key string, line_no int, phrase string")).count() == 0
+
+
+def test_advice_only_patterns(spark):
+    lines = frame(spark, [("d", 1, "see D:\\\\work\\\\x and C:/work/y"), ("d", 2, "ACME did it")], LINES)
+    got = sensitive.scan_lines(lines, patterns=sensitive.advisory_patterns(["work"], ["acme"]))
+    assert rows(got.select("line_no", "label"), "line_no") == [(1, "author_path"), (2, "company")]
+
+
+def test_new_numbers_are_told_by_value(spark):
+    pairs = frame(spark, [("a", "1. 비용은 3천만 원, 30%", "비용은 30,000,000원, 30퍼센트"), ("b", "5명", "6명 and Foo"), ("c", "날짜 2026-10-30", "30일")], "pair_id string, original string, revised string")
+    assert {(r["pair_id"], r["kind"], r["token"]) for r in revision.new_information(pairs).collect()} == {("b", "number", "6명"), ("b", "word", "and"), ("b", "word", "Foo")}
+
+
+def test_windows_keep_targets_far_from_blocks(spark):
+    lines = frame(spark, [("d", 1, "text")] + [("d", i, "") for i in range(2, 100)], LINES)
+    assert rows(context.windows(frame(spark, [("d", 80)], "doc_key string, line_no int"), lines).select("line_no", "first", "last")) == [(80, 60, 99)]

@@ -73,3 +73,9 @@ def test_sinks(spark, tmp_path):
     make = lambda: (made.append(1), found)[1]
     sinks.cached(spark, str(tmp_path / "c"), make)
     assert sinks.cached(spark, str(tmp_path / "c"), make).count() == 1 and len(made) == 1
+
+
+def test_what_cannot_be_parsed_is_one_unit_that_says_so(spark):
+    own = [("a", "json", "{broken"), ("b", "yaml", "a: [1"), ("c", "xls", "?"), ("d", "json", '{"k": "v"}'), ("e", "json", None), ("f", "json", "[" * 100_000)]
+    got = {r["path"]: (r["kind"], r["text"][:5]) for r in formats.text_units(spark.createDataFrame(own, "path string, format string, raw string")).collect()}
+    assert {p: k for p, (k, _) in got.items()} == {"a": "invalid", "b": "invalid", "c": "invalid", "d": "string", "f": "invalid"} and got["d"][1] == "v"

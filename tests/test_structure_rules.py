@@ -1,4 +1,8 @@
+import html.parser
+import os
+
 import pytest
+from prosewright.functions.text import unescape_html
 from prosewright.operators import findings as A
 from prosewright.operators import rules as R
 from prosewright.operators import structure as S
@@ -116,6 +120,94 @@ def wording(spark):
     return found
 
 
+class Seen(html.parser.HTMLParser):
+    """Links, headings and values as a parser sees them."""
+
+    def __init__(self, raw):
+        super().__init__()
+        self.open, self.found = [], []
+        self.feed(raw)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a" and dict(attrs).get("href") is not None or tag in ("li", "h1", "h2", "h3", "h4", "h5", "h6"):
+            self.open.append([tag, dict(attrs).get("href"), ""])
+
+    def handle_endtag(self, tag):
+        if self.open and any(o[0] == tag for o in self.open):
+            while self.open:
+                name, href, text = self.open.pop()
+                if self.open:
+                    self.open[-1][2] += text
+                self.found.append((name, href, text.strip()))
+                if name == tag:
+                    break
+
+    def handle_data(self, data):
+        if self.open:
+            self.open[-1][2] += data
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_pages_are_read_whole(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").selectExpr("page_id AS doc_key", "html AS raw")
+    want = {r["doc_key"]: Seen(r["raw"]).found for r in pages.collect()}
+    links = pages.select("doc_key", F.explode(S.html_links("raw")).alias("l")).select("doc_key", "l.text", "l.href").collect()
+    assert sorted(map(tuple, links)) == sorted((d, " ".join(t.split()), h) for d, f in want.items() for n, h, t in f if n == "a" and t and h) and len(links) > 200
+    heads = pages.select("doc_key", F.explode(S.html_headings("raw")).alias("h")).select("doc_key", "h.level", "h.title").collect()
+    assert sorted(map(tuple, heads)) == sorted((d, int(n[1]), t) for d, f in want.items() for n, _, t in f if n[0] == "h" and n[1].isdigit()) and len(heads) >= 50
+    slots = S.html_slots(pages).where("slot_kind = 'li'").select("doc_key", "text").collect()
+    assert sorted((d, html.unescape(t)) for d, t in slots) == sorted((d, t) for d, f in want.items() for n, _, t in f if n == "li" and t)
+    shown = {r["doc_key"]: r["n"] for r in S.visible_html_lines(pages).groupBy("doc_key").agg(F.sum(F.length("text")).alias("n")).collect()}
+    whole = {r["doc_key"]: len(r["raw"]) for r in pages.collect()}
+    assert all(shown[d] > 0.5 * n for d, n in whole.items() if n > 3000)
+
+
+def test_character_references(spark):
+    texts = ["a &amp; b &lt;c&gt;", "&#44032;&#xac00; &#xAC01;", "&amp;lt;", "&quot;x&quot; &copy 2 &middot; &#0;&#1114112;", "no", "&unknown; &", "&#38;#38;"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r["u"] for r in frame.select("i", unescape_html("t").alias("u")).orderBy("i").collect()]
+    assert got[:3] == [html.unescape(t) for t in texts[:3]] and got[3].startswith('"x" © 2 · ') and got[4:6] == texts[4:6]
+
+
+HEADED = "<h1>검토 결과</h1>"
+
+
+@pytest.mark.parametrize(
+    "kind,raw",
+    [
+        ("lede_missing", HEADED + "<dl><dd>값</dd></dl>"), ("lede_narrative", HEADED + '<p class="lede">검사팀이 확인했다.</p>'), ("lede_not_nominal", HEADED + '<p class="lede">무엇을 보나</p>'),
+        ("lede_form_check", HEADED + '<p class="lede">이번 달까지</p>'), ("heading_not_nominal", "<h2>어떻게 볼까</h2>"), ("heading_form_check", "<h2>이번 달까지</h2>"),
+        ("block_label_mismatch", "".join(f"<section><dl><dt>항목{i}</dt><dd>값</dd></dl></section>" for i in range(4))), ("commentary_as_quote", "<blockquote>값이 크게 올랐다.</blockquote>"),
+        ("section_by_number", "<h2>3. 결과</h2><p>자세한 내용은 3절 참고</p>"), ("section_by_number", "<p>자세한 값은 (§3)</p>"),
+    ],
+)
+def test_html_has_the_structure_findings_of_markdown(spark, kind, raw):
+    assert kind in {r["kind"] for r in R.html_findings(docs(spark, raw)).collect()}
+
+
+def test_html_structure_findings_leave_clean_pages_alone(spark):
+    raw = HEADED + '<p class="lede">하반기 검토 범위</p><blockquote>값이 올랐다. [출처 보고서]</blockquote>' + "".join("<section><dl><dt>기한</dt><dd>값</dd></dl></section>" for _ in range(4)) + "<h2>3. 결과</h2><p>ISO 27001 3절</p>"
+    kinds = {r["kind"] for r in R.html_findings(docs(spark, raw)).collect()}
+    assert not kinds & {"lede_missing", "lede_narrative", "lede_not_nominal", "lede_form_check", "block_label_mismatch", "commentary_as_quote"}
+
+
+def test_stock_phrases_are_named(spark):
+    found = R.wording(spark.createDataFrame([("d", 1, "전례 없는 성과"), ("d", 2, "역할과 기능")], "doc_key string, line_no int, text string"))
+    assert {(r["kind"], r["note"]) for r in found.where("kind = 'stock_phrase'").collect()} == {("stock_phrase", "inflated_words"), ("stock_phrase", "paired_nouns")}
+
+
+def test_long_lines_are_data_only_where_asked(spark):
+    pages = spark.createDataFrame([("p", "<li>one</li>\n<script>" + "x" * 900 + "</script><li>two</li>\n<li>" + "y" * 900 + "</li>")], "doc_key string, raw string")
+    assert S.html_slots(pages).count() == 3 and {r["text"] for r in S.html_slots(pages, 800).collect()} == {"one", "two"}
+
+
+def test_many_wrapped_lines_stay(spark):
+    body = spark.createDataFrame([("d", 1, "- item")] + [("d", i, "  more") for i in range(2, 2500)], "doc_key string, line_no int, text string")
+    (row,) = S.merge_wrapped(body).collect()
+    assert row["text"].count("more") == 2498
+
+
 @pytest.mark.parametrize("i", range(len(PAIRS)))
 def test_violations_are_caught_and_twins_are_not(wording, i):
     kind, _, _ = PAIRS[i]
@@ -163,7 +255,7 @@ def test_quotes_sections_middots_code(spark):
     old = mid.where("line_no = 3").select("doc_key", __import__("prosewright.functions.text", fromlist=["x"]).short_sha1("text").alias("line_hash"))
     assert [r["line_no"] for r in R.middot_findings(mid, old).collect()] == [1]
     code = "안내\n```text\n하나다.\n둘이다.\n셋이다.\n```\n예시\n```text\n하나다.\n둘이다.\n셋이다.\n```"
-    assert [r["line_no"] for r in R.prose_in_code(docs(spark, code)).collect()] == [2]
+    assert [r["line_no"] for r in R.prose_in_code(S.parsed_lines(docs(spark, code))).collect()] == [2]
 
 
 def test_repetition_and_registers(spark):
