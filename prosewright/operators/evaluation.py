@@ -292,6 +292,25 @@ def probe_patterns(lines: DataFrame, patterns: list[tuple[str, str, str]], group
     return lines.select(group, F.inline(each)).groupBy(group, "name").agg(F.sum("narrow").alias("narrow"), F.sum("wide").alias("wide"), F.count_if(F.col("wide") > 0).alias("lines"))
 
 
+def shared_word_runs(documents: DataFrame, items: DataFrame, n: int, most: int = 2_000_000) -> DataFrame:
+    """(doc_key, item, shared_runs) of documents (doc_key, w) and items (item, w), arrays of words, that share ``n`` words in a row.
+
+    Runs meet by their hash, so no text of a run is made unless it meets; the items' hashes are broadcast while they are at
+    most ``most`` (under 100 MB), and shuffled beyond.  What meets is confirmed on the words.
+    """
+
+    def runs(rows: DataFrame, key: str) -> DataFrame:
+        starts = F.sequence(F.lit(1), F.size("w") - (n - 1))
+        each = rows.where(F.size("w") >= n).select(key, "w", F.posexplode(F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, F.lit(n))))).alias("at", "h"))
+        return each.select(key, "h", F.struct("w", "at").alias("where"))
+
+    text = lambda c: F.array_join(F.slice(c["w"], c["at"] + 1, F.lit(n)), " ")
+    own = runs(items, "item").select("item", "h", text(F.col("where")).alias("run")).distinct()
+    few = own.count() <= most
+    met = runs(documents, "doc_key").join(F.broadcast(own) if few else own, "h").where(text(F.col("where")) == F.col("run"))
+    return met.select("doc_key", "item", "run").distinct().groupBy("doc_key", "item").agg(F.count("*").alias("shared_runs"))
+
+
 def samples_of(lines: DataFrame, pattern: str, n: int = 5) -> DataFrame:
     """The first ``n`` lines of each document that match: samples to read."""
     turn = F.row_number().over(Window.partitionBy("doc_key").orderBy("line_no"))

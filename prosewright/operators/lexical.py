@@ -24,6 +24,14 @@ def baseline(counts: DataFrame) -> DataFrame:
     return counts.groupBy("lexeme").agg(F.sum("n").alias("base"), F.count("*").alias("docs"))
 
 
+def frequencies(documents: DataFrame, tokens: Column) -> DataFrame:
+    """(lexeme, base, docs): the corpus frequency table straight from texts; one aggregation, combined before the shuffle."""
+    words_of = documents.select(tokens.alias("w"))
+    uses = words_of.select(F.explode("w").alias("lexeme"), F.lit(1).alias("use"), F.lit(0).alias("doc"))
+    docs = words_of.select(F.explode(F.array_distinct("w")).alias("lexeme"), F.lit(0).alias("use"), F.lit(1).alias("doc"))
+    return uses.union(docs).groupBy("lexeme").agg(F.sum("use").alias("base"), F.sum("doc").alias("docs"))
+
+
 def rare_terms(mine: DataFrame, base: DataFrame, most: int = RARE_MOST, least_mine: int = 1) -> DataFrame:
     """Terms of each document that the baseline (without the document itself) has at most ``most`` times."""
     joined = mine.join(base, "lexeme", "left").withColumn("others", F.coalesce("base", F.lit(0)) - F.col("n"))

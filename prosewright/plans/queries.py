@@ -48,6 +48,12 @@ NEUTRAL_RULES = [
 ]
 
 
+def neutral_counts(docs: DataFrame) -> DataFrame:
+    """(doc_key, kind, severity, n) by document: no pattern crosses a line end, so whole texts are counted in one narrow pass."""
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(s).alias("severity"), F.regexp_count("raw", F.lit(p)).cast("long").alias("n")) for k, s, p in NEUTRAL_RULES])
+    return docs.select("doc_key", F.inline(each)).where("n > 0")
+
+
 def neutral_findings(docs: DataFrame) -> DataFrame:
     """(doc_key, line_no, kind, severity, n) of rules that hold in any language."""
     each = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(s).alias("severity"), F.regexp_count("text", F.lit(p)).cast("long").alias("n")) for k, s, p in NEUTRAL_RULES])
@@ -61,7 +67,7 @@ _NEUTRAL_SQL = " UNION ALL ".join(
 
 @query(f"WITH {LINES}, f AS (SELECT * FROM ({_NEUTRAL_SQL}) WHERE n > 0) SELECT doc_key, kind, severity, CAST(sum(n) AS BIGINT) AS n FROM f GROUP BY ALL")
 def finding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neutral_findings(documents(spark, sf_dir)).groupBy("doc_key", "kind", "severity").agg(F.sum("n").alias("n"))
+    return neutral_counts(documents(spark, sf_dir))
 
 
 @query(
@@ -69,9 +75,11 @@ def finding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def most_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: the 100 documents with most errors (a top-k report)."""
-    by_doc = neutral_findings(documents(spark, sf_dir)).groupBy("doc_key").agg(
-        F.sum(F.when(F.col("severity") == "err", F.col("n")).otherwise(0)).alias("errors"), F.sum("n").alias("findings"), F.countDistinct("kind").alias("kinds")
-    )
+    n = F.array(*[F.regexp_count("raw", F.lit(p)).cast("long") for _, _, p in NEUTRAL_RULES])
+    errs = F.lit([s == "err" for _, s, _ in NEUTRAL_RULES])
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    counted = documents(spark, sf_dir).select("doc_key", n.alias("n")).where(F.exists("n", lambda x: x > 0))
+    by_doc = counted.select("doc_key", total(F.zip_with("n", errs, lambda x, e: F.when(e, x).otherwise(0))).alias("errors"), total(F.col("n")).alias("findings"), F.size(F.filter("n", lambda x: x > 0)).cast("long").alias("kinds"))
     return by_doc.orderBy(F.desc("errors"), F.desc("findings"), "doc_key").limit(100)
 
 
@@ -79,7 +87,7 @@ def most_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {LINES}, f AS (SELECT * FROM ({_NEUTRAL_SQL}) WHERE n > 0), k AS (SELECT kind, CAST(sum(n) AS BIGINT) AS n FROM f GROUP BY kind) SELECT kind, n, round(CAST(n AS DOUBLE) / (SELECT CAST(sum(n) AS BIGINT) FROM k), 6) AS share FROM k"
 )
 def rule_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = neutral_findings(documents(spark, sf_dir)).groupBy("kind").agg(F.sum("n").alias("n"))
+    by = neutral_counts(documents(spark, sf_dir)).groupBy("kind").agg(F.sum("n").alias("n"))
     return by.join(F.broadcast(by.agg(F.sum("n").alias("t")))).select("kind", "n", F.round(share("n", "t"), 6).alias("share"))
 
 
@@ -265,7 +273,7 @@ def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_TERMS} SELECT lexeme, base, docs FROM b")
 def frequency_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.baseline(term_counts(spark, sf_dir))
+    return lexical.frequencies(documents(spark, sf_dir), lexical.words("raw"))
 
 
 @query(f"WITH {_TERMS} SELECT doc_key, lexeme, n, base - n AS others FROM c JOIN b USING (lexeme) WHERE base - n <= 40 AND n >= 2")
@@ -347,15 +355,11 @@ bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + {_RUN_WORDS - 1}], ' ')
 ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {_RUN_WORDS - 1}], ' ') AS run FROM d, unnest(range(1, greatest(len(w) - {_RUN_WORDS - 2}, 1))) AS r(i))
 SELECT doc_id AS doc_key, item_id, count(*) AS shared_runs FROM ds JOIN bs USING (run) GROUP BY ALL""")
 def shared_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and benchmark items that share eight words in a row: an equi join on runs, not a nested loop."""
-    def runs(df: DataFrame, key: str) -> DataFrame:
-        words = F.regexp_extract_all(F.lower("text"), F.lit(r"[^ \t\n\r\f\x0B]+"), F.lit(0))
-        each = df.select(key, words.alias("w")).where(F.size("w") >= _RUN_WORDS)
-        starts = F.sequence(F.lit(1), F.size("w") - (_RUN_WORDS - 1))
-        return each.select(key, F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(_RUN_WORDS)), " ")))).alias("run"))
-
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_key"), "text")
-    return runs(docs, "doc_key").join(runs(table(spark, sf_dir, "benchmark"), "item_id"), "run").groupBy("doc_key", "item_id").agg(F.count("*").alias("shared_runs"))
+    """Documents and benchmark items that share eight words in a row: an equi join on hashes of runs, confirmed on the words."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[^ \t\n\r\f\x0B]+"), F.lit(0)).alias("w")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_key"), words)
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), words)
+    return evaluation.shared_word_runs(docs, items, _RUN_WORDS).withColumnRenamed("item", "item_id")
 
 
 # --- revisions ----------------------------------------------------------------------------------------------------------
@@ -613,3 +617,179 @@ def pattern_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     rows = docs.select("lang", F.explode(F.split("raw", "\n")).alias("text"))
     return evaluation.probe_patterns(rows, _PROBES, "lang")
+
+
+# --- finding algebra, gates and ledgers over neutral rules and events -----------------------------------------------------
+
+_FOUND = f"{LINES}, f AS (SELECT * FROM ({_NEUTRAL_SQL}) WHERE n > 0)"
+_RULE_HITS = " UNION ALL ".join(f"SELECT doc_key, line_no, '{k}' AS kind, '{s}' AS severity, unnest(regexp_extract_all(text, '{p}')) AS match FROM l" for k, s, p in NEUTRAL_RULES)
+
+
+def rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule engine of the wording rules over all lines, with rules that hold in any language."""
+    from prosewright.operators import rules
+
+    own = [rules.Rule(k, s, p) for k, s, p in NEUTRAL_RULES]
+    return rules.apply_rules(structure.lines(documents(spark, sf_dir)), own)
+
+
+@query(f"WITH {LINES} {_RULE_HITS}")
+def wording_rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_hits(spark, sf_dir).select("doc_key", "line_no", "kind", "severity", "match")
+
+
+@query(f"WITH {LINES}, h AS ({_RULE_HITS}) SELECT doc_key, line_no, kind, severity, min(match) AS match FROM h GROUP BY ALL")
+def first_hits_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One finding for each line and kind."""
+    from prosewright.operators import findings
+
+    return findings.first_of_kind(rule_hits(spark, sf_dir)).select("doc_key", "line_no", "kind", "severity", "match")
+
+
+@query(f"WITH {LINES}, h AS ({_RULE_HITS}) SELECT doc_key, kind, severity, match, count(*) AS n, min(line_no) AS first_line FROM h GROUP BY ALL")
+def condensed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prosewright.operators import findings
+
+    return findings.condense(rule_hits(spark, sf_dir))
+
+
+@query(f"""WITH {LINES}, h AS ({_RULE_HITS}) SELECT kind, CASE WHEN kind = 'doubled_stop' THEN 'err' WHEN kind = 'invisible' THEN 'warn' ELSE severity END AS severity, count(*) AS n
+FROM h WHERE kind <> 'doubled_word_mark' GROUP BY ALL""")
+def selected_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A selection of rules: one off, one promoted, one demoted."""
+    from prosewright.operators import findings
+
+    chosen = findings.Selection.parse('[rules]\ndoubled_word_mark = "off"\ninvisible = "warn"\ndoubled_stop = "err"', [k for k, _, _ in NEUTRAL_RULES])
+    return chosen.apply(rule_hits(spark, sf_dir)).groupBy("kind", "severity").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {LINES}, h AS ({_RULE_HITS}), n AS (SELECT doc_key, CAST(count_if(severity = 'err') AS BIGINT) AS errors, CAST(count_if(severity = 'warn') AS BIGINT) AS warnings FROM h GROUP BY doc_key),
+w AS (SELECT doc_key, string_agg(kind, ',' ORDER BY line_no, kind, match) AS first_warnings FROM (SELECT *, row_number() OVER (PARTITION BY doc_key ORDER BY line_no, kind, match) AS i FROM h WHERE severity = 'warn') WHERE i <= 8 GROUP BY doc_key)
+SELECT d.doc_id AS doc_key, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, coalesce(first_warnings, '') AS first_warnings, coalesce(errors, 0) > 0 AS failed
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_key LEFT JOIN w ON d.doc_id = w.doc_key""")
+def rule_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The per-document summary, over the neutral rules."""
+    from prosewright.operators import findings
+
+    slots = documents(spark, sf_dir).select("doc_key", F.lit(1).alias("slots"), F.lit(False).alias("blind"))
+    found = findings.summary(rule_hits(spark, sf_dir), slots)
+    return found.select("doc_key", "errors", "warnings", F.coalesce(F.array_join("first_warnings", ","), F.lit("")).alias("first_warnings"), "failed")
+
+
+@query(f"""WITH {LINES}, h AS ({_RULE_HITS}), p AS (SELECT doc_id AS doc_key, 'quality' AS stage FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, 'toxicity' FROM labels WHERE toxic = 0)
+SELECT DISTINCT doc_key, 'errors' AS reason FROM h WHERE severity = 'err' UNION ALL
+SELECT DISTINCT d.doc_id, 'no pass: ' || s FROM documents d, (VALUES ('quality'), ('toxicity')) AS v(s) WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.doc_key = d.doc_id AND p.stage = s)""")
+def publish_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why documents may not be published: errors, or no pass at a stage."""
+    from prosewright.operators import findings
+
+    labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "doc_key")
+    passes = labels.where("quality = 1").select("doc_key", F.lit("quality").alias("stage"), F.lit("pass").alias("verdict")).union(labels.where("toxic = 0").select("doc_key", F.lit("toxicity"), F.lit("pass")))
+    nothing = structure.lines(documents(spark, sf_dir)).where("false").select("doc_key", "line_no")
+    return findings.gate_status(rule_hits(spark, sf_dir), passes, nothing, documents(spark, sf_dir), ["quality", "toxicity"])
+
+
+@query(f"""WITH {_TERMS}, k AS (SELECT unnest(['the', 'and', 'der', 'de']) AS lexeme), r AS (SELECT doc_key, CAST(count(*) AS BIGINT) AS blocked FROM c JOIN b USING (lexeme) WHERE base <= 60 AND lexeme NOT IN (SELECT lexeme FROM k) GROUP BY doc_key)
+SELECT DISTINCT c.doc_key, coalesce(blocked, 0) AS blocked, coalesce(blocked, 0) = 0 AS passes FROM c LEFT JOIN r USING (doc_key)""")
+def vocabulary_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = term_counts(spark, sf_dir)
+    approved = spark.range(1).select(F.explode(F.lit(["the", "and", "der", "de"])).alias("lexeme"))
+    return lexical.gate(counts, lexical.frequencies(documents(spark, sf_dir), lexical.words("raw")), approved).select("doc_key", "blocked", "passes")
+
+
+@query("""WITH t AS (SELECT doc_id AS doc_key, regexp_extract_all(lower(text), '\\pL+') AS w FROM documents), e AS (SELECT doc_key, generate_subscripts(w, 1) AS pos, length(unnest(w)) >= 6 AS bare FROM t),
+r AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_key ORDER BY pos) AS run FROM e WHERE bare), n AS (SELECT doc_key, run, count(*) AS length FROM r GROUP BY ALL)
+SELECT threshold, count(*) AS runs, max(length) AS longest FROM n, (VALUES (2), (3), (5)) AS v(threshold) WHERE length >= threshold GROUP BY threshold""")
+def long_word_pileups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of long words, by least length of a run."""
+    words = F.regexp_extract_all(F.lower("raw"), F.lit(r"\p{L}+"), F.lit(0))
+    tokens = documents(spark, sf_dir).select("doc_key", F.posexplode(words).alias("pos", "w")).select("doc_key", "pos", (F.length("w") >= 6).alias("bare"))
+    return lexical.noun_pileups(tokens, [2, 3, 5])
+
+
+_COUNTS = ", ".join(f"len(regexp_extract_all(original, '{p}')) AS a{i}, len(regexp_extract_all(revised, '{p}')) AS b{i}" for i, (_, _, p) in enumerate(NEUTRAL_RULES))
+_NEW = " UNION ALL ".join(f"SELECT pair_id, '{k}' AS kind, CAST(b{i} - a{i} AS BIGINT) AS new FROM x WHERE b{i} > a{i}" for i, (k, _, _) in enumerate(NEUTRAL_RULES))
+
+
+@query(f"WITH {_PAIRS}, x AS (SELECT pair_id, {_COUNTS} FROM q) {_NEW}")
+def turn_fix_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of a later turn beyond those of the earlier one."""
+    from prosewright.operators import rules
+
+    own = [rules.Rule(k, s, p) for k, s, p in NEUTRAL_RULES]
+    pairs = turn_pairs(spark, sf_dir)
+    hits = lambda c: rules.apply_rules(pairs.select(F.col("pair_id").alias("doc_key"), F.lit(1).alias("line_no"), F.col(c).alias("text")), own).withColumnRenamed("doc_key", "pair_id")
+    return revision.fix_cascade(hits("original"), hits("revised"))
+
+
+@query(f"""WITH {LINES}, s AS (SELECT *, line_no - coalesce(lag(line_no) OVER (PARTITION BY doc_key ORDER BY line_no), 0) - 1 AS gap FROM l WHERE regexp_matches(lower(text), 'licen[sc]ed?|rights reserved'))
+SELECT doc_key, sha256(string_agg(CASE WHEN gap > 0 THEN '… ' || gap || ' lines omitted' || chr(10) ELSE '' END || line_no || ': ' || text, chr(10) ORDER BY line_no)) AS text_sha FROM s GROUP BY doc_key""")
+def licence_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered lines that speak of a licence, gaps told."""
+    from prosewright.operators import context
+
+    lines = structure.lines(documents(spark, sf_dir))
+    shown = lines.where(F.lower("text").rlike("licen[sc]ed?|rights reserved"))
+    return context.excerpts(lines, shown).select("doc_key", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha"))
+
+
+@query("""WITH m AS (SELECT user_id, epoch_us(ts) / 1e6 AS s, value, event_id FROM events), g AS (SELECT *, CASE WHEN lag(s) OVER w - s > 10800 THEN 1 ELSE 0 END AS apart FROM m WINDOW w AS (PARTITION BY user_id ORDER BY s DESC)),
+b AS (SELECT *, sum(apart) OVER (PARTITION BY user_id ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS back FROM g) SELECT user_id, round(sum(value), 2) AS spent FROM b WHERE back = 0 GROUP BY user_id HAVING sum(value) >= 50""")
+def open_sessions_over_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prosewright.operators import ledger
+
+    rows = events(spark, sf_dir).select(F.col("user_id").alias("doc_key"), (F.unix_micros("ts") / 1e6).alias("when"), F.col("value").alias("cost_usd"))
+    return ledger.over_budget(rows, 50.0).select(F.col("doc_key").alias("user_id"), F.round("spent", 2).alias("spent"))
+
+
+@query("""WITH h AS (SELECT max(epoch_us(ts)) / 1e6 AS now FROM events), f AS (SELECT user_id, event_type, event_id, CASE WHEN value > 10 THEN 'pass' ELSE 'fail' END AS verdict FROM events, h WHERE epoch_us(ts) / 1e6 >= now - 1209600)
+SELECT user_id, event_type AS stage, arg_max(verdict, event_id) AS verdict FROM f GROUP BY ALL""")
+def latest_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last fresh verdict of each key at each stage, in append order."""
+    from prosewright.operators import ledger
+
+    rows = events(spark, sf_dir).select(F.col("user_id").alias("path"), F.lit("").alias("hash"), F.col("event_type").alias("stage"), F.when(F.col("value") > 10, "pass").otherwise("fail").alias("verdict"), F.lit("r").alias("rules"), (F.unix_micros("ts") / 1e6).alias("when"), F.col("event_id").alias("seq"))
+    rows = rows.join(F.broadcast(rows.agg(F.max("when").alias("now"))))
+    return ledger.pass_status(rows, F.col("now"), "r").select(F.col("path").alias("user_id"), "stage", "verdict")
+
+
+@query("""WITH c AS (SELECT *, lag(event_type) OVER w AS last FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), d AS (SELECT * FROM c WHERE last IS NULL OR event_type <> last),
+b AS (SELECT *, lag(event_type, 2) OVER (PARTITION BY user_id ORDER BY event_id) AS b2 FROM d) SELECT user_id, count(*) AS versions, CAST(count_if(b2 = event_type) AS BIGINT) AS reverts FROM b GROUP BY user_id""")
+def stage_flip_flops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prosewright.operators import ledger
+
+    rows = events(spark, sf_dir).select(F.col("user_id").alias("doc_key"), F.lit("r").alias("root"), F.col("event_id").alias("seq"), F.col("event_type").alias("text"))
+    return ledger.flip_flops(rows).select(F.col("doc_key").alias("user_id"), "versions", "reverts")
+
+
+@query("""WITH m AS (SELECT to_timestamp((epoch_us(min(ts)) + epoch_us(max(ts))) / 2e6) AS half, (epoch_us(min(ts)) + epoch_us(max(ts))) / 2 AS us FROM events)
+SELECT CASE WHEN epoch_us(ts) < us THEN 'before' ELSE 'after' END AS period, count(*) AS n, count(DISTINCT user_id) AS sessions, CAST(count_if(value > 10) AS BIGINT) AS used, round(avg(CASE WHEN value > 10 THEN 1.0::DOUBLE ELSE 0 END), 6) AS rate FROM events, m GROUP BY ALL""")
+def uptake_by_half(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Before and after the middle of the time span."""
+    rows = events(spark, sf_dir).withColumn("us", F.unix_micros("ts"))
+    half = rows.agg(((F.min("us") + F.max("us")) / 2).alias("half"))
+    return corpus.uptake(rows.join(F.broadcast(half)), "us", F.col("half"), "user_id", F.col("value") > 10)
+
+
+@query("""SELECT arg_min(event_id, (-value, event_id)) AS event_id, user_id, event_type, max(value) AS value FROM events WHERE value IS NOT NULL GROUP BY user_id, event_type""")
+def dearest_by_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upsert by priority: of each key the row that costs most."""
+    rows = events(spark, sf_dir).where("value IS NOT NULL").select(F.concat_ws("|", "user_id", "event_type").alias("key"), (-F.col("value")).alias("priority"), "event_id", "user_id", "event_type", "value")
+    return corpus.upsert(rows, "key", "priority").select("event_id", "user_id", "event_type", "value")
+
+
+@query()
+def page_text_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text units of all pages, by the HTML parser of the eight-format extractor."""
+    from prosewright.sources import formats
+
+    raw = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.lit("html").alias("format"), F.coalesce("html", F.lit("")).alias("raw"))
+    return formats.text_units(raw).select("path", "unit_id", "kind", "line_number", "text")
+
+
+@query()
+def document_text_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text units of all documents read as Markdown."""
+    from prosewright.sources import formats
+
+    return formats.text_units(documents(spark, sf_dir).select(F.col("doc_key").cast("string").alias("path"), F.lit("md").alias("format"), "raw")).select("path", "unit_id", "line_number", "text")
