@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -38,10 +39,11 @@ SCHEMA = ", ".join(f"{f} long" for f in FIELDS) + ", by_cut boolean"
 
 _SURE = r"[\w!-/:-@\[-`{-~]"  # surely not white space
 _LETTER, _MARK = r"A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"
-#: pieces that a byte-level BPE with the usual pattern keeps apart: letters, digits or marks with a space before them, if what
-#: follows surely ends them; else all up to a space or line feed behind a sure character
+#: pieces that a byte-level BPE with the usual pattern keeps apart: letters, digits or marks with a space before them, short
+#: forms, an apostrophe, a line feed, if what follows surely ends them; else all up to a space or line feed behind a sure character
 _UNITS = re.compile(
-    rf" ?[{_LETTER}]++(?=[ \n0-9'{_MARK}]|\Z)| ?[0-9]++(?=[ \n{_LETTER}'{_MARK}]|\Z)| ?[{_MARK}]++(?=[ \n{_LETTER}0-9]|\Z)|.+?(?<={_SURE})(?=[ \n])|.+",
+    rf" ?[{_LETTER}]++(?=[ \n0-9'{_MARK}]|\Z)| ?[0-9]++(?=[ \n{_LETTER}'{_MARK}]|\Z)| ?[{_MARK}]++(?=[ \n{_LETTER}0-9]|\Z)"
+    rf"|\n(?=[{_LETTER}0-9'{_MARK}])|'(?:[stmd]|re|ve|ll)|'(?=[{_LETTER}0-9])|.+?(?<={_SURE})(?=[ \n])|.+",
     re.S,
 )
 _SINGLE = re.compile(rf" ?(?:[{_LETTER}]+|[0-9]+|[{_MARK}]+)")
@@ -51,23 +53,23 @@ _SPELLED = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _
 
 
 class Known(dict):
-    """Ids of pieces, asked of the library when first looked up: its model for single pieces, its encoder for others."""
+    """Ids of pieces as little-endian bytes, asked of the library when first looked up: its model for single pieces, its encoder for others."""
 
     def __init__(self, tok):
         super().__init__()
         self.tok, self.model, self.held = tok, tok.model, 0
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         if self.held > MEMO_CHARS:
             self.clear()
             self.held = 0
         if _SINGLE.fullmatch(piece):
-            ids = tuple([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_SPELLED))])
+            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_SPELLED))]
         else:
-            ids = tuple(self.tok.encode(piece, add_special_tokens=False).ids)
+            ids = self.tok.encode(piece, add_special_tokens=False).ids
         self.held += len(piece) + 64
-        self[piece] = ids
-        return ids
+        self[piece] = packed = struct.pack(f"<{len(ids)}I", *ids)
+        return packed
 
 
 class Encoder:
@@ -93,7 +95,7 @@ class Encoder:
         by_piece = self.by_piece and not any(s in text for s in self.special)
         for part in safe_pieces(text, PART_CHARS if by_piece else 16_384):
             if by_piece:
-                parts.append(np.fromiter(chain.from_iterable(map(self.known.__getitem__, _UNITS.findall(part))), "<u4"))
+                parts.append(np.frombuffer(b"".join(map(self.known.__getitem__, _UNITS.findall(part))), "<u4"))
             else:
                 parts.append(np.array(self.tok.encode(part, add_special_tokens=False).ids, "<u4"))
         return np.concatenate(parts) if parts else np.empty(0, "<u4")

@@ -59,7 +59,7 @@ def test_pieces_pack_back_to_the_texts(docs):
 def test_ids_are_the_library_s_for_odd_strings(monkeypatch):
     monkeypatch.setattr(packing, "MEMO_CHARS", 3000)  # what is remembered is forgotten now and then
     parts = ["a", "the", "word", "É", "naïve", "ß", " ", "  ", "\n", "\n\n", "\t", "\r\n", "'s", "'ll", "’", "0", "12", "½", "②", "Ⅷ", "!", "?!", "...", "-", "_", "日本", "\u00a0", "\u0301", "\x1c", "\x85", "\u200b"]
-    parts += ["<|endoftext|>", "<|endof", "|>", "😀", "Ω", " x", "x ", "\x00", "\x0b", "\x0c", "\u3000", "\ufeff", "\u2028"]
+    parts += ["<|endoftext|>", "<|endof", "|>", "l'", "'tis", "''", "d'eau", "\n's", "😀", "Ω", " x", "x ", "\x00", "\x0b", "\x0c", "\u3000", "\ufeff", "\u2028"]
     rng, encoder = random.Random(8), Encoder(NAME)
     for _ in range(4000):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 25)))
