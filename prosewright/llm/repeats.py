@@ -36,6 +36,7 @@ ANCHOR = 40
 CHUNK = 1 << 19
 SHARD_BYTES = 1 << 20
 MOST_SEGMENTS = 512
+ANCHOR_PARTS = 8
 NO_ID = -(2**63)
 
 _SPAN = DEPTH - ANCHOR + 1  # anchors a window chooses from
@@ -239,7 +240,9 @@ def marks(docs: DataFrame, scratch: Scratch) -> DataFrame:
     copies = shared.groupBy("anchor", "content", "content2").agg(F.min(F.struct("doc_id", "row", "start", "windows")).alias("first"))
     copies = scratch.write(copies.select("anchor", "first.*"), "firsts")
     several = copies.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    differing = scratch.write(copies.join(several, "anchor").withColumn("cut", F.col("kinds") > MOST_SEGMENTS).drop("kinds"), "differing")
+    several = several.select("anchor", "kinds", F.explode(F.sequence(F.lit(0), F.lit(ANCHOR_PARTS - 1))).alias("part"))  # so that a common anchor is met in parts
+    parted = copies.withColumn("part", F.pmod(F.xxhash64("row", "start"), F.lit(ANCHOR_PARTS)).cast("int"))
+    differing = scratch.write(parted.join(several, ["anchor", "part"]).withColumn("cut", F.col("kinds") > MOST_SEGMENTS).drop("kinds", "part"), "differing")
     wanted = differing.groupBy("row").agg(F.collect_list(F.struct("anchor", "start", "windows", "cut")).alias("wanted"))
     fetched = docs.select("row", "doc_id", "text").join(wanted.hint("merge"), "row").mapInArrow(_fetched, "anchor long, doc_id long, row long, start long, bytes binary, cut boolean")
     fetched = scratch.write(fetched, "fetched")
