@@ -106,6 +106,7 @@ def plain_markup(c: Column | str) -> Column:
     return F.translate(col(c), marks, " " * len(marks))
 
 
+# A link at a value's end, and particles after which its text is needed.
 LINK = r"\s*\[([^\]]+)\]\([^)]*\)[.。]?\s*$"
 
 

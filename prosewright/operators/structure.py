@@ -204,6 +204,7 @@ def ledes(body: DataFrame) -> DataFrame:
 def label_values(text: Column) -> Column:
     """Parts of a value that are judged: a bold conclusion without its evidence sentence, or label and value."""
     t = F.regexp_replace(F.trim(text), r"^(?:[←-⯿☀-➿\x{1F000}-\x{1FAFF}]+\s*)+", "")
+    # Label and value, and a bold conclusion with what follows it.
     label = r"^\*\*(.+?)\*\*\s*(?:\([^)]*\))?\s*[:：]\s*(.*)$"
     bold = r"(?s)^\*\*(.+?)\*\*\s*(?:\([^)]*\))?\s*(?:[—–\-:·：.。]\s*|\s+|$)(.*)$"
     bare = lambda c: F.replace(c, F.lit("**"), F.lit(""))
