@@ -138,7 +138,7 @@ def all_quoted(c: Column | str) -> Column:
 def is_narrative(c: Column | str) -> Column:
     """The value ends like a sentence (…다), quotations apart."""
     probe = drop_tail(F.regexp_replace(col(c), QUOTE_SPAN, " "))
-    return probe.rlike(r"(?<!보|마|최|과)(?<=[가-힣])다\.?$")
+    return col(c).contains("다") & probe.rlike(r"(?<!보|마|최|과)(?<=[가-힣])다\.?$")  # the cheap test first
 
 
 def is_plain_speech(c: Column | str) -> Column:

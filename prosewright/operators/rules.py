@@ -416,6 +416,7 @@ def repetition(paras: DataFrame) -> DataFrame:
 
 def register_of(body: DataFrame) -> DataFrame:
     """(doc_key, line_no, s, plain): sentences with their speech level."""
+    body = body.where(F.col("text").contains("다") | F.trim("text").rlike(r"^\|.*\|"))  # table rows stay, as they make up blocks
     said = structure.value_slots(body).select("doc_key", "line_no", F.explode(sentences("text")).alias("s"))
     flowing = body.where(~F.trim("text").rlike(r"^(?:[-*+>|#]|\d+[.)]\s)")).select("doc_key", "line_no", F.explode(sentences("text")).alias("s"))
     return said.union(flowing).where(is_narrative("s")).withColumn("plain", is_plain_speech("s"))
