@@ -261,10 +261,10 @@ def _bucket(key, h, bounds: list[int]):
     """
     if not bounds:
         return F.lit(0)
-    times = {b: bounds.count(b) for b in set(bounds)}
-    equal = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for b, m in sorted(times.items()) for x in (b, m)]), key), F.lit(0))
+    below = _below(key, bounds)
+    equal = _below(F.coalesce(F.try_add(key, F.lit(1).cast("long")), key), bounds) - below
     share = h.cast("double") / 2.0**64 + 0.5
-    return (_below(key, bounds) + F.when(equal == 0, 0).otherwise(F.least(equal, F.floor(share * equal).cast("int") + 1))).cast("int")
+    return (below + F.when(equal == 0, 0).otherwise(F.least(equal, F.floor(share * equal).cast("int") + 1))).cast("int")
 
 
 def edited(text: str, following: str) -> str:
