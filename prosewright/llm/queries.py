@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosewright.llm.ann import search
+from prosewright.llm.bpe import encode_texts
+from prosewright.llm.centroids import cluster, cluster_sql
 from prosewright.llm.common import table
 from prosewright.llm.fingerprint import compare_with_edits
 from prosewright.llm.langid import identify
@@ -18,6 +20,7 @@ from prosewright.llm.packing import pack
 from prosewright.llm.repeats import repeated_bytes
 from prosewright.llm.tokens import count_tokens
 from prosewright.llm.urlfilter import judge_urls, rules_table
+from prosewright.llm.variants import group_variants
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
@@ -67,6 +70,19 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), TOKENIZER).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op11_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_texts(table(spark, sf_dir, "documents"), TOKENIZER, decoded=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op12_position_index_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
 URL_SQL = f"""
 WITH r AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in URL_RULES)}) AS r(action, rule_host, rule_path)),
 p AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -84,10 +100,11 @@ QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_improbable_features, op2_sum_of_squares_packing, op3_curriculum_mixing, op4_run_length_index, op5_url_bloom_filter, op6_language_bitmasks,
-        op7_license_sentences, op8_additive_quantisation, op9_token_counts, op10_fast_similarity_sketches,
+        op7_license_sentences, op8_additive_quantisation, op9_token_counts, op10_fast_similarity_sketches, op11_speculative_bpe,
+        op12_position_index_variants, op13_centroid_expressions,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_curriculum_mixing": mix_sql(), "op5_url_bloom_filter": URL_SQL, "op7_license_sentences": scan_sql()}
+    return {"op3_curriculum_mixing": mix_sql(), "op5_url_bloom_filter": URL_SQL, "op7_license_sentences": scan_sql(), "op13_centroid_expressions": cluster_sql()}
