@@ -81,8 +81,8 @@ def cluster_sql(clusters: int = 40, rounds: int = 5, dim: int = 64, scale: int =
     """The same by joins of components, one common table expression after the other."""
     steps = [
         f"""v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-  WHERE len(embedding) = {dim} AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = {dim})""",
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim})""",
         f"x AS (SELECT vec_id, i, v[i] AS x FROM v, range(1, {dim + 1}) AS r(i))",
         f"""s AS (
   SELECT v, row_number() OVER (ORDER BY sha256('{seed}' || vec_id)) - 1 AS k FROM v QUALIFY k < {clusters})""",
