@@ -302,3 +302,11 @@ def front_matter(raw: Column | str) -> Column:
     rows = F.filter(F.split(head, "\n"), lambda r: r.rlike(r"^\w[\w-]*:"))
     pairs = F.transform(rows, lambda r: F.struct(F.regexp_extract(r, r"^(\w[\w-]*):", 1).alias("k"), F.trim(F.regexp_replace(r, r"^\w[\w-]*:", "")).alias("v")))
     return F.map_from_entries(F.filter(pairs, lambda p: p["k"] != ""))
+
+
+def placed(text: Column | str, pattern: str) -> Column:
+    """Matches of a pattern (Java syntax, no group) as (match, start): starts follow from the pieces between the matches."""
+    hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    pieces = F.split(text, pattern, -1)
+    before = lambda i: F.length(F.array_join(F.slice(pieces, F.lit(1), i + 1), "")) + F.length(F.array_join(F.slice(hits, F.lit(1), i), ""))
+    return F.transform(hits, lambda h, i: F.struct(h.alias("match"), before(i).alias("start")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prosewright.functions.text import shares_run
+from prosewright.operators import intervals
 
 
 def confusion(scored: DataFrame, label: str, hit: Column, by: list[str] | None = None) -> DataFrame:
@@ -85,20 +86,16 @@ def unlabelled(findings: DataFrame, labels: DataFrame) -> DataFrame:
 
 def span_recall(truth: DataFrame, found: DataFrame, clean: DataFrame, slack: int = 2) -> DataFrame:
     """Planted spans (doc_key, line_no, family, start, end, width) hit by found ones; loose, strict (no slack, local) and net of
-    what is also found on the clean twin.  A range join within (doc_key, line_no)."""
-    keys = ["doc_key", "line_no"]
-    f = found.select(*keys, F.col("start").alias("f_start"), F.col("end").alias("f_end"))
-    c = clean.select(*keys, F.col("start").alias("c_start"), F.col("end").alias("c_end"))
-    loose = (F.col("f_start") < F.col("end") + slack) & (F.col("start") - slack < F.col("f_end"))
-    local = (F.col("f_end") - F.col("f_start")) <= F.greatest(F.lit(20), 0.4 * F.col("width"))
-    strict = (F.col("f_start") < F.col("end")) & (F.col("start") < F.col("f_end")) & local
-    also = (F.col("c_start") < F.col("end") + slack) & (F.col("start") - slack < F.col("c_end"))
-    spans = [*keys, "family", "start", "end", "width"]
-    hit = truth.join(f, keys, "left").groupBy(*spans).agg(F.max(F.coalesce(loose, F.lit(False))).alias("loose"), F.max(F.coalesce(strict, F.lit(False))).alias("strict"))
-    noise = truth.join(c, keys, "left").groupBy(*spans).agg(F.max(F.coalesce(also, F.lit(False))).alias("noise"))
-    both = hit.join(noise, spans)
+    what is also found on the clean twin.  A found span is local if it is no wider than 20 characters or 0.4 of the planted one's ``width``."""
+    at = ["doc_key", "line_no"]
+    keys = [*at, "width"]
+    wide = {"start": F.col("start") - slack, "end": F.col("end") + slack}
+    local = found.join(truth.select(*keys).distinct(), at).where((F.col("end") - F.col("start")) <= F.greatest(F.lit(20), 0.4 * F.col("width")))
+    hit = intervals.against(truth.distinct(), found, at, **wide).withColumnRenamed("overlaps", "loose").drop("covered")
+    hit = intervals.against(hit, clean, at, **wide).withColumnRenamed("overlaps", "noise").drop("covered")
+    hit = intervals.against(hit, local, keys).withColumnRenamed("overlaps", "strict")
     rate = lambda c: F.round(F.avg(c.cast("double")), 6)
-    return both.groupBy("family").agg(F.count("*").alias("planted"), rate(F.col("loose")).alias("recall"), rate(F.col("strict")).alias("strict_recall"), rate(F.col("loose") & ~F.col("noise")).alias("net_recall"))
+    return hit.groupBy("family").agg(F.count("*").alias("planted"), rate(F.col("loose")).alias("recall"), rate(F.col("strict")).alias("strict_recall"), rate(F.col("loose") & ~F.col("noise")).alias("net_recall"))
 
 
 def planted_score(planted: DataFrame, findings: DataFrame) -> DataFrame:
@@ -182,8 +179,15 @@ def win_rate_interval(pairs: DataFrame, system: str, times: int = 1000, seed: in
 
 
 def merge_overlapping(findings: DataFrame) -> DataFrame:
-    """Of findings on one line and category whose phrases contain one another the longest stays, with all sources."""
+    """Of findings on one line and category that lie in one another the longest stays, with all sources.
+
+    Findings with their places (start, end) are told by these, others by whether their phrases contain one another.
+    """
     keys = ["doc_key", "line_no", "category"]
+    if {"start", "end"} <= set(findings.columns):
+        held = intervals.with_longest(findings, keys)
+        longest = F.max_by("phrase", F.col("end") - F.col("start")).alias("phrase")
+        return held.groupBy(*keys, F.col("long_start").alias("start"), F.col("long_end").alias("end")).agg(longest, F.array_sort(F.collect_set("source")).alias("sources"))
     longer = findings.select(*keys, F.col("phrase").alias("longer")).distinct()
     held = findings.join(longer, keys).where(F.contains("longer", F.col("phrase")))
     best = held.groupBy(*keys, "phrase", "source").agg(F.max(F.struct(F.length("longer").alias("n"), "longer")).alias("b"))

@@ -60,7 +60,7 @@ def overused_terms(mine: DataFrame, base: DataFrame, sizes: DataFrame, base_span
 def not_whitelisted(uses: DataFrame, whitelist: DataFrame) -> DataFrame:
     """Uses (lexeme, line, path) of which no whitelist entry (word, context or *, path glob or *) covers the occurrence."""
     pattern = F.concat(F.lit("^"), F.replace(F.regexp_replace("scope", r"([.+^$()\[\]{}|\\])", r"\\$1"), F.lit("*"), F.lit(".*")), F.lit("$"))
-    entries = F.broadcast(whitelist.withColumn("scope_pattern", pattern))
+    entries = whitelist.withColumn("scope_pattern", pattern)
     covers = (uses["lexeme"] == entries["word"]) & ((entries["context"] == "*") | F.contains(uses["line"], entries["context"])) & F.rlike(uses["path"], entries["scope_pattern"])
     return uses.join(entries, covers, "left_anti")
 

@@ -12,8 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosewright.functions.text import all_quoted, drop_tail, final_consonant, fragment, hangul_count, is_example, is_narrative, is_plain_speech, mask, sentences, squeeze, strip, strip_tags
-from prosewright.operators import structure
+from prosewright.functions.text import all_quoted, drop_tail, final_consonant, fragment, hangul_count, is_example, is_narrative, is_plain_speech, mask, placed, sentences, squeeze, strip, strip_tags
+from prosewright.operators import intervals, patterns, structure
 
 
 @dataclass(frozen=True)
@@ -215,53 +215,62 @@ def wording(body: DataFrame, personal: bool = False) -> DataFrame:
 
 
 def brand_findings(lines: DataFrame, brands: DataFrame) -> DataFrame:
-    """Transliterated product names (wrong, canonical); the list is small and broadcast."""
-    small = F.broadcast(brands)
-    return _finding(lines.join(small, F.contains(lines["text"], small["wrong"])), "brand_transliteration", "err", "wrong", F.col("canonical"))
+    """Transliterated product names (wrong, canonical), every place of them."""
+    found = patterns.find_terms(lines, brands, ["doc_key", "line_no"], term="wrong", overlapping=False).withColumnRenamed("term", "wrong")
+    return _finding(found.join(brands.select("wrong", "canonical"), "wrong"), "brand_transliteration", "err", "wrong", F.col("canonical"))
+
+
+def dictionary_hits(lines: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(doc_key, line_no, wrong, right, level, start, end) of dictionary entries, overlapping ones too.
+
+    Scope ``head``: no Hangul or digit before; ``word``: no Hangul after either; ``any``: anywhere.  A hit is excepted where one of the entry's
+    ``excepts``, placed so that its own first ``wrong`` falls on the hit, stands in the line.
+    """
+    at = ["doc_key", "line_no"]
+    excepts = dictionary.select("wrong", F.explode("excepts").alias("term")).where(F.contains("term", F.col("wrong"))).distinct()
+    found = patterns.find_terms(lines, dictionary.select(F.col("wrong").alias("term")).union(excepts.select("term")), at)
+    head = ~F.col("before").rlike("[가-힣0-9]")
+    in_scope = F.when(F.col("scope") == "any", True).when(F.col("scope") == "word", head & ~F.col("after").rlike("[가-힣]")).otherwise(head)
+    hits = found.withColumnRenamed("term", "wrong").join(dictionary.select("wrong", "right", "scope", "level"), "wrong").where(in_scope)
+    shields = found.join(excepts, "term").select(*at, "wrong", (F.col("start") + F.instr("term", F.col("wrong")) - 1).alias("start"))
+    return hits.join(shields, [*at, "wrong", "start"], "left_anti").select(*at, "wrong", "right", "level", "start", "end")
 
 
 def spelling_findings(lines: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Dictionary entries (wrong, right, scope head, any or word, level, excepts) and the rules of finals, jamo and marks.
 
-    Dictionary hits keep their lines from being reported again by a rule at the same syllables.
+    Syllables that a dictionary hit takes are not reported again by the rules of finals.
     """
-    small = F.broadcast(dictionary)
-    near = lines.join(small, F.contains(lines["text"], small["wrong"]))
-    quoted = F.concat(F.lit("\\Q"), F.col("wrong"), F.lit("\\E"))
-    pattern = F.when(F.col("scope") == "any", quoted).when(F.col("scope") == "word", F.concat(F.lit("(?<![가-힣0-9])"), quoted, F.lit("(?![가-힣])"))).otherwise(F.concat(F.lit("(?<![가-힣0-9])"), quoted))
-    shielded = F.aggregate(F.coalesce("excepts", F.array().cast("array<string>")), F.col("text"), lambda t, e: F.replace(t, e, F.lit("□")))
-    hits = near.withColumn("n", F.regexp_count(shielded, pattern)).where("n > 0")
+    hits = dictionary_hits(lines, dictionary)
     kind = F.when(F.col("level") == "warn", "spelling_suspect").otherwise("spelling")
-    found = hits.select("doc_key", "line_no", kind.alias("kind"), F.col("level").alias("severity"), F.col("wrong").alias("match"), F.col("right").alias("note"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i")).drop("i")
-
-    taken = hits.groupBy("doc_key", "line_no").agg(F.collect_set("wrong").alias("taken"))
-    rest = lines.where(F.col("text").rlike("[가-힣ㄱ-ㅣ]")).join(taken, ["doc_key", "line_no"], "left")
-    rest = rest.withColumn("text", F.aggregate(F.coalesce("taken", F.array().cast("array<string>")), F.col("text"), lambda t, w: F.replace(t, w, F.lit("□"))))
+    found = hits.select("doc_key", "line_no", kind.alias("kind"), F.col("level").alias("severity"), F.col("wrong").alias("match"), F.col("right").alias("note"))
+    rest = lines.where(F.col("text").rlike("[가-힣ㄱ-ㅣ]"))
 
-    def by_final(pattern: str, test, kind: str, note) -> Column:
-        every = F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1))
-        kept = F.filter(every, lambda h: test(F.substring(h, 1, 1), h))
-        return F.struct(F.lit(kind).alias("kind"), F.transform(kept, lambda h: F.struct(h.alias("match"), note(h).alias("note"))).alias("hits"))
+    def by_final(pattern: str, test, kind: str, note, width: int = 0) -> Column:
+        """Hits whose first character passes the test; ``width``: so many of their characters must not be taken."""
+        kept = F.filter(placed("text", pattern), lambda h: test(F.substring(h["match"], 1, 1), h["match"]))
+        return F.struct(F.lit(kind).alias("kind"), F.lit(width).alias("width"), F.transform(kept, lambda h: F.struct(h["match"].alias("match"), h["start"].alias("start"), note(h["match"]).alias("note"))).alias("hits"))
 
     says = lambda s: lambda h: F.lit(s)
     ends = r"(?=요|[^가-힣]|$)"
     rules = [
-        by_final(rf"[가-힣](?:께|껄){ends}", lambda c, h: (final_consonant(c) == 8) & ~c.isin(*"들월일말달설"), "spelling", says("plain consonant after ㄹ")),
-        by_final(r"[가-힣]꺼(?=야|요|예요|에요|다|라|니|든|면|[^가-힣]|$)", lambda c, h: (final_consonant(c) == 8) & ~c.isin(*"들월일말달설불를"), "spelling", says("거")),
-        by_final(r"[가-힣]런지", lambda c, h: (final_consonant(c) == 8) & (c != "벨"), "spelling", says("-ㄹ는지")),
-        by_final(r"[가-힣]구요(?=[^가-힣]|$)", lambda c, h: final_consonant(c) == 20, "spelling", says("-고요")),
-        by_final(r"[가-힣]율", lambda c, h: ~final_consonant(c).isin(0, 4), "spelling_suspect", says("률")),
-        by_final(r"[가-힣]률", lambda c, h: final_consonant(c).isin(0, 4), "spelling_suspect", says("율")),
-        by_final(r"[가-힣]수 (?=있|없)", lambda c, h: (final_consonant(c) == 8) & (c != "일"), "spelling", says("space before 수")),
-        by_final(r"일수 (?=있|없)", lambda c, h: F.lit(True), "spelling_suspect", says("space before 수, unless days are meant")),
+        by_final(rf"[가-힣](?:께|껄){ends}", lambda c, h: (final_consonant(c) == 8) & ~c.isin(*"들월일말달설"), "spelling", says("plain consonant after ㄹ"), width=1),
+        by_final(r"[가-힣]꺼(?=야|요|예요|에요|다|라|니|든|면|[^가-힣]|$)", lambda c, h: (final_consonant(c) == 8) & ~c.isin(*"들월일말달설불를"), "spelling", says("거"), width=1),
+        by_final(r"[가-힣]런지", lambda c, h: (final_consonant(c) == 8) & (c != "벨"), "spelling", says("-ㄹ는지"), width=1),
+        by_final(r"[가-힣]구요(?=[^가-힣]|$)", lambda c, h: final_consonant(c) == 20, "spelling", says("-고요"), width=1),
+        by_final(r"[가-힣]율", lambda c, h: ~final_consonant(c).isin(0, 4), "spelling_suspect", says("률"), width=2),
+        by_final(r"[가-힣]률", lambda c, h: final_consonant(c).isin(0, 4), "spelling_suspect", says("율"), width=2),
+        by_final(r"(?<=[가-힣])[가-힣]수 (?=있|없)|(?<![가-힣])[가-힣&&[^실별홀말일술필철]]수 (?=있|없)", lambda c, h: (final_consonant(c) == 8) & (c != "일"), "spelling", says("space before 수"), width=1),
+        by_final(r"(?<=[가-힣])일수 (?=있|없)", lambda c, h: F.lit(True), "spelling_suspect", says("space before 수, unless days are meant"), width=1),
         by_final(r"[가-힣][ㄱ-ㅣ]+(?![ㄱ-ㅣ])", lambda c, h: ~h.rlike(r"^[가-힣](?:[ㅋㅎㅠㅜ]+|([ㄱ-ㅣ])\1+)$"), "spelling", says("stray jamo")),
         by_final(r"(?<![가-힣ㄱ-ㅣ])[ㄱ-ㅣ]+[가-힣]", lambda c, h: ~h.rlike(r"^(?:[ㅋㅎㅠㅜ]+|([ㄱ-ㅣ])\1+|[ㄴㄹㅁㅂㅅ])[가-힣]$|^[ㄱ-ㅣ]자$"), "spelling_suspect", says("stray jamo")),
         by_final("\\S[\u200b\u200c\u200d\u2060\ufeff]", lambda c, h: F.lit(True), "spelling", says("invisible character")),
         by_final("(?<=\\s)[\u200b\u200c\u200d\u2060\ufeff]", lambda c, h: F.lit(True), "spelling_suspect", says("invisible character")),
         by_final(r"[가-힣A-Za-z0-9]\.[!?]", lambda c, h: F.lit(True), "spelling_suspect", says("one mark")),
     ]
-    each = rest.select("doc_key", "line_no", F.inline(F.array(*rules))).select("doc_key", "line_no", "kind", F.inline("hits"))
-    more = each.select("doc_key", "line_no", "kind", F.when(F.col("kind") == "spelling", "err").otherwise("warn").alias("severity"), "match", "note")
+    each = rest.select("doc_key", "line_no", F.inline(F.array(*rules))).select("doc_key", "line_no", "kind", "width", F.inline("hits"))
+    free = intervals.without_overlaps(each, hits, ["doc_key", "line_no"], end=F.col("start") + F.col("width"))
+    more = free.select("doc_key", "line_no", "kind", F.when(F.col("kind") == "spelling", "err").otherwise("warn").alias("severity"), "match", "note")
     return found.union(more).select(*FINDING)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prosewright.operators import patterns
+
 # Labels and patterns (Java syntax).
 PLACEHOLDER = r"(?:name|user|username|you|me|runner|your[_-]?name|your[_-]?user|<[^/\\>]+>|%[^%]+%|\$\w+)"
 BLOCKING = [
@@ -41,9 +43,9 @@ def scan_lines(lines: DataFrame, issue_projects: list[str] | None = None, patter
 
 
 def deny_terms(lines: DataFrame, terms: DataFrame) -> DataFrame:
-    """Deny-listed terms (term, section) not preceded by Hangul; company terms count in data files, elsewhere they advise."""
-    small = F.broadcast(terms)
-    hit = lines.join(small, F.contains(lines["text"], small["term"]))
-    hit = hit.where(F.rlike("text", F.concat(F.lit("(?<![가-힣])\\Q"), F.col("term"), F.lit("\\E"))))
+    """Deny-listed terms (term, section) not preceded by Hangul; company terms count in data files, elsewhere they advise; a term once a line."""
+    keep = ["doc_key", "line_no", "text", "path"]
+    found = patterns.find_terms(lines.select(*keep), terms, keep).where(~F.col("before").rlike("[가-힣]"))
+    hit = found.dropDuplicates(["doc_key", "line_no", "path", "term"]).join(terms.select("term", "section"), "term")
     label = F.when((F.col("section") == "company") & ~F.col("path").rlike(DATA_FILE), "advisory_term").otherwise("term")
     return hit.select("doc_key", "line_no", label.alias("label"), F.substring("term", 1, 44).alias("match"), F.substring("text", 1, 96).alias("line"))

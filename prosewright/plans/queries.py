@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosewright.functions.text import ENTITIES, share
-from prosewright.operators import corpus, evaluation, lexical, revision, sensitive, structure, usage
+from prosewright.operators import corpus, evaluation, intervals, lexical, patterns, revision, sensitive, structure, usage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -113,6 +113,39 @@ def sensitive_scan_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sensitive.scan_lines(structure.lines(documents(spark, sf_dir)))
 
 
+# The list: words of eight letters or more of all benchmark items, found in all texts as parts of words too.
+_TERMS_SQL = """d AS (SELECT doc_id AS doc_key, coalesce(text, '') AS raw FROM documents),
+t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{8,}')) AS term FROM benchmark),
+o AS (SELECT doc_key, term, list_transform(string_split(raw, term), lambda x: length(x)) AS sizes FROM d JOIN t ON contains(raw, term)),
+i AS (SELECT doc_key, term, sizes, unnest(range(1, len(sizes))) AS i FROM o),
+h AS (SELECT doc_key, term, CAST(list_sum(sizes[1:i]) + (i - 1) * length(term) AS BIGINT) AS s FROM i),
+p AS (SELECT doc_key, term, s, s + length(term) AS e FROM h)"""
+
+
+def term_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_key, term, start, end, ...) of the listed words in all texts, each word's places apart."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{8,})"), F.lit(1))).alias("term"))
+    return patterns.find_terms(documents(spark, sf_dir), words, ["doc_key"], text="raw", overlapping=False)
+
+
+@query(f"WITH {_TERMS_SQL} SELECT doc_key, term, count(*) AS n, min(s) AS first_start FROM p GROUP BY doc_key, term")
+def term_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_places(spark, sf_dir).groupBy("doc_key", "term").agg(F.count("*").alias("n"), F.min("start").cast("long").alias("first_start"))
+
+
+@query(
+    f"""WITH {_TERMS_SQL},
+r AS (SELECT doc_key, s, e, coalesce(max(e) OVER (PARTITION BY doc_key ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= s, true) AS opens FROM p),
+g AS (SELECT doc_key, s, e, sum(CAST(opens AS INT)) OVER (PARTITION BY doc_key ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM r),
+m AS (SELECT doc_key, run, min(s) AS s, max(e) AS e, count(*) AS n FROM g GROUP BY doc_key, run)
+SELECT doc_key, CAST(sum(n) AS BIGINT) AS hits, count(*) AS runs, CAST(sum(e - s) AS BIGINT) AS covered FROM m GROUP BY doc_key"""
+)
+def term_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many code points of each text the listed words cover together, overlaps once."""
+    runs = intervals.merged(term_places(spark, sf_dir), ["doc_key"])
+    return runs.groupBy("doc_key").agg(F.sum("n").alias("hits"), F.count("*").alias("runs"), F.sum(F.col("end") - F.col("start")).alias("covered"))
+
+
 # --- corpus -------------------------------------------------------------------------------------------------------------
 
 

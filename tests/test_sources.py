@@ -37,12 +37,10 @@ def test_every_format(units):
     assert units["g.txt"][0]["unit_id"] == "unit-000001"
 
 
-def test_nothing_is_an_error(spark, tmp_path):
+def test_no_readable_file_is_an_error(spark, tmp_path):
     (tmp_path / "x.bin").write_bytes(b"1")
     with pytest.raises(ValueError):
         formats.read_documents(spark, str(tmp_path))
-    with pytest.raises(ValueError):
-        formats.units_of("doc", "x")
 
 
 def test_small_tables(spark, tmp_path):
