@@ -297,11 +297,13 @@ def fit_particle(word: Column | str, rest: Column | str) -> Column:
 
 
 def front_matter(raw: Column | str) -> Column:
-    """Flat ``key: value`` lines of the front matter as a map."""
+    """Flat ``key: value`` lines of the front matter as a map; of a key that repeats the last one holds."""
     head = F.regexp_extract(col(raw), r"(?s)^---\n(.*?)\n---", 1)
     rows = F.filter(F.split(head, "\n"), lambda r: r.rlike(r"^\w[\w-]*:"))
     pairs = F.transform(rows, lambda r: F.struct(F.regexp_extract(r, r"^(\w[\w-]*):", 1).alias("k"), F.trim(F.regexp_replace(r, r"^\w[\w-]*:", "")).alias("v")))
-    return F.map_from_entries(F.filter(pairs, lambda p: p["k"] != ""))
+    named = F.filter(pairs, lambda p: p["k"] != "")
+    keys = F.array_distinct(F.transform(named, lambda p: p["k"]))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(named, lambda p: p["k"] == k), -1)["v"]))
 
 
 def placed(text: Column | str, pattern: str) -> Column:

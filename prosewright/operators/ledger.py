@@ -11,8 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosewright.functions.spans import pandas_function, ratio, similarity
+from prosewright.functions.spans import pandas_function, similarity
 from prosewright.functions.text import form_key, line_key
+from prosewright.operators.similarity import similar_pairs
 
 FRESH_SECONDS = 14 * 86_400
 MOST_ROUNDS = 3
@@ -106,8 +107,8 @@ def attach_fixes(fixes: DataFrame, lines: DataFrame, least: float = 0.5) -> Data
     keyed = lines.withColumn("line_key", line_key("text")).withColumnRenamed("text", "now_text")
     by_key = fixes.join(keyed.groupBy("doc_key", "line_key").agg(F.min("line_no").alias("line_no")), ["doc_key", "line_key"])
     rest = fixes.join(by_key.select("doc_key", "line_key", "phrase"), ["doc_key", "line_key", "phrase"], "left_anti")
-    near = rest.join(keyed.select("doc_key", F.col("line_no").alias("at"), "now_text"), "doc_key").where(F.contains("now_text", F.col("phrase")))
-    near = near.where(2 * F.least(F.length("text"), F.length("now_text")) >= least * (F.length("text") + F.length("now_text"))).where(ratio("text", "now_text") >= least)
+    like = similar_pairs(rest.select("doc_key", F.col("text").alias("a")), keyed.select("doc_key", F.col("now_text").alias("b")), least).select("doc_key", F.col("a").alias("text"), F.col("b").alias("now_text"))
+    near = rest.join(like, ["doc_key", "text"]).where(F.contains("now_text", F.col("phrase"))).join(keyed.select("doc_key", "now_text", F.col("line_no").alias("at")), ["doc_key", "now_text"])
     best = near.groupBy(*fixes.columns).agg(F.min_by("at", F.struct(F.abs(F.col("at") - F.col("line")), F.col("at"))).alias("line_no"))
     return by_key.select(*fixes.columns, "line_no").union(best.select(*fixes.columns, "line_no"))
 
@@ -151,17 +152,23 @@ def words_kept(line: Column | str, before: Column | str) -> Column:
     return F.contains(before, line) | (F.size(F.array_except(words(line), words(before))) == 0)
 
 
-def lineage(targets: DataFrame, versions: DataFrame, least: float = 0.5) -> DataFrame:
+def lineage(targets: DataFrame, versions: DataFrame, least: float = 0.5, standing: DataFrame | None = None) -> DataFrame:
     """Rounds of the lines to be judged: (doc_key, text) follows the likest earlier version (doc_key, text, round, root).
 
-    A line that keeps its predecessor's words keeps the round; else it is one higher; without a predecessor it is 1.
+    A line that keeps its predecessor's words keeps the round; else it is one higher; without a predecessor it is 1.  With the
+    present text's lines (``standing``: doc_key, line), lines that share a predecessor follow it only if it was split into them:
+    the likest does, others if they match other parts of it, and none if it still stands in a line that is not judged.
     """
-    t = targets.select("doc_key", F.col("text").alias("target"))
+    t = targets.select("doc_key", F.col("text").alias("target")).distinct()
     v = versions.select("doc_key", F.col("text").alias("old"), "round", "root")
-    near = t.join(v, "doc_key").where(2 * F.least(F.length("target"), F.length("old")) >= least * (F.length("target") + F.length("old")))
-    like = near.withColumn("ratio", ratio("target", "old")).where(F.col("ratio") >= least)
-    best = like.groupBy("doc_key", "target").agg(F.max(F.struct("ratio", "round", "root", "old")).alias("p"))
-    out = t.join(best, ["doc_key", "target"], "left")
+    like = similar_pairs(t.withColumnRenamed("target", "a"), v.withColumnRenamed("old", "b"), least).withColumnsRenamed({"a": "target", "b": "old"})
+    best = like.join(v, ["doc_key", "old"]).groupBy("doc_key", "target").agg(F.max(F.struct("ratio", "round", "root", "old")).alias("p"))
+    if standing is not None:
+        left = standing.select("doc_key", "line").join(t.withColumnRenamed("target", "line"), ["doc_key", "line"], "left_anti")
+        claims = best.select("doc_key", F.col("p.old").alias("parent"), F.col("target").alias("line"), F.col("p.ratio").alias("ratio"))
+        follow = split_inheritance(claims, left).where("goes_on").select("doc_key", F.col("line").alias("target"))
+        best = best.join(follow, ["doc_key", "target"], "left_semi")
+    out = targets.select("doc_key", F.col("text").alias("target")).join(best, ["doc_key", "target"], "left")
     next_round = F.when(F.col("p").isNull(), 1).when(words_kept("target", "p.old"), F.col("p.round")).otherwise(F.col("p.round") + 1)
     return out.select("doc_key", F.col("target").alias("text"), next_round.alias("round"), F.coalesce("p.root", "target").alias("root")).withColumn("ask", F.col("round") > MOST_ROUNDS)
 

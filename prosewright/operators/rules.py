@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosewright.functions.text import all_quoted, drop_tail, final_consonant, fragment, hangul_count, is_example, is_narrative, is_plain_speech, mask, placed, sentences, squeeze, strip, strip_tags
-from prosewright.operators import intervals, patterns, structure
+from prosewright.operators import elements, intervals, patterns, structure
 
 
 @dataclass(frozen=True)
@@ -485,10 +485,11 @@ def html_structure_findings(pages: DataFrame) -> list[DataFrame]:
     ledes = pages.select("doc_key", nowhere, F.when(F.size(named) > 0, named).when(raw.rlike("(?i)<h1"), F.array(first)).alias("ledes")).where("ledes IS NOT NULL")
     ledes = ledes.select("doc_key", "line_no", F.explode("ledes").alias("lede"))
     missing = _finding(ledes.where(strip_tags("lede") == ""), "lede_missing", "err", F.lit(""))
-    blocks = pages.select("doc_key", F.posexplode(every(r"(?is)<(?:article|section)\b[^>]*>(.*?)</(?:article|section)>")).alias("block", "inner"))
-    labels = blocks.select("doc_key", "block", F.explode(F.regexp_extract_all("inner", F.lit(r"(?is)<dt\b[^>]*>(.*?)</dt>"), F.lit(1))).alias("label")).withColumn("label", strip_tags("label"))
-    quotes = pages.select("doc_key", nowhere, F.explode(every(r"(?is)<blockquote\b[^>]*>(.*?)</blockquote>")).alias("q")).withColumn("q", squeeze(strip_tags("q"))).where(~F.col("q").rlike(SOURCED))
-    said = quotes.select("doc_key", "line_no", F.explode(F.split("q", r"(?<=다\.)\s+")).alias("s")).withColumn("s", strip(F.replace("s", F.lit("**"), F.lit("")))).where(is_narrative("s"))
+    labels = elements.elements(pages, ("article", "section", "dt")).where("tag = 'dt' AND owner IS NOT NULL").select("doc_key", F.col("owner").alias("block"), strip_tags("own").alias("label"))
+    # a quotation's own text; one inside it is a quotation of its own, and what stands before and behind that stays apart
+    quotes = elements.elements(pages, ("blockquote",)).select("doc_key", nowhere, F.col("own").alias("q")).where(~squeeze(strip_tags("q")).rlike(SOURCED))
+    parts = F.filter(F.transform(F.split("q", "\u0001"), lambda q: squeeze(strip_tags(q))), lambda q: q != "")
+    said = quotes.select("doc_key", "line_no", F.explode(F.flatten(F.transform(parts, lambda q: F.split(q, r"(?<=다\.)\s+")))).alias("s")).withColumn("s", strip(F.replace("s", F.lit("**"), F.lit("")))).where(is_narrative("s"))
     heads = pages.select("doc_key", F.posexplode(structure.html_headings("raw")).alias("line_no", "h")).select("doc_key", "line_no", "h.title")
     whole = pages.select("doc_key", nowhere, strip_tags(F.regexp_replace(raw, r"(?is)<h([1-6])\b[^>]*>.*?</h\1>", "\n")).alias("text"), F.lit(True).alias("is_body"))
     titles = heads.select("doc_key", F.lit(None).cast("int").alias("line_no"), F.col("title").alias("text"), F.lit(False).alias("is_body"))
@@ -503,7 +504,7 @@ def html_findings(pages: DataFrame, dictionary: DataFrame | None = None, brands:
     nowhere = F.lit(None).cast("int").alias("line_no")
     slots = structure.html_slots(pages).select("doc_key", nowhere, "text", fragment("text").alias("f"))
     said = slots.select("doc_key", "line_no", F.explode(sentences("text")).alias("s"))
-    told = structure.html_paragraphs(pages).select("doc_key", nowhere, F.explode(sentences("text")).alias("s"))
+    told = elements.paragraphs(pages).select("doc_key", nowhere, F.explode(sentences("text")).alias("s"))
     heads = pages.select("doc_key", nowhere, F.explode(structure.html_headings("raw")).alias("h")).select("doc_key", "line_no", "h.title").withColumn("f", fragment("title"))
     labels = pages.select("doc_key", nowhere, F.explode(F.regexp_extract_all(structure.clean_html("raw"), F.lit(r'(?is)(?:<(?:dt|th)\b[^>]*>|class="k"[^>]*>)(.*?)</'), F.lit(1))).alias("label")).withColumn("label", structure.strip_tags("label"))
     both = said.union(told).where(is_narrative("s")).withColumn("plain", is_plain_speech("s"))

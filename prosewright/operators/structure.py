@@ -267,12 +267,6 @@ def html_slots(pages: DataFrame, longest: int | None = None) -> DataFrame:
     return each.withColumn("text", strip_tags("text")).where("text != ''")
 
 
-def html_paragraphs(pages: DataFrame) -> DataFrame:
-    """(doc_key, text) of p elements; one that begins with a bold conclusion explains it and is left out."""
-    each = pages.select("doc_key", F.explode(F.regexp_extract_all(clean_html("raw"), F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1))).alias("text"))
-    return each.where(~F.col("text").rlike(r"(?i)^\s*<(?:b|strong)\b")).withColumn("text", strip_tags("text")).where("text != ''")
-
-
 def html_headings(raw: Column | str) -> Column:
     """Array of (level, title)."""
     found = F.regexp_extract_all(clean_html(raw), F.lit(r"(?is)(<h[1-6]\b[^>]*>.*?</h[1-6]>)"), F.lit(1))

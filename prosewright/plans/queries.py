@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosewright.functions.text import ENTITIES, share
-from prosewright.operators import corpus, evaluation, intervals, lexical, patterns, revision, sensitive, structure, usage
+from prosewright.operators import corpus, elements, evaluation, intervals, lexical, patterns, revision, sensitive, structure, usage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -293,6 +293,21 @@ def page_value_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.html_slots(pages(spark, sf_dir))
 
 
+@query(
+    rf"""WITH {_PAGE}, p AS (SELECT doc_key, regexp_replace(raw, '(?s)<!--.*?-->', '', 'g') AS raw FROM c),
+a AS (SELECT doc_key, regexp_extract_all(raw, '(?i)<([a-z][a-z0-9]*)\b', 1) AS tags, regexp_extract_all(regexp_extract(raw, '(?is)<article\b[^>]*>(.*?)</article>', 1), '(?i)<([a-z][a-z0-9]*)\b', 1) AS inner_tags FROM p),
+t AS (SELECT doc_key, lower(unnest(tags)) AS tag, 1 AS n, 0 AS inside FROM a UNION ALL SELECT doc_key, lower(unnest(inner_tags)), 0, 1 FROM a)
+SELECT doc_key, tag, CAST(sum(n) AS BIGINT) AS n, CAST(sum(inside) AS BIGINT) AS in_article FROM t GROUP BY doc_key, tag"""
+)
+def page_article_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_key, tag, n, in_article): elements of each kind, and those that lie in an article by their numbers."""
+    every = pages(spark, sf_dir).select("doc_key", elements.elements_of("raw").alias("e"))
+    articles = F.filter("e", lambda a: a["tag"] == "article")
+    inside = F.transform("e", lambda x: F.struct(x["tag"].alias("tag"), F.exists("articles", lambda a: (a["pre"] < x["pre"]) & (x["pre"] <= a["post"])).alias("inside")))
+    flat = every.withColumn("articles", articles).select("doc_key", F.inline(inside))
+    return flat.groupBy("doc_key", "tag").agg(F.count("*").alias("n"), F.count_if("inside").alias("in_article"))
+
+
 # --- vocabulary ---------------------------------------------------------------------------------------------------------
 
 _TERMS = "t AS (SELECT doc_id AS doc_key, unnest(regexp_extract_all(lower(text), '\\pL+')) AS lexeme FROM documents), c AS (SELECT doc_key, lexeme, count(*) AS n FROM t WHERE length(lexeme) >= 2 GROUP BY ALL), b AS (SELECT lexeme, CAST(sum(n) AS BIGINT) AS base, count(*) AS docs FROM c GROUP BY lexeme)"

@@ -102,3 +102,11 @@ def test_numerals(text, value):
 def test_numbers_compare_by_value(spark):
     a, b = values(spark, ["참가자 3만 명", "참가자 30,000명"], S.numbers("t"))
     assert (a[0]["value"], a[0]["unit"]) == (b[0]["value"], b[0]["unit"]) == (30000, "명")
+
+
+def test_the_last_of_repeated_front_matter_keys_holds(spark):
+    from prosewright.functions.text import front_matter
+
+    raw = ["---\na: 1\nb: 2\na: 3\n---\nx", "---\n---\nx", "none", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(raw)], "i int, raw string").select("i", front_matter("raw").alias("m")).orderBy("i").collect()
+    assert [dict(r["m"]) if r["m"] is not None else None for r in got] == [{"a": "3", "b": "2"}, {}, {}, None]
