@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by additive quantisation.
 
-A vector is coded as the sum of one full-dimensional codeword from each of 16 codebooks; the books are trained one
+A vector is coded as the sum of one full-dimensional codeword from each of 40 codebooks; the books are trained one
 after the other on what the earlier ones leave over, on a bounded sample, and a beam search over the books picks
 the codewords.  The squared norm of the sum is stored.  A query's distance to a coded vector is then, but for a constant,
-that norm less twice the sum of 16 entries of the query's lookup tables.  What the code leaves over of a vector (its
+that norm less twice the sum of 40 entries of the query's lookup tables.  What the code leaves over of a vector (its
 residual norm) is stored too: the distance to the vector differs from that to its code by this much at most.  Queries are
-broadcast in super-blocks of at most about QUERY_BYTES, and each passes once over the codes where they lie.  A task scores
+broadcast in super-blocks of at most about QUERY_BYTES, one after the other, and each passes once over the codes where they lie; what
+it finds is written before the next one is collected.  A task scores
 block after block; the exact distances of the best scores, and what it found before, bound a query's ``k`` nearest, and
 every row that this bound and its own residual norm do not rule out is reranked by exact distance on original vectors.
 Nothing else is cut, so the neighbours are the true ones, also in large groups of near copies, whose codes hardly differ.
@@ -26,10 +27,10 @@ from pyspark.sql import functions as F
 
 from prosewright.llm.common import Scratch, shuffle_partitions
 
-BOOKS, WORDS = 16, 256
-BEAM = 4
+BOOKS, WORDS = 40, 256  # five bits a dimension of 64: what is left over is then far below the spread of distances
+BEAM = 2
 SAMPLE = 16_384
-ROUNDS = 8
+ROUNDS = 2
 QUERY_BYTES = 1 << 24  # of query vectors in a super-block
 DATA_BYTES = 1 << 25  # of vectors scored at once
 SLACK = 1e-5  # of the squared norms: what single precision may add to a score
@@ -108,6 +109,7 @@ class Nearest:
     def __init__(self, query_ids: np.ndarray, queries: np.ndarray, books: np.ndarray, k: int):
         self.query_ids, self.queries, self.books, self.k = query_ids, queries, books, k
         self.found = [(np.empty(0, "i8"), np.empty(0))] * len(queries)
+        self.scored = self.reranked = 0
 
     def add(self, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, rests: np.ndarray, x: np.ndarray) -> None:
         """Looks through one block of coded rows; ids are sorted."""
@@ -136,6 +138,7 @@ class Nearest:
                 bound = min(bound, np.partition(_distances(x[row], y), k - 1)[k - 1])
         square = float((y**2).sum())
         at = np.flatnonzero(~(score + square > (bound + rests) ** 2 + SLACK * (square + largest)) & ~own)
+        self.scored, self.reranked = self.scored + len(ids), self.reranked + len(at)
         if not len(at):
             return
         rest = x[at] - y
@@ -207,7 +210,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, query_bytes: int =
     blocks = max(1, -(-asked.count() * dim * 8 // query_bytes))
 
     def nearest_of(block: int) -> DataFrame:
-        """The nearest of the queries of one super-block, by task; what is collected and broadcast is about ``query_bytes``."""
+        """Writes the nearest of the queries of one super-block, by task; what is collected and broadcast is about ``query_bytes``."""
         frame = asked.where(F.pmod(F.xxhash64("vec_id", "x"), F.lit(blocks)) == block).toPandas()
         queries = spark.sparkContext.broadcast((frame["vec_id"].to_numpy("i8"), np.frombuffer(b"".join(frame["x"]), "f8").reshape(len(frame), dim)))
 
@@ -221,12 +224,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, query_bytes: int =
                 best.add(part.column("vec_id").to_numpy(), raw("code", "u1"), part.column("norm").to_numpy(), part.column("rest").to_numpy(), raw("x", "f8"))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in best.rows()], names=["query_id", "vec_id", "score"])
 
-        return codes.select("vec_id", "x", "code", "norm", "rest").mapInArrow(scored, "query_id long, vec_id long, score double")
+        found = scratch.write(codes.select("vec_id", "x", "code", "norm", "rest").mapInArrow(scored, "query_id long, vec_id long, score double"), f"found-{block}")
+        queries.destroy()
+        return found
 
     found = reduce(DataFrame.union, [nearest_of(b) for b in range(blocks)])
     exact = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     out = exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
     out = scratch.write(out, "result")
-    scratch.drop("codes")
+    scratch.drop("codes", *(f"found-{b}" for b in range(blocks)))
     return out

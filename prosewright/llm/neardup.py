@@ -7,7 +7,9 @@ agree with the probability of the sets' Jaccard similarity, and their sum is con
 draws.  The coordinates are hashed in bands, as wide as keeps the probability that two documents at the threshold share
 no band under MISS: 36 bands of 6 at 0.85 (4e-8), 43 bands of 5 at 0.80 (4e-8).
 
-Documents with equal sets form a class, and only its smallest doc_id goes on.  Documents that share a band are compared
+Documents of the same words in the same order (told by a 256-bit digest of them) form a class, and only its smallest doc_id goes on.  Classes
+whose sets seem equal by two 64-bit sums are compared with the first of them on their full sets; equal ones are linked and leave it at
+that first one, others go on by themselves.  Documents that share a band are compared
 on their full sets: all pairs of buckets of up to SMALL documents, and each document of a larger bucket with the bucket's
 smallest.  Larger buckets that then still hold more than one component are compared in full, block by block.  Nothing is
 capped or sampled, and no link between documents of different components is left out.
@@ -21,13 +23,16 @@ rows.  Ties cannot arise: the smallest doc_id is kept.
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prosewright.llm.common import Scratch, shuffle_partitions
 from prosewright.llm.graph import components
-from prosewright.llm.shingles import mixed, shingle_sets
+from prosewright.llm.shingles import _LOWER, mixed, shingle_sets
 
 COORDINATES = 216
 PERCENT = 85
@@ -39,6 +44,7 @@ BATCH_BYTES = 2 << 20
 
 _ROUND = np.random.default_rng(85).integers(1, 1 << 63, (2 * COORDINATES, 2), dtype="u8") | np.uint64(1)
 _VALUE = np.uint64((1 << 53) - 1)
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def _thrown(element: np.ndarray, i: int) -> np.ndarray:
@@ -102,7 +108,7 @@ def _groups(texts: list[bytes]):
 
 
 def _sketched(rows: int):
-    """doc_id, n_shingles, two hashes of the set, and the band keys of each document."""
+    """doc_id, n_shingles, two hashes of the set, the band keys, and a digest of the words of each document."""
 
     def made(batches):
         import pyarrow as pa
@@ -114,12 +120,17 @@ def _sketched(rows: int):
                 keys = band_keys(sketches(sets), rows).view("i8")
                 sums = np.array([(s.sum(), mixed(s ^ np.uint64(0x5555555555555555)).sum()) for s in sets], "u8").view("i8").reshape(-1, 2)
                 lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype="i4"), keys.ravel())
-                columns = [batch.column(0)[lo:hi], pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "s1", "s2", "keys"])
+                columns = [batch.column(0)[lo:hi], pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), lists, pa.array([words_digest(t) for t in texts[lo:hi]], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "s1", "s2", "keys", "words"])
 
     return made
 
 
+def words_digest(text: bytes) -> bytes:
+    """Of the lower-cased words in their order; equal words have equal shingles."""
+    return hashlib.blake2b(b" ".join(_WORD.findall(text.translate(_LOWER))), digest_size=32).digest()
+
+
 def shared(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two sorted arrays of distinct values."""
     if len(a) > len(b):
@@ -249,13 +260,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     scratch = Scratch(spark, "neardup")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     made = scratch.write(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(_sketched(band_width(percent)), "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>"), "sketches"
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(_sketched(band_width(percent)), "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>, words binary"), "sketches"
     )
     linkable = made.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = linkable.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n_shingles", "keys")).alias("first")).select("s1", "s2", F.col("first.doc_id").alias("class_id"), "first.n_shingles", "first.keys")
-    classes = scratch.write(classes, "classes")
-
-    members = classes.select(F.col("class_id").alias("doc_id"), F.explode("keys").alias("key"))
+    first = F.min(F.struct("doc_id", "n_shingles", "s1", "s2", "keys")).alias("first")
+    classes = scratch.write(linkable.groupBy("words").agg(first).select("words", F.col("first.doc_id").alias("class_id"), "first.n_shingles", "first.s1", "first.s2", "first.keys"), "classes")
+    heads = classes.groupBy("s1", "s2").agg(F.min("class_id").alias("a"), F.count("*").alias("near")).where("near > 1")
+    alike = classes.select("s1", "s2", F.col("class_id").alias("b")).join(heads, ["s1", "s2"]).where("a != b").select("a", "b", "near")
+    equal = scratch.write(confirm(scratch.write(alike.groupBy("a", "b").agg(F.max("near").alias("near")), "alike"), docs, 100), "equal")
+    compared = classes.join(equal.select(F.col("v").alias("class_id")), "class_id", "left_anti")
+
+    members = compared.select(F.col("class_id").alias("doc_id"), F.explode("keys").alias("key"))
     buckets = members.groupBy("key").agg(F.count("*").alias("cnt"), F.min("doc_id").alias("leader")).where("cnt > 1")
     buckets = scratch.write(buckets, "buckets")  # so that the next join has plain exchanges and common keys can be split
     members = scratch.write(members.join(buckets.hint("merge"), "key"), "members")
@@ -263,7 +278,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     inside = few.withColumnRenamed("doc_id", "a").join(few.withColumnRenamed("doc_id", "b"), "key").where("a < b").select("a", "b", F.lit(SMALL).cast("long").alias("near"))
     stars = members.where((F.col("cnt") > SMALL) & (F.col("doc_id") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("doc_id").alias("b"), F.col("cnt").alias("near"))
     pairs = scratch.write(inside.union(stars).groupBy("a", "b").agg(F.max("near").alias("near")), "pairs")
-    links = scratch.write(confirm(pairs, docs, percent), "links")
+    links = scratch.write(confirm(pairs, docs, percent).union(equal), "links")
     found = scratch.write(components(links, scratch, "first"), "found")
 
     large = members.where(F.col("cnt") > SMALL).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -276,11 +291,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     if not unsettled.isEmpty():
         more = scratch.write(compare_buckets(unsettled, docs, percent), "more")
         found = scratch.write(components(links.union(more), scratch, "second"), "all-found")
-    scratch.drop("members", "buckets", "pairs", "unsettled")
+    scratch.drop("members", "buckets", "pairs", "unsettled", "alike", "equal")
 
-    named = classes.select("s1", "s2", "class_id").join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select("s1", "s2", F.coalesce("component", "class_id").alias("component_id"))
-    own = made.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("s1")).otherwise(F.xxhash64("doc_id")).alias("s1"), "s2")
-    out = own.join(named, ["s1", "s2"], "left")
+    named = classes.select("words", "class_id").join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select("words", F.coalesce("component", "class_id").alias("component_id"))
+    own = made.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("words")).otherwise(F.coalesce("doc_id", F.lit(0)).cast("string").cast("binary")).alias("words"))
+    out = own.join(named, "words", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     out = scratch.write(out, "result")

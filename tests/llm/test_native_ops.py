@@ -252,3 +252,21 @@ def test_beam_search_is_no_worse_than_greedy():
         return ((x - made) ** 2).sum()
 
     assert error(6) <= error(1)
+
+
+def test_codes_leave_few_rows_to_rerank():
+    from prosewright.llm.ann import Nearest, left_over
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(46_384, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    books, x = train(x[:16_384]), x[16_384:]  # none of the rows has trained the books
+    asked = np.arange(0, len(x), 1500)
+    codes, norms = (np.concatenate(c) for c in zip(*(encode(x[lo : lo + 1024], books) for lo in range(0, len(x), 1024)), strict=True))
+    near = Nearest(asked, x[asked], books, 10)
+    near.add(np.arange(len(x)), codes, norms, left_over(x, codes, books), x)
+    assert near.reranked < 0.05 * near.scored
+    for i, (ids, far) in zip(asked, near.found, strict=True):
+        exact = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        exact[i] = np.inf
+        assert ids.tolist() == np.argsort(exact)[:10].tolist() and np.allclose(far, np.sort(exact)[:10])

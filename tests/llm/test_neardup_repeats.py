@@ -241,3 +241,19 @@ def test_equal_windows_have_equal_anchors():
 def test_empty_and_odd_tables(work, empty, odd):
     assert work(empty).count() == 0
     assert work(odd).count() == 3
+
+
+def test_equal_sets_are_told_by_the_sets_themselves(spark, monkeypatch):
+    """Documents of one set in another order are linked; ones whose sums only seem equal are not."""
+    from prosewright.llm import neardup
+
+    loop = "a b c d e f g h i j".split()
+    same = [" ".join(loop + loop), " ".join(loop[3:] + loop + loop[:3] + loop[3:8])]  # the shingles of a ring
+    assert (shingle_sets([same[0].encode()])[0] == shingle_sets([same[1].encode()])[0]).all()
+    docs = [(1, same[0]), (2, same[1]), (3, same[0].upper() + " \n"), (4, "one two three four five six"), (5, "seven eight nine ten eleven twelve"), (6, "one  two three four five six")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 4}
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(frame).collect()} == want
+    pairs = spark.createDataFrame([(1, 2, 3), (4, 5, 2), (1, 4, 3)], "a long, b long, near long")
+    assert [tuple(r) for r in confirm(pairs, frame, 100).collect()] == [(1, 2)]
+    assert neardup.words_digest(b"A  b\t") == neardup.words_digest(b"a b") != neardup.words_digest(b"b a")
