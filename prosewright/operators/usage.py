@@ -22,6 +22,16 @@ def gaps(events: DataFrame, key: str, ts: str, order: str) -> DataFrame:
     return events.withColumn("gap", seconds).withColumn("bucket", gap_bucket("gap"))
 
 
+def fresh_gaps(events: DataFrame, key: str, ts: str, order: str, keep_seconds: int = 14 * 86_400, most: int = 3) -> DataFrame:
+    """(key, ts, order, gap, bucket, round, ask): gaps and rounds of each key, which starts anew after a silence of over ``keep_seconds``."""
+    w = Window.partitionBy(key).orderBy(ts, order)
+    since = (F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w))) / 1e6
+    gapped = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull() & F.col(order).isNotNull()).withColumn("gap", F.when(since <= keep_seconds, since))
+    run = F.count_if(F.col("gap").isNull()).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = gapped.withColumn("_run", run).withColumn("round", F.row_number().over(Window.partitionBy(key, "_run").orderBy(ts, order)).cast("long"))
+    return numbered.select(key, ts, F.col(order).cast("long").alias(order), "gap", gap_bucket("gap").alias("bucket"), "round", (F.col("round") > most).alias("ask"))
+
+
 def gap_histogram(events: DataFrame, key: str, ts: str, order: str) -> DataFrame:
     return gaps(events, key, ts, order).groupBy("bucket").agg(F.count("*").alias("events"), F.countDistinct(key).alias("keys"))
 
