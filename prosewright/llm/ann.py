@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from prosewright.llm.common import Scratch, shuffle_partitions
 
 BOOKS, WORDS = 40, 256  # five bits a dimension of 64: what is left over is then far below the spread of distances
-BEAM = 2
+BEAM = 4
 SAMPLE = 16_384
 ROUNDS = 2
 QUERY_BYTES = 1 << 24  # of query vectors in a super-block
@@ -71,13 +71,15 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
     rest = x.astype("f4")[:, None, :]  # what each kept sum leaves over
     codes = np.zeros((n, 1, 0), "u1")
     for book in books:
-        sq = (book**2).sum(axis=1)
-        cost = (rest**2).sum(axis=2)[:, :, None] - 2 * (rest @ book.T) + sq  # n, kept, words
-        flat = cost.reshape(n, -1)
-        keep = min(beam, flat.shape[1])
-        best = np.argpartition(flat, keep - 1, axis=1)[:, :keep]
+        # the squares of what would be left over, for every kept sum and word, by one product
+        wide = np.concatenate([rest, (rest**2).sum(axis=2, keepdims=True), np.ones((n, rest.shape[1], 1), "f4")], axis=2)
+        flat = (wide.reshape(-1, dim + 2) @ np.concatenate([-2 * book.T, np.ones((1, words), "f4"), (book**2).sum(axis=1)[None, :]])).reshape(n, -1)
+        best, row = np.empty((n, min(beam, flat.shape[1])), "i8"), np.arange(n)
+        for j in range(best.shape[1]):
+            best[:, j] = flat.argmin(axis=1)
+            flat[row, best[:, j]] = np.inf
         parent, word = best // words, best % words
-        row = np.arange(n)[:, None]
+        row = row[:, None]
         rest = rest[row, parent] - book[word]
         codes = np.concatenate([codes[row, parent], word[:, :, None].astype("u1")], axis=2)
     top = np.argmin((rest**2).sum(axis=2), axis=1)
