@@ -52,32 +52,188 @@ def blocks(lines: DataFrame) -> DataFrame:
     return kept.withColumn("run", run).withColumn("block", F.min("line_no").over(Window.partitionBy("doc_key", "run"))).drop("run")
 
 
+# Fixed value: how a list item begins.
+LIST_ITEM = re.compile(r"\s*(?:[-*+]|\d+[.)])\s")
+
+
+class Outline:
+    """A document's lines as a tree, told in one pass: blocks, items within items, headings within headings.
+
+    Lines are numbered from 1.  ``block`` is a line's (first, last); ``item`` the list item it belongs to, ``over`` an item's parent and
+    ``ends`` where an item's own lines end; ``under`` is the heading above a line, ``higher`` the heading above a heading.
+    A fence keeps its blank lines in its block.
+    """
+
+    def __init__(self, lines: list[str], levels: dict[int, int] | None = None):
+        self.lines, self.blocks = lines, []
+        self.block: dict[int, int] = {}
+        self.item: dict[int, int] = {}
+        self.over: dict[int, int | None] = {}
+        self.ends: dict[int, int] = {}
+        self.under: dict[int, int | None] = {}
+        self.higher: dict[int, int | None] = {}
+        heads: list[tuple[int, int]] = []  # open headings, (level, line)
+        items: list[tuple[int, int]] = []  # open items of this block, (indentation, line)
+        code, first = False, None
+
+        def close(last: int) -> None:
+            nonlocal first
+            if first is not None:
+                self.blocks.append((first, last))
+                for n in range(first, last + 1):
+                    self.block[n] = len(self.blocks) - 1
+                self.ends.update((at, last) for _, at in items)
+                items.clear()
+                first = None
+
+        for n, line in enumerate(lines, 1):
+            bare = line.lstrip()
+            code ^= bare.startswith(("```", "~~~"))
+            if not bare and not code:
+                close(n - 1)
+            elif first is None:
+                first = n
+            if first is not None:
+                if LIST_ITEM.match(line):
+                    indent = len(line) - len(bare)
+                    while items and items[-1][0] >= indent:
+                        self.ends[items.pop()[1]] = n - 1
+                    self.over[n] = items[-1][1] if items else None
+                    items.append((indent, n))
+                if items:
+                    self.item[n] = items[-1][1]
+            self.under[n] = heads[-1][1] if heads else None
+            hashes = re.match(r"(#{1,6})\s", line)
+            level = levels.get(n) if levels is not None else hashes and len(hashes[1])
+            if level:
+                while heads and heads[-1][0] >= level:
+                    heads.pop()
+                self.higher[n] = heads[-1][1] if heads else None
+                heads.append((level, n))
+        close(len(lines))
+
+    def chain(self, n: int) -> set[int]:
+        """The headings over a line.  A heading's own chain begins with the last heading above it, whatever its level."""
+        out, at = set(), self.under[n]
+        while at is not None:
+            out.add(at)
+            at = self.higher[at]
+        return out
+
+    def _indent(self, n: int) -> int:
+        return len(self.lines[n - 1]) - len(self.lines[n - 1].lstrip())
+
+    def is_table(self, first: int, last: int) -> bool:
+        return all(row.lstrip().startswith("|") for row in self.lines[first - 1 : last])
+
+    def unit(self, n: int) -> set[int] | None:
+        """What must not be cut around a line of a long block: its item with the items over it and the list's lead, or a row with its neighbours and the table's head."""
+        first, last = self.blocks[self.block[n]]
+        rows = range(first, last + 1)
+        if 2 * sum(k in self.over for k in rows) >= len(rows):
+            own = self.item.get(n)
+            if own is None:  # above the first item: the lead, with the items that are indented below it
+                edge = self._indent(first)
+                return set(range(first, next((k for k in rows if k in self.over and self._indent(k) <= edge), last + 1)))
+            out = set(range(own, self.ends[own] + 1))
+            while (own := self.over[own]) is not None:
+                out.add(own)
+            return out | ({first} - self.over.keys())
+        if self.is_table(first, last):
+            return {k for k in (first, first + 1, *range(n - 2, n + 3)) if first <= k <= last}
+        return None
+
+    def window(self, n: int, budget: int) -> set[int] | None:
+        """The lines to show with a line, within the budget; none if its block is neither short nor a list nor a table."""
+        heads = self.chain(n)
+        at = self.block.get(n)
+        if at is None:
+            return heads | {k for k in (n - 1, n, n + 1) if 1 <= k <= len(self.lines)}
+        out = set(range(self.blocks[at][0], self.blocks[at][1] + 1)) | heads
+        if len(out) > budget:
+            own = self.unit(n)
+            if own is None or len(out := own | heads) > budget:
+                return None
+        for near in (at - 1, at + 1):
+            if 0 <= near < len(self.blocks):
+                more = out | set(range(self.blocks[near][0], self.blocks[near][1] + 1))
+                out = more if len(more) <= budget else out
+        return out
+
+    def around(self, n: int, reach: int, snap: int) -> range:
+        """Lines around a line, moved out to ends of blocks that are near."""
+        first, last = max(1, n - reach), min(len(self.lines), n + reach)
+        lead, tail = self.block.get(first), self.block.get(last)
+        if lead is not None and first - self.blocks[lead][0] <= snap:
+            first = self.blocks[lead][0]
+        if tail is not None and self.blocks[tail][1] - last <= snap:
+            last = self.blocks[tail][1]
+        return range(first, last + 1)
+
+    def fixed(self, n: int, reach: int, snap: int) -> set[int]:
+        """The lines around, the head of a table that they cut, and the headings."""
+        rows = self.around(n, reach, snap)
+        lead = self.block.get(rows[0])
+        head = set()
+        if lead is not None and self.blocks[lead][0] < rows[0] and self.is_table(*self.blocks[lead]):
+            head = {self.blocks[lead][0], self.blocks[lead][0] + 1}
+        return {*rows} | head | self.chain(n)
+
+
+def _told(choose):
+    """Arrow function over (lines, targets, headings of HTML): each target's lines, null where the chunk has to be taken."""
+
+    @F.pandas_udf("array<struct<line_no:int,shown:array<int>>>")
+    def told(rows: pd.Series, targets: pd.Series, heads: pd.Series) -> pd.Series:
+        def one(lines, wanted, levels):
+            tree = Outline([r or "" for r in lines], None if levels is None else {h["line_no"]: h["level"] for h in levels})
+            out = []
+            for n in sorted({int(t) for t in wanted if t is not None and 1 <= t <= len(tree.lines)}):
+                shown = choose(tree, n)
+                out.append((n, None if shown is None else sorted(shown)))
+            return out
+
+        return pd.Series([one(*args) for args in zip(rows, targets, heads, strict=True)])
+
+    return told
+
+
+def _windows(targets: DataFrame, lines: DataFrame, heads: DataFrame | None, choose) -> DataFrame:
+    rows = lines.groupBy("doc_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda r: r["text"]).alias("rows"))
+    wanted = targets.groupBy("doc_key").agg(F.collect_set("line_no").alias("wanted"))
+    met = rows.join(wanted, "doc_key")
+    if heads is not None:
+        html = heads.groupBy("doc_key").agg(F.collect_list(F.struct(F.col("line_no").cast("int").alias("line_no"), F.col("level").cast("int").alias("level"))).alias("heads"))
+        met = met.join(html, "doc_key", "left")
+    else:
+        met = met.withColumn("heads", F.lit(None).cast("array<struct<line_no:int,level:int>>"))
+    out = met.select("doc_key", F.inline(_told(choose)("rows", "wanted", "heads")))
+    return out.withColumn("fallback", F.col("shown").isNull() | (F.size("shown") > CHUNK_LINES))
+
+
+def block_windows(targets: DataFrame, lines: DataFrame, budget: int = BLOCK_BUDGET, heads: DataFrame | None = None) -> DataFrame:
+    """(doc_key, line_no, shown, fallback): the target's block and headings, and the blocks next to it if they fit the budget of lines.
+
+    Of a block over the budget, a list gives the target's item with what it stands under, a table the neighbouring rows and the
+    head; anything else is not cut, ``shown`` is null and ``fallback`` says to take the chunk.  ``lines`` hold every line of a
+    document, ``heads`` (doc_key, line_no, level) the headings of visible HTML lines.  Documents are read once, whatever the number of targets.
+    Targets that are null or not a line of their document give no row.
+    """
+    return _windows(targets, lines, heads, lambda tree, n: tree.window(n, budget))
+
+
 def windows(targets: DataFrame, lines: DataFrame, reach: int = WINDOW_LINES, snap: int = SNAP) -> DataFrame:
     """(doc_key, line_no, first, last): ``reach`` lines around each target, moved out by up to ``snap`` to ends of blocks.
 
     Where the window would be longer than a chunk, ``fallback`` says to take the chunk.
     """
-    ends = blocks(lines).groupBy("doc_key", "block").agg(F.max("line_no").alias("end"))
-    t = targets.select("doc_key", "line_no").withColumn("a", F.col("line_no") - reach).withColumn("b", F.col("line_no") + reach)
-    near = t.join(ends.withColumnRenamed("doc_key", "_doc"), (F.col("doc_key") == F.col("_doc")) & (F.col("end") >= F.col("a") - snap) & (F.col("block") <= F.col("b") + snap), "left")  # a target far from any block stays
-    first = F.min(F.when((F.col("block") <= F.col("a")) & (F.col("end") >= F.col("a")) & (F.col("a") - F.col("block") <= snap), F.col("block")))
-    last = F.max(F.when((F.col("block") <= F.col("b")) & (F.col("end") >= F.col("b")) & (F.col("end") - F.col("b") <= snap), F.col("end")))
-    size = lines.groupBy("doc_key").agg(F.max("line_no").alias("n_lines"))
-    out = near.groupBy("doc_key", "line_no", "a", "b").agg(first.alias("f"), last.alias("l")).join(size, "doc_key")
-    out = out.select("doc_key", "line_no", F.greatest(F.lit(1), F.coalesce("f", "a")).alias("first"), F.least("n_lines", F.coalesce("l", "b")).alias("last"))
-    return out.withColumn("fallback", F.col("last") - F.col("first") + 1 > CHUNK_LINES)
-
-
-def block_windows(targets: DataFrame, lines: DataFrame, budget: int = BLOCK_BUDGET) -> DataFrame:
-    """(doc_key, line_no, first, last): the target's block and neighbours, nearest first, within the budget of lines."""
-    own = blocks(lines)
-    sized = own.groupBy("doc_key", "block").agg(F.max("line_no").alias("end"), F.count("*").alias("n"))
-    sized = sized.withColumn("place", F.row_number().over(Window.partitionBy("doc_key").orderBy("block")))
-    at = targets.select("doc_key", "line_no").join(own.select("doc_key", "line_no", "block"), ["doc_key", "line_no"]).join(sized.select("doc_key", "block", F.col("place").alias("mine")), ["doc_key", "block"]).drop("block")
-    near = at.join(sized, "doc_key").withColumn("away", F.abs(F.col("place") - F.col("mine")))
-    used = F.sum("n").over(Window.partitionBy("doc_key", "line_no").orderBy("away", "place").rowsBetween(Window.unboundedPreceding, 0))
-    kept = near.withColumn("used", used).where((F.col("used") <= budget) | (F.col("away") == 0))
-    return kept.groupBy("doc_key", "line_no").agg(F.min("block").alias("first"), F.max("end").alias("last"))
+    own = _windows(targets, lines, None, lambda tree, n: tree.around(n, reach, snap))
+    return own.select("doc_key", "line_no", F.array_min("shown").alias("first"), F.array_max("shown").alias("last"), "fallback")
+
+
+def fixed_windows(targets: DataFrame, lines: DataFrame, reach: int = WINDOW_LINES, snap: int = SNAP, heads: DataFrame | None = None) -> DataFrame:
+    """(doc_key, line_no, shown, fallback) as ``block_windows``: lines around the target as ``windows`` takes them, a cut table's head, the headings."""
+    return _windows(targets, lines, heads, lambda tree, n: tree.fixed(n, reach, snap))
 
 
 def excerpts(lines: DataFrame, shown: DataFrame) -> DataFrame:
