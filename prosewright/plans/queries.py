@@ -548,7 +548,8 @@ def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_key").agg(F.count_if("wrapped").alias("wrapped_lines"), F.count("*").alias("n_lines"))
 
 
-@query()
+# No text of the given tables has a heading, a list or a table, which the SQL of chunks and windows leaves out.
+@query(f"WITH {LINES} SELECT doc_key, min(line_no) AS first, max(line_no) AS last, CAST(length(string_agg(text, chr(10) ORDER BY line_no)) AS INT) AS chars FROM l GROUP BY doc_key, (line_no - 1) // 180")
 def review_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of at most 180 lines for a judge, as line ranges."""
     from prosewright.operators import context
@@ -556,22 +557,68 @@ def review_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.chunks(structure.lines(documents(spark, sf_dir))).select("doc_key", "first", "last", F.length("text").alias("chars"))
 
 
-@query()
+_LICENCE = "licen[sc]ed?|rights reserved"
+
+
+@query(f"""WITH {LINES}, o AS (SELECT DISTINCT doc_key, line_no FROM (SELECT doc_key, unnest(range(line_no - 2, line_no + 3)) AS line_no FROM l WHERE regexp_matches(lower(text), '{_LICENCE}'))),
+d AS (SELECT * FROM l WHERE doc_key IN (SELECT doc_key FROM o)), t AS (SELECT doc_key, line_no, unnest(regexp_extract_all(lower(text), '[가-힣]+|[a-z]+|[0-9]+')) AS w FROM d),
+g AS (SELECT doc_key, line_no, '#' || w AS gram, 2 AS one FROM t WHERE regexp_matches(w, '^[0-9]') UNION ALL SELECT doc_key, line_no, substr(w, i, 2), 1 FROM (SELECT *, unnest(range(1, length(w))) AS i FROM t WHERE NOT regexp_matches(w, '^[0-9]'))),
+f AS (SELECT doc_key, line_no, gram, sum(one) AS tf FROM g GROUP BY ALL), n AS (SELECT doc_key, count(*) AS n FROM d GROUP BY ALL), df AS (SELECT doc_key, gram, count(*) AS df FROM f GROUP BY ALL),
+w AS (SELECT f.doc_key, f.line_no, f.gram, f.tf * ln(n / df) AS w, o.line_no IS NOT NULL AS shown FROM f JOIN df USING (doc_key, gram) JOIN n USING (doc_key) LEFT JOIN o ON f.doc_key = o.doc_key AND f.line_no = o.line_no),
+q AS (SELECT doc_key, gram, sum(w) AS q FROM w WHERE shown GROUP BY ALL), qn AS (SELECT doc_key, sqrt(sum(q * q)) AS qn FROM q GROUP BY ALL), m AS (SELECT doc_key, line_no, sqrt(sum(w * w)) AS m FROM w WHERE NOT shown GROUP BY ALL),
+p AS (SELECT doc_key, line_no, sum(w * q) AS dot FROM w JOIN q USING (doc_key, gram) WHERE NOT shown GROUP BY ALL), r AS (SELECT doc_key, line_no, round(dot / nullif(m * qn, 0), 6) AS s FROM p JOIN m USING (doc_key, line_no) JOIN qn USING (doc_key))
+SELECT doc_key, line_no, round(s, 4) AS similarity FROM r WHERE s >= 0.18 QUALIFY row_number() OVER (PARTITION BY doc_key ORDER BY s DESC, line_no) <= 6""")
 def licence_support_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For lines that speak of a licence: the likest other lines of their documents."""
+    """For passages that speak of a licence (its line and two on either side): the likest other lines of their documents."""
     from prosewright.operators import context
 
     lines = structure.lines(documents(spark, sf_dir))
-    shown = lines.where(F.lower("text").rlike("licen[sc]ed?|rights reserved")).select("doc_key", "line_no")
-    return context.support_lines(lines.join(shown.select("doc_key").distinct(), "doc_key", "left_semi"), shown)
+    named = lines.where(F.lower("text").rlike(_LICENCE))
+    shown = named.select("doc_key", F.explode(F.sequence(F.col("line_no") - 2, F.col("line_no") + 2)).alias("line_no"))
+    own = lines.join(named.select("doc_key").distinct(), "doc_key", "left_semi")
+    return context.support_lines(own, shown).select("doc_key", "line_no", F.round("similarity", 4).alias("similarity"))
 
 
-@query()
+_BLOCKS = rf"""{LINES}, r AS (SELECT doc_key, line_no, line_no - row_number() OVER (PARTITION BY doc_key ORDER BY line_no) AS run FROM l WHERE regexp_matches(text, '\S')),
+k AS (SELECT doc_key, min(line_no) AS f, max(line_no) AS e, row_number() OVER (PARTITION BY doc_key ORDER BY min(line_no)) AS place FROM r GROUP BY doc_key, run),
+t AS (SELECT doc_key, line_no, greatest(1, line_no - 20) AS a, least(n, line_no + 20) AS z FROM l JOIN (SELECT doc_key, max(line_no) AS n FROM l GROUP BY doc_key) USING (doc_key) WHERE regexp_matches(lower(text), '{_LICENCE}'))"""
+
+
+@query(f"""WITH {_BLOCKS}, x AS (SELECT t.doc_key, t.line_no, coalesce(min(f) FILTER (f <= a AND e >= a AND a - f <= 10), a) AS first, coalesce(max(e) FILTER (f <= z AND e >= z AND e - z <= 10), z) AS last FROM t JOIN k USING (doc_key) GROUP BY t.doc_key, t.line_no, a, z)
+SELECT doc_key, line_no, CAST(first AS INT) AS first, CAST(last AS INT) AS last, last - first + 1 > 180 AS fallback FROM x""")
 def licence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prosewright.operators import context
 
     lines = structure.lines(documents(spark, sf_dir))
-    return context.windows(lines.where(F.lower("text").rlike("licen[sc]ed?|rights reserved")), lines)
+    return context.windows(lines.where(F.lower("text").rlike(_LICENCE)), lines)
+
+
+@query(f"""WITH {_BLOCKS}, s AS (SELECT *, e - f + 1 AS n, lag(f) OVER w AS pf, lag(e) OVER w AS pe, lead(f) OVER w AS nf, lead(e) OVER w AS ne FROM k WINDOW w AS (PARTITION BY doc_key ORDER BY place)),
+x AS (SELECT t.doc_key, t.line_no, s.*, coalesce(n + pe - pf + 1 <= 120, false) AS p FROM t JOIN s ON t.doc_key = s.doc_key AND t.line_no BETWEEN f AND e),
+y AS (SELECT *, coalesce(n + CASE WHEN p THEN pe - pf + 1 ELSE 0 END + ne - nf + 1 <= 120, false) AS q FROM x)
+SELECT doc_key, line_no, CASE WHEN n <= 120 THEN array_to_string(list_concat(CASE WHEN p THEN range(pf, pe + 1) ELSE [] END, range(f, e + 1), CASE WHEN q THEN range(nf, ne + 1) ELSE [] END), ',') END AS shown, n > 120 AS fallback FROM y""")
+def licence_block_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines to show a judge with each line that speaks of a licence: its block and the blocks next to it, within 120 lines."""
+    from prosewright.operators import context
+
+    lines = structure.lines(documents(spark, sf_dir))
+    shown = context.block_windows(lines.where(F.lower("text").rlike(_LICENCE)), lines)
+    return shown.select("doc_key", "line_no", F.array_join("shown", ",").alias("shown"), "fallback")
+
+
+@query("""WITH s AS (SELECT CAST(user_id AS VARCHAR) AS doc_key, event_type AS key, epoch_us(ts) / 1e6 AS t, event_id AS seq, value FROM events)
+SELECT doc_key, key, max(t) AS last_when, max(seq) AS last_seq, arg_max(CAST(value AS VARCHAR), seq) AS body, key = 'error' AS closed FROM s GROUP BY doc_key, key""")
+def event_state_by_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest state of each user's kinds of events, met from two batches that each hold some days of every week; errors were closed by a person."""
+    from prosewright.operators import judgements
+
+    rows = events(spark, sf_dir)
+    items = F.array(F.struct(F.col("event_type").alias("line_key"), F.lit(0).alias("line"), F.lit("").alias("phrase"), F.col("value").cast("string").alias("text")))
+    empty = F.array().cast("array<string>")
+    book = rows.select(F.col("event_id").alias("seq"), (F.unix_micros("ts") / 1e6).alias("when"), F.col("user_id").cast("string").alias("doc_key"), F.lit(True).alias("ok"), empty.alias("seen"), empty.alias("seen_form"), items.alias("asks"), F.lit(None).cast(judgements.ITEMS).alias("fixes"), F.dayofweek("ts").alias("day"))
+    closed = rows.where("event_type = 'error'").select(F.col("user_id").cast("string").alias("doc_key"), F.lit("ask").alias("kind"), F.col("event_type").alias("line_key"), F.lit("").alias("phrase")).distinct()
+    early, late = judgements.changes(book.where("day <= 3"), closed), judgements.changes(book.where("day > 3"))
+    return judgements.merged(late.unionByName(early)).select("doc_key", "key", "last_when", "last_seq", F.col("body.text").alias("body"), "closed")
 
 
 @query("""WITH t AS (SELECT conv_id, turn, role, CAST(length(text) AS INT) AS chars FROM conversations) SELECT conv_id, turn, role, chars FROM t QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY chars DESC NULLS LAST, turn) <= 3""")
@@ -620,7 +667,12 @@ def stage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_stage"), F.countDistinct("event_type").alias("stages"))
 
 
-@query()
+# The given turns hold no digits, so no number is new; the SQL says names and words.
+_BARE = "lower(regexp_replace({}, '[\\s*_`]', '', 'g'))"
+
+
+@query(f"""WITH {_PAIRS}, t AS (SELECT DISTINCT pair_id, original, 'name' AS kind, unnest(regexp_extract_all(revised, '[「『“"]([^」』”"]+)[」』”"]', 1)) AS token FROM q UNION SELECT DISTINCT pair_id, original, 'word', unnest(regexp_extract_all(revised, '([A-Za-z][A-Za-z0-9+.-]{{1,}})', 1)) FROM q)
+SELECT pair_id, kind, token FROM t WHERE {_BARE.format("token")} <> '' AND NOT contains({_BARE.format("original")}, {_BARE.format("token")})""")
 def turn_new_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revision.new_information(turn_pairs(spark, sf_dir))
 
@@ -753,8 +805,9 @@ def long_word_pileups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.noun_pileups(tokens, [2, 3, 5])
 
 
-_COUNTS = ", ".join(f"len(regexp_extract_all(original, '{p}')) AS a{i}, len(regexp_extract_all(revised, '{p}')) AS b{i}" for i, (_, _, p) in enumerate(NEUTRAL_RULES))
-_NEW = " UNION ALL ".join(f"SELECT pair_id, '{k}' AS kind, CAST(b{i} - a{i} AS BIGINT) AS new FROM x WHERE b{i} > a{i}" for i, (k, _, _) in enumerate(NEUTRAL_RULES))
+TURN_RULES = [*NEUTRAL_RULES, ("long_word", "warn", r"[^ \n,.!?]{18,}"), ("one_word_sentence", "warn", r"(?:^|[.] )[^ \n,.]+[.]")]
+_COUNTS = ", ".join(f"len(regexp_extract_all(original, '{p}')) AS a{i}, len(regexp_extract_all(revised, '{p}')) AS b{i}" for i, (_, _, p) in enumerate(TURN_RULES))
+_NEW = " UNION ALL ".join(f"SELECT pair_id, '{k}' AS kind, CAST(b{i} - a{i} AS BIGINT) AS new FROM x WHERE b{i} > a{i}" for i, (k, _, _) in enumerate(TURN_RULES))
 
 
 @query(f"WITH {_PAIRS}, x AS (SELECT pair_id, {_COUNTS} FROM q) {_NEW}")
@@ -762,7 +815,7 @@ def turn_fix_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of a later turn beyond those of the earlier one."""
     from prosewright.operators import rules
 
-    own = [rules.Rule(k, s, p) for k, s, p in NEUTRAL_RULES]
+    own = [rules.Rule(k, s, p) for k, s, p in TURN_RULES]
     pairs = turn_pairs(spark, sf_dir)
     hits = lambda c: rules.apply_rules(pairs.select(F.col("pair_id").alias("doc_key"), F.lit(1).alias("line_no"), F.col(c).alias("text")), own).withColumnRenamed("doc_key", "pair_id")
     return revision.fix_cascade(hits("original"), hits("revised"))
