@@ -13,8 +13,8 @@
 5. Marks meet their documents, which lose the bytes that marked windows cover.
 
 The order of documents is that of doc_id.  Null text: no bytes.  A null doc_id comes before all others.  Rows that share a
-doc_id, or have none, but differ in text are documents of their own, in the order of ``row``, a hash of doc_id and text by
-which marks meet their rows.  Rows equal in doc_id and text count as the same document: none is earlier.  Texts under 100
+doc_id, or have none, but differ in text are documents of their own, in the order of ``row``, a hash of doc_id and text.  Marks meet
+their rows by doc_id and ``row`` together.  Rows equal in doc_id and text count as the same document: none is earlier.  Texts under 100
 bytes stay as they are.  Empty tables give no rows.
 """
 
@@ -181,7 +181,7 @@ def _runs(offsets: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _marked(batches):
-    """Segments sorted by shard and anchor to the windows (row, start, windows) that start earlier too."""
+    """Segments sorted by shard and anchor to the windows (doc_id, row, start, windows) that start earlier too."""
     import pyarrow as pa
 
     held: list[tuple] = []
@@ -199,10 +199,11 @@ def _marked(batches):
         np.maximum.at(reach, at, width)
         where = (np.cumsum(reach) - reach)[at] + starts
         again = earlier_matches([held[i][4] for i in order], where[order], DEPTH)
-        rows = [(held[i][2], held[i][3] + a, b - a) for i, x in zip(order, again, strict=True) for a, b in _runs(x)]
+        rows = [(held[i][1], held[i][2], held[i][3] + a, b - a) for i, x in zip(order, again, strict=True) for a, b in _runs(x)]
         held.clear()
-        columns = list(zip(*rows, strict=True)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32())], names=["row", "start", "windows"])
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        kinds = [pa.int64()] * 3 + [pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "row", "start", "windows"])
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -221,11 +222,11 @@ COPY, FIRST_COPY, AGAIN, CUT, FIRST_WINDOW = range(5)
 
 def _packed(df: DataFrame, kind: int) -> DataFrame:
     """Marks as one number each: start, windows (fewer than 4,096) and kind."""
-    return df.select("row", (F.col("start") * 32768 + F.col("windows").cast("long") * 8 + kind).alias("mark"))
+    return df.select("doc_id", "row", (F.col("start") * 32768 + F.col("windows").cast("long") * 8 + kind).alias("mark"))
 
 
 def marks(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(row, mark) rows.
+    """(doc_id, row, mark) rows; a document is told by both, 128 bits, so that no text is cut by another's marks.
 
     To go are the windows AGAIN, those of a COPY (a segment whose anchor is repeated) unless it is also a FIRST_COPY, and those
     of a CUT segment but for its FIRST_WINDOWs.  Firsts are marked rather than joined with, so common contents multiply nothing.
@@ -243,12 +244,12 @@ def marks(docs: DataFrame, scratch: Scratch) -> DataFrame:
     several = several.select("anchor", "kinds", F.explode(F.sequence(F.lit(0), F.lit(ANCHOR_PARTS - 1))).alias("part"))  # so that a common anchor is met in parts
     parted = copies.withColumn("part", F.pmod(F.xxhash64("row", "start"), F.lit(ANCHOR_PARTS)).cast("int"))
     differing = scratch.write(parted.join(several, ["anchor", "part"]).withColumn("cut", F.col("kinds") > MOST_SEGMENTS).drop("kinds", "part"), "differing")
-    wanted = differing.groupBy("row").agg(F.collect_list(F.struct("anchor", "start", "windows", "cut")).alias("wanted"))
-    fetched = docs.select("row", "doc_id", "text").join(wanted.hint("merge"), "row").mapInArrow(_fetched, "anchor long, doc_id long, row long, start long, bytes binary, cut boolean")
+    wanted = differing.groupBy("doc_id", "row").agg(F.collect_list(F.struct("anchor", "start", "windows", "cut")).alias("wanted"))
+    fetched = docs.select("row", "doc_id", "text").join(wanted.hint("merge"), ["doc_id", "row"]).select("row", "doc_id", "text", "wanted").mapInArrow(_fetched, "anchor long, doc_id long, row long, start long, bytes binary, cut boolean")
     fetched = scratch.write(fetched, "fetched")
 
     whole = fetched.where("NOT cut").select("anchor", "doc_id", "row", "start", "bytes")
-    indexed = whole.repartition(n, "anchor").sortWithinPartitions("anchor", "doc_id", "row", "start").mapInArrow(_marked, "row long, start long, windows int")
+    indexed = whole.repartition(n, "anchor").sortWithinPartitions("anchor", "doc_id", "row", "start").mapInArrow(_marked, "doc_id long, row long, start long, windows int")
     windows = fetched.where("cut").groupBy("bytes").agg(F.min(F.struct("doc_id", "row", "start")).alias("first")).select("first.*", F.lit(1).alias("windows"))
     parts = [_packed(shared, COPY), _packed(copies, FIRST_COPY), _packed(indexed, AGAIN), _packed(differing.where("cut"), CUT), _packed(windows, FIRST_WINDOW)]
     return reduce(DataFrame.union, parts)
@@ -288,10 +289,10 @@ def _with_marks(docs: DataFrame, *more) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "repeats")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
     rows = rows.withColumn("row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
-    found = marks(rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), scratch).groupBy("row").agg(F.collect_set("mark").alias("found"))
-    found = scratch.write(found, "found")
+    found = marks(rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), scratch).groupBy("doc_id", "row").agg(F.collect_set("mark").alias("found"))
+    found = scratch.write(found, "found").withColumnRenamed("doc_id", "own")
     scratch.drop("shared", "firsts", "differing", "fetched")
-    return rows.join(found.hint("merge"), "row", "left")
+    return rows.withColumn("own", F.coalesce("doc_id", F.lit(NO_ID))).join(found.hint("merge"), ["own", "row"], "left")
 
 
 def _lists(column) -> list[np.ndarray]:

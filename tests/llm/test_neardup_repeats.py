@@ -257,3 +257,17 @@ def test_equal_sets_are_told_by_the_sets_themselves(spark, monkeypatch):
     pairs = spark.createDataFrame([(1, 2, 3), (4, 5, 2), (1, 4, 3)], "a long, b long, near long")
     assert [tuple(r) for r in confirm(pairs, frame, 100).collect()] == [(1, 2)]
     assert neardup.words_digest(b"A  b\t") == neardup.words_digest(b"a b") != neardup.words_digest(b"b a")
+
+
+def test_rows_of_equal_hashes_are_cut_each_by_their_own_marks(spark, monkeypatch):
+    """Documents whose hashes of doc_id and text collide are still told apart by doc_id."""
+    from prosewright.llm import repeats
+
+    real = repeats.F.xxhash64
+    monkeypatch.setattr(repeats.F, "xxhash64", lambda *c: real(repeats.F.lit(1)) if len(c) == 3 else real(*c))
+    passage, other = "".join(map(chr, range(65, 91))) * 6, "".join(map(chr, range(97, 123))) * 6
+    docs = spark.createDataFrame([(1, passage), (2, "0" + passage + "!"), (3, other)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in repeats.repeated_bytes(docs).collect()}
+    monkeypatch.undo()
+    want = {r.doc_id: r.n_removed for r in repeats.repeated_bytes(docs).collect()}
+    assert got == want and want[2] == len(passage)
