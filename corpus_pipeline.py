@@ -34,7 +34,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes from each text what is covered by 100-byte strings that start earlier in the corpus."""
+    """Removes from each text what is covered by 100-byte strings that start earlier in the corpus.
+
+    Null texts stay null, empty ones and those under 100 bytes as they are; rows equal in doc_id and text lose the same; an
+    empty table gives no rows.
+    """
     return without_repeats(docs)
 
 
