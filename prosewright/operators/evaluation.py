@@ -299,20 +299,22 @@ def probe_patterns(lines: DataFrame, patterns: list[tuple[str, str, str]], group
 def shared_word_runs(documents: DataFrame, items: DataFrame, n: int, most: int = 2_000_000) -> DataFrame:
     """(doc_key, item, shared_runs) of documents (doc_key, w) and items (item, w), arrays of words, that share ``n`` words in a row.
 
-    Runs meet by their hash, so no text of a run is made unless it meets; the items' hashes are broadcast while they are at
-    most ``most`` (under 100 MB), and shuffled beyond.  What meets is confirmed on the words.
+    Runs meet by 64-bit hashes, one number a run; the items' hashes are broadcast while they are at most ``most``, which is
+    16 MB of numbers, and shuffled beyond.  Only places that meet go back to their documents, once a document, for the words
+    that confirm them; so the work is linear in a document's length.
     """
-
-    def runs(rows: DataFrame, key: str) -> DataFrame:
-        starts = F.sequence(F.lit(1), F.size("w") - (n - 1))
-        each = rows.where(F.size("w") >= n).select(key, "w", F.posexplode(F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, F.lit(n))))).alias("at", "h"))
-        return each.select(key, "h", F.struct("w", "at").alias("where"))
-
-    text = lambda c: F.array_join(F.slice(c["w"], c["at"] + 1, F.lit(n)), " ")
-    own = runs(items, "item").select("item", "h", text(F.col("where")).alias("run")).distinct()
-    few = own.count() <= most
-    met = runs(documents, "doc_key").join(F.broadcast(own) if few else own, "h").where(text(F.col("where")) == F.col("run"))
-    return met.select("doc_key", "item", "run").distinct().groupBy("doc_key", "item").agg(F.count("*").alias("shared_runs"))
+    starts = F.sequence(F.lit(1), F.size("w") - (n - 1))
+    run = lambda i: F.slice("w", i, F.lit(n))
+    long = documents.where(F.size("w") >= n)
+    named = F.transform(starts, lambda i: F.struct(F.xxhash64(run(i)).alias("h"), F.array_join(run(i), " ").alias("run")))
+    own = items.where(F.size("w") >= n).select("item", F.inline(named)).distinct()
+    hashes = own.select("h").distinct()
+    few = hashes.count() <= most
+    each = long.select(F.col("doc_key").alias("_key"), F.posexplode(F.transform(starts, lambda i: F.xxhash64(run(i)))).alias("at", "h"))
+    met = each.join(F.broadcast(hashes) if few else hashes, "h", "left_semi").groupBy("_key").agg(F.collect_set("at").alias("places"))
+    back = long.join(met, F.col("doc_key").eqNullSafe(F.col("_key")))
+    said = back.select("doc_key", F.explode(F.transform(F.filter("places", lambda i: i + n <= F.size("w")), lambda i: F.array_join(run(i + 1), " "))).alias("run")).distinct()
+    return said.join(own.select("item", "run"), "run").groupBy("doc_key", "item").agg(F.count("*").alias("shared_runs"))
 
 
 def samples_of(lines: DataFrame, pattern: str, n: int = 5) -> DataFrame:

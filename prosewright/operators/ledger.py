@@ -245,3 +245,20 @@ def flip_flops(versions: DataFrame) -> DataFrame:
     changed = versions.withColumn("last", F.lag("text").over(w)).where(F.col("last").isNull() | (F.col("text") != F.col("last")))
     back = changed.withColumn("second_last", F.lag("text", 2).over(w))
     return back.groupBy("doc_key", "root").agg(F.count("*").alias("versions"), F.count_if(F.col("second_last") == F.col("text")).alias("reverts"))
+
+
+def self_contradictions(fixes: DataFrame, least: int = 4, longer: int = 8) -> DataFrame:
+    """(doc_key, root, fixes, contradicting) of fixes (doc_key, root, seq, text, phrase, fix) that take back an earlier fix of the line.
+
+    A fix does so if an earlier one's wording still stands in the text and the phrase it objects to lies in that wording, or
+    holds it and is at most ``longer`` characters longer.  Wordings and phrases under ``least`` characters, and fixes with a
+    gap to fill, tell nothing.  A group is the history of one line.
+    """
+    before = Window.partitionBy("doc_key", "root").orderBy("seq", "phrase", "fix").rowsBetween(Window.unboundedPreceding, -1)
+    blank = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    own = fixes.withColumn("phrase", blank("phrase")).withColumn("fix", blank("fix"))
+    wording = F.when((F.length("fix") >= least) & ~F.contains("fix", F.lit("○")), F.col("fix"))
+    told = own.withColumn("earlier", F.collect_set(wording).over(before))
+    taken_back = lambda p: F.contains("text", p) & (F.contains(p, F.col("phrase")) | (F.contains("phrase", p) & (F.length("phrase") <= F.length(p) + longer)))
+    again = (F.length("phrase") >= least) & F.coalesce(F.exists("earlier", taken_back), F.lit(False))
+    return told.groupBy("doc_key", "root").agg(F.count("*").alias("fixes"), F.count_if(again).alias("contradicting"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from prosewright.functions.text import ENTITIES, share
 from prosewright.operators import corpus, elements, evaluation, intervals, lexical, patterns, revision, sensitive, structure, usage
+from prosewright.plans import planted
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -108,8 +109,21 @@ def sensitive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sensitive.scan_lines(structure.lines(documents(spark, sf_dir)), patterns=SENSITIVE).select("doc_key", "line_no", "label", "match")
 
 
-@query()
+# The exemptions that the patterns say by lookahead, as conditions on what a bare pattern finds: (label, bare pattern, what rules a match out).
+_EXEMPT = [
+    ("account_path", r"(?:[A-Za-z]:[/\\]Users[/\\]|/home/|/Users/)[A-Za-z0-9][A-Za-z0-9._-]+", r"regexp_matches(match, '^(?:[A-Za-z]:[/\\]Users[/\\]|/home/|/Users/)(?:name|user|username|you|me|runner|your[_-]?name|your[_-]?user)\b')"),
+    ("email", r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.]{2,}", r"regexp_matches(match, '^[a-z]@[a-z]\.[a-z]{2,3}\b|@[0-9.]+\b|@example\.(?:com|org|net)\b|@(?:invalid|localhost)\b')"),
+    ("key", r"(?:sk-[A-Za-z0-9_-]{12,}|ghp_[A-Za-z0-9]{20,}|xox[baprs]-[A-Za-z0-9-]{8,}|AKIA[0-9A-Z]{12,})", r"regexp_matches(match, '^xox[baprs]-(?:your|example|test|dummy|xxx)\b')"),
+    ("internal_host", r"(?i:https?://[a-z0-9.-]*\.(?:local|internal|corp|lan)\b)", "false"),
+    ("chat_id", r"\b[CDGUT]0[A-Z0-9]{8,}\b", "NOT regexp_matches(substr(match, 3), '[A-Z]')"),
+]
+_FULL_SQL = " UNION ALL ".join(f"SELECT * FROM (SELECT doc_key, line_no, '{label}' AS label, unnest(regexp_extract_all(text, '({p})', 1)) AS match, text FROM l) WHERE NOT ({out})" for label, p, out in _EXEMPT)
+_ADVICE_SQL = "CASE label " + " ".join(f"WHEN '{label}' THEN '{sensitive.ADVICE[label]}'" for label, _, _ in _EXEMPT) + " END"
+
+
+@query(f"WITH {LINES}, m AS ({_FULL_SQL}) SELECT doc_key, line_no, label, substr(match, 1, 44) AS match, substr(text, 1, 96) AS line, {_ADVICE_SQL} AS advice FROM m")
 def sensitive_scan_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All blocking patterns with their exemptions."""
     return sensitive.scan_lines(structure.lines(documents(spark, sf_dir)))
 
 
@@ -531,6 +545,12 @@ def document_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.summary(final, structure.slot_counts(docs, parsed)).select("doc_key", "errors", "warnings", "slots", "blind", "failed")
 
 
+@query(f"WITH {planted.PLANTS_SQL} SELECT *, TRUE AS found, TRUE AS net FROM p")
+def planted_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with a defect of each family planted: whether the wording check finds each, and tells it from its clean twin."""
+    return planted.hits(documents(spark, sf_dir).select("doc_key", "raw"))
+
+
 @query()
 def document_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declared or guessed form of every document."""
@@ -861,6 +881,22 @@ def stage_flip_flops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.flip_flops(rows).select(F.col("doc_key").alias("user_id"), "versions", "reverts")
 
 
+@query("""WITH c AS (SELECT *, lag(event_type) OVER w AS last FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), d AS (SELECT user_id, event_id, last, event_type AS fix FROM c WHERE event_type <> last),
+e AS (SELECT *, list(fix) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM d),
+f AS (SELECT user_id, length(last) >= 4 AND len(list_filter(coalesce(earlier, []), lambda p: length(p) >= 4 AND contains(last, p) AND length(last) <= length(p) + 8)) > 0 AS again FROM e)
+SELECT user_id, count(*) AS fixes, CAST(count_if(again) AS BIGINT) AS contradicting FROM f GROUP BY user_id""")
+def stage_self_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of a user's kind of event that leave a kind an earlier change had come to."""
+    from pyspark.sql import Window
+
+    from prosewright.operators import ledger
+
+    last = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id"))
+    changed = events(spark, sf_dir).withColumn("phrase", last).where("event_type != phrase")
+    fixes = changed.select(F.col("user_id").alias("doc_key"), F.lit("r").alias("root"), F.col("event_id").alias("seq"), F.col("phrase").alias("text"), "phrase", F.col("event_type").alias("fix"))
+    return ledger.self_contradictions(fixes).select(F.col("doc_key").alias("user_id"), "fixes", "contradicting")
+
+
 @query("""WITH m AS (SELECT to_timestamp((epoch_us(min(ts)) + epoch_us(max(ts))) / 2e6) AS half, (epoch_us(min(ts)) + epoch_us(max(ts))) / 2 AS us FROM events)
 SELECT CASE WHEN epoch_us(ts) < us THEN 'before' ELSE 'after' END AS period, count(*) AS n, count(DISTINCT user_id) AS sessions, CAST(count_if(value > 10) AS BIGINT) AS used, round(avg(CASE WHEN value > 10 THEN 1.0::DOUBLE ELSE 0 END), 6) AS rate FROM events, m GROUP BY ALL""")
 def uptake_by_half(spark: SparkSession, sf_dir: str) -> DataFrame:

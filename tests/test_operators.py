@@ -367,6 +367,34 @@ def test_flip_flops(spark):
     assert rows(ledger.flip_flops(seen)) == [("d", "A", 4, 1)]
 
 
+def test_self_contradictions(spark):
+    fixes = [
+        ("d", "r", 1, "값이 크게 올랐다", "크게 올랐다", "많이 늘었다"), ("d", "r", 2, "값이 많이 늘었다", "많이 늘었다", "열 배로 늘었다"), ("d", "r", 3, "값이 열 배로 늘었다", "배로 늘었", "○배로 늘었다"),
+        ("d", "r", 4, "값이 ○배로 늘었다", "○배로 늘었다", "정해진 값"), ("d", "s", 1, "많이 늘었다", "많이 늘었다", ""), ("e", "r", 1, "짧은 글", "글", "말"), ("e", "r", 2, "짧은 말", "말", None), ("e", "r", 3, None, None, None),
+    ]
+    frame_ = frame(spark, fixes, "doc_key string, root string, seq int, text string, phrase string, fix string")
+    assert rows(ledger.self_contradictions(frame_), "doc_key", "root") == [("d", "r", 4, 2), ("d", "s", 1, 0), ("e", "r", 3, 0)]
+    assert ledger.self_contradictions(frame_.limit(0)).count() == 0
+
+
+def test_shared_runs_by_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    word = lambda: rng.choice("abc")
+    own = [(i if i else None, [word() for _ in range(rng.randint(0, 40))]) for i in range(30)] + [(1, list("abcabc"))]
+    items = [(i, [word() for _ in range(rng.randint(0, 9))]) for i in range(12)]
+    runs = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    want = {}
+    for key in {k for k, _ in own}:
+        has = set().union(*[runs(w, 5) for k, w in own if k == key])
+        want |= {(key, item, len(has & runs(w, 5))): 1 for item, w in items if has & runs(w, 5)}
+    docs, listed = frame(spark, own, "doc_key int, w array<string>"), frame(spark, items, "item int, w array<string>")
+    for most in (10_000, 0):
+        assert {tuple(r): 1 for r in evaluation.shared_word_runs(docs, listed, 5, most).collect()} == want
+    assert evaluation.shared_word_runs(docs, listed.limit(0), 5).count() == 0
+
+
 def test_particles_and_front_matter(spark):
     from prosewright.functions.text import fit_particle, front_matter
 
