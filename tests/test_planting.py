@@ -50,5 +50,5 @@ def test_net_of_the_clean_twin(spark):
 def test_specimens_are_of_all_families():
     by = P.families(planted.SPECIMENS)
     assert {f: len(own) for f, own in by.items()} == {"words": 31, "form": 19, "piled": 22}
-    assert len({s.kind for s in planted.SPECIMENS}) == 36 and len({s.note for s in by["piled"]} - {""}) == 20
+    assert len({s.kind for s in planted.SPECIMENS}) == 39 and len({s.note for s in by["piled"]} - {""}) == 20
     assert all(s.bad != s.good for s in planted.SPECIMENS)
