@@ -928,3 +928,21 @@ def document_text_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prosewright.sources import formats
 
     return formats.text_units(documents(spark, sf_dir).select(F.col("doc_key").cast("string").alias("path"), F.lit("md").alias("format"), "raw")).select("path", "unit_id", "line_number", "text")
+
+
+@query("""WITH q AS (SELECT doc_id // 20 AS sheet_id, CAST(doc_id % 20 + 1 AS INT) AS number, doc_id FROM documents),
+r AS (SELECT doc_id // 20 AS sheet_id, CAST(doc_id % 20 + 1 AS INT) AS number, doc_id, CASE WHEN toxic = 1 THEN '보류' WHEN quality = 1 THEN '그대로 — ' || doc_id WHEN quality IS NOT NULL THEN '글 ' || doc_id || ' 완료.' END AS answer FROM labels),
+a AS (SELECT sheet_id, number, answer FROM r WHERE answer IS NOT NULL UNION ALL SELECT sheet_id, number, '고침 (의견대로)' FROM q WHERE sheet_id % 2 = 1 AND doc_id NOT IN (SELECT doc_id FROM r WHERE answer IS NOT NULL))
+SELECT *, CASE WHEN answer = '보류' THEN 'hold' WHEN answer LIKE '그대로%' THEN 'keep' WHEN answer LIKE '고침%' THEN 'edit' ELSE 'free' END AS kind, answer LIKE '%(의견대로)' AS by_opinion FROM a""")
+def label_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels told as replies to sheets of twenty documents, some leaving the rest to the opinions, and read back as answers."""
+    from prosewright.operators import answers
+
+    sheet, number = F.expr("doc_id div 20").alias("sheet_id"), (F.col("doc_id") % 20 + 1).cast("int").alias("number")
+    n = number.cast("string")
+    said = F.when(F.col("toxic") == 1, F.concat(F.lit("보류 "), n, F.lit("번."))).when(F.col("quality").isNull(), F.concat(F.lit("아직 안 고름 "), n))
+    said = said.when(F.col("quality") == 1, F.concat(F.lit("Q"), n, F.lit(" 그대로 — "), "doc_id")).otherwise(F.concat(n, F.lit(". 글 "), "doc_id", F.lit(" 완료.")))
+    asked = table(spark, sf_dir, "documents").select(sheet, number, F.lit("고침").alias("opinion"))
+    left = asked.where("sheet_id % 2 = 1").select("sheet_id", F.lit(-1).cast("long").alias("seq"), F.lit("전부 의견대로.").alias("text")).distinct()
+    replies = table(spark, sf_dir, "labels").select(sheet, F.col("doc_id").alias("seq"), said.alias("text")).union(left)
+    return answers.answers(answers.read_replies(replies, asked))
