@@ -946,3 +946,60 @@ def label_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = asked.where("sheet_id % 2 = 1").select("sheet_id", F.lit(-1).cast("long").alias("seq"), F.lit("전부 의견대로.").alias("text")).distinct()
     replies = table(spark, sf_dir, "labels").select(sheet, F.col("doc_id").alias("seq"), said.alias("text")).union(left)
     return answers.answers(answers.read_replies(replies, asked))
+
+
+# --- documents as Markdown ----------------------------------------------------------------------------------------------
+# The given texts hold no Markdown, so their lines are laid out as it: of each eight lines a heading (levels 1, 2, 3 in turn),
+# two list items, a quotation, a fenced line between its marks and a plain line; every second document has front matter.
+
+
+def outlined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def line(text, at):
+        i = at + 1
+        numbered = F.concat(i.cast("string"), F.lit(" "), text)
+        part = F.concat(F.repeat(F.lit("#"), 1 + F.floor(i / 8).cast("int") % 3), F.lit(" Part "), i.cast("string"))
+        turn = i % 8
+        return F.when(turn == 1, part).when(turn.isin(2, 3), F.concat(F.lit("- "), numbered)).when(turn == 4, F.concat(F.lit("> "), numbered)).when(turn.isin(5, 7), "```").otherwise(text)
+
+    matter = F.when(F.col("doc_key") % 2 == 0, F.lit("---\nform: structured\ntitle: outline\n---\n")).otherwise("")
+    return documents(spark, sf_dir).select("doc_key", F.concat(matter, F.array_join(F.transform(F.split("raw", "\n"), line), "\n")).alias("raw"))
+
+
+_OUTLINE = f"""{LINES}, o AS (SELECT doc_key, line_no AS i, line_no % 8 AS turn, line_no // 8 AS part, CAST(line_no + CASE WHEN doc_key % 2 = 0 THEN 4 ELSE 0 END AS INT) AS line_no, text FROM l),
+b AS (SELECT * FROM o WHERE turn NOT IN (5, 6, 7))"""
+
+
+@query(f"""WITH {_OUTLINE}, h AS (SELECT doc_key, i, part, line_no FROM b WHERE turn = 1), e AS (SELECT h.doc_key, h.i, h.part, h.line_no, max(b.line_no) AS last_line FROM h JOIN b ON h.doc_key = b.doc_key AND b.i BETWEEN h.i AND h.i + 7 GROUP BY ALL)
+SELECT doc_key, line_no AS first_line, last_line, array_to_string(list_transform(range(part - part % 3, part + 1), lambda p: 'Part ' || (8 * p + 1)), ' > ') AS path FROM e""")
+def outline_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of outlined documents with the chain of headings they stand under."""
+    return structure.sections(structure.body_lines(outlined(spark, sf_dir))).select("doc_key", "first_line", "last_line", F.array_join("path", " > ").alias("path"))
+
+
+@query(f"WITH {_OUTLINE} SELECT doc_key, line_no, '- ' || i || ' ' || text AS text, CAST(line_no - turn + 2 AS INT) AS block FROM b WHERE turn IN (2, 3)")
+def outline_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List items of outlined documents and the line their list begins at."""
+    return structure.list_blocks(structure.body_lines(outlined(spark, sf_dir))).select("doc_key", "line_no", "text", "block")
+
+
+@query(f"WITH {_OUTLINE} SELECT doc_key, line_no, '> ' || i || ' ' || text AS text, line_no AS block FROM b WHERE turn = 4 AND line_no > 6")
+def outline_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block quotes of outlined documents behind their head."""
+    return structure.quote_blocks(structure.body_lines(outlined(spark, sf_dir))).select("doc_key", "line_no", "text", "block")
+
+
+@query(f"WITH {_OUTLINE} SELECT doc_key, line_no, turn IN (5, 6, 7) AS fenced FROM o")
+def outline_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of outlined documents behind the front matter, and which of them stand in a code fence."""
+    return structure.parsed_lines(outlined(spark, sf_dir)).select("doc_key", "line_no", "fenced")
+
+
+@query(f"""WITH {_OUTLINE}, s AS (SELECT doc_key, avg(CASE WHEN turn = 0 AND NOT regexp_matches(trim(text), '^(?:[-*+>|#<]|[0-9]+[.)]\\s)') THEN 1.0::DOUBLE ELSE 0 END) AS share FROM b WHERE turn <> 0 OR regexp_replace(text, '\\s', '', 'g') <> '' GROUP BY doc_key)
+SELECT doc_key, CASE WHEN doc_key % 2 = 0 THEN 'structured' END AS declared, CASE WHEN doc_key % 2 <> 0 AND share >= 0.3 THEN 'prose' ELSE 'structured' END AS form FROM s""")
+def outline_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form of outlined documents: declared in the front matter, or told by the share of running text."""
+    from prosewright.operators import findings
+
+    docs = outlined(spark, sf_dir)
+    none = docs.limit(0).select("doc_key", F.lit(1).alias("line_no"), F.lit("").alias("kind"), F.lit("").alias("severity"))
+    return findings.guess_form(docs, none)
