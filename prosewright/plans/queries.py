@@ -1003,3 +1003,61 @@ def outline_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = outlined(spark, sf_dir)
     none = docs.limit(0).select("doc_key", F.lit(1).alias("line_no"), F.lit("").alias("kind"), F.lit("").alias("severity"))
     return findings.guess_form(docs, none)
+
+
+# --- evaluation over the tables' own rows ---------------------------------------------------------------------------------
+
+
+@query("""SELECT event_type AS tool, count(*) AS documents, CAST(count_if(value > 1) AS BIGINT) AS scanned, CAST(count(*) - count_if(value > 1) AS BIGINT) AS unsupported, CAST(count_if(value > 1 AND event_id % 4 > 0) AS BIGINT) AS with_errors,
+CAST(count_if(value > 1 AND event_id % 3 > 0) AS BIGINT) AS with_warnings, CAST(coalesce(sum(CASE WHEN value > 1 THEN event_id % 4 END), 0) AS BIGINT) AS errors, CAST(coalesce(sum(CASE WHEN value > 1 THEN event_id % 3 END), 0) AS BIGINT) AS warnings,
+CAST(coalesce(sum(CASE WHEN value > 1 THEN event_id % 2 END), 0) AS BIGINT) AS blind FROM events GROUP BY event_type""")
+def event_tool_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as runs of tools over their users' documents; those of a value up to 1 were not supported."""
+    n = F.col("event_id")
+    runs = events(spark, sf_dir).select(F.col("event_type").alias("tool"), F.col("user_id").alias("doc_key"), F.when(F.col("value") > 1, "scanned").otherwise("unsupported").alias("status"), (n % 4).alias("errors"), (n % 3).alias("warnings"), (n % 2).alias("blind"))
+    return evaluation.tool_summary(runs)
+
+
+@query("""WITH k AS (SELECT DISTINCT 'u' || user_id || CASE WHEN user_id % 3 > 0 THEN '::repo' ELSE '' END AS own, 'u' || user_id AS path FROM events), r AS (SELECT event_id, 'u' || user_id || CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN '::repo' ELSE '::other' END AS row_key FROM events)
+SELECT event_id, own AS doc_key FROM r JOIN k ON row_key = own OR (row_key = path AND own <> path)""")
+def event_rows_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledger rows of documents whose keys name a repository, written under these keys, under old ones of the path alone, or under another repository's."""
+    from prosewright.operators import ledger
+
+    rows = events(spark, sf_dir)
+    path = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    turn = F.col("event_id") % 3
+    book = rows.select("event_id", F.concat(path, F.when(turn == 0, "").when(turn == 1, "::repo").otherwise("::other")).alias("doc_key"))
+    docs = rows.select(F.concat(path, F.when(F.col("user_id") % 3 > 0, "::repo").otherwise("")).alias("doc_key"))
+    return ledger.rows_of(book, docs).select("event_id", "doc_key")
+
+
+@query(f"""WITH {_PAIRS}, s AS (SELECT pair_id, substr(original, 1, 30) AS a, revised AS b FROM q)
+SELECT pair_id, length(a) > 0 AND length(b) > 0 AND len(list_filter(range(1, greatest(1, length(a) - least(6, length(a)) + 1) + 1), lambda i: contains(b, substr(a, i, least(6, length(a)))))) > 0 AS covered FROM s""")
+def turn_covered_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a turn covers the phrase that the turn before of the same role starts with."""
+    pairs = turn_pairs(spark, sf_dir).withColumn("phrase", F.substring("original", 1, 30))
+    return pairs.select("pair_id", evaluation.covers("phrase", "revised").alias("covered"))
+
+
+@query("""WITH f AS (SELECT doc_id, CASE WHEN toxic = 1 THEN CASE WHEN quality = 1 THEN 'agreed' WHEN quality = 0 THEN 'rejected' ELSE 'open' END ELSE 'agreed' END AS verdict, doc_id % 3 AS src FROM labels),
+t AS (SELECT count_if(verdict = 'agreed') AS agreed, count_if(verdict = 'rejected') AS rejected, count_if(verdict = 'open') AS held, (SELECT count(*) FROM labels WHERE quality = 0) AS unseen FROM f),
+c AS (SELECT layer, (SELECT count(*) FROM f WHERE verdict = 'agreed' AND (src = y OR (y = 3 AND src < 2))) AS caught FROM (VALUES ('rules', 0), ('judge', 1), ('any', 3)) AS v(layer, y))
+SELECT layer, caught, CAST(agreed + unseen AS BIGINT) AS problems, round(caught / (agreed + unseen), 3) AS recall, CAST(rejected AS BIGINT) AS rejected, CAST(held AS BIGINT) AS held FROM c, t""")
+def label_sheet_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as review sheets: findings of two layers and of an unnamed one, a reader's notes on toxic ones with verdicts by quality, and what nobody found."""
+    rows = table(spark, sf_dir, "labels").withColumn("line_number", F.lit(1)).withColumn("phrase", F.lit("p")).withColumnRenamed("doc_id", "document_id")
+    source = F.when(F.col("document_id") % 3 == 0, "regex").when(F.col("document_id") % 3 == 1, "model").otherwise("reader")
+    at = ["document_id", "line_number", "phrase"]
+    found = rows.select(*at, F.array(source).alias("sources"), F.when(F.col("toxic") == 1, "noted").otherwise("").alias("note"), F.lit(False).alias("allowed"))
+    verdict = F.when(F.col("quality") == 1, "agreed").when(F.col("quality") == 0, "rejected")
+    said = rows.where("toxic = 1 AND quality IS NOT NULL").select(*at, F.lit("finding").alias("slot"), verdict.alias("verdict"))
+    missed = rows.where("quality = 0").select("document_id", "line_number", F.lit("overlooked").alias("note"))
+    return evaluation.sheet_recall(found, missed, said, {"regex": "rules", "model": "judge"})
+
+
+@query("""SELECT event_type AS system, count(*) AS n, round(avg(CASE WHEN value > 10 THEN 1.0::DOUBLE WHEN value > 5 THEN 0.5 ELSE 0 END), 6) AS win_rate FROM events GROUP BY event_type""")
+def event_win_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as comparisons of systems: a value over 10 wins, one over 5 ties."""
+    verdict = F.when(F.col("value") > 10, "win").when(F.col("value") > 5, "tie").otherwise("loss")
+    return evaluation.win_rate(events(spark, sf_dir).select(F.col("event_type").alias("system"), F.col("user_id").alias("doc_key"), verdict.alias("verdict")))
