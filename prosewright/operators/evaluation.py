@@ -250,6 +250,49 @@ def ranges_verdict(a: list[float], b: list[float]) -> str:
     return "a" if min(a) > max(b) else "b" if min(b) > max(a) else "undecided"
 
 
+def compare_runs(runs: DataFrame, targets: list[str], floors: dict[str, float], ceilings: dict[str, float], least: int) -> DataFrame:
+    """(experiment, conclusion, reason, accuracy, exploratory, verdicts) of runs (experiment, side, run, done, metric, value) by a rule set beforehand.
+
+    Sides are ``base`` and ``new``; runs not done do not count.  ``targets`` should fall: a side is less or more if its range lies
+    wholly beyond the other's.  Guards may not fall under the base's least value less their tolerance (``floors``), nor rise over
+    its greatest and theirs (``ceilings``).  With twice ``least`` base runs or more their halves, by run, are compared too; a
+    target on which these differ is undecided.  Too few runs or a target without a value in some run decide nothing; a guard
+    without a value leaves the accuracy unknown, so that the conclusion is never ``better``.  More runs than were set make the
+    conclusion exploratory.
+    """
+    role = {**dict.fromkeys(targets, "target"), **dict.fromkeys(floors, "floor"), **dict.fromkeys(ceilings, "ceiling")}
+    done = runs.where("done")
+    side = lambda name: F.col("side") == name
+    counted = done.select("experiment", "side", "run").distinct()
+    turn = F.row_number().over(Window.partitionBy("experiment", "side").orderBy("run"))
+    placed = counted.withColumn("turn", turn)
+    sizes = runs.select("experiment").distinct().join(counted.groupBy("experiment").agg(F.count_if(side("base")).alias("n_base"), F.count_if(side("new")).alias("n_new")), "experiment", "left").fillna(0, ["n_base", "n_new"])
+    listed = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(r).alias("role"), F.lit(float(floors.get(m, ceilings.get(m, 0.0)))).alias("tolerance")) for m, r in role.items()])
+    wanted = sizes.select("*", F.inline(listed))
+    values = done.where("value IS NOT NULL").join(placed, ["experiment", "side", "run"]).join(sizes, "experiment")
+    half = F.floor(F.col("n_base") / 2)
+    parts = {"base": side("base"), "new": side("new"), "early": side("base") & (F.col("turn") <= half), "late": side("base") & (F.col("turn") > half) & (F.col("turn") <= 2 * half)}
+    ranges = [f(F.when(c, F.col("value"))).alias(f"{name}_{what}") for name, c in parts.items() for what, f in (("min", F.min), ("max", F.max))]
+    have = [F.countDistinct(F.when(side(s), F.col("run"))).alias(f"have_{s}") for s in ("base", "new")]
+    seen = wanted.join(values.groupBy("experiment", "metric").agg(*ranges, *have), ["experiment", "metric"], "left").fillna(0, ["have_base", "have_new"])
+    apart = lambda a, b: F.when(F.col(f"{b}_max") < F.col(f"{a}_min"), "less").when(F.col(f"{b}_min") > F.col(f"{a}_max"), "more").otherwise("undecided")
+    checked = (F.col("n_base") >= 2 * least) & (apart("early", "late") != "undecided")
+    judged = seen.withColumn("missing", (F.col("have_base") < F.col("n_base")) | (F.col("have_new") < F.col("n_new"))).withColumn("verdict", F.when(F.col("missing"), "no value").when(checked, "undecided: base differs").otherwise(apart("base", "new")))
+    guard, target = F.col("role") != "target", F.col("role") == "target"
+    fell = F.when(F.col("role") == "floor", F.col("new_min") < F.col("base_min") - F.col("tolerance")).when(F.col("role") == "ceiling", F.col("new_max") > F.col("base_max") + F.col("tolerance"))
+    any_ = lambda c, name: F.coalesce(F.max(c), F.lit(False)).alias(name)
+    by = judged.groupBy("experiment", "n_base", "n_new").agg(
+        any_(target & F.col("missing"), "lacking"), any_(guard & F.col("missing"), "blind"), any_(guard & ~F.col("missing") & fell, "worse"), any_(target & (F.col("verdict") == "more"), "more"), any_(target & (F.col("verdict") == "less"), "less"),
+        F.map_from_entries(F.array_compact(F.collect_list(F.when(target, F.struct("metric", "verdict"))))).alias("verdicts"),
+    )
+    few = (F.col("n_base") < least) | (F.col("n_new") < least)
+    reason = F.when(few, "too few runs").when(F.col("lacking"), "a target has no value").when(~F.col("worse") & ~F.col("more") & F.col("less") & F.col("blind"), "no accuracy")
+    conclusion = F.when(few | F.col("lacking"), "undecided").when(F.col("worse"), "accuracy worse").when(F.col("more"), "worse").when(F.col("less") & ~F.col("blind"), "better").otherwise("undecided")
+    accuracy = F.when(few | F.col("lacking"), F.lit(None)).when(F.col("worse"), "worse").when(F.col("blind"), "unknown").otherwise("kept")
+    exploratory = ~few & ((F.col("n_base") > 2 * least) | (F.col("n_new") > least))
+    return by.select("experiment", conclusion.alias("conclusion"), reason.alias("reason"), accuracy.alias("accuracy"), exploratory.alias("exploratory"), "verdicts")
+
+
 def rule_share(findings: DataFrame) -> DataFrame:
     """(kind, n, share)."""
     by = findings.groupBy("kind").agg(F.count("*").alias("n"))
