@@ -28,6 +28,11 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
 
 
+def shown(c: Column | str) -> Column:
+    """Holds more than white space (Unicode)."""
+    return col(c).rlike(r"(?U)\S")
+
+
 def hangul_count(c: Column | str) -> Column:
     return F.regexp_count(col(c), F.lit(f"[{HANGUL}]"))
 

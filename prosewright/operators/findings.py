@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosewright.functions.text import line_key, squeeze, strip
+from prosewright.functions.text import line_key, shown, squeeze
 from prosewright.operators import structure
 
 BY_MESSAGE = ["register_mix", "plain_speech", "narrative_ending"]
@@ -32,7 +32,7 @@ GREETING = r"^(?:안녕하세요|안녕하십니까)|감사합니다\.?$|드림$
 
 def _facts(documents: DataFrame, body: DataFrame) -> DataFrame:
     """(doc_key, declared, share, polite_lines, first, last) of every document: what its form and a notice's frame are told by."""
-    some = strip("text") != ""
+    some = shown("text")
     matter = F.when(structure.of_matter(), F.col("line_no"))
     by = body.groupBy("doc_key").agg(
         F.avg(F.when(some, structure.flowing().cast("double"))).alias("share"), F.count_if(F.trim("text").rlike(GREETING)).alias("polite_lines"), F.min(matter).alias("first"), F.max(matter).alias("last")

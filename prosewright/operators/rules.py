@@ -206,9 +206,14 @@ def scannable(body: DataFrame) -> DataFrame:
     return kept.withColumn("text", mask("text"))
 
 
+def _in_hangul(body: DataFrame) -> DataFrame:
+    """Lines that hold Hangul, where their tables have been told already; else all lines, as tables are told from their rows."""
+    return body.where(F.col("text").rlike("[가-힣]")) if "contrast" in body.columns else body
+
+
 def wording(body: DataFrame, personal: bool = False) -> DataFrame:
     """Findings of all line rules; a suspect seat gives way to a certain one on its line."""
-    lines = scannable(body).where(F.col("text").rlike("[가-힣]"))
+    lines = scannable(_in_hangul(body)).where(F.col("text").rlike("[가-힣]"))
     found = apply_rules(lines, LINE_RULES + word_rules(personal))
     sure = F.max(F.col("kind") == "empty_seat").over(Window.partitionBy("doc_key", "line_no"))
     return found.withColumn("sure", sure).where("NOT (sure AND kind = 'empty_seat_suspect')").select(*FINDING)
@@ -283,7 +288,7 @@ def skipped_capabilities(documents: DataFrame) -> DataFrame:
 
 def value_findings(body: DataFrame, relaxed: bool = False) -> DataFrame:
     """Sentence endings and cut-offs in value slots, plain speech among them."""
-    slots = structure.value_slots(structure.wrapped(body), ("wrapped",)).where("NOT text rlike '^[-: ]*$'")
+    slots = structure.value_slots(structure.wrapped(body), ("wrapped",)).where("NOT text rlike '^[-: ]*$'").where(F.col("text").rlike("[가-힣]"))  # no rule of values goes without
     cut = slots.withColumn("f", fragment("text"))
     certain = F.col("f.err").isNotNull() & ~F.col("wrapped")
     cut = cut.withColumn("kind", F.when(certain, "cut_ending").when(F.col("f.err").isNotNull() | F.col("f.warn").isNotNull(), "cut_ending_suspect")).where("kind IS NOT NULL")
@@ -358,10 +363,10 @@ def section_findings(body: DataFrame) -> DataFrame:
 
 
 def _section_hits(body: DataFrame, is_body: Column, numbers: DataFrame) -> DataFrame:
-    shown = body.withColumn("text", F.regexp_replace(F.regexp_replace("text", r"`[^`]*`", " "), r"[「『][^」』]*[」』]\s*\(?(?=\d|§)", "」"))
-    marked = shown.withColumn("hit", F.explode(F.regexp_extract_all("text", F.lit(rf"({STANDARD_BEFORE}{SECTION_REF}|{SECTION_REF})"), F.lit(1)))).where(F.col("hit").startswith("§"))
+    clean = lambda rows: rows.withColumn("text", F.regexp_replace(F.regexp_replace("text", r"`[^`]*`", " "), r"[「『][^」』]*[」』]\s*\(?(?=\d|§)", "」"))
+    marked = clean(body.where(F.col("text").contains("§"))).withColumn("hit", F.explode(F.regexp_extract_all("text", F.lit(rf"({STANDARD_BEFORE}{SECTION_REF}|{SECTION_REF})"), F.lit(1)))).where(F.col("hit").startswith("§"))
     by_document = numbers.groupBy("doc_key").agg(F.map_from_entries(F.collect_list(F.struct("number", "title"))).alias("titles"))
-    bare = shown.where(is_body).select("doc_key", "line_no", F.explode(F.regexp_extract_all("text", F.lit(f"({BARE_SECTION})"), F.lit(1))).alias("hit"))
+    bare = clean(body.where((F.col("text").contains("절") | F.col("text").rlike(r"\(\d")) & is_body)).select("doc_key", "line_no", F.explode(F.regexp_extract_all("text", F.lit(f"({BARE_SECTION})"), F.lit(1))).alias("hit"))
     bare = bare.withColumn("number", F.regexp_extract("hit", r"\d{1,2}(?:[-.]\d{1,2})*", 0)).join(by_document, "doc_key")
     bare = bare.withColumn("title", F.try_element_at("titles", F.col("number"))).where("title IS NOT NULL")
     return _finding(marked, "section_by_number", "err", "hit").union(_finding(bare, "section_by_number", "err", "hit", F.col("title")))
@@ -372,7 +377,7 @@ def middot_findings(body: DataFrame, ledger: DataFrame | None = None) -> DataFra
     from prosewright.functions.text import short_sha1
 
     masked = F.regexp_replace(F.regexp_replace("text", r"`[^`]*`", "□"), r"[「『][^」』]*[」』]", "□")
-    hits = body.where(masked.rlike(r"[가-힣]\s+·\s*[가-힣]|[가-힣]\s*·\s+[가-힣]")).withColumn("line_hash", short_sha1("text"))
+    hits = body.where(F.col("text").contains("·") & masked.rlike(r"[가-힣]\s+·\s*[가-힣]|[가-힣]\s*·\s+[가-힣]")).withColumn("line_hash", short_sha1("text"))
     if ledger is not None:
         hits = hits.join(ledger, ["doc_key", "line_hash"], "left_anti")
     return _finding(hits, "spaced_middot", "err", F.substring("text", 1, 60))
@@ -391,7 +396,7 @@ def prose_in_code(lines: DataFrame) -> DataFrame:
 
 def not_but_findings(body: DataFrame, least: int = 2, density: float = 3.0) -> DataFrame:
     """Not this but that: all hits of documents with several of them and at least ``density`` for 10,000 Hangul characters."""
-    lines = scannable(body)
+    lines = scannable(_in_hangul(body))
     hits = lines.select("doc_key", "line_no", F.explode(F.regexp_extract_all("text", F.lit(f"({NOT_BUT})"), F.lit(1))).alias("hit"))
     chars = lines.groupBy("doc_key").agg(F.sum(hangul_count("text")).alias("chars"))
     dense = hits.groupBy("doc_key").agg(F.count("*").alias("n")).join(chars, "doc_key").where((F.col("n") >= least) & (F.col("n") * 10000 >= density * F.col("chars"))).select("doc_key")
@@ -458,12 +463,12 @@ def markdown_findings(
     """
     if parsed is None:
         parsed = structure.dealt_lines(documents)
-    flat = parsed.where("NOT fenced").drop("fenced")
-    body = structure.merge_wrapped(flat)
+    body = structure.merged_body(parsed)
     lines = scannable(body)
+    paras = parsed.where("para IS NOT NULL").select("doc_key", F.col("line_no").alias("first_line"), F.col("para").alias("text")) if "para" in parsed.columns else structure.paragraphs(parsed.where("NOT fenced").drop("fenced"))
     parts = [
         value_findings(body), heading_findings(body), label_findings(body), quote_findings(body), section_findings(body), middot_findings(body, ledger), wording(body, personal), not_but_findings(body),
-        repetition(structure.paragraphs(flat)), register_findings(register_of(body), personal=personal), prose_in_code(parsed),
+        repetition(paras), register_findings(register_of(body), personal=personal), prose_in_code(parsed.select("doc_key", "line_no", "text", "fenced")),
     ]
     if dictionary is not None:
         parts.append(spelling_findings(lines, dictionary))
