@@ -5,19 +5,38 @@ from __future__ import annotations
 import difflib
 import functools
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
 
+SLICE_CHARS = 1 << 20  # of text that is worked on at once; what it becomes takes many times as much
+
+
+def slices(batch: tuple[pd.Series, ...]) -> Iterator[tuple[pd.Series, ...]]:
+    """A batch in parts of some ``SLICE_CHARS`` characters, so that a worker holds the results of a few texts and not of all."""
+    begin = chars = 0
+    for at, values in enumerate(zip(*batch, strict=True)):
+        chars += sum(len(v) for v in values if isinstance(v, str))
+        if chars >= SLICE_CHARS:
+            yield tuple(s.iloc[begin : at + 1].reset_index(drop=True) for s in batch)
+            begin, chars = at + 1, 0
+    if begin < len(batch[0]) or not begin:
+        yield tuple(s.iloc[begin:].reset_index(drop=True) for s in batch)
 
 
 def pandas_function(returns: str):
-    """Decorator: a Column function over columns, made when it is called (a type as text needs a session)."""
+    """Decorator: a Column function over columns, made when it is called (a type as text needs a session); each row for itself."""
 
     def wrap(f):
         @functools.wraps(f)
         def call(*columns):
-            return F.pandas_udf(f, returns)(*columns)
+            def sliced(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+                for batch in batches:
+                    for part in slices(batch if isinstance(batch, tuple) else (batch,)):
+                        yield f(*part)
+
+            return F.pandas_udf(sliced, returns)(*columns)
 
         return call
 
@@ -56,14 +75,46 @@ def literal_spans(word: str, overlapping: bool = False):
     return found
 
 
+def matching(a: str, b: str) -> int:
+    """Characters that ``difflib.SequenceMatcher`` without junk matches: the longest shared run, leftmost in ``a`` and then in ``b``, and so on beside it.
+
+    The run's length is searched for by halves over sets of equally long pieces, as a shared run holds shared runs of all
+    smaller lengths; parts beside it share nothing longer.  So time grows with the texts' lengths and not with their product.
+    """
+    total, todo = 0, [(0, len(a), 0, len(b), min(len(a), len(b)))]
+    while todo:
+        i, j, k, m, most = todo.pop()
+        most = min(most, j - i, m - k)
+        least, at, n = 0, -1, min(most, 6)
+        while least < most:
+            if n <= 64:
+                pieces = {b[y : y + n] for y in range(k, m - n + 1)}
+                found = (x for x in range(i, j - n + 1) if a[x : x + n] in pieces)
+            else:  # long pieces are not kept
+                prints = {hash(b[y : y + n]) for y in range(k, m - n + 1)}
+                found = (x for x in range(i, j - n + 1) if hash(a[x : x + n]) in prints and b.find(a[x : x + n], k, m) >= 0)  # noqa: B023
+            at, least, most = next(((x, n, most) for x in found), (at, least, n - 1))
+            n = min(2 * least, (least + most + 1) // 2) or (most + 1) // 2
+        if not least:
+            continue
+        total += least
+        y = b.find(a[at : at + least], k, m)
+        if at > i and y > k:
+            todo.append((i, at, k, y, least))
+        if at + least < j and y + least < m:
+            todo.append((at + least, j, y + least, m, least))
+    return total
+
+
 def similarity(a: str, b: str, least: float = 0.0) -> float:
     """Ratcliff-Obershelp ratio, 0 as soon as an upper bound lies under ``least``."""
-    if not a and not b:
+    if a == b:
         return 1.0
     if 2 * min(len(a), len(b)) < least * (len(a) + len(b)):
         return 0.0
-    m = difflib.SequenceMatcher(None, a, b, autojunk=False)
-    return 0.0 if m.quick_ratio() < least else m.ratio()
+    if least and difflib.SequenceMatcher(None, a, b, autojunk=False).quick_ratio() < least:
+        return 0.0
+    return 2.0 * matching(a, b) / (len(a) + len(b))
 
 
 @pandas_function("double")
