@@ -218,7 +218,8 @@ def cluster_bootstrap(per_doc: DataFrame, part: str, whole: str, times: int = 10
     ``times`` groups, whatever the number of clusters.
     """
     rows = per_doc.select(F.col(part).cast("double").alias("a"), F.col(whole).cast("double").alias("b"), poisson_weights(F.col(key).cast("string"), times, seed).alias("w"))
-    each = rows.select("a", "b", F.posexplode("w").alias("repeat", "w")).where("w > 0")
+    # outer, though no row is without weights: else a filter on their number goes before the caller's grouping, and draws for each row there
+    each = rows.select("a", "b", F.posexplode_outer("w").alias("repeat", "w")).where("w > 0")
     ratios = each.groupBy("repeat").agg(F.try_divide(F.sum(F.col("a") * F.col("w")), F.sum(F.col("b") * F.col("w"))).alias("ratio"))
     ends = ratios.agg(F.percentile("ratio", 0.025).alias("low"), F.percentile("ratio", 0.975).alias("high"))
     point = per_doc.agg(F.try_divide(F.sum(F.col(part).cast("double")), F.sum(whole)).alias("point"))
