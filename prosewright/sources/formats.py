@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from prosewright.functions.spans import pandas_function
 from prosewright.functions.text import json_pointer, terminal_text
 from prosewright.operators.structure import fenced
 
@@ -190,7 +191,7 @@ def _parsed(kind: str, raw: str) -> list[tuple]:
 def text_units(documents: DataFrame) -> DataFrame:
     """(path, unit_id, format, logical_path, line_number, kind, text): the visible text units of (path, format, raw)."""
 
-    @F.pandas_udf(UNIT)
+    @pandas_function(UNIT)
     def parsed(kind: pd.Series, raw: pd.Series) -> pd.Series:
         return pd.Series([units_of(k, r) for k, r in zip(kind, raw, strict=True)])
 
