@@ -15,8 +15,12 @@ def words(text: Column | str, least: int = 2) -> Column:
 
 
 def term_counts(documents: DataFrame, tokens: Column, key: str = "doc_key") -> DataFrame:
-    """(doc_key, lexeme, n)."""
-    return documents.select(key, F.explode(tokens).alias("lexeme")).groupBy(key, "lexeme").agg(F.count("*").alias("n"))
+    """(doc_key, lexeme, n).
+
+    Texts are dealt by document before they are cut into tokens, which shuffles each text once and no token; whatever groups or joins the
+    counts by document needs no further shuffle.
+    """
+    return documents.repartition(F.col(key)).select(key, F.explode(tokens).alias("lexeme")).groupBy(key, "lexeme").agg(F.count("*").alias("n"))
 
 
 def baseline(counts: DataFrame) -> DataFrame:
@@ -43,7 +47,11 @@ def gate(mine: DataFrame, base: DataFrame, approved: DataFrame, most: int = GATE
 
     The limit of the gate is higher than that of the list of rare terms, as it also stops terms a reader would wonder at.
     """
-    joined = mine.join(base, "lexeme", "left").where(F.coalesce("base", F.lit(0)) <= most).join(approved.select("lexeme").distinct(), "lexeme", "left_anti")
+    # Terms with over a 50,000th of all uses are told by a broadcast of less than 50,000 of them; they are most of the uses.
+    limit = base.agg(F.greatest(F.lit(most), F.sum("base") / 50_000).alias("limit"))
+    common = base.join(F.broadcast(limit)).where(F.col("base") > F.col("limit")).select("lexeme")
+    seldom = mine.join(F.broadcast(common), "lexeme", "left_anti")
+    joined = seldom.join(base, "lexeme", "left").where(F.coalesce("base", F.lit(0)) <= most).join(approved.select("lexeme").distinct(), "lexeme", "left_anti")
     found = joined.groupBy("doc_key").agg(F.count("*").alias("blocked"), F.array_sort(F.collect_list(F.struct(F.coalesce("base", F.lit(0)).alias("base"), (-F.col("n")).alias("less"), "lexeme"))).alias("t"))
     out = mine.select("doc_key").distinct().join(found, "doc_key", "left").withColumn("blocked", F.coalesce("blocked", F.lit(0)))
     return out.select("doc_key", "blocked", (F.col("blocked") == 0).alias("passes"), F.coalesce(F.transform("t", lambda x: x["lexeme"]), F.array().cast("array<string>")).alias("terms"))
@@ -93,6 +101,14 @@ def noun_pileups(tokens: DataFrame, thresholds: list[int]) -> DataFrame:
     return swept.where("length >= threshold").groupBy("threshold").agg(F.count("*").alias("runs"), F.max("length").alias("longest"))
 
 
+def row_pileups(documents: DataFrame, bare: Column, thresholds: list[int]) -> DataFrame:
+    """``noun_pileups`` of whole documents, ``bare`` being an array with a flag for each token: runs are told within the row."""
+    marks = F.array_join(F.transform(bare, lambda b: F.when(b, "1").otherwise("0")), "")
+    lengths = F.transform(F.regexp_extract_all(marks, F.lit("1+"), F.lit(0)), lambda r: F.length(r).cast("long"))
+    swept = documents.select(F.explode(lengths).alias("length")).select("length", F.explode(F.lit(thresholds)).alias("threshold"))
+    return swept.where("length >= threshold").groupBy("threshold").agg(F.count("*").alias("runs"), F.max("length").alias("longest"))
+
+
 def context_counts(lines: DataFrame, word: str) -> DataFrame:
     """How often each context has a word right behind a Hangul letter."""
     return lines.select(F.explode(F.regexp_extract_all("text", F.lit(rf"([가-힣]+{word})"), F.lit(1))).alias("context")).groupBy("context").count()

@@ -328,7 +328,7 @@ _TERMS = "t AS (SELECT doc_id AS doc_key, unnest(regexp_extract_all(lower(text),
 
 
 def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.term_counts(documents(spark, sf_dir), lexical.words("raw"))
+    return lexical.term_counts(documents(spark, sf_dir).select("doc_key", "raw"), lexical.words("raw"))
 
 
 @query(f"WITH {_TERMS} SELECT lexeme, base, docs FROM b")
@@ -429,7 +429,7 @@ def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Successive turns of one role as versions of a text."""
     from pyspark.sql import Window
 
-    turns = table(spark, sf_dir, "conversations")
+    turns = table(spark, sf_dir, "conversations").repartition(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), "conv_id", "role")  # so many tasks, as alignments take long
     before = F.lag("text").over(Window.partitionBy("conv_id", "role").orderBy("turn"))
     return turns.select(F.concat_ws("-", "conv_id", "turn").alias("pair_id"), before.alias("original"), F.col("text").alias("revised")).where("original IS NOT NULL AND revised IS NOT NULL")
 
@@ -812,7 +812,7 @@ SELECT DISTINCT c.doc_key, coalesce(blocked, 0) AS blocked, coalesce(blocked, 0)
 def vocabulary_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = term_counts(spark, sf_dir)
     approved = spark.range(1).select(F.explode(F.lit(["the", "and", "der", "de"])).alias("lexeme"))
-    return lexical.gate(counts, lexical.frequencies(documents(spark, sf_dir), lexical.words("raw")), approved).select("doc_key", "blocked", "passes")
+    return lexical.gate(counts, lexical.baseline(counts), approved).select("doc_key", "blocked", "passes")
 
 
 @query("""WITH t AS (SELECT doc_id AS doc_key, regexp_extract_all(lower(text), '\\pL+') AS w FROM documents), e AS (SELECT doc_key, generate_subscripts(w, 1) AS pos, length(unnest(w)) >= 6 AS bare FROM t),
@@ -821,8 +821,7 @@ SELECT threshold, count(*) AS runs, max(length) AS longest FROM n, (VALUES (2),
 def long_word_pileups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of long words, by least length of a run."""
     words = F.regexp_extract_all(F.lower("raw"), F.lit(r"\p{L}+"), F.lit(0))
-    tokens = documents(spark, sf_dir).select("doc_key", F.posexplode(words).alias("pos", "w")).select("doc_key", "pos", (F.length("w") >= 6).alias("bare"))
-    return lexical.noun_pileups(tokens, [2, 3, 5])
+    return lexical.row_pileups(documents(spark, sf_dir), F.transform(words, lambda w: F.length(w) >= 6), [2, 3, 5])
 
 
 TURN_RULES = [*NEUTRAL_RULES, ("long_word", "warn", r"[^ \n,.!?]{18,}"), ("one_word_sentence", "warn", r"(?:^|[.] )[^ \n,.]+[.]")]
