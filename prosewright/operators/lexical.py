@@ -5,22 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prosewright.functions.text import let
+
 RARE_MOST, GATE_MOST = 40, 60
 OVER_BASE, OVER_COUNT, OVER_RATIO = (40, 300), 3, 350.0
 
 
 def words(text: Column | str, least: int = 2) -> Column:
     """Tokens of letters, lower-cased: the tokenizer where no analyser is installed."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0)), lambda w: F.length(w) >= least)
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"\p{{L}}{{{max(least, 1)},}}"), F.lit(0))
+
+
+def counted(tokens: Column) -> Column:
+    """(lexeme, n) of an array of tokens: lengths of the runs of equal ones in order, so that a row is all that is held."""
+
+    def runs(w):
+        first = F.filter(F.transform(w, lambda x, i: F.when((i == 0) | ~x.eqNullSafe(F.get(w, i - 1)), i)), lambda i: i.isNotNull())
+        return let(first, lambda at: F.transform(at, lambda s, j: F.struct(F.get(w, s).alias("lexeme"), (F.coalesce(F.get(at, j + 1), F.size(w)) - s).cast("long").alias("n"))))
+
+    return let(F.sort_array(tokens), runs)
 
 
 def term_counts(documents: DataFrame, tokens: Column, key: str = "doc_key") -> DataFrame:
     """(doc_key, lexeme, n).
 
-    Texts are dealt by document before they are cut into tokens, which shuffles each text once and no token; whatever groups or joins the
-    counts by document needs no further shuffle.
+    Terms are counted within a document's row.  Only rows that share their key with another, or have none, are dealt by it and counted
+    together.  Texts are shuffled once to tell them, and no token is; both parts lie by key, so that what joins the counts by document
+    shuffles none either.
     """
-    return documents.repartition(F.col(key)).select(key, F.explode(tokens).alias("lexeme")).groupBy(key, "lexeme").agg(F.count("*").alias("n"))
+    repeated = documents.groupBy(F.col(key).alias("again")).count().where("count > 1").select("again")
+    same, keyless = F.col(key) == F.col("again"), F.col(key).isNull()
+    each = lambda rows: rows.select(key, F.inline(counted(tokens)))
+    again = documents.join(repeated, same, "left_semi").unionByName(documents.where(keyless))
+    shared = each(again.repartition(F.col(key))).groupBy(key, "lexeme").agg(F.sum("n").alias("n"))
+    return each(documents.where(~keyless).join(repeated, same, "left_anti")).unionByName(shared)
 
 
 def baseline(counts: DataFrame) -> DataFrame:
@@ -28,6 +46,11 @@ def baseline(counts: DataFrame) -> DataFrame:
     return counts.groupBy("lexeme").agg(F.sum("n").alias("base"), F.count("*").alias("docs"))
 
 
+def uses(documents: DataFrame, tokens: Column) -> DataFrame:
+    """(lexeme, base): what ``baseline`` sums up, straight from texts, which neither deals them nor counts by document."""
+    return documents.select(F.explode(tokens).alias("lexeme")).groupBy("lexeme").agg(F.count("*").alias("base"))
+
+
 def frequencies(documents: DataFrame, tokens: Column) -> DataFrame:
     """(lexeme, base, docs): the corpus frequency table straight from texts; one aggregation, combined before the shuffle."""
     words_of = documents.select(tokens.alias("w"))
@@ -36,10 +59,21 @@ def frequencies(documents: DataFrame, tokens: Column) -> DataFrame:
     return uses.union(docs).groupBy("lexeme").agg(F.sum("use").alias("base"), F.sum("doc").alias("docs"))
 
 
+def seldom(mine: DataFrame, base: DataFrame, most: int) -> DataFrame:
+    """``mine`` without terms that the baseline has over ``most`` times besides, as far as a broadcast tells.
+
+    Terms with over a 500,000th of all uses are told by it, less than 500,000 whatever the corpus; they are most of the uses.
+    """
+    limit = base.agg(F.greatest(F.lit(most), F.sum("base") / 500_000).alias("limit"))
+    common = base.join(F.broadcast(limit)).where(F.col("base") > F.col("limit")).select("lexeme", F.col("base").alias("often"))
+    return mine.join(F.broadcast(common), "lexeme", "left").where(F.col("often").isNull() | (F.col("often") - F.col("n") <= most)).drop("often")
+
+
 def rare_terms(mine: DataFrame, base: DataFrame, most: int = RARE_MOST, least_mine: int = 1) -> DataFrame:
     """Terms of each document that the baseline (without the document itself) has at most ``most`` times."""
-    joined = mine.join(base, "lexeme", "left").withColumn("others", F.coalesce("base", F.lit(0)) - F.col("n"))
-    return joined.where((F.col("others") <= most) & (F.col("n") >= least_mine)).select("doc_key", "lexeme", "n", "others")
+    base = base.where("lexeme IS NOT NULL")  # said once, so that its uses are one and the same plan
+    joined = seldom(mine.where(F.col("n") >= least_mine), base, most).join(base, "lexeme", "left").withColumn("others", F.coalesce("base", F.lit(0)) - F.col("n"))
+    return joined.where(F.col("others") <= most).select("doc_key", "lexeme", "n", "others")
 
 
 def gate(mine: DataFrame, base: DataFrame, approved: DataFrame, most: int = GATE_MOST) -> DataFrame:

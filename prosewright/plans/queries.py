@@ -331,6 +331,10 @@ def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.term_counts(documents(spark, sf_dir).select("doc_key", "raw"), lexical.words("raw"))
 
 
+def term_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.uses(documents(spark, sf_dir), lexical.words("raw"))
+
+
 @query(f"WITH {_TERMS} SELECT lexeme, base, docs FROM b")
 def frequency_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.frequencies(documents(spark, sf_dir), lexical.words("raw"))
@@ -338,17 +342,15 @@ def frequency_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_TERMS} SELECT doc_key, lexeme, n, base - n AS others FROM c JOIN b USING (lexeme) WHERE base - n <= 40 AND n >= 2")
 def rare_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = term_counts(spark, sf_dir)
-    return lexical.rare_terms(counts, lexical.baseline(counts), least_mine=2)
+    return lexical.rare_terms(term_counts(spark, sf_dir), term_uses(spark, sf_dir), least_mine=2)
 
 
 @query(f"""WITH {_TERMS}, s AS (SELECT doc_id AS doc_key, length(coalesce(text, '')) AS chars FROM documents), a AS (SELECT CAST(sum(chars) AS BIGINT) AS all_chars FROM s),
 r AS (SELECT doc_key, lexeme, n, base, round((CAST(n AS DOUBLE) / chars) / (CAST(base AS DOUBLE) / all_chars), 6) AS ratio FROM c JOIN b USING (lexeme) JOIN s USING (doc_key), a WHERE n >= 3 AND base > 40 AND base <= 300)
 SELECT * FROM r WHERE ratio >= 20""")
 def overused_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = term_counts(spark, sf_dir)
     sizes = documents(spark, sf_dir).select("doc_key", F.length("raw").alias("chars"))
-    return lexical.overused_terms(counts, lexical.baseline(counts), sizes, ratio=20)
+    return lexical.overused_terms(term_counts(spark, sf_dir), term_uses(spark, sf_dir), sizes, ratio=20)
 
 
 @query(f"""WITH {_TERMS}, g AS (SELECT doc_id AS doc_key, CAST(quality AS VARCHAR) AS class FROM labels WHERE quality IS NOT NULL),

@@ -89,6 +89,33 @@ def test_gate_drops_common_terms_before_the_join(spark):
     assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_terms_are_counted_within_a_row(spark):
+    arrays = frame(spark, [("a", ["x", "y", "x"]), ("b", []), ("c", None), ("d", [None, "x", None])], "doc_key string, w array<string>")
+    assert sorted(map(tuple, lexical.term_counts(arrays, F.col("w")).collect()), key=str) == [("a", "x", 2), ("a", "y", 1), ("d", "x", 1), ("d", None, 2)]
+    again = frame(spark, [("a", "x y"), ("a", "x"), (None, "x"), (None, "x z"), ("b", "x")], "doc_key string, raw string")
+    assert sorted(map(tuple, lexical.term_counts(again, lexical.words("raw", 1)).collect()), key=str) == [("a", "x", 2), ("a", "y", 1), ("b", "x", 1), (None, "x", 2), (None, "z", 1)]
+    docs = frame(spark, [(i, f"alpha word{chr(97 + i)} alpha") for i in range(20)], "doc_key int, raw string")
+    plan = lexical.term_counts(docs, lexical.words("raw"))._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "Union" and not any("Aggregate" in line and "lexeme" in line for line in plan.children().head().toString().splitlines())
+
+
+def test_uses_are_the_baseline_without_documents(spark):
+    docs = frame(spark, [("a", "alpha alpha beta 12"), ("a", "beta x"), (None, "gamma"), ("c", None)], "doc_key string, raw string")
+    told = lexical.uses(docs, lexical.words("raw"))
+    assert rows(told, "lexeme") == rows(lexical.baseline(lexical.term_counts(docs, lexical.words("raw"))).select("lexeme", "base"), "lexeme")
+    assert "doc_key" not in told._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
+
+
+def test_rare_terms_drop_common_terms_before_the_join(spark):
+    mine = frame(spark, [("a", "the", 900_000), ("b", "the", 3), ("b", "odd", 2), ("c", "the", 8_000_000), ("b", "new", 1)], "doc_key string, lexeme string, n long")
+    base = frame(spark, [("the", 8_900_003), ("odd", 5)], "lexeme string, base long")
+    assert rows(lexical.rare_terms(mine, base), "doc_key", "lexeme") == [("b", "new", 1, -1), ("b", "odd", 2, 3)]
+    alone = frame(spark, [("the", 8_000_030), ("odd", 5)], "lexeme string, base long")
+    got = lexical.rare_terms(mine, alone, least_mine=2)
+    assert rows(got.where("doc_key <> 'a'"), "doc_key", "lexeme") == [("b", "odd", 2, 3), ("c", "the", 8_000_000, 30)]
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_weights_are_drawn_behind_the_grouping(spark, tmp_path):
     spark.range(500).select((F.col("id") % 3).cast("string").alias("source"), (F.col("id") % 2).alias("good")).write.parquet(str(tmp_path / "d"))
     per = spark.read.parquet(str(tmp_path / "d")).groupBy("source").agg(F.sum("good").alias("good"), F.count("*").alias("all"))
