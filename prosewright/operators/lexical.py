@@ -16,6 +16,15 @@ def words(text: Column | str, least: int = 2) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(rf"\p{{L}}{{{max(least, 1)},}}"), F.lit(0))
 
 
+def has_words(text: Column | str, least: int = 2) -> Column:
+    """Whether ``words`` finds any.
+
+    Letters are letters in lower case too, but for \u0130, which becomes two characters: only texts without a run free of it are lower-cased.
+    """
+    n = max(least, 1)
+    return F.rlike(text, F.lit(rf"[\p{{L}}&&[^\x{{130}}]]{{{n}}}")) | F.rlike(F.lower(text), F.lit(rf"\p{{L}}{{{n}}}"))
+
+
 def counted(tokens: Column) -> Column:
     """(lexeme, n) of an array of tokens: lengths of the runs of equal ones in order, so that a row is all that is held."""
 
@@ -76,19 +85,19 @@ def rare_terms(mine: DataFrame, base: DataFrame, most: int = RARE_MOST, least_mi
     return joined.where(F.col("others") <= most).select("doc_key", "lexeme", "n", "others")
 
 
-def gate(mine: DataFrame, base: DataFrame, approved: DataFrame, most: int = GATE_MOST) -> DataFrame:
+def gate(mine: DataFrame, base: DataFrame, approved: DataFrame, most: int = GATE_MOST, keys: DataFrame | None = None) -> DataFrame:
     """(doc_key, blocked, passes, terms): documents with terms that the corpus has at most ``most`` times and nobody approved (lexeme).
 
-    The limit of the gate is higher than that of the list of rare terms, as it also stops terms a reader would wonder at.
+    The limit of the gate is higher than that of the list of rare terms, as it also stops terms a reader would wonder at.  ``keys``
+    (doc_key) lists the documents of ``mine`` where that is known without counting.
     """
-    # Terms with over a 50,000th of all uses are told by a broadcast of less than 50,000 of them; they are most of the uses.
-    limit = base.agg(F.greatest(F.lit(most), F.sum("base") / 50_000).alias("limit"))
-    common = base.join(F.broadcast(limit)).where(F.col("base") > F.col("limit")).select("lexeme")
-    seldom = mine.join(F.broadcast(common), "lexeme", "left_anti")
-    joined = seldom.join(base, "lexeme", "left").where(F.coalesce("base", F.lit(0)) <= most).join(approved.select("lexeme").distinct(), "lexeme", "left_anti")
-    found = joined.groupBy("doc_key").agg(F.count("*").alias("blocked"), F.array_sort(F.collect_list(F.struct(F.coalesce("base", F.lit(0)).alias("base"), (-F.col("n")).alias("less"), "lexeme"))).alias("t"))
-    out = mine.select("doc_key").distinct().join(found, "doc_key", "left").withColumn("blocked", F.coalesce("blocked", F.lit(0)))
-    return out.select("doc_key", "blocked", (F.col("blocked") == 0).alias("passes"), F.coalesce(F.transform("t", lambda x: x["lexeme"]), F.array().cast("array<string>")).alias("terms"))
+    base = base.where("lexeme IS NOT NULL")  # said once, so that its uses are one and the same plan
+    joined = seldom(mine, base, most).join(base, "lexeme", "left").where(F.coalesce("base", F.lit(0)) <= most).join(approved.select("lexeme").distinct(), "lexeme", "left_anti")
+    term = F.struct(F.coalesce("base", F.lit(0)).alias("base"), (-F.col("n")).alias("less"), "lexeme")
+    found = joined.select("doc_key", F.when(F.col("doc_key").isNotNull(), term).alias("term"))  # a document without a key has no terms of its own
+    listed = (mine if keys is None else keys).select("doc_key").distinct().withColumn("term", F.lit(None).cast(found.schema["term"].dataType))
+    out = listed.unionByName(found).groupBy("doc_key").agg(F.count("term").alias("blocked"), F.array_sort(F.collect_list("term")).alias("t"))
+    return out.select("doc_key", "blocked", (F.col("blocked") == 0).alias("passes"), F.transform("t", lambda x: x["lexeme"]).alias("terms"))
 
 
 def overused_terms(mine: DataFrame, base: DataFrame, sizes: DataFrame, base_span=OVER_BASE, least=OVER_COUNT, ratio=OVER_RATIO) -> DataFrame:

@@ -812,9 +812,9 @@ def publish_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_TERMS}, k AS (SELECT unnest(['the', 'and', 'der', 'de']) AS lexeme), r AS (SELECT doc_key, CAST(count(*) AS BIGINT) AS blocked FROM c JOIN b USING (lexeme) WHERE base <= 60 AND lexeme NOT IN (SELECT lexeme FROM k) GROUP BY doc_key)
 SELECT DISTINCT c.doc_key, coalesce(blocked, 0) AS blocked, coalesce(blocked, 0) = 0 AS passes FROM c LEFT JOIN r USING (doc_key)""")
 def vocabulary_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = term_counts(spark, sf_dir)
     approved = spark.range(1).select(F.explode(F.lit(["the", "and", "der", "de"])).alias("lexeme"))
-    return lexical.gate(counts, lexical.baseline(counts), approved).select("doc_key", "blocked", "passes")
+    worded = documents(spark, sf_dir).where(lexical.has_words("raw"))
+    return lexical.gate(term_counts(spark, sf_dir), term_uses(spark, sf_dir), approved, keys=worded).select("doc_key", "blocked", "passes")
 
 
 @query("""WITH t AS (SELECT doc_id AS doc_key, regexp_extract_all(lower(text), '\\pL+') AS w FROM documents), e AS (SELECT doc_key, generate_subscripts(w, 1) AS pos, length(unnest(w)) >= 6 AS bare FROM t),

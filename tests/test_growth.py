@@ -116,6 +116,16 @@ def test_rare_terms_drop_common_terms_before_the_join(spark):
     assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_gate_lists_documents_without_counting(spark):
+    docs = frame(spark, [("a", "odd the the"), ("b", "the"), (None, "odd rare"), ("c", "1 x"), ("d", None), ("e", "\u0130\u0130")], "doc_key string, raw string")
+    w = lexical.words("raw")
+    mine, base, none = lexical.term_counts(docs, w), lexical.uses(docs, w), frame(spark, [], "lexeme string")
+    told = docs.where(lexical.has_words("raw"))
+    assert rows(told.select("doc_key"), "doc_key") == rows(mine.select("doc_key").distinct(), "doc_key")
+    got = lexical.gate(mine, base, none, most=2, keys=told)
+    assert rows(got, "doc_key") == rows(lexical.gate(mine, lexical.baseline(mine), none, most=2), "doc_key") == [(None, 0, True, []), ("a", 1, False, ["odd"]), ("b", 0, True, [])]
+
+
 def test_weights_are_drawn_behind_the_grouping(spark, tmp_path):
     spark.range(500).select((F.col("id") % 3).cast("string").alias("source"), (F.col("id") % 2).alias("good")).write.parquet(str(tmp_path / "d"))
     per = spark.read.parquet(str(tmp_path / "d")).groupBy("source").agg(F.sum("good").alias("good"), F.count("*").alias("all"))
