@@ -52,3 +52,11 @@ def test_specimens_are_of_all_families():
     assert {f: len(own) for f, own in by.items()} == {"words": 31, "form": 19, "piled": 22}
     assert len({s.kind for s in planted.SPECIMENS}) == 39 and len({s.note for s in by["piled"]} - {""}) == 20
     assert all(s.bad != s.good for s in planted.SPECIMENS)
+
+
+def test_a_mix_of_registers_is_found_where_other_plants_leave_it_undecided(spark):
+    # Defects of the words and form families that are plain sentences too: three plain ones against four polite ones.
+    texts = spark.createDataFrame([(k, "") for k in (2090, 8228, 3212, 10032, 7304, 12320)] + [(22, "")], "doc_key long, raw string")
+    rows = planted.hits(texts).collect()
+    assert len(rows) == 21 and {r["kind"] for r in rows if r["family"] == "piled"} == {"register_mix"}
+    assert [r for r in rows if not (r["found"] and r["net"])] == []
