@@ -33,10 +33,10 @@ def families(specimens: list[Specimen]) -> dict[str, list[Specimen]]:
     return out
 
 
-def plant(documents: DataFrame, specimens: list[Specimen], turn: Column, after: Column) -> tuple[DataFrame, DataFrame]:
-    """Texts and plants of documents (doc_key, raw).
+def planted_rows(documents: DataFrame, specimens: list[Specimen], turn: Column, after: Column) -> DataFrame:
+    """Documents (doc_key, raw) as (doc_key, sides, plants), a row for each.
 
-    Texts are (doc_key, side, raw) with side ``bad`` or ``good``; plants are (doc_key, family, kind, note, first_line,
+    Sides are an array of (side, raw) with side ``bad`` and then ``good``; plants are an array of (family, kind, note, first_line,
     last_line).  Blocks go behind line ``after`` (0: in front), one after the other between empty lines; the specimen of a
     family is number ``turn`` modulo their number.  A document without text has the blocks alone; without a turn it has the
     first specimens; a place beyond the end is the end.  Rows that share a doc_key are planted each for itself.
@@ -57,7 +57,13 @@ def plant(documents: DataFrame, specimens: list[Specimen], turn: Column, after:
     sides = F.array(*[F.struct(F.lit(s).alias("side"), text(s).alias("raw")) for s in ("bad", "good")])
     ahead = lambda i: F.aggregate(F.slice("blocks", F.lit(1), i), F.col("at") + 2, lambda n, b: n + b["n"] + 2)
     placed = F.transform("blocks", lambda b, i: F.struct(b["family"].alias("family"), b["kind"].alias("kind"), b["note"].alias("note"), ahead(i).alias("first_line"), (ahead(i) + b["n"] - 1).alias("last_line")))
-    return rows.select("doc_key", F.inline(sides)), rows.select("doc_key", F.inline(placed))
+    return rows.select("doc_key", sides.alias("sides"), placed.alias("plants"))
+
+
+def plant(documents: DataFrame, specimens: list[Specimen], turn: Column, after: Column) -> tuple[DataFrame, DataFrame]:
+    """Texts (doc_key, side, raw) and plants (doc_key, family, kind, note, first_line, last_line) of ``planted_rows``."""
+    rows = planted_rows(documents, specimens, turn, after)
+    return rows.select("doc_key", F.inline("sides")), rows.select("doc_key", F.inline("plants"))
 
 
 def owed(bad: DataFrame, good: DataFrame, short: int = 20) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,23 +91,51 @@ SPECIMENS: list[Specimen] = [
 SPELLING = [("몇일", "며칠", "head", "err", ["몇일자"], ""), ("안되", "안 되", "word", "warn", [], "")]
 BRANDS = [("스파크", "Spark")]
 
+#: Different documents in a partition.
+EACH = 1000
+
 
 def hits(documents: DataFrame) -> DataFrame:
     """Every document of (doc_key, raw) with one specimen of each family, and whether the wording check tells it from its twin.
 
-    Both texts of all documents go through the check together, as documents of their own.
+    Both texts of all documents are laid out.  Documents whose plants and lines that a rule may bear on are alike, but for how far
+    down they stand, have the same findings that far down, so one of them goes through the check for all.
     """
+    if not all(re.search("[가-힣]", entry[0]) for entry in SPELLING + BRANDS):
+        raise ValueError("a word without Hangul may be found on lines that are left out as bearing on no rule")
     spark = documents.sparkSession
-    size = F.size(F.split("raw", "\n"))
-    texts, plants = planting.plant(documents, SPECIMENS, F.col("doc_key"), F.pmod(F.col("doc_key") * 7, size + 1))
-    both = texts.select(F.concat_ws(":", "side", F.col("doc_key").cast("string")).alias("doc_key"), "raw")
+    rows = planting.planted_rows(documents, SPECIMENS, F.col("doc_key"), F.pmod(F.col("doc_key") * 7, F.size(F.split("raw", "\n")) + 1))
+    told = rows.select("doc_key", "plants", structure.residue(F.col("sides")[0]["raw"], F.col("sides")[1]["raw"]).alias("of")).select("doc_key", "plants", "of.*")
+    told = told.withColumn("plants", _moved("plants", -F.col("ahead")))
+    told = told.withColumn("key", F.sha2(F.concat("residue", F.to_json("plants")), 256)).persist()  # read for the check and for its results
+    # Every family has a task for each partition, so there are as many as the different documents need and not as all would.  What the
+    # families read and make is kept without its plan, which each of some forty scans would hold again.
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), max(spark.sparkContext.defaultParallelism, told.select("key").distinct().count() // EACH))
+    parsed = _kept(structure.residue_lines(told.select("key", "residue").distinct(), ("bad", "good"), n))
     spelling = spark.createDataFrame(SPELLING, "wrong string, right string, scope string, level string, excepts array<string>, why string")
     brands = spark.createDataFrame(BRANDS, "wrong string, canonical string")
-    parsed = structure.dealt_lines(both).persist()  # read by every family of rules
-    found = rules.markdown_findings(both, spelling, brands, parsed=parsed)
+    found = rules.markdown_findings(parsed, spelling, brands, parsed=parsed)
     key = F.split("doc_key", ":")
-    found = found.select(key[0].alias("side"), key[1].cast("long").alias("doc_key"), _place().alias("line_no"), "kind", "match", "note").persist()
-    return planting.caught(plants, found.where("side = 'bad'").drop("side"), found.where("side = 'good'").drop("side"))
+    found = _kept(found.select(key[0].alias("side"), key[1].alias("doc_key"), _place().alias("line_no"), "kind", "match", "note"))
+    plants = told.select("key", "plants").distinct().select(F.col("key").alias("doc_key"), F.inline("plants"))
+    caught = planting.caught(plants, found.where("side = 'bad'").drop("side"), found.where("side = 'good'").drop("side"))
+    by_key = caught.groupBy(F.col("doc_key").alias("key")).agg(F.collect_list(F.struct(*[c for c in caught.columns if c != "doc_key"])).alias("plants"))
+    return told.select("doc_key", "ahead", "key").join(by_key, "key").select("doc_key", F.inline(_moved("plants", F.col("ahead"), "found", "net")))
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """The rows written to the checkpoint folder, which all executors share."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        from prosewright.llm.common import shared_dir
+
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
+def _moved(plants: str, by: Column, *more: str) -> Column:
+    """Plants so many lines further down."""
+    return F.transform(plants, lambda p: F.struct(*[p[c].alias(c) for c in ("family", "kind", "note")], *[(p[c] + by).alias(c) for c in ("first_line", "last_line")], *[p[c].alias(c) for c in more]))
 
 
 def _place() -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from prosewright.functions import spans
 from prosewright.operators import elements, evaluation, lexical, revision, rules, structure
+from prosewright.plans import planted
 from prosewright.sources import formats
 
 PIECES = ["- a", "* 항목 하나", "1. x", "  more", "   | a | b |", "| a | b |", "| ❌ a | ✅ b |", "|--|--|", "| c | 다 |", "```", "~~~", "", " ", "\x1c", "  ", "a' 'b", "'`x`' ' '", "‘  ’ '  '", "글을 씀", "\t\tindented", "> quote", "# h", "| a\r|", "\x0b\x0b y", "문단 하나다."]
@@ -37,6 +38,32 @@ def test_dealt_lines_tell_what_the_expressions_tell(spark):
     assert "Window" not in plan and "Aggregate" not in plan
 
 
+def test_residues_hold_whatever_the_rules_find(spark):
+    draw = random.Random(7)
+    more = ["- 값이 올랐다", "- **내용**: 값", "- **a**: x", "- **b**: y", "plain text", "plain text", "(2-1) as said", "## 2-1. name", "§3", "# Title", "> 값이 내렸다", "> (출처 표)", "다시 해야 한다", "몇일 뒤, 스파크", "```text", "하나다.", "| ❌ 값 | ✅ 값 |", "예시", "사람이 아니라 기계다. 말이 아니라 글이다.", "값이 오릅니다", "ㅏ 먼저 할께요"]
+    texts = ["\n".join(draw.choice(PIECES + more if i % 3 else ["plain text", "", "- item", *more]) for _ in range(draw.randint(0, 40))) for i in range(400)] + ["", "---\na: b\n---\n- x\n  값이 올랐다"]
+    pairs = frame(spark, [(str(i), a, b) for i, (a, b) in enumerate(zip(texts[::2], texts[1::2], strict=True))], "key string, a string, b string")
+    spelling = frame(spark, planted.SPELLING, "wrong string, right string, scope string, level string, excepts array<string>, why string")
+    brands = frame(spark, planted.BRANDS, "wrong string, canonical string")
+    whole = pairs.select(F.concat(F.lit("a:"), "key").alias("doc_key"), F.col("a").alias("raw")).union(pairs.select(F.concat(F.lit("b:"), "key"), "b"))
+    told = pairs.select("key", structure.residue("a", "b").alias("of")).select("key", "of.*").persist()
+    parsed = structure.residue_lines(told, ("a", "b"), 4).persist()
+    found = rules.markdown_findings(parsed, spelling, brands, parsed=parsed).withColumn("key", F.split("doc_key", ":")[1]).join(told, "key")
+    found = found.withColumn("line_no", F.col("line_no") + F.col("ahead")).select(*rules.FINDING)
+    want = sorted(map(str, rules.markdown_findings(whole, spelling, brands, parsed=structure.dealt_lines(whole).persist()).collect()))
+    assert len(want) > 1500 and sorted(map(str, found.collect())) == want
+    assert parsed.count() < structure.dealt_lines(whole).count()
+
+
+def test_texts_alike_but_for_what_no_rule_bears_on_have_one_residue(spark):
+    quote = "\n\n- 값이 올랐다\n\n> 값이 내렸다"
+    rest = [("one\ntwo", "- 값이 올랐다\n"), ("other words\n\n| a | b |", "- 값이 올랐다\n"), ("x\n" * 9, quote), ("- y\n" * 30, quote), ("x", quote)]
+    rows = frame(spark, [(i, f"{a}\n\n{b}\n\nthe end {i}") for i, (a, b) in enumerate(rest)], "i int, raw string")
+    got = {r["i"]: r["of"] for r in rows.select("i", structure.residue("raw", "raw").alias("of")).collect()}
+    assert got[0]["residue"] == got[1]["residue"] and (got[0]["ahead"], got[1]["ahead"]) == (3, 4)
+    assert got[2]["residue"] == got[3]["residue"] and got[4]["residue"] != got[2]["residue"]  # a head's quotation is none
+
+
 def test_matching_is_that_of_difflib():
     draw = random.Random(1)
     long = "".join(draw.choice("abcdefgh ") for _ in range(400))
