@@ -172,6 +172,12 @@ def _finding(df: DataFrame, kind: str, severity: Column | str, match: Column | s
     return df.select("doc_key", F.col("line_no").cast("int").alias("line_no"), F.lit(kind).alias("kind"), lit(severity).alias("severity"), (F.col(match) if isinstance(match, str) else match).alias("match"), lit(note).alias("note"))
 
 
+def _findings(df: DataFrame, *each: tuple) -> DataFrame:
+    """Several findings (whether, kind, severity, match, note) of the same rows, in one pass over them."""
+    found = [F.struct(w.alias("found"), F.lit(k).alias("kind"), F.lit(s).alias("severity"), m.alias("match"), n.alias("note")) for w, k, s, m, n in each]
+    return df.select("doc_key", F.col("line_no").cast("int").alias("line_no"), F.inline(F.array(*found))).where("found").select(*FINDING)
+
+
 def _hits(text: str, rule: Rule) -> Column:
     """Matches of a rule in a line.
 
@@ -291,32 +297,33 @@ def value_findings(body: DataFrame, relaxed: bool = False) -> DataFrame:
     slots = structure.value_slots(structure.wrapped(body), ("wrapped",)).where("NOT text rlike '^[-: ]*$'").where(F.col("text").rlike("[가-힣]"))  # no rule of values goes without
     cut = slots.withColumn("f", fragment("text"))
     certain = F.col("f.err").isNotNull() & ~F.col("wrapped")
-    cut = cut.withColumn("kind", F.when(certain, "cut_ending").when(F.col("f.err").isNotNull() | F.col("f.warn").isNotNull(), "cut_ending_suspect")).where("kind IS NOT NULL")
-    cut = cut.select("doc_key", F.col("line_no").cast("int").alias("line_no"), "kind", F.when(certain, "err").otherwise("warn").alias("severity"), F.substring("text", 1, 60).alias("match"), F.coalesce("f.err", "f.warn").alias("note"))
+    suspect = ~certain & (F.col("f.err").isNotNull() | F.col("f.warn").isNotNull())
+    begin, why, none = F.substring("text", 1, 60), F.coalesce("f.err", "f.warn"), F.lit("")
+    cut = _findings(cut, (certain, "cut_ending", "err", begin, why), (suspect, "cut_ending_suspect", "warn", begin, why), (F.trim("text").rlike(ONLY_DEICTIC), "deictic_check", "warn", F.col("text"), none))
     said = slots.select("doc_key", "line_no", F.explode(sentences("text")).alias("s")).where(is_narrative("s"))
-    narrative = _finding(said, "unlabeled_statement" if relaxed else "narrative_ending", "warn" if relaxed else "err", F.substring("s", 1, 60))
-    plain = _finding(said.where(is_plain_speech("s")), "plain_speech", "err", F.substring("s", 1, 60))
-    only = _finding(slots.where(F.trim("text").rlike(ONLY_DEICTIC)), "deictic_check", "warn", "text")
-    return cut.union(narrative).union(plain).union(only)
+    narrative = ("unlabeled_statement", "warn") if relaxed else ("narrative_ending", "err")
+    return cut.union(_findings(said, (F.lit(True), *narrative, F.substring("s", 1, 60), none), (is_plain_speech("s"), "plain_speech", "err", F.substring("s", 1, 60), none)))
 
 
 def heading_findings(body: DataFrame) -> DataFrame:
     """Headings that are sentences, cut off, or only about reading the document; H1 without a lede, and the lede's form."""
     heads = structure.headings(body).withColumn("f", fragment("title"))
-    narrative = _finding(heads.where(is_narrative("title")), "heading_narrative", "err", "title")
-    form = _form_findings(heads, "title", "heading")
-    meta = _finding(heads.where(F.col("title").rlike(META_HEADING)), "unscannable_label", "warn", "title")
+    title, none = F.col("title"), F.lit("")
+    told = _findings(heads, (is_narrative("title"), "heading_narrative", "err", title, none), *_forms("title", "heading"), (title.rlike(META_HEADING), "unscannable_label", "warn", title, none))
     ledes = structure.ledes(body)
     missing = _finding(ledes.where("lede IS NULL").withColumn("line_no", F.col("h1_line")), "lede_missing", "err", F.lit(""))
     at = ledes.where("lede IS NOT NULL").withColumn("line_no", F.col("lede_line"))
-    return narrative.union(form).union(meta).union(missing).union(_lede_findings(at))
+    return told.union(missing).union(_lede_findings(at))
 
 
-def _form_findings(rows: DataFrame, shown: str, what: str) -> DataFrame:
-    """Rows (…, f) whose text is cut off or a question as errors, those that may be as warnings."""
+def _forms(shown: str, what: str) -> list[tuple]:
+    """Of rows (…, f) those whose text is cut off or a question as errors, those that may be as warnings."""
     certain = F.col("f.err").isNotNull() | F.coalesce(F.col("f.warn") == "question label", F.lit(False))
-    found = _finding(rows.where(certain), f"{what}_not_nominal", "err", shown, F.coalesce("f.err", "f.warn"))
-    return found.union(_finding(rows.where(~certain & F.col("f.warn").isNotNull()), f"{what}_form_check", "warn", shown, F.col("f.warn")))
+    return [(certain, f"{what}_not_nominal", "err", F.col(shown), F.coalesce("f.err", "f.warn")), (~certain & F.col("f.warn").isNotNull(), f"{what}_form_check", "warn", F.col(shown), F.col("f.warn"))]
+
+
+def _form_findings(rows: DataFrame, shown: str, what: str) -> DataFrame:
+    return _findings(rows, *_forms(shown, what))
 
 
 def _lede_findings(ledes: DataFrame) -> DataFrame:
@@ -442,8 +449,9 @@ def register_findings(said: DataFrame, least: int = 12, share: float = 0.25, rat
     With a personal profile: at least ``least`` sentences and a minority under ``share``, as warnings.  Without: strays from a
     majority of at least ``ratio`` times the minority, as errors, once a line; undecided mixes give one warning.
     """
-    n = said.groupBy("doc_key").agg(F.count_if(~F.col("plain")).alias("polite"), F.count_if("plain").alias("plain_n")).where("polite > 0 AND plain_n > 0")
-    both = said.join(n, "doc_key").withColumn("minor", F.least("polite", "plain_n")).withColumn("in_minor", F.col("plain") != (F.col("polite") < F.col("plain_n")))
+    own = Window.partitionBy("doc_key")
+    both = said.where("doc_key IS NOT NULL").withColumns({"polite": F.count_if(~F.col("plain")).over(own), "plain_n": F.count_if("plain").over(own)}).where("polite > 0 AND plain_n > 0")
+    both = both.withColumn("minor", F.least("polite", "plain_n")).withColumn("in_minor", F.col("plain") != (F.col("polite") < F.col("plain_n")))
     if personal:
         kept = both.where((F.col("polite") + F.col("plain_n") >= least) & (F.col("minor") < share * (F.col("polite") + F.col("plain_n"))) & F.col("in_minor"))
         return _finding(kept, "register_mix", "warn", F.substring("s", 1, 60))
