@@ -34,9 +34,9 @@ def families(specimens: list[Specimen]) -> dict[str, list[Specimen]]:
 
 
 def planted_rows(documents: DataFrame, specimens: list[Specimen], turn: Column, after: Column) -> DataFrame:
-    """Documents (doc_key, raw) as (doc_key, sides, plants), a row for each.
+    """Documents (doc_key, raw) as (doc_key, raw, at, bad, good, plants), a row for each.
 
-    Sides are an array of (side, raw) with side ``bad`` and then ``good``; plants are an array of (family, kind, note, first_line,
+    The blocks of either side go behind line ``at`` of the text; plants are an array of (family, kind, note, first_line,
     last_line).  Blocks go behind line ``after`` (0: in front), one after the other between empty lines; the specimen of a
     family is number ``turn`` modulo their number.  A document without text has the blocks alone; without a turn it has the
     first specimens; a place beyond the end is the end.  Rows that share a doc_key are planted each for itself.
@@ -48,22 +48,22 @@ def planted_rows(documents: DataFrame, specimens: list[Specimen], turn: Column,
     for own in by.values():
         each = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in s._asdict().items()], F.lit(s.bad.count("\n") + 1).alias("n")) for s in own])
         chosen.append(F.get(each, F.pmod(F.coalesce(turn, F.lit(0)), F.lit(len(own))).cast("int")))
-    rows = documents.select("doc_key", lines.alias("lines"), at.alias("at"), F.array(*chosen).alias("blocks"))
-
-    def text(side: str) -> Column:
-        blocks = F.flatten(F.transform("blocks", lambda b: F.concat(F.array(F.lit("")), F.split(b[side], "\n"), F.array(F.lit("")))))
-        return F.array_join(F.concat(F.slice("lines", F.lit(1), F.col("at")), blocks, F.slice("lines", F.col("at") + 1, F.size("lines"))), "\n")
-
-    sides = F.array(*[F.struct(F.lit(s).alias("side"), text(s).alias("raw")) for s in ("bad", "good")])
+    rows = documents.select("doc_key", F.coalesce("raw", F.lit("")).alias("raw"), at.alias("at"), F.array(*chosen).alias("blocks"))
+    block = lambda side: F.array_join(F.transform("blocks", lambda b: F.concat(F.lit("\n"), b[side], F.lit("\n"))), "\n").alias(side)
     ahead = lambda i: F.aggregate(F.slice("blocks", F.lit(1), i), F.col("at") + 2, lambda n, b: n + b["n"] + 2)
     placed = F.transform("blocks", lambda b, i: F.struct(b["family"].alias("family"), b["kind"].alias("kind"), b["note"].alias("note"), ahead(i).alias("first_line"), (ahead(i) + b["n"] - 1).alias("last_line")))
-    return rows.select("doc_key", sides.alias("sides"), placed.alias("plants"))
+    return rows.select("doc_key", "raw", "at", block("bad"), block("good"), placed.alias("plants"))
 
 
 def plant(documents: DataFrame, specimens: list[Specimen], turn: Column, after: Column) -> tuple[DataFrame, DataFrame]:
     """Texts (doc_key, side, raw) and plants (doc_key, family, kind, note, first_line, last_line) of ``planted_rows``."""
-    rows = planted_rows(documents, specimens, turn, after)
-    return rows.select("doc_key", F.inline("sides")), rows.select("doc_key", F.inline("plants"))
+    rows = planted_rows(documents, specimens, turn, after).withColumn("lines", F.split("raw", "\n"))
+
+    def text(side: str) -> Column:
+        return F.array_join(F.concat(F.slice("lines", F.lit(1), F.col("at")), F.array(side), F.slice("lines", F.col("at") + 1, F.size("lines"))), "\n")
+
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), text(s).alias("raw")) for s in ("bad", "good")])
+    return rows.select("doc_key", F.inline(sides)), rows.select("doc_key", F.inline("plants"))
 
 
 def owed(bad: DataFrame, good: DataFrame, short: int = 20) -> DataFrame:

@@ -204,6 +204,18 @@ def residue(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(_residues(zip(a, b, strict=True)), columns=["ahead", "residue"]).astype({"ahead": "int32"})
 
 
+@pandas_function("struct<ahead:int,residue:string>")
+def planted_residue(raw: pd.Series, at: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """``residue`` of a text with ``a`` and with ``b`` put behind line ``at``, so that a worker is sent the text once."""
+
+    def both():
+        for text, n, *blocks in zip(raw, at, a, b, strict=True):
+            rows = text.split("\n")
+            yield tuple("\n".join([*rows[:n], block, *rows[n:]]) for block in blocks)
+
+    return pd.DataFrame(_residues(both()), columns=["ahead", "residue"]).astype({"ahead": "int32"})
+
+
 @pandas_function(f"array<array<struct<{LAID_OUT}>>>")
 def _of_residue(residues: pd.Series) -> pd.Series:
     return residues.map(json.loads)

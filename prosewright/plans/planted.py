@@ -105,7 +105,7 @@ def hits(documents: DataFrame) -> DataFrame:
         raise ValueError("a word without Hangul may be found on lines that are left out as bearing on no rule")
     spark = documents.sparkSession
     rows = planting.planted_rows(documents, SPECIMENS, F.col("doc_key"), F.pmod(F.col("doc_key") * 7, F.size(F.split("raw", "\n")) + 1))
-    told = rows.select("doc_key", "plants", structure.residue(F.col("sides")[0]["raw"], F.col("sides")[1]["raw"]).alias("of")).select("doc_key", "plants", "of.*")
+    told = rows.select("doc_key", "plants", structure.planted_residue("raw", "at", "bad", "good").alias("of")).select("doc_key", "plants", "of.*")
     told = told.withColumn("plants", _moved("plants", -F.col("ahead")))
     told = told.withColumn("key", F.sha2(F.concat("residue", F.to_json("plants")), 256)).persist()  # read for the check and for its results
     # Every family has a task for each partition, so there are as many as the different documents need and not as all would.  What the
